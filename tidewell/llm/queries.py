@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import chat, decontam, mixing, simhash, tokens, toxicity
+from tidewell.llm import chat, decontam, mixing, pii, quality, secrets, simhash, tokens, toxicity, warczip
 from tidewell.session import table
 
 
@@ -17,10 +17,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.col("spans"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warczip.archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents")))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -35,13 +48,17 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_mixing, op6_decontam, op7_tokens, op8_chat, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_pii, op5_secrets, op6_decontam, op7_tokens, op8_chat, op9_quality, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE_SQL, "op6_decontam": decontam.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
+    return {"op2_warc": warczip.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_decontam": decontam.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}

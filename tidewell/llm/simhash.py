@@ -17,7 +17,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewell.llm.components import connected_components
 from tidewell.session import materialise, ship, shuffle_partitions
@@ -248,3 +248,38 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     component = connected_components(links(nodes.filter("node is not null"), radius))
     classes = nodes.join(component, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS) -> DataFrame:
+    """``docs`` with one row of each class of ``near_duplicates``: the one whose doc_id is the class's.
+
+    Of rows that repeat that doc_id the one whose text is first in order stays. Of rows without an id, one of each
+    fingerprint stays if no row with an id has that fingerprint. Texts are shuffled once, by doc_id.
+    """
+    found = materialise(near_duplicates(docs, shingle, seed, radius), "classes")
+    heads = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n"))
+    heads = materialise(heads, "heads")
+    at = F.col("doc_id").cast("long") == F.col("__keep")
+    rows = docs.join(heads.filter("__n = 1"), at, "left_semi")
+    again = heads.filter("__n > 1")
+    if again.head(1):
+        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+        rows = rows.unionByName(docs.join(again, at, "left_semi").withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank"))
+    nameless = found.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
+    if nameless.head(1):
+        rows = rows.unionByName(_with_fingerprint(docs.filter(F.col("doc_id").isNull()), nameless, shingle, seed))
+    return rows
+
+
+def _with_fingerprint(docs: DataFrame, wanted: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """Rows of ``docs`` (without ids) whose fingerprint is in ``wanted``, one for each fingerprint."""
+    body = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("binary").alias("body"))
+    schema = body.select("row").schema.add("fp", "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = fingerprints_of(batch.column(1).to_pylist(), shingle, seed)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["row", "fp"])
+
+    rows = body.mapInArrow(run, schema).withColumn("fingerprint", F.lpad(F.lower(F.hex("fp")), 16, "0"))
+    return rows.join(wanted, "fingerprint", "left_semi").dropDuplicates(["fingerprint"]).select("row.*")

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.chunks import Codes
+from tidewell.llm.repair import ragged
 from tidewell.session import ship
 
 #: Bounds of the labelled sample that the model is fitted on.
@@ -44,39 +44,72 @@ def word_features(word: str) -> list[str]:
     return [f"={word}", *(f"^{word[:k]}" for k in range(3, 7) if len(word) >= k)]
 
 
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
+
+
 def features(chunk: str) -> list[int]:
     word = core(chunk)
     shape = ("d" if any(c.isdigit() for c in word) else "a") + ("u" if chunk[:1].isupper() else "l")
-    return [zlib.crc32(f.encode("utf-8", "surrogatepass")) >> (32 - BITS) for f in (*word_features(word), f"${word[-3:]}", f"#{shape}")]
-
-
-def _distinct(texts: list[list[str]]) -> list[int]:
-    """Indices of word lists without near copies: of lists that share two of four minimum hashes the first stays."""
-    seen: set[tuple[int, int, int]] = set()
-    kept = []
-    for k, words in enumerate(texts):
-        hashes = [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(words)]
-        lows = [min((h * m + 1) & 0xFFFFFFFF for h in hashes) if hashes else 0 for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
-        pairs = {(i, j, hash((lows[i], lows[j]))) for i in range(4) for j in range(i)}
-        if not pairs & seen:
-            kept.append(k)
-        seen |= pairs
-    return kept
-
-
-def toxic_features(toxic: list[list[str]], clean: list[list[str]]) -> set[str]:
-    """Words and beginnings whose share among toxic documents exceeds that among clean ones twentyfold, beyond a
+    return [_hash(f) >> (32 - BITS) for f in (*word_features(word), f"${word[-3:]}", f"#{shape}")]
+
+
+class Sample:
+    """Training texts as chunk codes; what depends on the chunk alone is computed once per distinct chunk."""
+
+    def __init__(self, texts: list[str]) -> None:
+        codes = Codes()
+        self.codes, sizes = codes.of(texts, _BREAKS)
+        self.codes = self.codes.astype(np.int32)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        self.chunks = list(codes)
+        words = [core(c) for c in self.chunks]
+        self.words = np.array([_hash(w) if w else 0 for w in words], np.uint32)
+        lists = [[_hash(f) for f in word_features(w)] if w else [] for w in words]
+        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.features = np.fromiter((f for x in lists for f in x), np.uint32, int(self.sizes.sum()))
+
+    def of(self, k: int) -> np.ndarray:
+        return self.codes[self.starts[k] : self.ends[k]]
+
+    def apart(self, own: list[int]) -> list[int]:
+        """Of ``own`` those without an earlier near copy: one that shares two of four minimum hashes of its words."""
+        seen: set[tuple[int, int, int]] = set()
+        kept = []
+        for k in own:
+            hashes = self.words[np.unique(self.of(k))].astype(np.uint64)
+            lows = [int(((hashes * np.uint64(m) + np.uint64(1)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
+            pairs = {(i, j, lows[i] << 32 | lows[j]) for i in range(4) for j in range(i)}
+            if not pairs & seen:
+                kept.append(k)
+            seen |= pairs
+        return kept
+
+    def frequencies(self, own: list[int]) -> dict[int, int]:
+        """In how many of the texts ``own`` each word feature occurs."""
+        per_text = []
+        for k in own:
+            u = np.unique(self.of(k))
+            per_text.append(np.unique(self.features[ragged(self.first[u], self.sizes[u])]))
+        values, n = np.unique(np.concatenate(per_text or [np.zeros(0, np.uint32)]), return_counts=True)
+        return dict(zip(values.tolist(), n.tolist()))
+
+    def marked(self, marks: set[int]) -> np.ndarray:
+        """Per distinct chunk, whether any of its features is in ``marks``."""
+        hit = np.concatenate(([0], np.cumsum(np.isin(self.features, np.fromiter(marks, np.uint32, len(marks))))))
+        return hit[self.first + self.sizes] > hit[self.first]
+
+
+def toxic_features(toxic: dict[int, int], n: int, clean: dict[int, int], m: int) -> set[int]:
+    """Features whose share among ``n`` toxic documents exceeds that among ``m`` clean ones twentyfold, beyond a
     likelihood-ratio bound that allows for the number of candidates."""
-    counts = [Counter(), Counter()]
-    for own, lists in zip(counts, (toxic, clean)):
-        for words in lists:
-            own.update({f for w in set(words) for f in word_features(w)})
-    n, m = max(len(toxic), 1), max(len(clean), 1)
-    need = 2 * math.log(len(counts[0]) + 1) + 4
+    need = 2 * math.log(len(toxic) + 1) + 4
     share = n / (n + m)
     found = set()
-    for f, a in counts[0].items():
-        b = counts[1][f]
+    for f, a in toxic.items():
+        b = clean.get(f, 0)
         gain = 2 * (a * math.log(a / ((a + b) * share)) + (b * math.log(b / ((a + b) * (1 - share))) if b else 0))
         if a >= 3 and gain >= need and a / n >= 20 * b / m:
             found.add(f)
@@ -245,35 +278,33 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
     empty = Model(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), np.array([math.log(prior / (1 - prior)), 0, 0, 0]))
-    chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t, _ in rows]
-    words = [[w for w in map(core, own) if w] for own in chunks]
     sides = [[k for k, (_, y) in enumerate(rows) if y == side] for side in (0, 1)]
     if not all(sides):
         return empty
-    apart = [[own[i] for i in _distinct([words[k] for k in own])] for own in sides]
-    marks = toxic_features([words[k] for k in apart[1]], [words[k] for k in apart[0]])
+    sample = Sample([t for t, _ in rows])
+    clean, toxic = (sample.apart(own) for own in sides)
+    marks = toxic_features(sample.frequencies(toxic), len(toxic), sample.frequencies(clean), len(clean))
     if not marks:
         return empty
-    cache: dict[str, bool] = {}
+    marked, names = sample.marked(marks), sample.chunks
+    own, tags = [], []
 
-    def toxic(chunk: str) -> bool:
-        if chunk not in cache:
-            cache[chunk] = bool(marks.intersection(word_features(core(chunk))))
-        return cache[chunk]
+    def add(codes: np.ndarray, tag: np.ndarray) -> None:
+        own.append([names[c] for c in codes]), tags.append(tag.tolist())
 
-    own, tags = [], []
-    for k in apart[1]:
-        tag = [toxic(c) for c in chunks[k]]
+    for k in toxic:
+        codes = sample.of(k)
+        tag = marked[codes]
         for at in range(0, len(tag), SPAN):
-            if any(tag[at : at + SPAN]):
-                own.append(chunks[k][at : at + SPAN]), tags.append(tag[at : at + SPAN])
-    own, tags = own[:4000], tags[:4000]
-    for n, k in enumerate(apart[0]):
-        if len(own) >= 8000:
-            break
-        pieces = range(0, len(chunks[k]), SPAN)
+            if len(own) < 4000 and tag[at : at + SPAN].any():
+                add(codes[at : at + SPAN], tag[at : at + SPAN])
+    for n, k in enumerate(clean):
+        codes = sample.of(k)
+        pieces = range(0, len(codes), SPAN)
         for at in (pieces[n % len(pieces)], pieces[-1]):
-            own.append(chunks[k][at : at + SPAN]), tags.append([False] * len(chunks[k][at : at + SPAN]))
+            if len(own) < 8000:
+                add(codes[at : at + SPAN], np.zeros(len(codes[at : at + SPAN]), bool))
+    del sample, marked, names
     weights, trans = _fit_chain(*_sequences(own, tags))
     model = Model(weights, trans, empty.document)
     scorer = Scorer(model)
