@@ -48,7 +48,7 @@ def counts(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
         windows.alias("_windows"),
-        (F.shiftleft(F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int")) - 1).alias("_mask"),
+        (F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int")) - 1).alias("_mask"),
     )
     mask = F.coalesce("_mask", F.lit(0).cast("long"))
     keys = F.transform("_windows", lambda h, i: F.coalesce(h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")), F.lit(0).cast("long")))
