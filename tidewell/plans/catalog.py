@@ -1,15 +1,798 @@
-"""All queries of the engine on the driver's tables, each with the SQL that checks it."""
+"""All queries of the engine on the driver's tables, each with the SQL that checks it.
+
+The tables stand in for the engine's own: events for ingestion and hits, documents for posts, labels for the
+three-valued flag, conversations for transcript segments, orders and lineitem for parents and children, nation,
+region, supplier and part for the taxonomy, pages for URLs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from tidewell.functions import keys, rates, stem, text, times
+from tidewell.operators import claims, contexts, ingest, matching, posts, reports, schedule
+from tidewell.session import table
+
+AS_OF = "2024-01-31 00:00:00"
+PLATFORMS = ["click", "error", "purchase", "signup", "view"]
+#: Terms of the matching queries, chosen from the test tables' invented words.
+TERMS = ("the", "on the", "tion", "en", "de la", "und der", "que", "er the")
+
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        _queries[f.__name__] = lambda spark, sf_dir: f(_Tables(spark, sf_dir))
+        if sql:
+            _oracles[f.__name__] = sql.replace("{AS_OF}", f"TIMESTAMP '{AS_OF}'").replace("{TERMS}", ", ".join(f"({k}, '{t}')" for k, t in enumerate(TERMS)))
+        return f
+
+    return add
+
+
+class _Tables:
+    """Tables below a folder as attributes."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self._dir, name)
+
+    def terms(self) -> DataFrame:
+        return self.spark.createDataFrame(list(enumerate(TERMS)), "term_id int, name string")
+
+    def posts(self) -> DataFrame:
+        return self.documents.select(F.col("doc_id").alias("post_id"), F.col("source").alias("platform"), "text", "lang")
+
+    def labelled(self) -> DataFrame:
+        """Documents with a three-valued flag: what has no label is unknown."""
+        flag = self.labels.groupBy("doc_id").agg(F.max("quality").alias("q"))
+        return self.documents.select("doc_id", "source").join(flag, "doc_id", "left").withColumn("is_en", F.col("q") == 1)
+
+
+# matching ---------------------------------------------------------------------------------------------------------
+
+_SPANS = """
+SELECT doc_id, term_id, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(name) AS BIGINT) AS match_start
+FROM (SELECT doc_id, term_id, name, p, unnest(range(1, len(p))) AS i FROM (SELECT doc_id, term_id, name, string_split_regex(text, '(?i)' || name) AS p FROM documents, (VALUES {TERMS}) t(term_id, name)))
+"""
+
+
+@query(f"SELECT name, count(*) AS hits, count(DISTINCT doc_id) AS posts FROM ({_SPANS}) JOIN (VALUES {{TERMS}}) t(term_id, name) USING (term_id) GROUP BY name ORDER BY hits DESC, name LIMIT 10")
+def term_hits(t: _Tables) -> DataFrame:
+    """Top terms by span hits."""
+    hits = matching.span_hits(t.posts(), t.terms()).join(F.broadcast(t.terms()), "term_id")
+    return hits.groupBy("name").agg(F.count("*").alias("hits"), F.countDistinct("post_id").alias("posts")).orderBy(F.desc("hits"), F.asc("name")).limit(10)
+
+
+@query(f"SELECT doc_id AS post_id, term_id, match_start, match_start + length(name) AS match_end FROM ({_SPANS}) JOIN (VALUES {{TERMS}}) t(term_id, name) USING (term_id) WHERE term_id IN (4, 5)")
+def term_spans(t: _Tables) -> DataFrame:
+    """every occurrence of two terms with its place."""
+    hits = matching.span_hits(t.posts(), t.terms().filter("term_id in (4, 5)"))
+    return hits.select("post_id", "term_id", F.col("match_start").cast("long").alias("match_start"), F.col("match_end").cast("long").alias("match_end"))
+
+
+_LEXEMES = r"list_filter(list_distinct(list_transform(regexp_extract_all(lower({0}), '[\p{L}\p{N}'']+'), lambda x: trim(x, ''''))), lambda x: x <> '' AND NOT list_contains([" + ", ".join(f"'{w}'" for w in sorted(stem.STOP_WORDS)) + "], x))"
+
+
+@query(
+    "WITH d AS (SELECT doc_id, " + _LEXEMES.replace("{0}", "text") + " AS have FROM documents), q AS (SELECT term_id, " + _LEXEMES.replace("{0}", "name") + " AS need FROM (VALUES {TERMS}) t(term_id, name)) "
+    "SELECT term_id, count(*) AS posts FROM d, q WHERE len(need) > 0 AND list_has_all(have, need) GROUP BY term_id"
+)
+def term_candidates(t: _Tables) -> DataFrame:
+    """Posts that have all lexemes of a term (unstemmed variant)."""
+    return matching.candidates(t.posts(), t.terms(), stemmed=False).groupBy("term_id").agg(F.count("*").alias("posts"))
+
+
+@query()
+def term_match_incremental(t: _Tables) -> DataFrame:
+    """ST1: two runs of the matcher over a growing table; the second sees new posts only."""
+    all_posts, terms = t.posts(), t.terms()
+    state = t.spark.createDataFrame([], "term_id int, matcher_version string, last_post_id long")
+    half = all_posts.agg(F.max("post_id")).first()[0] // 2
+    first, state = matching.match(all_posts.filter(F.col("post_id") <= half), terms, state, "v1", AS_OF)
+    second, state = matching.match(all_posts, terms, state, "v1", AS_OF)
+    return first.unionByName(second).groupBy("term_id").agg(F.count("*").alias("hits"), F.countDistinct("post_id").alias("posts"))
+
+
+@query("WITH t AS (SELECT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM (SELECT DISTINCT p_name FROM part UNION ALL SELECT * FROM (VALUES ('red'), ('small'), ('old')) v(n))) SELECT a.name FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE len(b.w) < len(a.w) AND list_has_all(a.w, b.w)) GROUP BY a.name")
+def super_terms(t: _Tables) -> DataFrame:
+    """Terms that contain another term by words."""
+    extra = t.spark.createDataFrame([("red",), ("small",), ("old",)], "name string")
+    return matching.super_terms(t.part.select(F.col("p_name").alias("name")).distinct().union(extra))
+
+
+@query("SELECT doc_id AS post_id, CAST(sum(n) AS BIGINT) AS hits FROM (SELECT doc_id, len(string_split_regex(text, '(?i)' || name)) - 1 AS n FROM documents, (VALUES {TERMS}) t(term_id, name)) WHERE n > 0 GROUP BY doc_id")
+def posts_with_hits(t: _Tables) -> DataFrame:
+    """Posts with their hits nested, as counts."""
+    hits = matching.span_hits(t.posts(), t.terms())
+    return matching.posts_with_hits(t.posts(), hits, t.terms()).select("post_id", F.size("hits").cast("long").alias("hits"))
+
+
+@query("SELECT doc_id AS post_id FROM documents WHERE text ILIKE '%de la%' OR source ILIKE '%rc1' OR lang ILIKE 'E_'")
+def ilike_filter(t: _Tables) -> DataFrame:
+    """P5: case-insensitive patterns over three columns."""
+    return t.documents.filter(F.col("text").ilike("%de la%") | F.col("source").ilike("%rc1") | F.col("lang").ilike("E_")).select(F.col("doc_id").alias("post_id"))
+
+
+# contexts ---------------------------------------------------------------------------------------------------------
+
+
+@query("WITH r AS (SELECT user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, CAST(floor(epoch(ts)) AS BIGINT) + 7200 AS e FROM events), o AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM r), g AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS k FROM o) SELECT user_id, min(s) AS s, max(e) AS e FROM g GROUP BY user_id, k")
+def merged_ranges(t: _Tables) -> DataFrame:
+    """Ranges that touch are one."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return contexts.merge_ranges(t.events.select("user_id", at.alias("s"), (at + 7200).alias("e")), ["user_id"], "s", "e", 1)
+
+
+@query("WITH r AS (SELECT doc_id, 0 AS s, CAST(length(text) AS INTEGER) AS e FROM documents), k AS (SELECT *, greatest(1, CAST(ceil((e - s - 1200) / 1000.0) AS INTEGER) + 1) AS k FROM r) SELECT doc_id, s + i * 1000 AS s, least(e, s + i * 1000 + 1200) AS e FROM (SELECT *, CAST(unnest(range(0, k)) AS INTEGER) AS i FROM k)")
+def split_ranges(t: _Tables) -> DataFrame:
+    """Long ranges as overlapping windows."""
+    rows = t.documents.select("doc_id", F.lit(0).alias("s"), F.length("text").alias("e"))
+    return contexts.split_ranges(rows, "s", "e", 1200, 1000, inclusive=False)
+
+
+@query()
+def context_chunks(t: _Tables) -> DataFrame:
+    """Context chunks around the hits of two terms."""
+    terms = t.terms().filter("term_id in (4, 5)")
+    found = matching.posts_with_hits(t.posts(), matching.span_hits(t.posts(), terms), terms)
+    return contexts.chunks(found).select("post_id", "chunk_index", F.length("chunk").alias("n"))
+
+
+@query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS transcript FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
+def transcripts(t: _Tables) -> DataFrame:
+    """Transcripts from ordered segments."""
+    rows = t.conversations.filter(F.trim("text") != "").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.trim("text").alias("text")))).alias("s"))
+    return rows.select("conv_id", F.array_join(F.col("s.text"), " ").alias("transcript"))
+
+
+# reports ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT CAST(ts AS DATE) AS day, event_type AS platform, count(*) AS n FROM events WHERE ts >= {AS_OF} - INTERVAL 30 DAY GROUP BY ALL")
+def ingestion_daily(t: _Tables) -> DataFrame:
+    """Rows a day and platform over 30 days."""
+    return reports.daily(t.events.filter(times.trailing(F.col("ts"), AS_OF, 30)).withColumn("platform", F.col("event_type")), "ts", ["platform"])
+
+
+@query("SELECT day, platform, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS platform, CAST(ts AS DATE) AS day FROM events WHERE event_type = '{p}'" for p in PLATFORMS) + ") GROUP BY ALL")
+def ingestion_union(t: _Tables) -> DataFrame:
+    """The same over a union of tagged sources."""
+    rows = None
+    for p in PLATFORMS:
+        own = t.events.filter(F.col("event_type") == p).select(F.lit(p).alias("platform"), "ts")
+        rows = own if rows is None else rows.unionByName(own)
+    return reports.daily(rows, "ts", ["platform"])
+
+
+@query("WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) SELECT source, count(*) FILTER (q = 1) AS is_en_true, count(*) FILTER (q <> 1) AS is_en_false, count(*) FILTER (q IS NULL) AS is_en_null FROM documents LEFT JOIN l USING (doc_id) GROUP BY source")
+def label_counts(t: _Tables) -> DataFrame:
+    """Counts of a three-valued flag."""
+    return t.labelled().groupBy("source").agg(*reports.tri_state("is_en", "is_en"))
+
+
+@query("WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) SELECT source, CAST(round(CAST(100 AS DECIMAL(20,0)) * count(q) / count(*), 2) AS DOUBLE) AS pct FROM documents LEFT JOIN l USING (doc_id) GROUP BY source")
+def label_coverage(t: _Tables) -> DataFrame:
+    """Labelled share in percent."""
+    return t.labelled().groupBy("source").agg(reports.percent(F.count("is_en"), F.count("*")).alias("pct"))
+
+
+@query("SELECT event_type, max(ts) AS last_ts, count(*) FILTER (ts >= {AS_OF} - INTERVAL 24 HOUR) AS n_24h FROM events GROUP BY event_type")
+def latest_by_platform(t: _Tables) -> DataFrame:
+    """A4: latest row and rows of the last day."""
+    return t.events.groupBy("event_type").agg(F.max("ts").alias("last_ts"), F.count_if(times.trailing(F.col("ts"), AS_OF, hours=24)).alias("n_24h"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS completed, count(*) FILTER (o_orderstatus = 'P') AS in_progress FROM orders")
+def global_status(t: _Tables) -> DataFrame:
+    """A5: one row of totals, also over no rows."""
+    s = F.col("o_orderstatus")
+    return t.orders.agg(F.count("*").alias("total"), F.count_if(s == "F").alias("completed"), F.count_if(s == "P").alias("in_progress"))
+
+
+@query("SELECT count(*) AS hits, count(DISTINCT user_id) AS posts, (SELECT count(DISTINCT doc_id) FROM documents) AS all_posts, CAST(round(CAST(100 AS DECIMAL(20,0)) * count(DISTINCT user_id) / (SELECT count(DISTINCT doc_id) FROM documents), 2) AS DOUBLE) AS pct FROM events WHERE event_type = 'view'")
+def hit_coverage(t: _Tables) -> DataFrame:
+    """Hits, distinct posts and coverage in one row."""
+    a = t.events.filter("event_type = 'view'").agg(F.count("*").alias("hits"), F.countDistinct("user_id").alias("posts"))
+    b = t.documents.agg(F.countDistinct("doc_id").alias("all_posts"))
+    return a.join(b).withColumn("pct", reports.percent(F.col("posts"), F.col("all_posts")))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, " + ", ".join(f"count(*) FILTER (event_type = '{p}') AS {p}" for p in PLATFORMS) + " FROM events GROUP BY day ORDER BY day DESC LIMIT 7")
+def pivot_week(t: _Tables) -> DataFrame:
+    """Pivot by platform, the last seven active days."""
+    counts = reports.daily(t.events.withColumnRenamed("event_type", "platform"), "ts", ["platform"])
+    return reports.last_active_days(reports.pivot_days(counts, PLATFORMS), PLATFORMS, 7)
+
+
+@query("SELECT event_type AS platform, count(*) AS hits FROM events GROUP BY 1 ORDER BY hits DESC, platform")
+def hits_by_platform(t: _Tables) -> DataFrame:
+    """Totals by platform."""
+    return t.events.groupBy(F.col("event_type").alias("platform")).agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), F.asc("platform"))
+
+
+@query("WITH s AS (SELECT event_type AS platform, count(*) AS total, count(*) FILTER (value < 40) AS completed FROM events GROUP BY 1), d AS (SELECT event_type AS platform, count(*) / 30.0 AS avg_per_day FROM events WHERE value < 40 AND ts >= {AS_OF} - INTERVAL 30 DAY GROUP BY 1) SELECT platform, total, completed, avg_per_day, total - completed AS remaining, CAST(ceil((total - completed) / avg_per_day) AS INTEGER) AS days_left, DATE '2024-01-31' + CAST(ceil((total - completed) / avg_per_day) AS INTEGER) AS finish_day FROM s JOIN d USING (platform)")
+def forecast(t: _Tables) -> DataFrame:
+    """Average a day and finishing day."""
+    e = t.events.withColumnRenamed("event_type", "platform")
+    summary = e.groupBy("platform").agg(F.count("*").alias("total"), F.count_if(F.expr("value < 40")).alias("completed"))
+    per_day = reports.daily(e.filter("value < 40").filter(times.trailing(F.col("ts"), AS_OF, 30)), "ts", ["platform"])
+    return reports.forecast(summary, per_day, AS_OF)
+
+
+@query("SELECT o_custkey, o_orderdate, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 1")
+def duplicate_groups(t: _Tables) -> DataFrame:
+    """A10: keys that occur more than once."""
+    return reports.repeated(t.orders, ["o_custkey", "o_orderdate"])
+
+
+@query("SELECT o_custkey, array_to_string(list(o_orderkey ORDER BY o_orderkey), ',') AS ids, min(o_orderkey) AS low FROM orders GROUP BY o_custkey HAVING count(*) > 1")
+def id_arrays(t: _Tables) -> DataFrame:
+    """Ids of each duplicate group in order, and the smallest."""
+    rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("ids"), F.min("o_orderkey").alias("low"))
+    return rows.filter(F.size("ids") > 1).select("o_custkey", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), "low")
+
+
+@query("SELECT coalesce(max(event_id) FILTER (event_type = 'none'), 0) AS none_id, coalesce(max(event_id), 0) AS top_id FROM events")
+def max_with_fallback(t: _Tables) -> DataFrame:
+    """Largest ids with a fallback."""
+    return t.events.agg(F.coalesce(F.max(F.when(F.col("event_type") == "none", F.col("event_id"))), F.lit(0).cast("long")).alias("none_id"), F.coalesce(F.max("event_id"), F.lit(0).cast("long")).alias("top_id"))
+
+
+@query("SELECT count(*) AS n, min(n_chars) AS low, max(n_chars) AS high, count(*) FILTER (text IS NULL) AS nulls, count(*) FILTER (l.doc_id IS NOT NULL) AS matched FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id")
+def source_profile(t: _Tables) -> DataFrame:
+    """Profile of a source table against its registry."""
+    reg = t.labels.select(F.col("doc_id").alias("rid")).distinct()
+    d = t.documents.join(reg, F.col("doc_id") == F.col("rid"), "left")
+    return d.agg(F.count("*").alias("n"), F.min("n_chars").alias("low"), F.max("n_chars").alias("high"), F.count_if(F.col("text").isNull()).alias("nulls"), F.count("rid").alias("matched"))
+
+
+@query("WITH s AS (SELECT conv_id, count(*) AS k FROM conversations GROUP BY 1), p AS (SELECT doc_id AS conv_id, CASE WHEN doc_id % 3 > 0 THEN text END AS transcript, CASE WHEN doc_id % 2 = 0 THEN 1 END AS started, CASE WHEN doc_id % 5 > 0 THEN 1 END AS updated FROM documents) SELECT count(*) AS total, count(transcript) AS with_transcript, count(*) FILTER (trim(transcript) = '') AS blank_transcript, count(*) FILTER (started IS NOT NULL AND transcript IS NULL) AS in_progress, count(*) FILTER (transcript IS NOT NULL AND k IS NULL) AS transcript_without_segments, count(*) FILTER (transcript IS NULL AND k IS NOT NULL) AS segments_without_transcript, count(*) FILTER (transcript IS NOT NULL AND updated IS NULL) AS transcript_without_time, CAST(coalesce(sum(k), 0) AS BIGINT) AS segments FROM p LEFT JOIN s USING (conv_id)")
+def transcript_health(t: _Tables) -> DataFrame:
+    """Health of transcripts and their segments."""
+    i = F.col("doc_id")
+    parents = t.documents.select(i.alias("conv_id"), F.when(i % 3 > 0, F.col("text")).alias("transcript"), F.when(i % 2 == 0, 1).alias("started"), F.when(i % 5 > 0, 1).alias("updated"))
+    return reports.transcript_health(parents, t.conversations.select(F.col("conv_id").alias("seg")), "conv_id", "seg")
+
+
+@query("SELECT user_id, CASE WHEN count(ts) < 2 THEN 0.0 ELSE (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 END AS span_s, max(ts) AS newest, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id")
+def publication_span(t: _Tables) -> DataFrame:
+    """Span and newest of a batch."""
+    return reports.publication_span(t.events.filter("event_type = 'signup'"), ["user_id"], "ts")
+
+
+@query("SELECT o_orderkey, count(l_orderkey) AS have, least(CAST(o_totalprice / 50000 AS BIGINT), 5) AS want, count(l_orderkey) < least(CAST(o_totalprice / 50000 AS BIGINT), 5) AS fetch FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice")
+def children_against_target(t: _Tables) -> DataFrame:
+    """Children that exist against the number reported, up to a bound."""
+    own = t.lineitem.groupBy("l_orderkey").agg(F.count("*").alias("k"))
+    rows = t.orders.join(own, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    want = F.least(F.round(F.col("o_totalprice") / 50000).cast("long"), F.lit(5).cast("long"))
+    have = F.coalesce("k", F.lit(0).cast("long"))
+    return rows.select("o_orderkey", have.alias("have"), want.alias("want"), (have < want).alias("fetch"))
+
+
+@query("SELECT split_part(url, '/', 3) AS domain, min(url) AS url, count(*) AS n FROM pages GROUP BY 1")
+def url_per_domain(t: _Tables) -> DataFrame:
+    """One URL a domain."""
+    return t.pages.groupBy(keys.domain(F.col("url")).alias("domain")).agg(F.min("url").alias("url"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS found, count(*) FILTER (value >= 50) AS inserted, count(*) FILTER (value < 50) AS skipped, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def scrape_outcome(t: _Tables) -> DataFrame:
+    """Conditional counts of an outcome."""
+    return t.events.groupBy("event_type").agg(F.count("*").alias("found"), F.count_if(F.expr("value >= 50")).alias("inserted"), F.count_if(F.expr("value < 50")).alias("skipped"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT doc_id, CAST(list_sum(list_transform(regexp_extract_all(props, '[0-9]+'), lambda x: CAST(x AS BIGINT))) AS BIGINT) AS total FROM (SELECT event_id AS doc_id, props FROM events)")
+def array_sum(t: _Tables) -> DataFrame:
+    """Sum of an array's elements."""
+    n = F.transform(F.regexp_extract_all("props", F.lit("[0-9]+"), F.lit(0)), lambda x: x.cast("long"))
+    return t.events.select(F.col("event_id").alias("doc_id"), F.aggregate(n, F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT p_brand, count(*) AS n, count(DISTINCT p_name) AS names, count(*) - count(DISTINCT p_name) AS repeats FROM part GROUP BY 1")
+def guid_profile(t: _Tables) -> DataFrame:
+    """Values and distinct values of a key."""
+    return t.part.groupBy("p_brand").agg(F.count("*").alias("n"), F.countDistinct("p_name").alias("names")).withColumn("repeats", F.col("n") - F.col("names"))
+
+
+# order, top and windows -------------------------------------------------------------------------------------------
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY user_id")
+def latest_row(t: _Tables) -> DataFrame:
+    """O3, ST3: the latest row of each key."""
+    m = t.events.groupBy("user_id").agg(F.max(F.struct("ts", "event_id")).alias("m"))
+    return m.select("user_id", F.col("m.event_id").alias("event_id"), F.col("m.ts").alias("ts"))
+
+
+@query("SELECT event_type, event_id, rank FROM (SELECT event_type, event_id, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rank FROM events WHERE ts >= {AS_OF} - INTERVAL 30 DAY) WHERE rank <= 50")
+def recent_per_term(t: _Tables) -> DataFrame:
+    """The latest 50 of each key within 30 days."""
+    rows = t.events.filter(times.trailing(F.col("ts"), AS_OF, 30))
+    return reports.top_per_group(rows, ["event_type"], [F.desc("ts"), F.desc("event_id")], 50).select("event_type", "event_id", "rank")
+
+
+@query("SELECT doc_id, length(text) AS n FROM documents ORDER BY n DESC NULLS LAST, doc_id LIMIT 5")
+def longest_texts(t: _Tables) -> DataFrame:
+    """The longest five."""
+    return t.documents.select("doc_id", F.length("text").cast("long").alias("n")).orderBy(F.desc_nulls_last("n"), F.asc("doc_id")).limit(5)
+
+
+@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn > 1")
+def later_duplicates(t: _Tables) -> DataFrame:
+    """Rows after the first of each key."""
+    reg = t.events.select(F.col("event_id").alias("id"), F.col("user_id").alias("platform"), F.col("event_type").alias("key1"), F.lit("").alias("key2"))
+    return posts.duplicates(reg).select(F.col("id").alias("event_id"), F.col("platform").alias("user_id"))
+
+
+@query("SELECT event_id FROM events WHERE (ts, event_id) < (TIMESTAMP '2024-01-15 00:00:00', 5000) ORDER BY ts DESC, event_id DESC LIMIT 100")
+def keyset_page(t: _Tables) -> DataFrame:
+    """A page below a row-value boundary."""
+    edge = F.struct(F.lit("2024-01-15 00:00:00").cast("timestamp_ntz").alias("ts"), F.lit(5000).cast("long").alias("event_id"))
+    return t.events.filter(F.struct("ts", "event_id") < edge).orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id > 100 AND doc_id <= 700 AND source IN ('src1', 'src2', 'src3') AND lang IS DISTINCT FROM 'en' AND trim(text) <> ''")
+def id_range(t: _Tables) -> DataFrame:
+    """Half-open id range, membership, distinctness and blanks."""
+    d = F.col("doc_id")
+    return t.documents.filter((d > 100) & (d <= 700) & F.col("source").isin("src1", "src2", "src3") & ~F.col("lang").eqNullSafe(F.lit("en")) & (F.trim("text") != "")).select("doc_id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority NOT LIKE '1%' OR o_orderdate < TIMESTAMP '2000-01-01 06:00:00' - INTERVAL 6 HOUR) AND o_totalprice <= 300000 ORDER BY o_orderdate, id LIMIT 20")
+def queue_head(t: _Tables) -> DataFrame:
+    """P10, O6, ST10: the oldest items that may be leased."""
+    o = t.orders
+    rows = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "x").alias("transcript"), F.when(F.col("o_orderpriority").like("1%"), F.col("o_orderdate").cast("timestamp")).alias("transcription_started_at"), F.col("o_orderdate").alias("created_at_ts"), F.col("o_totalprice").alias("duration_seconds"))
+    return schedule.next_items(rows, "2000-01-01 06:00:00", 20, 300000).select("id")
+
+
+# joins and sets ---------------------------------------------------------------------------------------------------
+
+
+@query("SELECT r_name, n_name, count(s_suppkey) AS members FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL")
+def taxonomy(t: _Tables) -> DataFrame:
+    """List, members and terms."""
+    rows = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.groupBy("r_name", "n_name").agg(F.count("s_suppkey").alias("members"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def without_children(t: _Tables) -> DataFrame:
+    """Rows without a counterpart."""
+    r = t.lineitem.filter("l_returnflag = 'R'")
+    return t.orders.join(r, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def with_children(t: _Tables) -> DataFrame:
+    """Rows with a counterpart."""
+    return t.customer.join(t.orders.filter("o_orderstatus = 'P'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT e.event_id, e.user_id FROM events e JOIN (VALUES (8, 'error'), (46, 'click'), (5, 'view')) k(u, t) ON e.user_id = k.u AND e.event_type = k.t")
+def key_pairs(t: _Tables) -> DataFrame:
+    """Join on an inline relation of key pairs."""
+    pairs = t.spark.createDataFrame([(8, "error"), (46, "click"), (5, "view")], "user_id long, event_type string")
+    return t.events.join(F.broadcast(pairs), ["user_id", "event_type"]).select("event_id", "user_id")
+
+
+@query("SELECT e.event_id, c.c_name, s.s_name FROM events e LEFT JOIN customer c ON e.event_type = 'click' AND e.user_id = c.c_custkey LEFT JOIN supplier s ON e.event_type = 'view' AND e.user_id = s.s_suppkey")
+def guarded_enrichment(t: _Tables) -> DataFrame:
+    """Left joins with the platform in the condition."""
+    e = t.events
+    out = e.join(t.customer, (F.col("event_type") == "click") & (F.col("user_id") == F.col("c_custkey")), "left")
+    return out.join(t.supplier, (F.col("event_type") == "view") & (F.col("user_id") == F.col("s_suppkey")), "left").select("event_id", "c_name", "s_name")
+
+
+_REGISTRY = """WITH r AS (SELECT row_number() OVER (ORDER BY platform, key1, key2) AS id, * FROM (
+  SELECT 'tweet' AS platform, CAST(doc_id AS VARCHAR) AS key1, '' AS key2 FROM documents UNION
+  SELECT 'telegram_post', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR) FROM conversations UNION
+  SELECT 'news_article', CAST(page_id AS VARCHAR), '' FROM pages))"""
+
+
+def _sources(t: _Tables) -> dict[str, DataFrame]:
+    day = F.lit(AS_OF)
+    return {
+        "tweet": t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("filtered_text"), F.col("n_chars").alias("like_count"), (F.col("lang") == "en").alias("is_en"), day.alias("date_entered")),
+        "telegram_post": t.conversations.select(F.col("conv_id").alias("channel_id"), F.col("turn").alias("message_id"), F.col("text").alias("filtered_text"), F.lit(None).cast("long").alias("views"), F.lit(None).cast("string").alias("link"), day.alias("date_entered")),
+        "news_article": t.pages.select(F.col("page_id").alias("id"), F.col("html").alias("text"), "url", day.alias("date_entered")),
+    }
+
+
+def _registry(t: _Tables) -> DataFrame:
+    s = _sources(t)
+    empty = t.spark.createDataFrame([], "id long, platform string, key1 string, key2 string, post_key string")
+    all_keys = None
+    for p in posts.PLATFORMS:
+        if p.name in s:
+            own = posts.source_keys(s[p.name], p)
+            all_keys = own if all_keys is None else all_keys.unionByName(own)
+    return posts.register(empty, all_keys)
+
+
+@query(_REGISTRY + " SELECT id, platform, key1, key2, platform || ':' || key1 || CASE WHEN key2 = '' THEN '' ELSE ':' || key2 END AS post_key FROM r")
+def registry(t: _Tables) -> DataFrame:
+    """Registered keys with their ids."""
+    return _registry(t)
+
+
+@query(_REGISTRY + " SELECT platform, count(*) AS posts, count(DISTINCT id) AS ids, CAST(sum(n) AS BIGINT) AS chars, count(en) AS labelled FROM (SELECT r.id, r.platform, length(text) AS n, lang AS en FROM r JOIN documents d ON platform = 'tweet' AND key1 = CAST(doc_id AS VARCHAR) UNION ALL SELECT r.id, r.platform, length(text), NULL FROM r JOIN conversations ON platform = 'telegram_post' AND key1 = CAST(conv_id AS VARCHAR) AND key2 = CAST(turn AS VARCHAR) UNION ALL SELECT r.id, r.platform, length(html), NULL FROM r JOIN pages ON platform = 'news_article' AND key1 = CAST(page_id AS VARCHAR)) GROUP BY platform")
+def unified_posts(t: _Tables) -> DataFrame:
+    """The unified view, summed up by platform."""
+    rows = posts.posts_all(_registry(t), _sources(t))
+    return rows.groupBy("platform").agg(F.count("*").alias("posts"), F.countDistinct("post_id").alias("ids"), F.sum(F.length("text")).alias("chars"), F.count("is_en").alias("labelled"))
+
+
+@query("SELECT doc_id AS key1, url IS NOT NULL AS has_url FROM documents LEFT JOIN pages ON page_id = doc_id WHERE lang = 'en'")
+def english_posts(t: _Tables) -> DataFrame:
+    """The search view keeps rows whose flag is true."""
+    p = t.documents.select("doc_id", (F.col("lang") == "en").alias("is_en"))
+    return posts.english(p).join(t.pages, F.col("page_id") == F.col("doc_id"), "left").select(F.col("doc_id").alias("key1"), F.col("url").isNotNull().alias("has_url"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL")
+def union_distinct(t: _Tables) -> DataFrame:
+    """Union of parts and distinct keys."""
+    a = t.events.filter("event_id % 4 = 0")
+    b = t.events.filter("event_id % 4 = 2")
+    return a.unionByName(b).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+
+
+# loading ----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_custkey AS k, min(o_orderkey) AS first FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY o_custkey")
+def insert_absent(t: _Tables) -> DataFrame:
+    """The first row of each key that the target lacks."""
+    batch = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("first"))
+    target = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"))
+    return ingest.insert_absent(batch, target, ["k"], [F.col("first")]).rows
+
+
+@query("SELECT c_custkey AS k, coalesce(o.v, c_acctbal) AS v FROM customer LEFT JOIN (SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS v FROM orders GROUP BY 1) o ON o_custkey = c_custkey UNION ALL SELECT o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY 1")
+def upsert(t: _Tables) -> DataFrame:
+    """K5: the latest value of each key wins."""
+    target = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(None).cast("struct<d: timestamp_ntz, o: bigint>").alias("at"))
+    batch = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.struct(F.col("o_orderdate").alias("d"), F.col("o_orderkey").alias("o")).alias("at"))
+    return ingest.upsert(target, batch, ["k"], F.col("at")).select("k", "v")
+
+
+@query("SELECT o_custkey AS k, max(o_orderdate) AS m FROM orders GROUP BY o_custkey")
+def high_water(t: _Tables) -> DataFrame:
+    """ST3, ST4: marks only advance."""
+    o = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("m"), F.col("o_orderkey").alias("i"))
+    return ingest.advance(o.filter("i % 2 = 0"), o.filter("i % 2 = 1"), ["k"], ["m", "i"]).select("k", "m")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey % 3 <> 0 UNION ALL SELECT l_orderkey, l_linenumber + 100 FROM lineitem WHERE l_orderkey % 3 = 0")
+def replace_children(t: _Tables) -> DataFrame:
+    """K6: all children of some parents replaced."""
+    rows = t.lineitem.select("l_orderkey", "l_linenumber")
+    new = rows.filter("l_orderkey % 3 = 0").select("l_orderkey", (F.col("l_linenumber") + 100).alias("l_linenumber"))
+    return ingest.replace_children(rows, new, ["l_orderkey"])
+
+
+@query("SELECT d.doc_id, coalesce(CASE WHEN d.doc_id % 2 = 0 THEN d.source END, CAST(l.q AS VARCHAR)) AS v FROM documents d LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) l USING (doc_id)")
+def update_nulls(t: _Tables) -> DataFrame:
+    """K7, K8: values set from a batch where the target has none."""
+    target = t.documents.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("v"))
+    changes = t.labels.groupBy("doc_id").agg(F.max("quality").cast("string").alias("v"))
+    return ingest.update_from(target, changes, ["doc_id"], ["v"], only_null=True)
+
+
+@query("WITH k AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS keep FROM part) SELECT DISTINCT keep AS l_partkey, l_orderkey FROM lineitem JOIN k ON l_partkey = p_partkey")
+def repoint_children(t: _Tables) -> DataFrame:
+    """K9: duplicates merged into the smallest id, children repointed."""
+    _, moved = ingest.remap_duplicates(t.part.select("p_partkey", "p_name"), t.lineitem.select("l_partkey", "l_orderkey"), "p_name", "p_partkey", "l_partkey")
+    return moved
+
+
+@query("SELECT b.n_nationkey + 1000 AS s_nationkey, s_suppkey FROM supplier JOIN nation a ON s_nationkey = a.n_nationkey JOIN nation b ON a.n_name = b.n_name AND b.n_nationkey % 2 = 0")
+def remap_ids(t: _Tables) -> DataFrame:
+    """Ids translated through the natural key."""
+    a = t.nation.select(F.col("n_nationkey").alias("id"), "n_name")
+    b = t.nation.filter("n_nationkey % 2 = 0").select((F.col("n_nationkey") + 1000).alias("id"), "n_name")
+    return ingest.remap_ids(t.supplier.select("s_nationkey", "s_suppkey"), a, b, ["n_name"], "s_nationkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity <= 40 AND l_discount < 0.09 AS good FROM lineitem")
+def quarantine(t: _Tables) -> DataFrame:
+    """Valid and invalid rows apart."""
+    good, bad = ingest.quarantine(t.lineitem, (F.col("l_quantity") <= 40) & (F.col("l_discount") < 0.09))
+    return good.select("l_orderkey", "l_linenumber", F.lit(True).alias("good")).unionByName(bad.select("l_orderkey", "l_linenumber", F.lit(False).alias("good")))
+
+
+@query("WITH RECURSIVE p AS (SELECT event_id AS id, CASE WHEN event_id >= 10 THEN event_id // 10 END AS parent FROM events), r AS (SELECT id, 1 AS pass FROM p WHERE parent IS NULL UNION ALL SELECT p.id, r.pass + 1 FROM p JOIN r ON p.parent = r.id) SELECT id, CAST(pass AS INTEGER) AS pass FROM r")
+def tree_load(t: _Tables) -> DataFrame:
+    """A reply tree loaded level by level."""
+    e = F.col("event_id")
+    nodes = t.events.select(e.alias("id"), F.when(e >= 10, F.floor(e / 10)).alias("parent"))
+    return ingest.load_tree(nodes, "id", "parent").select("id", "pass")
+
+
+@query("SELECT 7 AS scrape_job_id, event_id AS post_id FROM events WHERE user_id < 50 AND event_id % 2 = 1")
+def link_posts(t: _Tables) -> DataFrame:
+    """K3: new links of a batch to its job."""
+    reg = t.events.select(F.col("event_id").alias("id"), F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit("").alias("key2"))
+    batch = t.events.filter("user_id < 50").select(F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"))
+    bridge = t.events.filter("event_id % 2 = 0").select(F.lit(7).cast("long").alias("scrape_job_id"), F.col("event_id").alias("post_id"))
+    return ingest.link_posts(bridge, reg, batch, 7).select(F.col("scrape_job_id").cast("int").alias("scrape_job_id"), "post_id")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def align_columns(t: _Tables) -> DataFrame:
+    """Columns aligned to a target."""
+    return ingest.align(t.nation.withColumn("extra", F.lit(1)).select("extra", "n_name", "n_nationkey"), t.nation.drop("n_regionkey"), ["n_name"])
+
+
+# functions --------------------------------------------------------------------------------------------------------
+
+
+@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(u, '(?i)(?:https?://\S+|www\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*)', ' ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '#', ' '), '\s+', ' ', 'g')) AS clean FROM (SELECT page_id, 'see ' || url || ' by @user' || page_id || ' #tag  end' AS u FROM pages)")
+def strip_noise(t: _Tables) -> DataFrame:
+    """text without links, handles and marks."""
+    u = F.concat(F.lit("see "), "url", F.lit(" by @user"), F.col("page_id").cast("string"), F.lit(" #tag  end"))
+    return t.pages.select("page_id", text.strip_noise(u).alias("clean"))
+
+
+@query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 8 AND length(text) >= 24 AS enough FROM documents")
+def alpha_count(t: _Tables) -> DataFrame:
+    """letters of a text, and whether there are enough."""
+    n = text.alpha_count(F.col("text"))
+    return t.documents.select("doc_id", n.cast("long").alias("letters"), ((n >= 8) & (F.length("text") >= 24)).alias("enough"))
+
+
+@query("SELECT doc_id, CASE WHEN length(x) > 400 THEN substr(x, 1, 400) || '…' ELSE x END AS cut FROM (SELECT doc_id, trim(replace(text, chr(13), ' ')) AS x FROM documents)")
+def truncate(t: _Tables) -> DataFrame:
+    """long texts cut with an ellipsis."""
+    return t.documents.select("doc_id", text.truncate(F.col("text"), 400).alias("cut"))
+
+
+@query()
+def redact(t: _Tables) -> DataFrame:
+    """Personal data replaced by placeholders."""
+    return t.documents.select("doc_id", text.redact(F.col("text")).alias("text"))
+
+
+@query("SELECT page_id, regexp_replace(replace(replace(regexp_replace(trim(u), 'https?://', '', 'g'), 't.me/s/', ''), 't.me/', ''), '^@', '') AS channel FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://t.me/s/ch' ELSE '@ch' END || page_id AS u FROM pages)")
+def channel_names(t: _Tables) -> DataFrame:
+    """channel names from links and handles."""
+    i = F.col("page_id")
+    u = F.concat(F.when(i % 3 == 0, "https://t.me/s/ch").otherwise("@ch"), i.cast("string"))
+    return t.pages.select("page_id", text.normal_channel(u).alias("channel"))
+
+
+@query("SELECT event_id, 'ep_' || user_id || '_' || md5(user_id || ':' || CASE WHEN trim(g) <> '' THEN trim(g) WHEN event_id % 3 = 1 THEN 'http://a/' || event_id ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00:' || event_type END) AS id FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN ' g' || event_id || ' ' ELSE ' ' END AS g FROM events)")
+def episode_ids(t: _Tables) -> DataFrame:
+    """stable ids by digest."""
+    i = F.col("event_id")
+    g = F.when(i % 3 == 0, F.concat(F.lit(" g"), i.cast("string"), F.lit(" "))).otherwise(" ")
+    u = F.when(i % 3 == 1, F.concat(F.lit("http://a/"), i.cast("string")))
+    return t.events.select("event_id", keys.episode_id(F.col("user_id"), g, u, F.col("ts"), F.col("event_type")).alias("id"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id || ':' || event_id ELSE user_id || ':' || substr(sha256(user_id || '|' || event_type), 1, 16) END AS task_id FROM events")
+def task_ids(t: _Tables) -> DataFrame:
+    """task ids from chunk or digest."""
+    i, u = F.col("event_id"), F.col("user_id")
+    return t.events.select("event_id", keys.task_id(F.when(i % 2 == 0, u), i, u, F.col("event_type")).alias("task_id"))
+
+
+@query("SELECT event_id, 't3_' || x AS link, CASE WHEN event_id % 3 = 0 THEN NULL WHEN event_id % 3 = 1 THEN 't1_' || x ELSE 't1_b' || event_id END AS parent FROM (SELECT *, 'a' || event_id AS x FROM events)")
+def thing_ids(t: _Tables) -> DataFrame:
+    """prefixed ids."""
+    i = F.col("event_id")
+    x = F.concat(F.lit("a"), i.cast("string"))
+    link = F.when(i % 2 == 0, x).otherwise(F.concat(F.lit("t3_"), x))
+    parent = F.when(i % 3 == 0, F.concat(F.lit("t3_"), x)).when(i % 3 == 1, F.concat(F.lit("t1_"), x)).otherwise(F.concat(F.lit("b"), i.cast("string")))
+    return t.events.select("event_id", keys.submission_id(link).alias("link"), keys.parent_comment_id(parent).alias("parent"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (event_id % 3) * 86400 + (event_id % 5) * 3600 + (event_id % 60) * 60 + event_id % 59 END AS seconds FROM events")
+def durations(t: _Tables) -> DataFrame:
+    """ISO-8601 durations in seconds."""
+    i = F.col("event_id")
+    s = lambda e: e.cast("string")
+    iso = F.when(i % 7 == 0, "junk").otherwise(F.concat(F.lit("P"), s(i % 3), F.lit("DT"), s(i % 5), F.lit("H"), s(i % 60), F.lit("M"), s(i % 59), F.lit("S")))
+    return t.events.select("event_id", times.duration_seconds(iso).alias("seconds"))
+
+
+@query("SELECT event_id, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/Los_Angeles' AS DATE) AS day FROM events")
+def pacific_days(t: _Tables) -> DataFrame:
+    """Pacific calendar days."""
+    return t.events.select("event_id", times.pacific_day(F.col("ts").cast("timestamp")).alias("day"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE ts END AS parsed, epoch_us(ts) / 1e6 AS seconds FROM events")
+def parse_times(t: _Tables) -> DataFrame:
+    """ISO strings to times and epoch seconds."""
+    raw = F.when(F.col("event_id") % 3 == 0, "nonsense").otherwise(F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
+    return t.events.select("event_id", times.parse_iso(raw).cast("timestamp_ntz").alias("parsed"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"))
+
+
+@query("SELECT event_id, TRY_CAST(s AS BIGINT) AS n, lower(b) IN ('true', 't', '1', 'yes', 'y') AS flag FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'x' ELSE CAST(user_id AS VARCHAR) END AS s, CASE event_id % 3 WHEN 0 THEN 'Yes' WHEN 1 THEN 'no' ELSE 'T' END AS b FROM events)")
+def safe_casts(t: _Tables) -> DataFrame:
+    """safe casts."""
+    i = F.col("event_id")
+    s = F.when(i % 4 == 0, "x").otherwise(F.col("user_id").cast("string"))
+    b = F.when(i % 3 == 0, "Yes").when(i % 3 == 1, "no").otherwise("T")
+    return t.events.select("event_id", keys.to_int(s).alias("n"), keys.to_bool(b).alias("flag"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(json_extract_string(props, '$.missing'), 'none') AS missing FROM events")
+def json_fields(t: _Tables) -> DataFrame:
+    """fields of nested JSON with defaults."""
+    j = F.from_json("props", "k bigint, missing string")
+    return t.events.select("event_id", j["k"].alias("k"), F.coalesce(j["missing"], F.lit("none")).alias("missing"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 5 <> 0 THEN source || chr(10) || lang ELSE source END AS body FROM documents")
+def submission_texts(t: _Tables) -> DataFrame:
+    """title with a usable body."""
+    i = F.col("doc_id")
+    return t.documents.select("doc_id", text.submission_text(F.col("source"), F.when(i % 5 == 0, "[removed]").otherwise(F.col("lang")), i % 2 == 0).alias("body"))
+
+
+@query("SELECT page_id, 'https://cdn' || page_id || '.example.com/a/b.mp3' AS best, 2 AS n FROM pages")
+def audio_links(t: _Tables) -> DataFrame:
+    """audio files inside tracking links, deepest first."""
+    u = F.concat(F.lit("https://track.example.org/x.mp3/cdn"), F.col("page_id").cast("string"), F.lit(".example.com/a/b.mp3?utm=1"))
+    c = keys.audio_candidates(u)
+    return t.pages.select("page_id", F.element_at(c, 1).alias("best"), F.size(c).alias("n"))
+
+
+@query("SELECT o_orderkey, 100.0 * greatest(0.0, least(1.0, (epoch_us(TIMESTAMP '2000-01-01') - epoch_us(o_orderdate)) / CAST(epoch_us(TIMESTAMP '2000-01-01') - epoch_us(TIMESTAMP '1996-01-01') AS DOUBLE))) AS pct FROM orders")
+def crawl_progress(t: _Tables) -> DataFrame:
+    """progress of a backward crawl."""
+    return t.orders.select("o_orderkey", rates.percent_complete(F.col("o_orderdate"), F.lit("1996-01-01"), F.lit("2000-01-01")).alias("pct"))
+
+
+@query("SELECT user_id, CASE WHEN n <= 0 THEN 4.0 ELSE greatest(4.0, least(500.0, 4.0 * (n / greatest(s, 1.0) * 86400.0) / 250.0)) END AS a_day, CASE WHEN n > 0 AND s > 0 THEN least(21600.0, greatest(60.0, 100.0 / (n / s * 2.0))) ELSE 21600.0 END AS wait_s FROM (SELECT user_id, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 END AS s FROM events GROUP BY 1)")
+def visit_rates(t: _Tables) -> DataFrame:
+    """how often to visit."""
+    s = reports.publication_span(t.events, ["user_id"], "ts")
+    rate = rates.instant_rate(F.col("n"), F.col("span_s"))
+    return s.select("user_id", rates.scrapes_a_day(F.col("n"), F.col("span_s")).alias("a_day"), rates.revisit_seconds(rate, F.col("n")).alias("wait_s"))
+
+
+@query("SELECT p_partkey, replace(replace(lower(n), '''', ''), '’', '') AS name FROM (SELECT p_partkey, upper(p_name) || '''s’' AS n FROM part)")
+def normal_terms(t: _Tables) -> DataFrame:
+    """terms in normal form."""
+    return t.part.select("p_partkey", text.normal_term(F.concat(F.upper("p_name"), F.lit("'s’"))).alias("name"))
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INTEGER) AS idx, p[i] AS part FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)) WHERE trim(p[i]) <> ''")
+def exploded_chunks(t: _Tables) -> DataFrame:
+    """parts with their index, blank ones counted but left out."""
+    return t.documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("idx", "part")).filter(F.trim("part") != "")
+
+
+# states -----------------------------------------------------------------------------------------------------------
+
+
+@query("WITH RECURSIVE e AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS k, event_id, CAST(floor(value) AS BIGINT) AS units FROM events WHERE user_id < 30), r AS (SELECT day, k, event_id, units, units <= 200 AS ok, CASE WHEN units <= 200 THEN units ELSE 0 END AS used FROM e WHERE k = 1 UNION ALL SELECT e.day, e.k, e.event_id, e.units, r.used + e.units <= 200, CASE WHEN r.used + e.units <= 200 THEN r.used + e.units ELSE r.used END FROM r JOIN e ON e.day = r.day AND e.k = r.k + 1) SELECT day, event_id AS seq, units, ok AS accepted, CAST(used AS BIGINT) AS used FROM r")
+def daily_budget(t: _Tables) -> DataFrame:
+    """ST8: a daily budget in which what is rejected does not count."""
+    e = t.events.filter("user_id < 30").select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.floor("value").alias("units"))
+    return schedule.charge(e, 200)
+
+
+@query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS x FROM events WHERE user_id < 60), r AS (SELECT user_id, k, x AS rate FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN r.rate = 0.0 THEN e.x ELSE CAST(0.3 AS DOUBLE) * e.x + (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE)) * r.rate END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, round(arg_max(rate, k), 6) AS rate FROM r GROUP BY user_id")
+def ewma_rates(t: _Tables) -> DataFrame:
+    """Exponentially weighted rates."""
+    g = t.events.filter("user_id < 60").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    return g.select("user_id", F.round(rates.ewma(F.col("s.value")), 6).alias("rate"))
+
+
+@query("WITH p AS (SELECT event_type AS term, CAST(event_id // 50 AS INTEGER) AS page, count(*) AS found, count(*) FILTER (value > 20) AS new FROM events GROUP BY ALL) SELECT term, min(page) FILTER (new = 0 OR CAST(new AS DOUBLE) / greatest(found, 1) < 0.6) AS stop_page FROM p GROUP BY term")
+def stopping_pages(t: _Tables) -> DataFrame:
+    """ST7: the page at which a crawl stops."""
+    p = t.events.groupBy(F.col("event_type").alias("term"), F.floor(F.col("event_id") / 50).cast("int").alias("page")).agg(F.count("*").alias("found"), F.count_if(F.expr("value > 20")).alias("new"))
+    return schedule.stopping_page(p, 0.6, ["term"])
+
+
+@query("SELECT c_custkey, i, c_acctbal + 10800 * CAST(0.9 AS DOUBLE) / 20 * (i + CAST(0.5 AS DOUBLE)) AS at FROM (SELECT c_custkey, c_acctbal, CAST(unnest(range(0, 20)) AS INTEGER) AS i FROM customer WHERE c_custkey < 100)")
+def session_slots(t: _Tables) -> DataFrame:
+    """ST9: slots over a session, at the middle of their buckets."""
+    c = t.customer.filter("c_custkey < 100")
+    return c.select("c_custkey", F.posexplode(schedule.slots(F.col("c_acctbal"), F.lit(10800))).alias("i", "at"))
+
+
+@query("SELECT c_custkey AS term_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN greatest(o.m, TIMESTAMP '1999-01-01') ELSE o.m END AS last_seen FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+def term_state_merge(t: _Tables) -> DataFrame:
+    """ST11: schedule state merged with the list of terms."""
+    terms = t.customer.join(t.orders.groupBy("o_custkey").agg(F.max("o_orderdate").alias("m")), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("term_id"), F.col("c_name").alias("name"), F.col("m").cast("timestamp").alias("last_found_ts"))
+    old = t.customer.filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("term_id"), "c_name", F.lit("1999-01-01").cast("timestamp").alias("last_seen"), F.lit(0.5).alias("rate"), F.lit(AS_OF).cast("timestamp").alias("next_run_at"))
+    gone = old.limit(1).withColumn("term_id", F.lit(-1).cast("long"))
+    out = ingest.merge_term_state(old.unionByName(gone).withColumnRenamed("c_name", "name"), terms, AS_OF)
+    return out.select("term_id", "name", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"))
+
+
+# claims -----------------------------------------------------------------------------------------------------------
+
+
+def _claim_rows(t: _Tables) -> DataFrame:
+    i = F.col("event_id")
+    error = F.when(i % 5 == 3, "BadRequest: Content Policy violation").when(i % 5 == 4, "APITimeoutError: timeout")
+    one = F.struct(F.col("event_type").alias("claim"), F.lit("pro").alias("claim_stance_to_vaccines"), F.lit("support").alias("author_stance_to_claim"), F.lit("own").alias("attribution"))
+    output = F.when(i % 5 < 2, F.struct(F.array_repeat(one, (i % 6).cast("int")).alias("claims")))
+    status = F.when(i % 5 < 3, "success").otherwise("failed")
+    return t.events.select(F.col("event_id").alias("pos"), F.concat(F.lit("t"), (i % 4000).cast("string")).alias("task_id"), status.alias("claim_extraction_status"), error.alias("claim_extraction_error"), output.alias("claim_extraction_output"))
+
+
+@query("SELECT CASE WHEN event_id % 5 < 2 THEN 'completed' WHEN event_id % 5 = 2 THEN 'unprocessed' WHEN event_id % 5 = 3 THEN 'terminal_failed' ELSE 'retryable_failed' END AS state, count(*) AS n FROM events GROUP BY 1")
+def claim_states(t: _Tables) -> DataFrame:
+    """States of claim rows."""
+    none = F.lit(None).cast("string")
+    state = claims.row_state(none, F.col("claim_extraction_status"), F.col("claim_extraction_error"), F.col("claim_extraction_output.claims"), none.cast("boolean"), none, none)
+    return _claim_rows(t).groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT CASE WHEN event_id % 6 > 3 THEN '>3' ELSE CAST(event_id % 6 AS VARCHAR) END AS claims, count(*) AS n FROM events WHERE event_id % 5 < 2 GROUP BY 1")
+def claims_per_post(t: _Tables) -> DataFrame:
+    """Histogram of claims a post."""
+    return claims.summary(_claim_rows(t))[1]
+
+
+@query("SELECT error, count(*) AS n FROM (SELECT CASE WHEN event_id % 5 = 3 THEN 'BadRequest: Content Policy violation' ELSE 'APITimeoutError: timeout' END AS error FROM events WHERE event_id % 5 > 2) GROUP BY 1")
+def claim_errors(t: _Tables) -> DataFrame:
+    """The most frequent errors."""
+    return claims.summary(_claim_rows(t))[2]
+
+
+@query("WITH c AS (SELECT 't' || (event_id % 4000) AS task_id, max(event_id) AS pos FROM events GROUP BY 1) SELECT doc_id, CASE WHEN pos IS NULL THEN NULL WHEN pos % 5 < 3 THEN 'success' ELSE 'failed' END AS status FROM documents LEFT JOIN c ON task_id = 't' || doc_id")
+def merged_claims(t: _Tables) -> DataFrame:
+    """Posts with their claims, the last of repeated ids winning."""
+    p = t.documents.select("doc_id", F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("task_id"))
+    return claims.merge(p, _claim_rows(t), "pos")[0].select("doc_id", F.col("claim_extraction_status").alias("status"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT event_id % 4000 FROM events WHERE event_id % 5 <> 4)")
+def pending_claims(t: _Tables) -> DataFrame:
+    """ST12: tasks that are not written yet, retryable failures again."""
+    p = t.documents.select("doc_id", F.concat(F.lit("t"), F.col("doc_id").cast("string")).alias("task_id"))
+    done = _claim_rows(t).withColumn("claim_extraction_disposition", F.when(F.col("pos") % 5 == 4, "retryable_failure").otherwise("success"))
+    return claims.pending(p, done, retry=True).select("doc_id")
+
+
+@query("SELECT doc_id, CASE source WHEN 'reddit_submission' THEN 'Submission title: ' || lang || chr(10) || chr(10) || x WHEN 'youtube_video' THEN 'YouTube video title: Unknown' || chr(10) || chr(10) || x ELSE x END AS body FROM (SELECT doc_id, lang, substr(text, 1, 20) AS x, CASE doc_id % 3 WHEN 0 THEN 'reddit_submission' WHEN 1 THEN 'youtube_video' ELSE 'tweet' END AS source FROM documents)")
+def model_inputs(t: _Tables) -> DataFrame:
+    """model inputs with titles."""
+    i = F.col("doc_id")
+    rows = t.documents.select("doc_id", F.when(i % 3 == 0, "reddit_submission").when(i % 3 == 1, "youtube_video").otherwise("tweet").alias("platform"), F.substring("text", 1, 20).alias("x"), F.col("lang").alias("reddit_submission_title"))
+    return rows.select("doc_id", claims.input_text(rows, "x").alias("body"))
+
+
+@query("SELECT event_id, CASE WHEN value >= 70 THEN true ELSE false END AS toxic FROM events")
+def score_thresholds(t: _Tables) -> DataFrame:
+    """Whether any score reaches its threshold."""
+    scores = F.create_map(F.lit("toxicity"), F.col("value") / 100, F.lit("threat"), F.lit(0.1))
+    return t.events.select("event_id", text.exceeds_any(scores, {"toxicity": 0.7, "threat": 0.5, "insult": 0.7}).alias("toxic"))
+
+
+@query()
+def seeded_sample(t: _Tables) -> DataFrame:
+    """The same random rows on every run."""
+    return reports.sample(t.documents.filter("lang = 'en'"), "doc_id", 50).select("doc_id")
+
+
+@query()
+def stemmed_lexemes(t: _Tables) -> DataFrame:
+    """Stemmed lexemes of parts."""
+    return stem.lexemes(t.part, "p_partkey", "p_name").select("p_partkey", F.array_join("lexemes", " ").alias("lexemes"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
