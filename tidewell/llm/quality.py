@@ -107,11 +107,11 @@ def _quantile_bins(rows: DataFrame, keys: list[str], bin_: str, share: float) ->
 
 
 def _start(rows: DataFrame) -> DataFrame:
-    """Median and scaled absolute deviation of each statistic per group, on bins of 1/512: the first estimate."""
-    long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(c) * 512).alias("b")) for k, c in enumerate(STATISTICS)))).alias("v")).select("grp", "v.k", "v.b")
+    """Median and scaled absolute deviation of each statistic per group, on bins of 1/128: the first estimate."""
+    long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(c) * 128).alias("b")) for k, c in enumerate(STATISTICS)))).alias("v")).select("grp", "v.k", "v.b")
     median = materialise(_quantile_bins(long, ["grp", "k"], "b", 0.5).withColumnRenamed("at", "mid"), "medians")
     spread = _quantile_bins(long.join(median, ["grp", "k"]).withColumn("d", F.abs(F.col("b") - F.col("mid"))), ["grp", "k"], "d", 0.5)
-    both = median.join(spread, ["grp", "k"]).withColumns({"mean": (F.col("mid") + 0.5) / 512, "sd": (F.col("at") + 0.5) / 512 * 1.4826})
+    both = median.join(spread, ["grp", "k"]).withColumns({"mean": (F.col("mid") + 0.5) / 128, "sd": (F.col("at") + 0.5) / 128 * 1.4826})
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     floors = list(STATISTICS.values())
     est = both.groupBy("grp").agg(*(at("mean", k).alias(f"u{k}") for k in range(_D)), *(at("sd", k).alias(f"s{k}") for k in range(_D)))
@@ -147,7 +147,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimate per ``grp`` over ``rows`` with the statistics' columns."""
     est = materialise(_start(rows), "estimate")
     for _ in range(STEPS):
-        far = with_distance(rows, est).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 64))
+        far = with_distance(rows, est).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16))
         limit = materialise(_quantile_bins(far, ["grp"], "bin", SUPPORT), "support")
         est = materialise(_estimate(far.join(limit, "grp").filter(F.col("bin") <= F.col("at"))), "estimate")
     return est

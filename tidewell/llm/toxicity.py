@@ -25,7 +25,7 @@ from tidewell.llm.repair import ragged
 from tidewell.session import ship
 
 #: Bounds of the labelled sample that the model is fitted on.
-MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2500, 5000, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2000, 4000, 50_000
 #: Words of a sequence; longer documents are sequences one after the other.
 SPAN = 32
 BITS = 18
