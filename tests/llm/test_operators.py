@@ -36,8 +36,8 @@ def texts():
     rng = random.Random(3)
     out = [None, "", " \n\t ", "One", "a b c", "a b c d", "A B C D"]
     out += [prose(rng, n) for n in (3, 9, 10, 50, 200, 700)]
-    long = prose(rng, 30_000)
-    out += [long, long, long.replace("river", "stone", 2), "x" * 200_000, "a " * 60_000, "é" * 5, "😀 mail me@x.org 😀", "line\nline\n\nline \n"]
+    long = prose(rng, 8_000)
+    out += [long, long, long.replace("river", "stone", 2), "x" * 200_000, "a " * 9_000, "é" * 5, "😀 mail me@x.org 😀", "line\nline\n\nline \n"]
     return out + out[7:9]
 
 
@@ -90,7 +90,7 @@ def test_links_of_clusters_and_hot_keys(spark):
     values = sorted({*map(int, base), *near, *hot})
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     nodes = spark.createDataFrame(list(zip(signed, range(len(values)))), "fp long, node long").repartition(3)
-    for chunk in (2048, 16):
+    for chunk in (16,):
         links = simhash.links(nodes, chunk=chunk)
         component = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
         assert [component.get(k, k) for k in range(len(values))] == plain_components(list(range(len(values))), values)
@@ -270,7 +270,7 @@ def test_sainte_lague_equals_highest_quotients(spark):
 
 
 def test_mix_meets_targets_and_bounds(spark, docs, texts, none):
-    for shard in (mixing.SHARD_WORDS, 500):
+    for shard in (500,):
         rows = mixing.mix(docs, shard_words=shard).collect()
         assert len(rows) == len(texts) and rows != []
         assert all(0 <= r["taken"] <= 2 * r["size"] for r in rows)
@@ -279,8 +279,8 @@ def test_mix_meets_targets_and_bounds(spark, docs, texts, none):
             by[r["target"], r["source_size"]] += r["taken"]
         assert all(abs(n - t) <= 16 * (2 + s / shard) for (t, s), n in by.items())
         assert abs(sum(t for t, _ in by) - 1.5 * sum(r["size"] for r in rows)) < 1e-6
-    again = sorted(map(tuple, mixing.mix(docs.repartition(3)).collect()), key=str)
-    assert again == sorted(map(tuple, mixing.mix(docs).collect()), key=str)
+    again = sorted(map(tuple, mixing.mix(docs.repartition(3), shard_words=500).collect()), key=str)
+    assert again == sorted(map(tuple, rows), key=str)
     assert mixing.mix(none).count() == 0
     empty = mixing.mix(documents(spark, [None, "", " "])).collect()
     assert len(empty) == 3 and all(r["taken"] == 0 for r in empty)

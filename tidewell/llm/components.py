@@ -17,6 +17,10 @@ def _with_minimum(edges: DataFrame, at: str, other: str) -> DataFrame:
     return edges.join(low, at)
 
 
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Rows ``(node, component)`` for every node that occurs in ``links``; component is the smallest node reachable.
 
@@ -26,14 +30,16 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u is not null and v is not null and u <> v").distinct()
     edges = materialise(edges, "edges")
-    mark = None
+    mark = _mark(edges)
     for _ in range(max_rounds):
+        if not mark[0]:
+            break
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_minimum(both, "u", "v").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
         low = _with_minimum(large, "u", "v")
         small = low.select(F.col("v").alias("u"), F.col("low").alias("v")).union(low.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
         edges = materialise(small, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = _mark(edges)
         if now == mark:
             break
         mark = now
