@@ -260,7 +260,8 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SE
     heads = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n"))
     heads = materialise(heads, "heads")
     at = F.col("doc_id").cast("long") == F.col("__keep")
-    rows = docs.join(heads.filter("__n = 1"), at, "left_semi")
+    # the list of heads has no bound, so it is never sent along: both sides are dealt by id, and texts are not sorted
+    rows = docs.join(heads.filter("__n = 1").hint("shuffle_hash"), at, "left_semi")
     again = heads.filter("__n > 1")
     if again.head(1):
         first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
