@@ -25,7 +25,7 @@ from tidewell.llm.repair import ragged
 from tidewell.session import ship
 
 #: Bounds of the labelled sample that the model is fitted on.
-MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 2000, 4000, 50_000
+MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 1800, 3600, 50_000
 #: Words of a sequence; longer documents are sequences one after the other.
 SPAN = 32
 BITS = 18
@@ -66,10 +66,9 @@ class Sample:
         self.chunks = list(codes)
         words = [core(c) for c in self.chunks]
         self.words = np.array([_hash(w) if w else 0 for w in words], np.uint32)
-        lists = [[_hash(f) for f in word_features(w)] if w else [] for w in words]
-        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.sizes = np.fromiter((1 + max(0, min(6, len(w)) - 2) if w else 0 for w in words), np.int64, len(words))
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.features = np.fromiter((f for x in lists for f in x), np.uint32, int(self.sizes.sum()))
+        self.features = np.fromiter((_hash(f) for w in words if w for f in word_features(w)), np.uint32, int(self.sizes.sum()))
 
     def of(self, k: int) -> np.ndarray:
         return self.codes[self.starts[k] : self.ends[k]]
