@@ -74,12 +74,13 @@ class Sample:
         return self.codes[self.starts[k] : self.ends[k]]
 
     def apart(self, own: list[int]) -> list[int]:
-        """Of ``own`` those without an earlier near copy: one that shares two of four minimum hashes of its words."""
+        """Of ``own`` those without an earlier near copy: one that shares two of four minimum hashes of its word pairs."""
         seen: set[tuple[int, int, int]] = set()
         kept = []
         for k in own:
-            hashes = self.words[np.unique(self.of(k))].astype(np.uint64)
-            lows = [int(((hashes * np.uint64(m) + np.uint64(1)) & np.uint64(0xFFFFFFFF)).min()) for m in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
+            words = self.words[self.of(k)].astype(np.uint64)
+            hashes = words * np.uint64(31) + np.append(words[1:], np.uint64(0)) * np.uint64(0x9E3779B9)
+            lows = [int(((hashes * np.uint64(m)) >> np.uint64(32)).min()) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
             pairs = {(i, j, lows[i] << 32 | lows[j]) for i in range(4) for j in range(i)}
             if not pairs & seen:
                 kept.append(k)
@@ -276,7 +277,7 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     Without rows of both labels, scores are the prior for every text.
     """
     prior = min(max(prior, 1e-3), 1 - 1e-3)
-    empty = Model(np.zeros(1 << BITS, np.float32), np.zeros((2, 2)), np.array([math.log(prior / (1 - prior)), 0, 0, 0]))
+    empty = Model(np.full(1 << BITS, -3, np.float32), np.zeros((2, 2)), np.array([math.log(prior / (1 - prior)), 0, 0, 0]))
     sides = [[k for k, (_, y) in enumerate(rows) if y == side] for side in (0, 1)]
     if not all(sides):
         return empty
