@@ -27,7 +27,7 @@ KINDS = ("email", "ip", "card", "phone")
 #: Documents of the fit, and the characters that each has at most.
 FIT_DOCS, FIT_CHARS = 600, 20_000
 MAX_TOKENS = 24
-POSTERIOR = 0.9
+POSTERIOR = 0.8
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -256,7 +256,7 @@ def _examples(text: str) -> Iterator[tuple[str, list[tuple[int, int, int]]]]:
                 yield region[:s] + form + region[e:], [(x, y, z) if z <= s else (x + moved, y, z + moved) for x, y, z in others] + [(s, k, s + len(form))]
 
 
-def fit(texts: list[str], rounds: int = 25, rate: float = 0.5) -> Field:
+def fit(texts: list[str], rounds: int = 12, rate: float = 0.5) -> Field:
     """Conditional likelihood by AdaGrad over the examples of ``texts``; without examples no segment is likely."""
     field = Field()
     for k in KINDS:
