@@ -296,8 +296,10 @@ def fit(texts: list[str], rounds: int = 12, rate: float = 0.5) -> Field:
 def train(docs: DataFrame) -> Field:
     """Fit on the base spans of the ``FIT_DOCS`` candidate documents of lowest id hash."""
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter((F.length("text") <= FIT_CHARS) & F.col("text").rlike(r"@[A-Za-z0-9-]+\.|\+[0-9]|[0-9]{14}|[0-9]\.[0-9]+\.[0-9]"))
-    rows = some.orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id", "text").limit(FIT_DOCS).collect()
-    return fit([r["text"] for r in rows])
+    # ids are ranked without their texts, so that what tasks send to the driver stays small
+    picked = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(23)), "doc_id").limit(FIT_DOCS)
+    rows = some.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return fit([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])])
 
 
 def added_spans(text: str | None, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
