@@ -50,49 +50,68 @@ def matches(text: str, pattern: str, group: int = 0) -> Column:
     return F.when(F.col(text).rlike(pattern), found).otherwise(empty)
 
 
-def _tail_z(symbols: Column, size: Column) -> tuple[Column, Column, Column]:
-    """Standard scores of the three tests on symbol numbers ``0 .. size - 1``."""
-    n = F.size(symbols).cast("double")
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once: inside lambdas an expression would be evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _within(x: Column, size: Column) -> Column:
+    """Whether all three tests on the symbol numbers ``x`` (``0 .. size - 1``) stay within the battery's bound."""
+    n = F.size(x).cast("double")
+    pairs = lambda v, f: F.zip_with(F.slice(v, F.lit(2), F.size(v) - 1), F.slice(v, F.lit(1), F.size(v) - 1), f)
+
+    def uniform(c: Column) -> Column:
+        classes = c["classes"]
+        share = lambda k: (F.ceil((k + 1) * size / classes) - F.ceil(k * size / classes)) / size
+        seen = lambda k: F.size(F.filter(c["of"], lambda s: s == k)).cast("double")
+        chi = F.aggregate(F.sequence(F.lit(0), classes.cast("int") - 1), F.lit(0.0), lambda a, k: a + F.pow(seen(k) - n * share(k), F.lit(2.0)) / (n * share(k)))
+        free = classes - 1
+        return (F.cbrt(chi / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)) <= BATTERY  # Wilson-Hilferty
+
+    def runs(r: Column) -> Column:
+        ones, zeros = r["ones"], n - r["ones"]
+        expected = 2 * ones * zeros / n + 1
+        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
+        return (ones > 0) & (zeros > 0) & (F.abs(r["runs"] - expected) / spread <= BATTERY)
+
+    def serial(d: Column) -> Column:
+        total = F.aggregate(d, F.lit(0.0), lambda a, v: a + v * v)
+        lagged = F.aggregate(pairs(d, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+        return (total > 0) & (F.abs(lagged) / total * F.sqrt(n) <= BATTERY)
+
     classes = F.greatest(F.lit(2.0), F.least(size, F.floor(n / 5).cast("double")))
-    of = F.transform(symbols, lambda s: F.floor(s * classes / size).cast("int"))
-    share = lambda k: (F.ceil((k + 1) * size / classes) - F.ceil(k * size / classes)) / size
-    seen = lambda k: F.size(F.filter(of, lambda c: c == k)).cast("double")
-    chi = F.aggregate(F.sequence(F.lit(0), classes.cast("int") - 1), F.lit(0.0), lambda a, k: a + F.pow(seen(k) - n * share(k), F.lit(2.0)) / (n * share(k)))
-    free = classes - 1
-    uniform = (F.cbrt(chi / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))  # Wilson-Hilferty
-    high = F.transform(symbols, lambda s: (s * 2 >= size).cast("int"))
-    ones = F.aggregate(high, F.lit(0), lambda a, b: a + b).cast("double")
-    zeros = n - ones
-    changes = F.aggregate(F.zip_with(F.slice(high, F.lit(2), F.size(high) - 1), F.slice(high, F.lit(1), F.size(high) - 1), lambda a, b: (a != b).cast("int")), F.lit(1), lambda a, b: a + b)
-    expected = 2 * ones * zeros / n + 1
-    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-    runs = F.when((ones == 0) | (zeros == 0), F.lit(99.0)).otherwise((changes - expected) / spread)
-    mean = F.aggregate(symbols, F.lit(0.0), lambda a, s: a + s) / n
-    centred = F.transform(symbols, lambda s: s - mean)
-    total = F.aggregate(centred, F.lit(0.0), lambda a, d: a + d * d)
-    lagged = F.aggregate(F.zip_with(F.slice(centred, F.lit(2), F.size(centred) - 1), F.slice(centred, F.lit(1), F.size(centred) - 1), lambda a, b: a * b), F.lit(0.0), lambda a, d: a + d)
-    serial = F.when(total <= 0, F.lit(99.0)).otherwise(lagged / total * F.sqrt(n))
-    return uniform, runs, serial
+    flat = let(classes, lambda m: let(F.struct(F.transform(x, lambda s: F.floor(s * m / size).cast("int")).alias("of"), m.alias("classes")), uniform))
+    high = F.transform(x, lambda s: (s * 2 >= size).cast("int"))
+    counted = lambda h: F.struct(F.aggregate(h, F.lit(0), lambda a, b: a + b).cast("double").alias("ones"), F.aggregate(pairs(h, lambda a, b: (a != b).cast("int")), F.lit(1), lambda a, b: a + b).alias("runs"))
+    mean = F.aggregate(x, F.lit(0.0), lambda a, s: a + s) / n
+    return flat & let(high, lambda h: let(counted(h), runs)) & let(mean, lambda m: let(F.transform(x, lambda s: s - m), serial))
 
 
 def battery(value: Column) -> Column:
     """``{bits, passes}`` of a candidate: evidence against ordinary text in bits, and whether the tests pass."""
-    kind = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(value.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
-    body = F.rtrim(F.translate(F.when(kind == "hex", F.lower(value)).otherwise(value), "=", " "))
-    alphabet = F.when(kind == "hex", ALPHABETS["hex"]).when(kind == "base32", ALPHABETS["base32"]).otherwise(ALPHABETS["base64"])
-    size = F.when(kind == "hex", 16.0).when(kind == "base32", 32.0).otherwise(64.0)
-    chars = F.filter(F.split(body, "", -1), lambda c: c != "")
-    symbols = F.transform(chars, lambda c: F.least(F.instr(alphabet, c).cast("double") - 1, size - 1))
-    uniform, runs, serial = _tail_z(symbols, size)
-    within = (uniform <= BATTERY) & (F.abs(runs) <= BATTERY) & (F.abs(serial) <= BATTERY)
     prose = F.array(*(F.lit(math.log2(0.9 * p / 1000)) for p in LETTERS))
     code = lambda c: F.ascii(F.lower(c)) - 96
     natural = lambda c: (
         F.when(c.rlike("[a-z]"), F.element_at(prose, code(c))).when(c.rlike("[A-Z]"), F.element_at(prose, code(c)) - 5).when(c.rlike("[0-9]"), F.lit(math.log2(0.03 / 10))).otherwise(F.lit(math.log2(0.02)))
     )
-    bits = F.aggregate(chars, F.lit(0.0), lambda a, c: a - F.log2(size) - natural(c))
-    mixed = value.rlike("[0-9]") & value.rlike("[A-Za-z]")
-    return F.struct(bits.alias("bits"), (within & mixed).alias("passes"))
+
+    def judged(e: Column) -> Column:
+        symbols = F.transform(e["chars"], lambda c: F.least(F.instr(e["alphabet"], c).cast("double") - 1, e["size"] - 1))
+        bits = F.aggregate(e["chars"], F.lit(0.0), lambda a, c: a - F.log2(e["size"]) - natural(c))
+        return F.struct(bits.alias("bits"), (e["mixed"] & let(symbols, lambda x: _within(x, e["size"]))).alias("passes"))
+
+    def encoded(kind: Column) -> Column:
+        body = F.rtrim(F.translate(F.when(kind == "hex", F.lower(value)).otherwise(value), "=", " "))
+        pick = lambda h, b, o: F.when(kind == "hex", h).when(kind == "base32", b).otherwise(o)
+        return F.struct(
+            F.filter(F.split(body, "", -1), lambda c: c != "").alias("chars"),
+            pick(*(ALPHABETS[k] for k in ("hex", "base32", "base64"))).alias("alphabet"),
+            pick(16.0, 32.0, 64.0).alias("size"),
+            (value.rlike("[0-9]") & value.rlike("[A-Za-z]")).alias("mixed"),
+        )
+
+    kind = F.when(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lit("hex")).when(value.rlike("^[A-Z2-7]+=*$"), F.lit("base32")).otherwise(F.lit("base64"))
+    return let(kind, lambda k: let(encoded(k), judged))
 
 
 def find(docs: DataFrame) -> DataFrame:
