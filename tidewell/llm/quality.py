@@ -21,6 +21,8 @@ CONSISTENCY = 1.41
 CUTOFF = 42.0
 #: Documents that an estimate of its own needs; smaller groups are estimated together, by language and then overall.
 MIN_GROUP = 60
+#: Rows of a table of groups that is sent along; larger ones are joined by dealing both sides by key.
+SENT_ROWS = 50_000
 _SPACE = r"[\x20\x09-\x0D]"
 _BLANKS = " \t\n\x0b\x0c\r"
 #: Transformed statistics, and the standard deviation that each has at least.
@@ -87,6 +89,12 @@ def vector() -> dict[str, Column]:
     }
 
 
+def _sent(groups: DataFrame) -> DataFrame:
+    """``groups`` (written, one row a group and at most five), to be sent along if its rows are few: a join that deals
+    rows by group would bring a hot group to one task."""
+    return F.broadcast(groups) if groups.limit(SENT_ROWS + 1).count() <= SENT_ROWS else groups
+
+
 def grouped(rows: DataFrame) -> DataFrame:
     """Adds ``grp``, the group whose estimate a row is held against."""
     own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -95,7 +103,7 @@ def grouped(rows: DataFrame) -> DataFrame:
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     name = F.when(F.col("n") >= MIN_GROUP, F.concat(part("lang"), F.lit("\t"), part("source"))).when(F.col("m") >= MIN_GROUP, part("lang")).otherwise(F.lit("*"))
     keys = materialise(keys.select(F.col("lang").alias("l"), F.col("source").alias("s"), name.alias("grp")), "groups")
-    return rows.join(keys, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+    return rows.join(_sent(keys), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
 
 
 def _quantile_bins(rows: DataFrame, keys: list[str], bin_: str, share: float) -> DataFrame:
@@ -110,7 +118,7 @@ def _start(rows: DataFrame) -> DataFrame:
     """Median and scaled absolute deviation of each statistic per group, on bins of 1/128: the first estimate."""
     long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(c) * 128).alias("b")) for k, c in enumerate(STATISTICS)))).alias("v")).select("grp", "v.k", "v.b")
     median = materialise(_quantile_bins(long, ["grp", "k"], "b", 0.5).withColumnRenamed("at", "mid"), "medians")
-    spread = _quantile_bins(long.join(median, ["grp", "k"]).withColumn("d", F.abs(F.col("b") - F.col("mid"))), ["grp", "k"], "d", 0.5)
+    spread = _quantile_bins(long.join(_sent(median), ["grp", "k"]).withColumn("d", F.abs(F.col("b") - F.col("mid"))), ["grp", "k"], "d", 0.5)
     both = median.join(spread, ["grp", "k"]).withColumns({"mean": (F.col("mid") + 0.5) / 128, "sd": (F.col("at") + 0.5) / 128 * 1.4826})
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     floors = list(STATISTICS.values())
@@ -138,7 +146,7 @@ def _estimate(rows: DataFrame) -> DataFrame:
 
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds the squared Mahalanobis distance ``d2`` (null where the row's group has no estimate)."""
-    out = rows.join(estimate, "grp", "left")
+    out = rows.join(_sent(estimate), "grp", "left")
     parts = [sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"u{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(_D)]
     return out.select(*rows.columns, sum((p * p for p in parts), F.lit(0.0)).alias("d2"))
 
@@ -149,7 +157,7 @@ def estimate(rows: DataFrame) -> DataFrame:
     for _ in range(STEPS):
         far = with_distance(rows, est).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16))
         limit = materialise(_quantile_bins(far, ["grp"], "bin", SUPPORT), "support")
-        est = materialise(_estimate(far.join(limit, "grp").filter(F.col("bin") <= F.col("at"))), "estimate")
+        est = materialise(_estimate(far.join(_sent(limit), "grp").filter(F.col("bin") <= F.col("at"))), "estimate")
     return est
 
 
@@ -165,9 +173,9 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     passed = rows.filter(~F.col("base_failed")).select("doc_id", "lang", "source", *STATISTICS)
     placed = materialise(grouped(passed), "placed")
     enough = placed.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_GROUP).select("grp")
-    est = estimate(placed.join(materialise(enough, "enough"), "grp", "left_semi"))
+    est = estimate(placed.join(_sent(materialise(enough, "enough")), "grp", "left_semi"))
     keys = placed.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp").distinct()
-    held = rows.join(materialise(keys, "keys"), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+    held = rows.join(_sent(materialise(keys, "keys")), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)
     return with_distance(held, est).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
 
