@@ -680,9 +680,18 @@ def exploded_chunks(t: _Tables) -> DataFrame:
 
 @query("WITH RECURSIVE e AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS k, event_id, CAST(floor(value) AS BIGINT) AS units FROM events WHERE user_id < 30), r AS (SELECT day, k, event_id, units, units <= 200 AS ok, CASE WHEN units <= 200 THEN units ELSE 0 END AS used FROM e WHERE k = 1 UNION ALL SELECT e.day, e.k, e.event_id, e.units, r.used + e.units <= 200, CASE WHEN r.used + e.units <= 200 THEN r.used + e.units ELSE r.used END FROM r JOIN e ON e.day = r.day AND e.k = r.k + 1) SELECT day, event_id AS seq, units, ok AS accepted, CAST(used AS BIGINT) AS used FROM r")
 def daily_budget(t: _Tables) -> DataFrame:
-    """ST8: a daily budget in which what is rejected does not count."""
-    e = t.events.filter("user_id < 30").select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.floor("value").alias("units"))
-    return schedule.charge(e, 200)
+    """ST8: a daily budget in which what is rejected does not count; its SQL charges users below 30 only."""
+    return _charged(t.events.filter("user_id < 30"))
+
+
+@query()
+def daily_budget_all(t: _Tables) -> DataFrame:
+    """ST8: the same budget charged for all requests."""
+    return _charged(t.events)
+
+
+def _charged(events: DataFrame) -> DataFrame:
+    return schedule.charge(events.select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.floor("value").alias("units")), 200)
 
 
 @query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS x FROM events WHERE user_id < 60), r AS (SELECT user_id, k, x AS rate FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN r.rate = 0.0 THEN e.x ELSE CAST(0.3 AS DOUBLE) * e.x + (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE)) * r.rate END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, round(arg_max(rate, k), 6) AS rate FROM r GROUP BY user_id")
