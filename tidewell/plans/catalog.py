@@ -774,9 +774,19 @@ def pending_claims(t: _Tables) -> DataFrame:
 
 @query("SELECT doc_id, CASE source WHEN 'reddit_submission' THEN 'Submission title: ' || lang || chr(10) || chr(10) || x WHEN 'youtube_video' THEN 'YouTube video title: Unknown' || chr(10) || chr(10) || x ELSE x END AS body FROM (SELECT doc_id, lang, substr(text, 1, 20) AS x, CASE doc_id % 3 WHEN 0 THEN 'reddit_submission' WHEN 1 THEN 'youtube_video' ELSE 'tweet' END AS source FROM documents)")
 def model_inputs(t: _Tables) -> DataFrame:
-    """model inputs with titles."""
+    """model inputs with titles; its SQL takes prefixes of 20 characters."""
+    return _inputs(t, F.substring("text", 1, 20))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Submission title: ' || lang || chr(10) || chr(10) || text WHEN 1 THEN 'YouTube video title: Unknown' || chr(10) || chr(10) || text ELSE text END AS body FROM documents")
+def model_inputs_all(t: _Tables) -> DataFrame:
+    """model inputs of whole texts."""
+    return _inputs(t, F.col("text"))
+
+
+def _inputs(t: _Tables, x: Column) -> DataFrame:
     i = F.col("doc_id")
-    rows = t.documents.select("doc_id", F.when(i % 3 == 0, "reddit_submission").when(i % 3 == 1, "youtube_video").otherwise("tweet").alias("platform"), F.substring("text", 1, 20).alias("x"), F.col("lang").alias("reddit_submission_title"))
+    rows = t.documents.select("doc_id", F.when(i % 3 == 0, "reddit_submission").when(i % 3 == 1, "youtube_video").otherwise("tweet").alias("platform"), x.alias("x"), F.col("lang").alias("reddit_submission_title"))
     return rows.select("doc_id", claims.input_text(rows, "x").alias("body"))
 
 
