@@ -696,8 +696,18 @@ def _charged(events: DataFrame) -> DataFrame:
 
 @query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS x FROM events WHERE user_id < 60), r AS (SELECT user_id, k, x AS rate FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN r.rate = 0.0 THEN e.x ELSE CAST(0.3 AS DOUBLE) * e.x + (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE)) * r.rate END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, round(arg_max(rate, k), 6) AS rate FROM r GROUP BY user_id")
 def ewma_rates(t: _Tables) -> DataFrame:
-    """Exponentially weighted rates."""
-    g = t.events.filter("user_id < 60").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
+    """Exponentially weighted rates; its SQL folds users below 60 only."""
+    return _folded(t.events.filter("user_id < 60"))
+
+
+@query()
+def ewma_rates_all(t: _Tables) -> DataFrame:
+    """The rates of all users."""
+    return _folded(t.events)
+
+
+def _folded(events: DataFrame) -> DataFrame:
+    g = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
     return g.select("user_id", F.round(rates.ewma(F.col("s.value")), 6).alias("rate"))
 
 
@@ -710,9 +720,18 @@ def stopping_pages(t: _Tables) -> DataFrame:
 
 @query("SELECT c_custkey, i, c_acctbal + 10800 * CAST(0.9 AS DOUBLE) / 20 * (i + CAST(0.5 AS DOUBLE)) AS at FROM (SELECT c_custkey, c_acctbal, CAST(unnest(range(0, 20)) AS INTEGER) AS i FROM customer WHERE c_custkey < 100)")
 def session_slots(t: _Tables) -> DataFrame:
-    """ST9: slots over a session, at the middle of their buckets."""
-    c = t.customer.filter("c_custkey < 100")
-    return c.select("c_custkey", F.posexplode(schedule.slots(F.col("c_acctbal"), F.lit(10800))).alias("i", "at"))
+    """ST9: slots over a session, at the middle of their buckets; its SQL takes customers below 100 only."""
+    return _slotted(t.customer.filter("c_custkey < 100"))
+
+
+@query("SELECT c_custkey, i, c_acctbal + 10800 * CAST(0.9 AS DOUBLE) / 20 * (i + CAST(0.5 AS DOUBLE)) AS at FROM (SELECT c_custkey, c_acctbal, CAST(unnest(range(0, 20)) AS INTEGER) AS i FROM customer)")
+def session_slots_all(t: _Tables) -> DataFrame:
+    """ST9: slots of all customers."""
+    return _slotted(t.customer)
+
+
+def _slotted(customers: DataFrame) -> DataFrame:
+    return customers.select("c_custkey", F.posexplode(schedule.slots(F.col("c_acctbal"), F.lit(10800))).alias("i", "at"))
 
 
 @query("SELECT c_custkey AS term_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN greatest(o.m, TIMESTAMP '1999-01-01') ELSE o.m END AS last_seen FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
