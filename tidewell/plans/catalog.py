@@ -72,8 +72,18 @@ def term_hits(t: _Tables) -> DataFrame:
 
 @query(f"SELECT doc_id AS post_id, term_id, match_start, match_start + length(name) AS match_end FROM ({_SPANS}) JOIN (VALUES {{TERMS}}) t(term_id, name) USING (term_id) WHERE term_id IN (4, 5)")
 def term_spans(t: _Tables) -> DataFrame:
-    """every occurrence of two terms with its place."""
-    hits = matching.span_hits(t.posts(), t.terms().filter("term_id in (4, 5)"))
+    """every occurrence of two terms with its place, as its SQL has it."""
+    return _spans(t, t.terms().filter("term_id in (4, 5)"))
+
+
+@query(f"SELECT doc_id AS post_id, term_id, match_start, match_start + length(name) AS match_end FROM ({_SPANS}) JOIN (VALUES {{TERMS}}) t(term_id, name) USING (term_id)")
+def term_spans_all(t: _Tables) -> DataFrame:
+    """every occurrence of all terms."""
+    return _spans(t, t.terms())
+
+
+def _spans(t: _Tables, terms: DataFrame) -> DataFrame:
+    hits = matching.span_hits(t.posts(), terms)
     return hits.select("post_id", "term_id", F.col("match_start").cast("long").alias("match_start"), F.col("match_end").cast("long").alias("match_end"))
 
 
@@ -139,8 +149,8 @@ def split_ranges(t: _Tables) -> DataFrame:
 
 @query()
 def context_chunks(t: _Tables) -> DataFrame:
-    """Context chunks around the hits of two terms."""
-    terms = t.terms().filter("term_id in (4, 5)")
+    """Context chunks around the hits of all terms."""
+    terms = t.terms()
     found = matching.posts_with_hits(t.posts(), matching.span_hits(t.posts(), terms), terms)
     return contexts.chunks(found).select("post_id", "chunk_index", F.length("chunk").alias("n"))
 
@@ -440,9 +450,17 @@ def english_posts(t: _Tables) -> DataFrame:
 
 @query("SELECT event_type, user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL")
 def union_distinct(t: _Tables) -> DataFrame:
-    """Union of parts and distinct keys."""
-    a = t.events.filter("event_id % 4 = 0")
-    b = t.events.filter("event_id % 4 = 2")
+    """Union of parts and distinct keys; its SQL counts even events only."""
+    return _united(t.events.filter("event_id % 4 = 0"), t.events.filter("event_id % 4 = 2"))
+
+
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
+def union_distinct_all(t: _Tables) -> DataFrame:
+    """Union of two parts that cover the table."""
+    return _united(t.events.filter("event_id % 2 = 0"), t.events.filter("event_id % 2 = 1"))
+
+
+def _united(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
@@ -520,9 +538,19 @@ def tree_load(t: _Tables) -> DataFrame:
 
 @query("SELECT 7 AS scrape_job_id, event_id AS post_id FROM events WHERE user_id < 50 AND event_id % 2 = 1")
 def link_posts(t: _Tables) -> DataFrame:
-    """K3: new links of a batch to its job."""
+    """K3: new links of a batch to its job; its SQL takes a batch of users below 50."""
+    return _linked(t, t.events.filter("user_id < 50"))
+
+
+@query("SELECT 7 AS scrape_job_id, event_id AS post_id FROM events WHERE event_id % 2 = 1")
+def link_posts_all(t: _Tables) -> DataFrame:
+    """K3: a batch of all events, of which the even ones are linked already."""
+    return _linked(t, t.events)
+
+
+def _linked(t: _Tables, batch: DataFrame) -> DataFrame:
     reg = t.events.select(F.col("event_id").alias("id"), F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit("").alias("key2"))
-    batch = t.events.filter("user_id < 50").select(F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"))
+    batch = batch.select(F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"))
     bridge = t.events.filter("event_id % 2 = 0").select(F.lit(7).cast("long").alias("scrape_job_id"), F.col("event_id").alias("post_id"))
     return ingest.link_posts(bridge, reg, batch, 7).select(F.col("scrape_job_id").cast("int").alias("scrape_job_id"), "post_id")
 
