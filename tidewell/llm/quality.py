@@ -19,7 +19,7 @@ STEPS = 3
 CONSISTENCY = 1.41
 #: Squared distance beyond which a document is rejected; chi-squared with five degrees exceeds it about once in ten million.
 CUTOFF = 42.0
-#: Documents that an estimate of its own needs; smaller groups are estimated together, by language and then overall.
+#: Documents that an estimate of its own needs; smaller groups are held against all of their language, or of the corpus.
 MIN_GROUP = 60
 #: Rows of a table of groups that is sent along; larger ones are joined by dealing both sides by key.
 SENT_ROWS = 50_000
@@ -96,14 +96,27 @@ def _sent(groups: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """Adds ``grp``, the group whose estimate a row is held against."""
+    """``(lang, source, grp)`` of each language and source of ``rows``: the group whose estimate its rows are held against.
+
+    That is the source's own, or that of all rows of its language, or of all rows (``*``): the first of ``MIN_GROUP`` rows.
+    """
     own = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    lang = own.filter(F.col("n") < MIN_GROUP).groupBy("lang").agg(F.sum("n").alias("m"))
-    keys = own.join(lang.withColumnRenamed("lang", "lang2"), F.col("lang").eqNullSafe(F.col("lang2")), "left")
+    lang = own.groupBy(F.col("lang").alias("lang2")).agg(F.sum("n").alias("m"))
+    keys = own.join(lang, F.col("lang").eqNullSafe(F.col("lang2")))
     part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
     name = F.when(F.col("n") >= MIN_GROUP, F.concat(part("lang"), F.lit("\t"), part("source"))).when(F.col("m") >= MIN_GROUP, part("lang")).otherwise(F.lit("*"))
-    keys = materialise(keys.select(F.col("lang").alias("l"), F.col("source").alias("s"), name.alias("grp")), "groups")
-    return rows.join(_sent(keys), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+    return materialise(keys.select("lang", "source", name.alias("grp")), "groups")
+
+
+def placed(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """``rows`` once for each group of ``keys`` that is estimated over them: their own, and those of their language and
+    of all rows where some small group is held against these."""
+    part = F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
+    wide = keys.filter(F.col("grp") == part).select("grp").distinct()
+    own = keys.filter((F.col("grp") != part) & (F.col("grp") != "*"))
+    a = rows.join(_sent(materialise(own.withColumnsRenamed({"lang": "l", "source": "s"}), "own")), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
+    out = a.unionByName(rows.withColumn("grp", part).join(_sent(materialise(wide, "wide")), "grp", "left_semi"))
+    return out.unionByName(rows.withColumn("grp", F.lit("*"))) if keys.filter("grp = '*'").head(1) else out
 
 
 def _quantile_bins(rows: DataFrame, keys: list[str], bin_: str, share: float) -> DataFrame:
@@ -165,17 +178,17 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """Base counts, base_failed, kept and the squared distance ``d2`` of every row of ``docs``.
 
     Estimates use the documents that pass the base rules. Null lang or source is a group like any other; groups with
-    few documents share an estimate, and with fewer than ``MIN_GROUP`` documents in all nothing is rejected beyond the
-    base rules. Repeated rows count as often as they occur; an empty table gives an empty result.
+    few documents are held against the estimate of their whole language, or of all documents if that has few as well,
+    and with fewer than ``MIN_GROUP`` documents in all nothing is rejected beyond the base rules. Repeated rows count as often as they occur; an empty table gives an empty result.
     """
     rows = counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text"), ["doc_id", "lang", "source"])
     rows = materialise(rows.withColumns({**vector(), "base_failed": base_failed()}), "counts")
     passed = rows.filter(~F.col("base_failed")).select("doc_id", "lang", "source", *STATISTICS)
-    placed = materialise(grouped(passed), "placed")
-    enough = placed.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_GROUP).select("grp")
-    est = estimate(placed.join(_sent(materialise(enough, "enough")), "grp", "left_semi"))
-    keys = placed.select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp").distinct()
-    held = rows.join(_sent(materialise(keys, "keys")), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
+    keys = grouped(passed)
+    members = materialise(placed(passed, keys), "placed")
+    enough = members.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_GROUP).select("grp")
+    est = estimate(members.join(_sent(materialise(enough, "enough")), "grp", "left_semi"))
+    held = rows.join(_sent(keys.withColumnsRenamed({"lang": "l", "source": "s"})), F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").drop("l", "s")
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)
     return with_distance(held, est).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "d2")
 
