@@ -1,5 +1,6 @@
 """Groups and distances of the quality method on made documents."""
 
+import math
 import random
 
 from tidewell.llm import quality
@@ -28,3 +29,15 @@ def test_small_sources_are_judged(spark):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert all(r["d2"] is not None for r in got.values()) and len(got) == 164
     assert all(got[k]["kept"] for k in range(160)) and not any(got[k]["kept"] for k in range(160, 164))
+
+
+def test_floors_are_a_minimum_and_the_cutoff_a_quantile(spark):
+    rng = random.Random(6)
+    rows = [("g", *(rng.gauss(0, 3 if k < 2 else 0) for k in range(5))) for _ in range(500)]
+    est = quality._estimate(spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double, x4 double")).first()
+    mean = sum(r[1] for r in rows) / 500
+    var = quality.CONSISTENCY * sum((r[1] - mean) ** 2 for r in rows) / 500
+    assert abs(est["w00"] * var**0.5 - 1) < 1e-6 and abs(est["w22"] * quality.STATISTICS["x2"] - 1) < 1e-6
+    x = quality.CUTOFF
+    beyond = math.erfc((x / 2) ** 0.5) + (2 * x / math.pi) ** 0.5 * math.exp(-x / 2) * (1 + x / 3)
+    assert abs(beyond - 0.001) < 1e-5

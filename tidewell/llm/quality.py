@@ -17,8 +17,8 @@ SUPPORT = 0.75
 STEPS = 3
 #: Makes the covariance of the closest 75 % of a five-dimensional normal sample consistent: 0.75 / F7(chi2_5^-1(0.75)).
 CONSISTENCY = 1.41
-#: Squared distance beyond which a document is rejected; chi-squared with five degrees exceeds it about once in ten million.
-CUTOFF = 42.0
+#: Squared distance beyond which a document is rejected: the 99.9 % quantile of chi-squared with five degrees.
+CUTOFF = 20.515
 #: Documents that an estimate of its own needs; smaller groups are held against all of their language, or of the corpus.
 MIN_GROUP = 60
 #: Rows of a table of groups that is sent along; larger ones are joined by dealing both sides by key.
@@ -141,11 +141,12 @@ def _start(rows: DataFrame) -> DataFrame:
 
 
 def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and inverse Cholesky factor of each group's covariance over ``rows``, with the floors added."""
+    """Mean and inverse Cholesky factor of each group's covariance over ``rows``, variances at least the floors'."""
     pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
     moments = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"u{i}") for i in range(_D)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i, j in pairs))
     floors = list(STATISTICS.values())
-    est = moments.withColumns({f"c{i}{j}": (F.col(f"m{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")) * CONSISTENCY + F.lit(floors[i] ** 2 if i == j else 0.0) for i, j in pairs})
+    cov = {(i, j): (F.col(f"m{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")) * CONSISTENCY for i, j in pairs}
+    est = moments.withColumns({f"c{i}{j}": F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c for (i, j), c in cov.items()})
     for i in range(_D):  # Cholesky, row by row; each entry is a column of its own so that expressions stay short
         for j in range(i + 1):
             rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)), F.lit(0.0))
