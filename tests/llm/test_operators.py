@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -138,9 +139,65 @@ def test_token_shards_equal_the_tokenizer(spark, docs, texts, none):
 def test_encoder_on_odd_texts(text):
     from tokenizers import Tokenizer
 
-    ids, sizes = tokens.Encoder(vocabulary()).encode([text, None, text])
-    want = Tokenizer.from_file(vocabulary()).encode(text, add_special_tokens=False).ids
-    assert ids.tolist() == want * 2 and sizes.tolist() == [len(want), 0, len(want)]
+    import public_tokenizers
+
+    for path in (vocabulary(), public_tokenizers.path("byte_bpe_50k.json")):  # the second keeps case and white space
+        enc = tokens.Encoder(path)
+        ids, sizes = enc.encode(pa.array([text, None, text]).slice(0, 3))
+        want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want * 2 and sizes.tolist() == [len(want), 0, len(want)]
+        assert enc.by_piece == (path == vocabulary())
+
+
+def test_encoder_on_random_chunks_with_a_small_cache():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    parts = ["a", "Ü", "ß", "ª", "'s", "'", "\"", "(", "),", "...", "1", "é", "<|", "|>", "endoftext", "中", "İ", " ", "\n", "\t", "-", "!?", "don't", "µm", "\u0301"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(600)]
+    enc, plain = tokens.Encoder(vocabulary(), cache=50), Tokenizer.from_file(vocabulary())
+    for at in range(0, 600, 97):
+        ids, sizes = enc.encode(pa.array(texts[at : at + 97]))
+        want = [plain.encode(t, add_special_tokens=False).ids for t in texts[at : at + 97]]
+        assert ids.tolist() == [i for x in want for i in x] and sizes.tolist() == list(map(len, want))
+
+
+def test_shards_of_hot_ids_and_many_files(spark, texts):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(vocabulary())
+    rows = [(None, t) for t in texts] + [(5, t) for t in texts] + [(-3, "x y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    import tempfile
+
+    path = f"file://{tempfile.mkdtemp()}/s"
+    tokens.write_shards(table, vocabulary(), path, shard_ids=300, file_bytes=20_000)
+    places = tokens.shard_places(spark, path)
+    assert places.select("part").distinct().count() > 3 and places.count() > 20
+    got = sorted(tokens.read_shards(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * len(texts) + [-3] + [5] * len(texts)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    size = lambda t: len(plain.encode(t or "", add_special_tokens=False).ids) + 1
+    assert sorted(r["n_tokens"] for r in got if r["doc_id"] is None) == sorted(map(size, texts))
+
+
+def test_files_keep_every_byte(spark, tmp_path):
+    from tidewell.llm import binfiles
+
+    frames = [bytes(range(256)) * 3, b"", b"\n\r\n", bytes(range(255, -1, -1))]
+    binfiles.write_frames(spark.createDataFrame([(f,) for f in frames], "frame binary").coalesce(1), str(tmp_path / "b"))
+    (row,) = binfiles.files(spark, str(tmp_path / "b")).collect()
+    with binfiles.RangeFile(row["path"]) as file:
+        assert file.read(0, file.size) == b"".join(f + b"\n" for f in frames)
+
+
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(3)
+    raw = (rng.zipf(1.3, 60_000) % 3000).astype(np.uint32)
+    for base in (49408, 70000):
+        rules, seq = repair.compress(raw, base)
+        assert np.array_equal(repair.expand(seq, rules, base), raw) and len(rules) > 50
+        assert max(Counter(zip(seq[:-1].tolist(), seq[1:].tolist())).values()) < repair.MIN_COUNT
 
 
 @pytest.mark.parametrize("ids", [[], [7], [5] * 1001, [1, 2] * 500, list(range(100)) * 40, list(np.random.default_rng(1).integers(0, 6, 20000))])

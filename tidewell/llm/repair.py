@@ -1,76 +1,134 @@
 """Re-Pair grammar compression of id sequences, with random access.
 
-Frequent adjacent pairs become nonterminals, round by round: a round counts all pairs exactly, takes the most
-frequent ones that cannot overlap each other, and replaces every occurrence at once. Stored are the rules, each
-rule's expansion length and sampled positions, so any range of ids decodes without expanding what precedes it.
+Frequent adjacent pairs become nonterminals, round by round, until no pair occurs ``MIN_COUNT`` times. A round takes
+pairs by falling count, leaving out those that could overlap a pair taken before, and replaces every occurrence at once.
+Counts are kept from round to round: a pair of known symbols can only lose occurrences, and every new pair holds a
+symbol of the round, so only the surroundings of replaced places are counted again (all of the sequence while a round
+still replaces a large part of it). Stored are the rules, each rule's expansion length and sampled positions, so any
+range of ids decodes without expanding what precedes it.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MAX_ROUNDS = 6
+#: Occurrences that make a pair frequent.
 MIN_COUNT = 24
-RULES_A_ROUND = 2048
 #: Symbols between two stored positions.
 SAMPLE = 1024
+#: Cells of a dense table of pairs at most; larger ones are searched by key.
+_DENSE = 1 << 22
+_LOW = (1 << 32) - 1
 
 
-def _choose(pairs: np.ndarray, counts: np.ndarray, shift: int, room: int) -> np.ndarray:
-    """Most frequent pairs first; a symbol that ends one chosen pair may not begin another."""
-    order = np.lexsort((pairs, -counts))[: 2 * RULES_A_ROUND]
-    begins, closes, chosen = set(), set(), []
-    mask = (1 << shift) - 1
-    for pair in pairs[order].tolist():
-        a, b = pair >> shift, pair & mask
-        if a in closes or b in begins or a == b and (a in begins or b in closes):
-            continue
-        begins.add(a), closes.add(b), chosen.append(pair)
-        if len(chosen) >= min(room, RULES_A_ROUND):
-            break
-    return np.array(sorted(chosen), pairs.dtype)
+def _tally(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys)))
+
+
+def _frequent(seq: np.ndarray, symbols: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs ``first << 32 | second`` that occur ``least`` times in ``seq``, and their counts."""
+    if len(seq) < 2:
+        return seq[:0], seq[:0]
+    if symbols > 1 << 16:
+        keys, counts = _tally((seq[:-1] << 32) | seq[1:])
+        return keys[counts >= least], counts[counts >= least]
+    keys, counts = _tally(((seq[:-1] << 16) | seq[1:]).astype(np.uint32))
+    keys, counts = keys[counts >= least].astype(np.int64), counts[counts >= least]
+    return (keys >> 16 << 32) | (keys & 0xFFFF), counts
+
 
+def _choose(pairs: np.ndarray, counts: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and second symbols of the pairs to replace: by falling count, each pair unless one taken before it ends
+    with its first symbol or begins with its second.
 
-def compress(ids: np.ndarray, base: int, max_rounds: int = MAX_ROUNDS, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    Pairs that no better one stands against are taken together, until none is left to decide.
+    """
+    pairs = pairs[np.lexsort((pairs, -counts))]
+    a, b = pairs >> 32, pairs & _LOW
+    begun, ended = np.zeros(symbols, bool), np.zeros(symbols, bool)
+    begins, ends = np.empty(symbols, np.int64), np.empty(symbols, np.int64)
+    taken, live = [], np.arange(len(pairs))
+    while len(live):
+        x, y = a[live], b[live]
+        begins.fill(len(pairs)), ends.fill(len(pairs))
+        begins[x[::-1]], ends[y[::-1]] = live[::-1], live[::-1]  # the best pair stays
+        ok = (ends[x] >= live) & (begins[y] >= live)
+        taken.append(live[ok])
+        begun[x[ok]], ended[y[ok]] = True, True
+        live = live[~ok & ~ended[x] & ~begun[y]]
+        live = live[(a[live] != b[live]) | ~(begun[a[live]] | ended[a[live]])]
+    taken = np.sort(np.concatenate(taken))
+    return a[taken], b[taken]
+
+
+def _places(seq: np.ndarray, a: np.ndarray, b: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pairs ``(a, b)`` occur in ``seq`` without overlap, and which pair it is."""
+    rows, row_of = np.unique(a, return_inverse=True)
+    columns, column_of = np.unique(b, return_inverse=True)
+    row, column = np.zeros(symbols, np.int64), np.zeros(symbols, np.int64)
+    row[rows], column[columns] = np.arange(1, len(rows) + 1), np.arange(1, len(columns) + 1)
+    at = np.flatnonzero((row > 0)[seq[:-1]] & (column > 0)[seq[1:]])
+    width = len(columns) + 1
+    keys, own = row[seq[at]] * width + column[seq[at + 1]], (row_of + 1) * width + column_of + 1
+    if len(rows) * len(columns) <= _DENSE:
+        cells = np.full((len(rows) + 1) * width, -1, np.int32)
+        cells[own] = np.arange(len(own))
+        which = cells[keys]
+    else:
+        order = np.argsort(own)
+        near = order[np.minimum(np.searchsorted(own[order], keys), len(own) - 1)]
+        which = np.where(own[near] == keys, near, -1)
+    at, which = at[which >= 0], which[which >= 0]
+    # only a pair of equal symbols can overlap itself: of each run of adjacent places every other one counts
+    fresh = np.concatenate(([True], np.diff(at) != 1))
+    if not fresh.all():
+        start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
+        even = (np.arange(len(at)) - start) % 2 == 0
+        at, which = at[even], which[even]
+    return at, which
+
+
+def _around(at: np.ndarray, offsets: tuple[int, ...], stop: int) -> np.ndarray:
+    """The distinct places ``at + offset`` below ``stop``, in order."""
+    near = np.sort(np.concatenate([at + o for o in offsets]))
+    near = near[(near >= 0) & (near < stop)]
+    return near[np.concatenate((near[1:] != near[:-1], [True]))] if len(near) else near
+
+
+def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np.ndarray, np.ndarray]:
     """``(rules [k, 2], sequence)``; symbol ``base + i`` stands for rule i. All ids are below ``base``."""
-    narrow = base < 1 << 16
-    shift, dtype = (16, np.uint32) if narrow else (32, np.uint64)
-    limit = (1 << shift) - base
-    seq = ids.astype(dtype)
+    seq, symbols = ids.astype(np.int64), base
     rules: list[np.ndarray] = []
-    made = 0
-    for _ in range(max_rounds):
-        if len(seq) < 2 or made >= limit:
-            break
-        keys = (seq[:-1] << dtype(shift)) | seq[1:]
-        ordered = np.sort(keys)
-        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        counts = np.diff(np.append(first, len(ordered)))
-        often = counts >= min_count
-        if not often.any():
-            break
-        chosen = _choose(ordered[first[often]], counts[often], shift, limit - made)
-        begins = np.zeros(base + made + 1, bool)
-        begins[(chosen >> dtype(shift)).astype(np.int64)] = True
-        at = np.flatnonzero(begins[seq[:-1]])
-        rank = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(rank, len(chosen) - 1)] == keys[at]
-        at, rank = at[hit], rank[hit]
-        # only a pair of equal symbols can overlap itself: of each run of adjacent hits every other one counts
-        runs = np.concatenate(([True], np.diff(at) != 1))
-        start = np.maximum.accumulate(np.where(runs, np.arange(len(at)), 0))
-        even = (np.arange(len(at)) - start) % 2 == 0
-        at, rank = at[even], rank[even]
-        before = len(seq)
-        seq[at] = dtype(base + made) + rank.astype(dtype)
-        keep = np.ones(before, bool)
+    keys, counts = _frequent(seq, symbols, min_count)
+    while len(keys):
+        a, b = _choose(keys, counts, symbols)
+        at, which = _places(seq, a, b, symbols)
+        many = 8 * len(at) > len(seq)
+        if not many:
+            gone = _around(at, (-1, 0, 1), len(seq) - 1)
+            lost = (seq[gone] << 32) | seq[gone + 1]
+            place = np.minimum(np.searchsorted(keys, lost), len(keys) - 1)
+            counts = counts - np.bincount(place[keys[place] == lost], minlength=len(keys))
+        seq[at] = symbols + which
+        keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        rules.append(np.column_stack((chosen >> dtype(shift), chosen & dtype((1 << shift) - 1))).astype(np.uint32))
-        made += len(chosen)
-        if len(seq) > 0.98 * before:
-            break
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq.astype(np.uint16 if narrow else np.uint32)
+        symbols += len(a)
+        rules.append(np.column_stack((a, b)))
+        if many:
+            keys, counts = _frequent(seq, symbols, min_count)
+            continue
+        near = _around(at - np.arange(len(at)), (-1, 0), len(seq) - 1)
+        new, often = _tally((seq[near] << 32) | seq[near + 1]) if len(near) else (near, near)
+        keys = np.concatenate((keys[counts >= min_count], new[often >= min_count]))
+        counts = np.concatenate((counts[counts >= min_count], often[often >= min_count]))
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order]
+    grammar = np.concatenate(rules).astype(np.uint32) if rules else np.zeros((0, 2), np.uint32)
+    return grammar, seq.astype(np.uint16 if symbols <= 1 << 16 else np.uint32)
 
 
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:

@@ -14,12 +14,12 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.llm import binfiles
+from tidewell.llm.binfiles import RangeFile
 from tidewell.session import materialise, scratch, ship, shuffle_partitions
 
 #: Payloads of fewer bytes are never revisits.
@@ -65,32 +65,6 @@ class ZipWriter:
         return bytes(out)
 
 
-class RangeFile:
-    """Positioned reads of a file by URI or path."""
-
-    def __init__(self, uri: str) -> None:
-        parsed = urlparse(uri)
-        if parsed.scheme in ("", "file"):
-            self.file = open(unquote(parsed.path) if parsed.scheme else uri, "rb")
-            self.size = self.file.seek(0, 2)
-        else:
-            from pyarrow import fs
-
-            store, path = fs.FileSystem.from_uri(uri)
-            self.file = store.open_input_file(path)
-            self.size = self.file.size()
-
-    def read(self, offset: int, length: int) -> bytes:
-        self.file.seek(offset)
-        return self.file.read(length)
-
-    def __enter__(self):
-        return self
-
-    def __exit__(self, *_) -> None:
-        self.file.close()
-
-
 @dataclass(frozen=True)
 class Member:
     """A stored member: where its data begins in the package, its length and checksum."""
