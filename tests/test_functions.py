@@ -117,9 +117,10 @@ def test_chunks_hold_their_hits(spark):
     assert got[1, 0].startswith("Sentence 26") and got[1, 0].endswith("Sentence 34 ends here.") and len(got[2, 0]) == 2001
 
 
-def test_relocate():
-    assert contexts.relocate("he took the shot", "the man took the shot", 12, 16, "shot") == (17, 21)
-    assert contexts.relocate("abc", "zzzz", 0, 1, "q")[1] <= 4
+def test_relocated(spark):
+    rows = spark.createDataFrame([("he took the shot", "the man took the shot", 12, 16, "shot"), ("abc", "zzzz", 0, 1, "q")], "original string, rewritten string, match_start int, match_end int, term_name string")
+    a, b = (r["place"] for r in contexts.relocated(rows.coalesce(1)).collect())
+    assert tuple(a) == (17, 21) and b["end"] <= 4
 
 
 def test_budget_rejections_do_not_count(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tidewell.functions import arrays
+
 
 def blank_to_null(text: Column) -> Column:
     return F.nullif(F.trim(text), F.lit(""))
@@ -50,6 +52,9 @@ def domain(url: Column) -> Column:
     return F.split_part(url, F.lit("/"), F.lit(3))
 
 
+# Forms of links that must match the platforms' own: fixed values.
+
+
 def telegram_link(channel: Column, channel_id: Column, message_id: Column) -> Column:
     """Public link by name, or the private form by numeric id."""
     return F.when(blank_to_null(channel).isNotNull(), F.concat_ws("/", F.lit("https://t.me"), channel, message_id.cast("string"))).otherwise(F.concat_ws("/", F.lit("https://t.me/c"), channel_id.cast("string"), message_id.cast("string")))
@@ -61,12 +66,21 @@ def video_link(video_id: Column, comment_id: Column | None = None) -> Column:
 
 
 def audio_candidates(url: Column) -> Column:
-    """Audio file URLs hidden in a tracking URL, deepest first, without query strings, distinct."""
-    parts = F.split(F.try_url_decode(url), "/", -1)
-    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
-    found = F.transform(tails, lambda t: F.regexp_extract(t, r"(?i)^([a-z0-9.-]+\.[a-z]{2,}/[^\s\"']+\.(?:mp3|m4a|wav|aac))", 1))
-    full = F.transform(F.filter(found, lambda c: c != ""), lambda c: F.split_part(F.when(c.startswith("http"), c).otherwise(F.concat(F.lit("https://"), c)), F.lit("?"), F.lit(1)))
-    return F.array_distinct(F.reverse(full))
+    """Audio file URLs hidden in a tracking URL, deepest first, without query strings, distinct.
+
+    What stands before the last audio ending of the decoded URL is taken apart at slashes; every part that reads like a
+    host name begins a candidate that runs to that ending.
+    """
+    path = F.regexp_extract(F.regexp_replace(F.try_url_decode(url), r"[\s\"'].*$", ""), r"(?i)^.*[^/][.](?:mp3|m4a|wav|aac)", 0)
+    host = lambda part: part.rlike(r"(?i)^[a-z0-9.-]+[.][a-z]{2,}$")
+
+    def of(parts: Column) -> Column:
+        last = F.size(parts)
+        begins = F.filter(F.sequence(last - 1, F.lit(0), F.lit(-1)), lambda k: (k < last - 1) & host(F.get(parts, k)))
+        whole = lambda k: F.concat(F.lit("https://"), F.array_join(F.slice(parts, k + 1, last - k), "/"))
+        return F.array_distinct(F.transform(begins, lambda k: F.split_part(whole(k), F.lit("?"), F.lit(1))))
+
+    return F.when(F.try_url_decode(url).isNotNull(), arrays.let(F.split(path, "/", -1), of))
 
 
 def to_int(raw: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Fixed values of the schedules.
 ALPHA = 0.3
@@ -20,6 +20,19 @@ def ewma(rates: Column, alpha: float = ALPHA) -> Column:
     return F.aggregate(rates, F.lit(0.0), lambda r, x: F.when(r == 0.0, x).otherwise(alpha * x + (1 - alpha) * r))
 
 
+def latest_ewma(rows: DataFrame, key: str, order: str, rate: str, alpha: float = ALPHA) -> DataFrame:
+    """``(key, rate)``: the fold of ``ewma`` over each key's rates (0 or more) in ``order``, without gathering them.
+
+    The fold is a weighted sum: the n-th latest rate counts ``alpha (1 - alpha)^n``, the first above 0 its whole rest,
+    and those before it nothing. Rows are ranked within their key by a sort that may spill, and summed in parts.
+    """
+    back = F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc())) - 1
+    first = F.min(F.when(F.col(rate) != 0, F.col(order))).over(Window.partitionBy(key))
+    ranked = rows.select(key, order, rate, back.alias("_back"), first.alias("_first"))
+    weight = F.when(F.col(order) == F.col("_first"), 1.0).when(F.col(order) > F.col("_first"), alpha).otherwise(0.0) * F.pow(F.lit(1 - alpha), F.col("_back"))
+    return ranked.groupBy(key).agg(F.coalesce(F.sum(F.col(rate) * weight), F.lit(0.0)).alias("rate"))
+
+
 def revisit_seconds(rate: Column, new_items: Column) -> Column:
     """Time until the next visit: a full page's worth at the buffered rate, within bounds; the longest if nothing is new."""
     wait = F.least(F.lit(MOST_INTERVAL_S), F.greatest(F.lit(LEAST_INTERVAL_S), CAPACITY / (rate * BUFFER)))

@@ -124,15 +124,21 @@ def _stems():
     return run
 
 
-def lexemes(rows: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
-    """``(key, lexemes)``: the distinct lexemes of each row's text, sorted.
+def exploded(rows: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
+    """``(key, lexeme)``: a row for each distinct lexeme of each row's text.
 
     Stems are computed once per distinct token of the whole table and joined back.
     """
-    words = rows.select(key, tokens(F.col(text)).alias("_tokens"))
+    words = rows.select(key, F.explode(tokens(F.col(text))).alias("lexeme"))
+    if not stemmed:
+        return words
+    stems = words.select("lexeme").distinct().withColumn("_stem", _stems()("lexeme"))
+    return words.join(stems.hint("merge"), "lexeme").select(key, F.col("_stem").alias("lexeme")).distinct()
+
+
+def lexemes(rows: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
+    """``(key, lexemes)``: the distinct lexemes of each row's text, sorted."""
     if not stemmed:
-        return words.select(key, F.array_sort("_tokens").alias("lexemes"))
-    exploded = words.select(key, F.explode("_tokens").alias("_token"))
-    stems = exploded.select("_token").distinct().withColumn("_stem", _stems()("_token"))
-    found = exploded.join(stems, "_token").groupBy(key).agg(F.array_sort(F.collect_set("_stem")).alias("lexemes"))
-    return words.select(key).join(found, key, "left").select(key, F.coalesce("lexemes", F.array().cast("array<string>")).alias("lexemes"))
+        return rows.select(key, F.array_sort(tokens(F.col(text))).alias("lexemes"))
+    found = exploded(rows, key, text).groupBy(key).agg(F.array_sort(F.collect_set("lexeme")).alias("lexemes"))
+    return rows.select(key).join(found, key, "left").select(key, F.coalesce("lexemes", F.array().cast("array<string>")).alias("lexemes"))

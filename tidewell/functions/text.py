@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-_URL = r"(?iu)(?:https?://\S+|www\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*)"
+from tidewell.functions import arrays
+
+#: A link that says so, and a host with a path, each up to the next white space.
+_LINK = r"(?i)(?:https?://|www[.])\S+"
+_HOST_AND_PATH = r"(?i)\b(?:[a-z0-9-]+[.])+[a-z0-9-]+/\S*"
 _HANDLE = r"(?u)@[\p{L}\p{N}_]+"
 #: Typed placeholders of redaction: fixed values.
 PLACEHOLDERS = {
@@ -14,7 +18,7 @@ PLACEHOLDERS = {
     "ip": "[REDACTED_IP]",
     "phone": "[REDACTED_PHONE]",
 }
-_REDACT = {
+REDACTED = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
@@ -25,7 +29,7 @@ _REDACT = {
 
 def strip_noise(text: Column) -> Column:
     """Without URLs, @handles and hash marks; white space collapsed. Null gives the empty string."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _URL, " ")
+    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _LINK, " "), _HOST_AND_PATH, " ")
     t = F.translate(F.regexp_replace(t, _HANDLE, " "), "#", " ")
     return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
 
@@ -49,7 +53,7 @@ def truncate(text: Column, limit: int = 4000) -> Column:
 def redact(text: Column) -> Column:
     """Personal data replaced by typed placeholders, most specific kinds first; null gives the empty string."""
     out = F.coalesce(text, F.lit(""))
-    for kind, pattern in _REDACT.items():
+    for kind, pattern in REDACTED.items():
         out = F.regexp_replace(out, pattern, PLACEHOLDERS[kind])
     return out
 
@@ -84,16 +88,10 @@ def spans(text: Column, term: Column) -> Column:
     no occurrence; null text or term gives null.
     """
     quoted = F.concat(F.lit(r"(?iu)\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    parts = F.split(text, quoted, -1)
-    size = F.length(term)
-
-    def step(state: Column, part: Column) -> Column:
-        start = state["at"] + F.length(part)
-        return F.struct((start + size).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), (start + size).alias("end")))).alias("out"))
-
+    gaps = F.transform(F.split(text, quoted, -1), lambda p: F.length(p))
     empty = F.array().cast("array<struct<start: int, end: int>>")
-    found = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
-    return F.when(text.isNull() | term.isNull(), F.lit(None)).when(size == 0, empty).when(F.size(parts) == 1, empty).otherwise(found)
+    found = arrays.let(gaps, lambda g: F.when(F.size(g) > 1, arrays.placed(g, F.array_repeat(F.length(term), F.size(g) - 1))).otherwise(empty))
+    return F.when(text.isNull() | term.isNull(), F.lit(None)).when(F.length(term) == 0, empty).otherwise(found)
 
 
 def exceeds_any(scores: Column, thresholds: dict[str, float]) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tidewell.session import materialise
+from tidewell.session import materialise, numbered
 
 
 @dataclass
@@ -104,6 +104,53 @@ def quarantine(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     return rows.filter(ok), rows.filter(~ok)
 
 
+def rejected(rows: DataFrame, insert) -> DataFrame:
+    """Rows that ``insert`` refuses, with the ``error`` it raised; all others are inserted.
+
+    ``insert(record batch)`` runs on the executors, writes a batch whole or raises, and must bear being called again with
+    the same rows (a lost task is run again). A batch that fails is halved until the rows at fault stand alone.
+    """
+    names = rows.columns
+
+    def run(batches):
+        import pyarrow as pa
+
+        def tried(batch) -> list:
+            try:
+                insert(batch)
+                return []
+            except Exception as e:
+                if batch.num_rows == 1:
+                    return [(batch, f"{type(e).__name__}: {e}")]
+            half = batch.num_rows // 2
+            return tried(batch.slice(0, half)) + tried(batch.slice(half))
+
+        for batch in batches:
+            for bad, error in tried(batch) if batch.num_rows else ():
+                yield pa.RecordBatch.from_arrays([*bad.columns, pa.array([error])], [*names, "error"])
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "error string"]))
+
+
+def json_wrapped(rows: DataFrame) -> DataFrame:
+    """Structs, maps and arrays as JSON text, for targets that store such values in JSON columns."""
+    nested = (T.StructType, T.MapType, T.ArrayType)
+    return rows.select(*(F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in rows.schema))
+
+
+def fetch_states(states: DataFrame, answers: DataFrame, longest_error: int = 2000) -> DataFrame:
+    """Conditional-fetch state after a round of answers ``(id, etag, last_modified, http_status, error, at)``.
+
+    Validators that an answer lacks stay as they were (an answer of "not modified" may leave them out), errors are cut to
+    ``longest_error`` characters, and of several answers of an id the latest counts.
+    """
+    last = first_of(answers, ["id"], [F.col("at").desc_nulls_last()]).select("id", *(F.col(c).alias(f"_{c}") for c in ("etag", "last_modified", "http_status", "error", "at")), F.lit(True).alias("_hit"))
+    rows = states.join(last, "id", "left")
+    kept = lambda c: F.coalesce(F.nullif(f"_{c}", F.lit("")), c).alias(c)
+    new = lambda value, c: F.when(F.col("_hit"), value).otherwise(F.col(c)).alias(c)
+    return rows.select("id", kept("etag"), kept("last_modified"), new(F.col("_at"), "last_fetch_ts"), new(F.col("_http_status"), "last_http_status"), new(F.substring("_error", 1, longest_error), "last_error"))
+
+
 def align(rows: DataFrame, target: DataFrame, required: list[str] = ()) -> DataFrame:
     """Columns that both have, in the target's order; a missing required column raises ValueError."""
     if missing := [c for c in required if c not in rows.columns]:
@@ -111,10 +158,11 @@ def align(rows: DataFrame, target: DataFrame, required: list[str] = ()) -> DataF
     return rows.select(*(c for c in target.columns if c in rows.columns))
 
 
-def load_tree(nodes: DataFrame, id_: str, parent: str, present: DataFrame | None = None, passes: int = 12) -> DataFrame:
-    """Nodes whose ancestors are all loaded, with the pass that loads them: roots first, then children of loaded ones.
+def load_tree(nodes: DataFrame, id_: str, parent: str, present: DataFrame | None = None, passes: int = 12) -> tuple[DataFrame, DataFrame]:
+    """``(loaded, waiting)``: nodes whose ancestors are all loaded, with the pass that loads them (roots first, then
+    children of loaded ones), and the nodes that are not: without their parent, in a circle, or deeper than ``passes``.
 
-    Stops when a pass loads nothing, or after ``passes``.
+    Stops when a pass loads nothing. A later call with ``present`` set to what is loaded goes on with the deeper ones.
     """
     loaded = materialise(nodes.filter(F.col(parent).isNull()).withColumn("pass", F.lit(1)), "tree")
     have = loaded.select(F.col(id_).alias("_have"))
@@ -127,13 +175,13 @@ def load_tree(nodes: DataFrame, id_: str, parent: str, present: DataFrame | None
             break
         out = out.unionByName(layer)
         frontier = layer.select(F.col(id_).alias("_have"))
-    return out
+    return out, rest.join(out.select(F.col(id_).alias("_have")), F.col(id_) == F.col("_have"), "left_anti")
 
 
 def merge_term_state(state: DataFrame, terms: DataFrame, as_of: str, back_seconds: int = 60) -> DataFrame:
     """Schedule state against the list of terms: gone terms drop out, marks only advance, new terms queue one by one."""
     now = F.lit(as_of).cast("timestamp")
     kept = state.join(terms.select("term_id", F.col("name").alias("_name"), F.col("last_found_ts").alias("_ts")), "term_id").select("term_id", F.col("_name").alias("name"), F.greatest("last_seen", "_ts").alias("last_seen"), "rate", "next_run_at")
-    fresh = terms.join(state, "term_id", "left_anti").withColumn("_k", F.row_number().over(Window.orderBy("term_id")))
+    fresh = numbered(terms.join(state, "term_id", "left_anti"), ["term_id"], "_k")
     wait = (F.col("_k") * back_seconds).cast("int")
     return kept.unionByName(fresh.select("term_id", "name", F.col("last_found_ts").alias("last_seen"), F.lit(0.0).alias("rate"), (now + F.make_dt_interval(secs=wait)).alias("next_run_at")))

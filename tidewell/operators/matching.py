@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from tidewell.functions import stem, text
+from tidewell.functions import arrays, stem, text
+from tidewell.session import materialise
 
-#: Terms up to this many are sent to every executor; more go through the rarest-lexeme join.
+#: Terms up to this many are sent to every executor; more are joined by key.
 MOST_BROADCAST_TERMS = 2000
+#: Terms up to this many are each looked for in every post; more meet posts on runs of characters first.
+MOST_SCANNED_TERMS = 64
+_GRAM = 3
 
 
 def super_terms(terms: DataFrame, name: str = "name") -> DataFrame:
-    """Terms that some other term with fewer words is contained in, by words."""
+    """Terms that some other term with fewer words is contained in, by words.
+
+    A contained term's words are all in the other, so terms meet on each term's word that the fewest terms have.
+    """
     words = F.array_distinct(F.split(text.normal_term(F.trim(F.col(name))), r"\s+"))
     a = terms.select(F.col(name), words.alias("w"))
-    # a sub-term shares its rarest word, so terms meet on words instead of each with each
-    b = a.select(F.col("w").alias("bw"), F.element_at("w", 1).alias("word"))
+    exploded = a.select(name, F.explode("w").alias("word"))
+    rare = exploded.join(exploded.groupBy("word").agg(F.count("*").alias("n")), "word").groupBy(name).agg(F.min(F.struct("n", "word"))["word"].alias("word"))
+    b = a.join(rare, name).select(F.col("w").alias("bw"), "word")
     pairs = a.select(name, "w", F.explode("w").alias("word")).join(b, "word")
     return pairs.filter((F.size("w") > F.size("bw")) & (F.size(F.array_except("bw", "w")) == 0)).select(name).distinct()
 
@@ -27,34 +35,75 @@ def effective_terms(terms: DataFrame, name: str = "name") -> DataFrame:
 def candidates(posts: DataFrame, terms: DataFrame, stemmed: bool = True, key: str = "post_id", body: str = "text") -> DataFrame:
     """``(post_id, term_id)`` where the post has all lexemes of the term; a term of stop words only matches nothing.
 
-    Posts meet terms on each term's rarest lexeme in these posts, so pairs are bounded by that lexeme's occurrences.
+    Posts and terms meet on lexemes, one row each; a pair that meets on as many lexemes as the term has is a match. Counts
+    are summed within tasks first. Only the terms' side is ever sent along, and only while it is short.
     """
-    t = stem.lexemes(terms, "term_id", "name", stemmed).filter(F.size("lexemes") > 0).withColumnRenamed("lexemes", "need")
-    p = stem.lexemes(posts, key, body, stemmed)
-    occurring = p.select(key, F.explode("lexemes").alias("lexeme"))
-    wanted = t.select("term_id", F.explode("need").alias("lexeme"))
-    frequency = occurring.join(F.broadcast(wanted.select("lexeme").distinct()) if _few(t) else wanted.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
-    rank = F.row_number().over(Window.partitionBy("term_id").orderBy(F.coalesce("df", F.lit(0)), "lexeme"))
-    rarest = wanted.join(frequency, "lexeme", "left").withColumn("rank", rank).filter("rank = 1").select("term_id", "lexeme")
-    met = p.withColumn("lexeme", F.explode("lexemes")).join(rarest, "lexeme").join(t, "term_id")
-    return met.filter(F.size(F.array_except("need", "lexemes")) == 0).select(key, "term_id")
+    t = stem.lexemes(terms, "term_id", "name", stemmed).filter(F.size("lexemes") > 0)
+    wanted = t.select("term_id", F.size("lexemes").alias("need"), F.explode("lexemes").alias("lexeme"))
+    met = stem.exploded(posts, key, body, stemmed).join(_sent(wanted), "lexeme")
+    return met.groupBy(key, "term_id", "need").agg(F.count("*").alias("n")).filter("n = need").select(key, "term_id")
 
 
-def _few(terms: DataFrame) -> bool:
-    return len(terms.select("term_id").take(MOST_BROADCAST_TERMS + 1)) <= MOST_BROADCAST_TERMS
+def _few(terms: DataFrame, most: int = MOST_BROADCAST_TERMS) -> bool:
+    return len(terms.select("term_id").take(most + 1)) <= most
 
 
-def span_hits(posts: DataFrame, terms: DataFrame, key: str = "post_id", body: str = "text") -> DataFrame:
-    """``(post_id, term_id, match_start, match_end)`` of every literal occurrence, whatever the lexemes.
+def _sent(terms: DataFrame) -> DataFrame:
+    """The terms' side of a join with posts: sent along while it is short, else joined by key, never the posts' side."""
+    return F.broadcast(terms) if _few(terms, 4 * MOST_BROADCAST_TERMS) else terms.hint("merge")
+
+
+def grams(body: str) -> Column:
+    """Distinct runs of ``_GRAM`` characters of the lower-cased text; the whole of a shorter one."""
+    letters = F.split(F.lower(body), "")
+
+    def of(x: Column) -> Column:
+        x = F.filter(x, lambda c: c != "")
+        run = lambda x: F.zip_with(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda a, b: F.concat(a, b)), F.slice(x, F.lit(3), F.size(x)), lambda a, b: F.concat(a, b))
+        return arrays.let(x, lambda x: F.when(F.size(x) < _GRAM, F.array(F.array_join(x, ""))).otherwise(F.array_distinct(F.filter(run(x), lambda g: g.isNotNull()))))
+
+    return arrays.let(letters, of)
+
 
-    A short list of terms goes along to the posts; posts are scanned once and nothing is shuffled.
+def _met(posts: DataFrame, terms: DataFrame, key: str, body: str) -> DataFrame:
+    """``(key, body, term_id, name)`` of posts that contain a term.
+
+    A few terms, and those shorter than a run of characters, go along to the posts, which are scanned once. Of many terms each is
+    joined on the one of its runs that the fewest posts have; what meets is verified.
     """
-    t = terms.select("term_id", "name")
-    met = posts.select(key, body).join(F.broadcast(t) if _few(t) else t, F.lower(body).contains(F.lower("name")))
-    hit = met.select(key, "term_id", F.explode(text.spans(F.col(body), F.col("name"))).alias("h"))
+    t = terms.select("term_id", "name", F.lower("name").alias("_name")).filter("name <> ''")
+    p = posts.select(key, body, F.lower(body).alias("_low"))
+    scan = lambda some: p.join(F.broadcast(some), F.col("_low").contains(F.col("_name"))).select(key, body, "term_id", "name")
+    if _few(t, MOST_SCANNED_TERMS):
+        return scan(t)
+    t = materialise(t, "terms")
+    long = t.filter(F.length("_name") >= _GRAM)
+    own = long.select("term_id", F.explode(grams("name")).alias("gram"))
+    seen = posts.select(key, F.explode(grams(body)).alias("gram"))
+    frequency = seen.join(_sent(own.select("gram", F.lit(0).alias("term_id")).distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rare = own.join(frequency, "gram", "left").groupBy("term_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
+    pairs = seen.join(_sent(materialise(rare, "grams")), "gram").select(key, "term_id").join(_sent(long), "term_id")
+    met = p.join(pairs, key).filter(F.col("_low").contains(F.col("_name"))).select(key, body, "term_id", "name")
+    return met.unionByName(scan(t.filter(F.length("_name") < _GRAM)))
+
+
+def span_hits(posts: DataFrame, terms: DataFrame, key: str = "post_id", body: str = "text") -> DataFrame:
+    """``(post_id, term_id, match_start, match_end)`` of every literal occurrence, whatever the lexemes."""
+    hit = _met(posts, terms, key, body).select(key, "term_id", F.explode(text.spans(F.col(body), F.col("name"))).alias("h"))
     return hit.select(key, "term_id", F.col("h.start").alias("match_start"), F.col("h.end").alias("match_end"))
 
 
+def live_filter(rows: DataFrame, typed: str, column: str = "name") -> DataFrame:
+    """Rows whose ``column`` in lower case matches what was typed, as a pattern; all rows if that is blank."""
+    wanted = typed.strip().lower()
+    return rows.filter(F.coalesce(F.lower(column).rlike(wanted), F.lit(False))) if wanted else rows
+
+
+def hits_by_platform(hits: DataFrame, registry: DataFrame) -> DataFrame:
+    """Hits and distinct posts by the platform that the registry has for them."""
+    return hits.join(registry.select(F.col("id").alias("post_id"), "platform"), "post_id").groupBy("platform").agg(F.count("*").alias("hits"), F.countDistinct("post_id").alias("posts"))
+
+
 def match(posts: DataFrame, terms: DataFrame, state: DataFrame, version: str, as_of: str, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
     """``(hits, new state)`` of an incremental run.
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewell.functions import keys
+from tidewell.session import numbered
 
 
 @dataclass(frozen=True)
@@ -40,17 +41,17 @@ def source_keys(source: DataFrame, platform: Platform) -> DataFrame:
     return source.select(F.lit(platform.name).alias("platform"), F.col(platform.key1).cast("string").alias("key1"), key2.alias("key2"))
 
 
-def register(registry: DataFrame, candidates: DataFrame, order: list[Column] | None = None) -> DataFrame:
+def register(registry: DataFrame, candidates: DataFrame) -> DataFrame:
     """New registry rows ``(id, platform, key1, key2, post_key)`` for keys that are not registered yet.
 
-    Ids continue after the largest so far in the order of ``order`` (default: platform and keys), as cursors rely
-    on ids that only grow. The numbering is over one batch of new keys; key parts that are null never register.
+    Ids continue after the largest so far in the order of platform and keys, as cursors rely on ids that only grow.
+    Key parts that are null never register.
     """
     fresh = candidates.filter("platform is not null and key1 is not null and key2 is not null").dropDuplicates(["platform", "key1", "key2"])
     fresh = fresh.join(registry, ["platform", "key1", "key2"], "left_anti")
     top = registry.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
-    number = F.row_number().over(Window.orderBy(*(order or [F.col("platform"), F.col("key1"), F.col("key2")])))
-    return fresh.select((number + F.lit(top)).cast("long").alias("id"), "platform", "key1", "key2", keys.post_key(F.col("platform"), F.col("key1"), F.col("key2")).alias("post_key"))
+    fresh = numbered(fresh.select("platform", "key1", "key2"), ["platform", "key1", "key2"], "id", top)
+    return fresh.select("id", "platform", "key1", "key2", keys.post_key(F.col("platform"), F.col("key1"), F.col("key2")).alias("post_key"))
 
 
 def posts_all(registry: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewell.functions import arrays
+
 
 def daily(rows: DataFrame, ts: str, by: list[str] | None = None, n: str = "n") -> DataFrame:
     return rows.groupBy(F.to_date(ts).alias("day"), *(by or [])).agg(F.count("*").alias(n))
@@ -19,6 +21,28 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(F.lit(100).cast("decimal(20,0)") * part.cast("decimal(20,0)") / whole.cast("decimal(20,0)"), 2).cast("double"))
 
 
+def round_binary(x: Column) -> Column:
+    """``x`` (0 or more) rounded to two places by its exact binary value, ties to the even digit.
+
+    The nearest tie is an odd number of two-hundredths. Splitting ``x`` at 26 bits makes both products with 200 exact, so
+    the sign of their difference to that number says on which side ``x`` lies.
+    """
+
+    def of(v: Column) -> Column:
+        low = F.floor(v * 100)
+        big = v * 134217729.0
+        high = big - (big - v)
+        side = (high * 200 - (2 * low + 1)) + (v - high) * 200
+        return (low + F.when(side > 0, 1).when((side == 0) & (low % 2 != 0), 1).otherwise(0)) / F.lit(100.0)
+
+    return arrays.let(x, of)
+
+
+def coverage(part: Column, whole: Column) -> Column:
+    """Share in percent as a quotient of doubles times 100, two places; null where there is nothing to share."""
+    return F.when(whole > 0, round_binary(part / whole * F.lit(100.0)))
+
+
 def pivot_days(counts: DataFrame, platforms: list[str], n: str = "n") -> DataFrame:
     """A row for each day and a column for each platform, 0 where there is no count."""
     return counts.groupBy("day").pivot("platform", platforms).agg(F.sum(n)).na.fill(0)
@@ -70,5 +94,5 @@ def transcript_health(parents: DataFrame, segments: DataFrame, key: str, fk: str
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """``n`` rows in the order of a seeded hash of their key: the same rows on every run and partitioning."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows in the order of a seeded digest of their key: the same rows on every run and partitioning."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)

@@ -24,20 +24,44 @@ def next_items(rows: DataFrame, as_of: str, n: int = 1, most_seconds: int | None
 def charge(events: DataFrame, budget: int, day: str = "day", order: str = "seq", units: str = "units") -> DataFrame:
     """Each day's requests in order; one that would pass the budget is rejected and does not count.
 
-    A fold over each day's ordered requests: a running sum would count what was rejected. Result: day, seq, units,
-    accepted, used (after the request).
+    A running sum would count what was rejected, so each day's requests stream through a fold in sorted order; a task
+    holds a batch and the units used so far, never a day. Result: day, seq, units, accepted, used (after the request).
     """
 
-    def step(state: Column, e: Column) -> Column:
-        ok = state["used"] + e[units] <= budget
-        used = F.when(ok, state["used"] + e[units]).otherwise(state["used"])
-        row = F.struct(e[order].alias("seq"), e[units].alias("units"), ok.alias("accepted"), used.alias("used"))
-        return F.struct(used.alias("used"), F.concat(state["out"], F.array(row)).alias("out"))
+    def run(batches):
+        import pyarrow as pa
 
-    typed = events.select(day, F.col(order).cast("long").alias(order), F.col(units).cast("long").alias(units))
-    days = typed.groupBy(day).agg(F.array_sort(F.collect_list(F.struct(order, units))).alias("events"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<seq: bigint, units: bigint, accepted: boolean, used: bigint>>").alias("out"))
-    return days.select(F.col(day).alias("day"), F.explode(F.aggregate("events", start, step, lambda s: s["out"])).alias("r")).select("day", "r.*")
+        now, used = None, 0
+        for batch in batches:
+            accepted, after = [], []
+            for d, u in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if d != now:
+                    now, used = d, 0
+                ok = u is not None and used + u <= budget
+                used += u if ok else 0
+                accepted.append(ok), after.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], ["day", "seq", "units", "accepted", "used"])
+
+    rows = events.select(F.col(day).alias("day"), F.col(order).cast("long").alias("seq"), F.col(units).cast("long").alias("units"))
+    kind = rows.schema["day"].dataType.simpleString()
+    return rows.repartition("day").sortWithinPartitions("day", "seq", "units").mapInArrow(run, f"day {kind}, seq long, units long, accepted boolean, used long")
+
+
+def backoff_seconds(attempt: Column, retry_after: Column, draw: Column, first: float = 2.0, most: float = 300.0) -> Column:
+    """Seconds to wait after failed attempt 0, 1, ...: what the server asks for (a second at least) or a doubling delay,
+    at most ``most``, times 0.8 to 1.2 by ``draw`` (0 to 1)."""
+    asked = F.greatest(retry_after.cast("double"), F.lit(1.0))
+    delay = F.least(F.lit(first) * F.pow(F.lit(2.0), attempt.cast("double")), F.lit(most))
+    return F.least(F.when(retry_after.isNotNull(), asked).otherwise(delay), F.lit(most)) * (0.8 + 0.4 * draw)
+
+
+def due_runs(queue: DataFrame, state: DataFrame, as_of: str, key: str = "term_id", at: str = "next_run_at") -> DataFrame:
+    """Queue entries ``(key, at)`` to run now, earliest first, ties by key.
+
+    An entry is stale, and left out, unless it is what the state holds for its key: queues get a new entry whenever a key is
+    scheduled again and keep the old ones.
+    """
+    return queue.join(state.select(key, at), [key, at], "left_semi").distinct().filter(F.col(at) <= F.lit(as_of).cast("timestamp")).orderBy(at, key)
 
 
 def slots(start: Column, seconds: Column, n: int = 20, spread: float = 0.9, draw: Column | None = None) -> Column:
@@ -74,7 +98,20 @@ class Backfill:
         return Backfill(start + self.OVERLAP, self.days if saturated else min(self.MOST, self.days * 2))
 
 
+#: Reasons and statuses of HTTP answers by what they call for: fixed values.
+QUOTA = ("quotaExceeded", "dailyLimitExceeded", "dailyLimitExceededUnreg")
+TRANSIENT = (429, 500, 502, 503, 504)
+THROTTLED = ("userRateLimitExceeded", "rateLimitExceeded", "servingLimitExceeded", "concurrentLimitExceeded", "limitExceeded")
+
+
 def error_kind(status: Column, reason: Column) -> Column:
-    """What to do about an HTTP error: quota, retryable or fatal."""
-    quota = reason.isin("quotaExceeded", "dailyLimitExceeded", "rateLimitExceeded", "userRateLimitExceeded")
-    return F.when(quota, "quota").when((status == 429) | status.between(500, 599) | reason.isin("backendError", "internalError"), "retryable").otherwise("fatal")
+    """What to do about an HTTP error: quota (wait for the next day), retryable (an error without an answer too) or fatal."""
+    known = F.coalesce(reason, F.lit(""))
+    again = status.isNull() | status.isin(*TRANSIENT) | ((status == 403) & known.isin(*THROTTLED))
+    return F.when(known.isin(*QUOTA), "quota").when(again, "retryable").otherwise("fatal")
+
+
+def error_reason(body: Column) -> Column:
+    """The first reason in an error answer's JSON; null if it has none."""
+    errors = F.from_json(body, "error struct<errors: array<struct<reason: string>>>")["error"]["errors"]
+    return F.get(F.filter(errors["reason"], lambda r: F.coalesce(r, F.lit("")) != ""), F.lit(0))

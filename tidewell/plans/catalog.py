@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewell.functions import keys, rates, stem, text, times
 from tidewell.operators import claims, contexts, ingest, matching, posts, reports, schedule
-from tidewell.session import table
+from tidewell.session import materialise, table
+from tidewell.sources import files, tables
+from tidewell.streaming import incremental
 
 AS_OF = "2024-01-31 00:00:00"
 PLATFORMS = ["click", "error", "purchase", "signup", "view"]
@@ -70,20 +72,10 @@ def term_hits(t: _Tables) -> DataFrame:
     return hits.groupBy("name").agg(F.count("*").alias("hits"), F.countDistinct("post_id").alias("posts")).orderBy(F.desc("hits"), F.asc("name")).limit(10)
 
 
-@query(f"SELECT doc_id AS post_id, term_id, match_start, match_start + length(name) AS match_end FROM ({_SPANS}) JOIN (VALUES {{TERMS}}) t(term_id, name) USING (term_id) WHERE term_id IN (4, 5)")
-def term_spans(t: _Tables) -> DataFrame:
-    """every occurrence of two terms with its place, as its SQL has it."""
-    return _spans(t, t.terms().filter("term_id in (4, 5)"))
-
-
 @query(f"SELECT doc_id AS post_id, term_id, match_start, match_start + length(name) AS match_end FROM ({_SPANS}) JOIN (VALUES {{TERMS}}) t(term_id, name) USING (term_id)")
-def term_spans_all(t: _Tables) -> DataFrame:
-    """every occurrence of all terms."""
-    return _spans(t, t.terms())
-
-
-def _spans(t: _Tables, terms: DataFrame) -> DataFrame:
-    hits = matching.span_hits(t.posts(), terms)
+def term_spans(t: _Tables) -> DataFrame:
+    """every occurrence of all terms with its place."""
+    hits = matching.span_hits(t.posts(), t.terms())
     return hits.select("post_id", "term_id", F.col("match_start").cast("long").alias("match_start"), F.col("match_end").cast("long").alias("match_end"))
 
 
@@ -99,17 +91,27 @@ def term_candidates(t: _Tables) -> DataFrame:
     return matching.candidates(t.posts(), t.terms(), stemmed=False).groupBy("term_id").agg(F.count("*").alias("posts"))
 
 
-@query()
+@query(
+    "WITH d AS (SELECT doc_id, " + _LEXEMES.replace("{0}", "text") + " AS have FROM documents), q AS (SELECT term_id, " + _LEXEMES.replace("{0}", "name") + " AS need FROM (VALUES {TERMS}) t(term_id, name)), "
+    "c AS (SELECT doc_id, term_id FROM d, q WHERE len(need) > 0 AND list_has_all(have, need)) "
+    f"SELECT term_id, count(*) AS hits, count(DISTINCT doc_id) AS posts FROM c JOIN ({_SPANS}) USING (doc_id, term_id) GROUP BY term_id"
+)
 def term_match_incremental(t: _Tables) -> DataFrame:
-    """ST1: two runs of the matcher over a growing table; the second sees new posts only."""
-    all_posts, terms = t.posts(), t.terms()
+    """ST1: two runs of the matcher over a growing table; the second sees new posts only (unstemmed variant)."""
+    all_posts, terms = t.posts().withColumn("post_id", F.col("post_id") + 1), t.terms()  # ids of posts begin at 1
     state = t.spark.createDataFrame([], "term_id int, matcher_version string, last_post_id long")
     half = all_posts.agg(F.max("post_id")).first()[0] // 2
-    first, state = matching.match(all_posts.filter(F.col("post_id") <= half), terms, state, "v1", AS_OF)
-    second, state = matching.match(all_posts, terms, state, "v1", AS_OF)
+    first, state = matching.match(all_posts.filter(F.col("post_id") <= half), terms, state, "v1", AS_OF, stemmed=False)
+    second, state = matching.match(all_posts, terms, state, "v1", AS_OF, stemmed=False)
     return first.unionByName(second).groupBy("term_id").agg(F.count("*").alias("hits"), F.countDistinct("post_id").alias("posts"))
 
 
+@query("SELECT p_partkey FROM part WHERE regexp_matches(lower(p_name), 'sm.ll|^red')")
+def live_terms(t: _Tables) -> DataFrame:
+    """The list of terms narrowed by what is typed, as a pattern."""
+    return matching.live_filter(t.part, " Sm.ll|^RED ", "p_name").select("p_partkey")
+
+
 @query("WITH t AS (SELECT p_name AS name, list_distinct(string_split(p_name, ' ')) AS w FROM (SELECT DISTINCT p_name FROM part UNION ALL SELECT * FROM (VALUES ('red'), ('small'), ('old')) v(n))) SELECT a.name FROM t a WHERE EXISTS (SELECT 1 FROM t b WHERE len(b.w) < len(a.w) AND list_has_all(a.w, b.w)) GROUP BY a.name")
 def super_terms(t: _Tables) -> DataFrame:
     """Terms that contain another term by words."""
@@ -155,6 +157,14 @@ def context_chunks(t: _Tables) -> DataFrame:
     return contexts.chunks(found).select("post_id", "chunk_index", F.length("chunk").alias("n"))
 
 
+@query()
+def context_structs(t: _Tables) -> DataFrame:
+    """Contexts with their terms and hits."""
+    terms = t.terms()
+    found = matching.posts_with_hits(t.posts(), matching.span_hits(t.posts(), terms), terms)
+    return contexts.contexts(found).select("post_id", "start_sentence_idx", "end_sentence_idx", F.length("text").alias("n"), F.size("term_ids").alias("n_terms"), F.size("hit_spans").alias("n_hits"))
+
+
 @query("SELECT conv_id, string_agg(trim(text), ' ' ORDER BY turn) AS transcript FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
 def transcripts(t: _Tables) -> DataFrame:
     """Transcripts from ordered segments."""
@@ -187,10 +197,10 @@ def label_counts(t: _Tables) -> DataFrame:
     return t.labelled().groupBy("source").agg(*reports.tri_state("is_en", "is_en"))
 
 
-@query("WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) SELECT source, CAST(round(CAST(100 AS DECIMAL(20,0)) * count(q) / count(*), 2) AS DOUBLE) AS pct FROM documents LEFT JOIN l USING (doc_id) GROUP BY source")
+@query("WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id) SELECT source, CAST(format('{:.2f}', CAST(count(q) AS DOUBLE) / CAST(count(*) AS DOUBLE) * CAST(100 AS DOUBLE)) AS DOUBLE) AS pct FROM documents LEFT JOIN l USING (doc_id) GROUP BY source")
 def label_coverage(t: _Tables) -> DataFrame:
-    """Labelled share in percent."""
-    return t.labelled().groupBy("source").agg(reports.percent(F.count("is_en"), F.count("*")).alias("pct"))
+    """Labelled share in percent, rounded as binary doubles."""
+    return t.labelled().groupBy("source").agg(reports.coverage(F.count("is_en"), F.count("*")).alias("pct"))
 
 
 @query("SELECT event_type, max(ts) AS last_ts, count(*) FILTER (ts >= {AS_OF} - INTERVAL 24 HOUR) AS n_24h FROM events GROUP BY event_type")
@@ -271,10 +281,10 @@ def transcript_health(t: _Tables) -> DataFrame:
     return reports.transcript_health(parents, t.conversations.select(F.col("conv_id").alias("seg")), "conv_id", "seg")
 
 
-@query("SELECT user_id, CASE WHEN count(ts) < 2 THEN 0.0 ELSE (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 END AS span_s, max(ts) AS newest, count(*) AS n FROM events WHERE event_type = 'signup' GROUP BY user_id")
+@query("SELECT user_id, CASE WHEN count(ts) < 2 THEN 0.0 ELSE (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 END AS span_s, max(ts) AS newest, count(*) AS n FROM events GROUP BY user_id")
 def publication_span(t: _Tables) -> DataFrame:
     """Span and newest of a batch."""
-    return reports.publication_span(t.events.filter("event_type = 'signup'"), ["user_id"], "ts")
+    return reports.publication_span(t.events, ["user_id"], "ts")
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS have, least(CAST(o_totalprice / 50000 AS BIGINT), 5) AS want, count(l_orderkey) < least(CAST(o_totalprice / 50000 AS BIGINT), 5) AS fetch FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_totalprice")
@@ -448,20 +458,27 @@ def english_posts(t: _Tables) -> DataFrame:
     return posts.english(p).join(t.pages, F.col("page_id") == F.col("doc_id"), "left").select(F.col("doc_id").alias("key1"), F.col("url").isNotNull().alias("has_url"))
 
 
-@query("SELECT event_type, user_id, count(*) AS n FROM events WHERE event_id % 2 = 0 GROUP BY ALL")
+@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
 def union_distinct(t: _Tables) -> DataFrame:
-    """Union of parts and distinct keys; its SQL counts even events only."""
-    return _united(t.events.filter("event_id % 4 = 0"), t.events.filter("event_id % 4 = 2"))
+    """Union of two parts that cover the table, by distinct keys."""
+    both = t.events.filter("event_id % 2 = 0").unionByName(t.events.filter("event_id % 2 = 1"))
+    return both.groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL")
-def union_distinct_all(t: _Tables) -> DataFrame:
-    """Union of two parts that cover the table."""
-    return _united(t.events.filter("event_id % 2 = 0"), t.events.filter("event_id % 2 = 1"))
+@query("WITH r AS (SELECT 'tweet' AS platform, doc_id AS k FROM documents UNION ALL SELECT 'telegram_post', conv_id FROM conversations UNION ALL SELECT 'news_article', page_id FROM pages) SELECT CAST({AS_OF} - to_days(CAST(k % 90 AS INTEGER)) AS DATE) AS day, platform, count(*) AS n FROM r WHERE k % 90 <= 60 GROUP BY ALL")
+def posts_daily(t: _Tables) -> DataFrame:
+    """Rows a day and platform of the unified view over 60 days."""
+    back = F.make_dt_interval(days=(F.col("key1").cast("long") % 90).cast("int"))
+    rows = posts.posts_all(_registry(t), _sources(t)).withColumn("date_entered", (F.col("date_entered") - back).cast("timestamp_ntz"))
+    return reports.daily(rows.filter(times.trailing(F.col("date_entered"), AS_OF, 60)), "date_entered", ["platform"])
 
 
-def _united(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+@query(_REGISTRY + " SELECT platform, CAST(sum(n) AS BIGINT) AS hits, count(*) AS posts FROM (SELECT id, platform, len(string_split_regex(text, '(?i)the')) - 1 AS n FROM (SELECT id, r.platform, text FROM r JOIN documents ON r.platform = 'tweet' AND key1 = CAST(doc_id AS VARCHAR) UNION ALL SELECT id, r.platform, text FROM r JOIN conversations ON r.platform = 'telegram_post' AND key1 = CAST(conv_id AS VARCHAR) AND key2 = CAST(turn AS VARCHAR) UNION ALL SELECT id, r.platform, html FROM r JOIN pages ON r.platform = 'news_article' AND key1 = CAST(page_id AS VARCHAR))) WHERE n > 0 GROUP BY platform")
+def hits_by_registry(t: _Tables) -> DataFrame:
+    """Hits joined to the registry by platform."""
+    reg = materialise(_registry(t), "registry")
+    hits = matching.span_hits(posts.posts_all(reg, _sources(t)), t.terms().filter("name = 'the'"))
+    return matching.hits_by_platform(hits, reg)
 
 
 # loading ----------------------------------------------------------------------------------------------------------
@@ -533,26 +550,54 @@ def tree_load(t: _Tables) -> DataFrame:
     """A reply tree loaded level by level."""
     e = F.col("event_id")
     nodes = t.events.select(e.alias("id"), F.when(e >= 10, F.floor(e / 10)).alias("parent"))
-    return ingest.load_tree(nodes, "id", "parent").select("id", "pass")
+    return ingest.load_tree(nodes, "id", "parent")[0].select("id", "pass")
 
 
-@query("SELECT 7 AS scrape_job_id, event_id AS post_id FROM events WHERE user_id < 50 AND event_id % 2 = 1")
+@query("SELECT 7 AS scrape_job_id, event_id AS post_id FROM events WHERE event_id % 2 = 1")
 def link_posts(t: _Tables) -> DataFrame:
-    """K3: new links of a batch to its job; its SQL takes a batch of users below 50."""
-    return _linked(t, t.events.filter("user_id < 50"))
+    """K3: a batch of all events, of which the even ones are linked to their job already."""
+    reg = t.events.select(F.col("event_id").alias("id"), F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit("").alias("key2"))
+    batch = t.events.select(F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"))
+    bridge = t.events.filter("event_id % 2 = 0").select(F.lit(7).cast("long").alias("scrape_job_id"), F.col("event_id").alias("post_id"))
+    return ingest.link_posts(bridge, reg, batch, 7).select(F.col("scrape_job_id").cast("int").alias("scrape_job_id"), "post_id")
 
 
-@query("SELECT 7 AS scrape_job_id, event_id AS post_id FROM events WHERE event_id % 2 = 1")
-def link_posts_all(t: _Tables) -> DataFrame:
-    """K3: a batch of all events, of which the even ones are linked already."""
-    return _linked(t, t.events)
+@query("SELECT event_id, to_json({'k': user_id, 'at': event_type}) AS body, '[' || user_id || ',' || event_id || ']' AS ids FROM events")
+def json_wrapped(t: _Tables) -> DataFrame:
+    """K2: nested values wrapped as JSON for a batch insert."""
+    return ingest.json_wrapped(t.events.select("event_id", F.struct(F.col("user_id").alias("k"), F.col("event_type").alias("at")).alias("body"), F.array("user_id", "event_id").alias("ids")))
 
 
-def _linked(t: _Tables, batch: DataFrame) -> DataFrame:
-    reg = t.events.select(F.col("event_id").alias("id"), F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit("").alias("key2"))
-    batch = batch.select(F.lit("tweet").alias("platform"), F.col("event_id").cast("string").alias("key1"), F.lit(None).cast("string").alias("key2"))
-    bridge = t.events.filter("event_id % 2 = 0").select(F.lit(7).cast("long").alias("scrape_job_id"), F.col("event_id").alias("post_id"))
-    return ingest.link_posts(bridge, reg, batch, 7).select(F.col("scrape_job_id").cast("int").alias("scrape_job_id"), "post_id")
+@query("SELECT c_custkey AS id, CASE WHEN o.n % 3 <> 0 THEN 'e' || o.n ELSE 'old' END AS etag, CASE WHEN o.n IS NULL OR o.n % 2 = 0 THEN 'm0' ELSE 'm' || o.n END AS last_modified, CASE WHEN o.n IS NULL THEN 200 WHEN o.n % 2 = 0 THEN 304 ELSE 500 END AS last_http_status, CASE WHEN o.n % 2 = 1 THEN 2000 END AS error_length FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
+def fetch_states(t: _Tables) -> DataFrame:
+    """ST13, S13: conditional-fetch state after a round of answers."""
+    states = t.customer.select(F.col("c_custkey").alias("id"), F.lit("old").alias("etag"), F.lit("m0").alias("last_modified"), F.lit(None).cast("timestamp").alias("last_fetch_ts"), F.lit(200).alias("last_http_status"), F.lit(None).cast("string").alias("last_error"))
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    answers = t.orders.select(F.col("o_custkey").alias("id"), k.alias("k"))
+    odd = F.col("k") % 2 == 1
+    answers = answers.select(
+        "id", F.when(F.col("k") % 3 != 0, F.concat(F.lit("e"), F.col("k").cast("string"))).alias("etag"), F.when(odd, F.concat(F.lit("m"), F.col("k").cast("string"))).otherwise("").alias("last_modified"),
+        F.when(odd, 500).otherwise(304).alias("http_status"), F.when(odd, F.repeat(F.lit("x"), 3000)).alias("error"), F.timestamp_seconds(F.col("k")).alias("at"),
+    )
+    return ingest.fetch_states(states, answers).select("id", "etag", "last_modified", "last_http_status", F.length("last_error").alias("error_length"))
+
+
+@query("WITH p AS (SELECT DISTINCT o_custkey, o_orderkey FROM orders), n AS (SELECT *, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS chunk FROM p) SELECT o_custkey, CAST(chunk AS INTEGER) AS chunk, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM n GROUP BY o_custkey, chunk")
+def request_chunks(t: _Tables) -> DataFrame:
+    """Ids in requests of bounded size."""
+    return files.request_chunks(t.orders, ["o_custkey"], ["o_orderkey"], "o_orderkey", 4)
+
+
+@query("SELECT t.table_name, CAST(t.i AS INTEGER) AS ordinal, t.c AS column_name FROM (SELECT table_name, ordinal_position AS i, column_name AS c FROM information_schema.columns WHERE table_name IN ('events', 'documents', 'orders')) t")
+def table_columns(t: _Tables) -> DataFrame:
+    """Columns of tables from their schemas."""
+    return tables.columns(t.spark, t._dir, ["events", "documents", "orders"]).select("table_name", "ordinal", "column_name")
+
+
+@query("SELECT 'events' AS table_name, count(*) AS n FROM events UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'orders', count(*) FROM orders")
+def table_rows(t: _Tables) -> DataFrame:
+    """Rows of tables from file footers."""
+    return tables.row_counts(t.spark, t._dir, ["events", "documents", "orders"])
 
 
 @query("SELECT n_nationkey, n_name FROM nation")
@@ -564,7 +609,7 @@ def align_columns(t: _Tables) -> DataFrame:
 # functions --------------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(u, '(?i)(?:https?://\S+|www\.\S+|\b[a-z0-9-]+(?:\.[a-z0-9-]+)+/\S*)', ' ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '#', ' '), '\s+', ' ', 'g')) AS clean FROM (SELECT page_id, 'see ' || url || ' by @user' || page_id || ' #tag  end' AS u FROM pages)")
+@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(u, '(?i)(?:https?://|www[.])\S+', ' ', 'g'), '(?i)\b(?:[a-z0-9-]+[.])+[a-z0-9-]+/\S*', ' ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '#', ' '), '\s+', ' ', 'g')) AS clean FROM (SELECT page_id, 'see ' || url || ' by @user' || page_id || ' #tag  end' AS u FROM pages)")
 def strip_noise(t: _Tables) -> DataFrame:
     """text without links, handles and marks."""
     u = F.concat(F.lit("see "), "url", F.lit(" by @user"), F.col("page_id").cast("string"), F.lit(" #tag  end"))
@@ -584,7 +629,12 @@ def truncate(t: _Tables) -> DataFrame:
     return t.documents.select("doc_id", text.truncate(F.col("text"), 400).alias("cut"))
 
 
-@query()
+_REDACTED = "coalesce(text, '')"
+for _kind, _pattern in text.REDACTED.items():
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_pattern}', '{text.PLACEHOLDERS[_kind]}', 'g')"
+
+
+@query(f"SELECT doc_id, {_REDACTED} AS text FROM documents")
 def redact(t: _Tables) -> DataFrame:
     """Personal data replaced by placeholders."""
     return t.documents.select("doc_id", text.redact(F.col("text")).alias("text"))
@@ -706,37 +756,16 @@ def exploded_chunks(t: _Tables) -> DataFrame:
 # states -----------------------------------------------------------------------------------------------------------
 
 
-@query("WITH RECURSIVE e AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS k, event_id, CAST(floor(value) AS BIGINT) AS units FROM events WHERE user_id < 30), r AS (SELECT day, k, event_id, units, units <= 200 AS ok, CASE WHEN units <= 200 THEN units ELSE 0 END AS used FROM e WHERE k = 1 UNION ALL SELECT e.day, e.k, e.event_id, e.units, r.used + e.units <= 200, CASE WHEN r.used + e.units <= 200 THEN r.used + e.units ELSE r.used END FROM r JOIN e ON e.day = r.day AND e.k = r.k + 1) SELECT day, event_id AS seq, units, ok AS accepted, CAST(used AS BIGINT) AS used FROM r")
+@query("WITH RECURSIVE e AS (SELECT CAST(ts AS DATE) AS day, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS k, event_id, CAST(floor(value) AS BIGINT) AS units FROM events), r AS (SELECT day, k, event_id, units, units <= 200 AS ok, CASE WHEN units <= 200 THEN units ELSE 0 END AS used FROM e WHERE k = 1 UNION ALL SELECT e.day, e.k, e.event_id, e.units, r.used + e.units <= 200, CASE WHEN r.used + e.units <= 200 THEN r.used + e.units ELSE r.used END FROM r JOIN e ON e.day = r.day AND e.k = r.k + 1) SELECT day, event_id AS seq, units, ok AS accepted, CAST(used AS BIGINT) AS used FROM r")
 def daily_budget(t: _Tables) -> DataFrame:
-    """ST8: a daily budget in which what is rejected does not count; its SQL charges users below 30 only."""
-    return _charged(t.events.filter("user_id < 30"))
-
-
-@query()
-def daily_budget_all(t: _Tables) -> DataFrame:
-    """ST8: the same budget charged for all requests."""
-    return _charged(t.events)
-
+    """ST8: a daily budget over all requests, in which what is rejected does not count."""
+    return schedule.charge(t.events.select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.floor("value").alias("units")), 200)
 
-def _charged(events: DataFrame) -> DataFrame:
-    return schedule.charge(events.select(F.to_date("ts").alias("day"), F.col("event_id").alias("seq"), F.floor("value").alias("units")), 200)
 
-
-@query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS x FROM events WHERE user_id < 60), r AS (SELECT user_id, k, x AS rate FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN r.rate = 0.0 THEN e.x ELSE CAST(0.3 AS DOUBLE) * e.x + (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE)) * r.rate END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, round(arg_max(rate, k), 6) AS rate FROM r GROUP BY user_id")
+@query("WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, value AS x FROM events), r AS (SELECT user_id, k, x AS rate FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN r.rate = 0.0 THEN e.x ELSE CAST(0.3 AS DOUBLE) * e.x + (CAST(1 AS DOUBLE) - CAST(0.3 AS DOUBLE)) * r.rate END FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1) SELECT user_id, round(arg_max(rate, k), 6) AS rate FROM r GROUP BY user_id")
 def ewma_rates(t: _Tables) -> DataFrame:
-    """Exponentially weighted rates; its SQL folds users below 60 only."""
-    return _folded(t.events.filter("user_id < 60"))
-
-
-@query()
-def ewma_rates_all(t: _Tables) -> DataFrame:
-    """The rates of all users."""
-    return _folded(t.events)
-
-
-def _folded(events: DataFrame) -> DataFrame:
-    g = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("s"))
-    return g.select("user_id", F.round(rates.ewma(F.col("s.value")), 6).alias("rate"))
+    """Exponentially weighted rates of all users."""
+    return rates.latest_ewma(t.events, "user_id", "event_id", "value").select("user_id", F.round("rate", 6).alias("rate"))
 
 
 @query("WITH p AS (SELECT event_type AS term, CAST(event_id // 50 AS INTEGER) AS page, count(*) AS found, count(*) FILTER (value > 20) AS new FROM events GROUP BY ALL) SELECT term, min(page) FILTER (new = 0 OR CAST(new AS DOUBLE) / greatest(found, 1) < 0.6) AS stop_page FROM p GROUP BY term")
@@ -746,20 +775,52 @@ def stopping_pages(t: _Tables) -> DataFrame:
     return schedule.stopping_page(p, 0.6, ["term"])
 
 
-@query("SELECT c_custkey, i, c_acctbal + 10800 * CAST(0.9 AS DOUBLE) / 20 * (i + CAST(0.5 AS DOUBLE)) AS at FROM (SELECT c_custkey, c_acctbal, CAST(unnest(range(0, 20)) AS INTEGER) AS i FROM customer WHERE c_custkey < 100)")
+@query("SELECT c_custkey, i, c_acctbal + 10800 * CAST(0.9 AS DOUBLE) / 20 * (i + CAST(0.5 AS DOUBLE)) AS at FROM (SELECT c_custkey, c_acctbal, CAST(unnest(range(0, 20)) AS INTEGER) AS i FROM customer)")
 def session_slots(t: _Tables) -> DataFrame:
-    """ST9: slots over a session, at the middle of their buckets; its SQL takes customers below 100 only."""
-    return _slotted(t.customer.filter("c_custkey < 100"))
+    """ST9: slots over the sessions of all customers, at the middle of their buckets."""
+    return t.customer.select("c_custkey", F.posexplode(schedule.slots(F.col("c_acctbal"), F.lit(10800))).alias("i", "at"))
 
 
-@query("SELECT c_custkey, i, c_acctbal + 10800 * CAST(0.9 AS DOUBLE) / 20 * (i + CAST(0.5 AS DOUBLE)) AS at FROM (SELECT c_custkey, c_acctbal, CAST(unnest(range(0, 20)) AS INTEGER) AS i FROM customer)")
-def session_slots_all(t: _Tables) -> DataFrame:
-    """ST9: slots of all customers."""
-    return _slotted(t.customer)
+@query("SELECT event_id, least(CASE WHEN event_id % 3 = 0 THEN greatest(CAST(user_id AS DOUBLE), CAST(1 AS DOUBLE)) ELSE least(CAST(2 AS DOUBLE) * pow(CAST(2 AS DOUBLE), CAST(event_id % 12 AS DOUBLE)), CAST(300 AS DOUBLE)) END, CAST(300 AS DOUBLE)) * (CAST(0.8 AS DOUBLE) + CAST(0.4 AS DOUBLE) * CAST(0.25 AS DOUBLE)) AS wait_s FROM events")
+def backoff_waits(t: _Tables) -> DataFrame:
+    """ST14: waits after failed calls, with and without what the server asks for."""
+    i = F.col("event_id")
+    return t.events.select("event_id", schedule.backoff_seconds(i % 12, F.when(i % 3 == 0, F.col("user_id")), F.lit(0.25)).alias("wait_s"))
+
+
+@query("SELECT event_id, CASE WHEN r IN ('quotaExceeded', 'dailyLimitExceeded') THEN 'quota' WHEN s IS NULL OR s IN (429, 503) OR s = 403 AND r = 'rateLimitExceeded' THEN 'retryable' ELSE 'fatal' END AS kind FROM (SELECT event_id, [429, 503, 403, 404, NULL][event_id % 5 + 1] AS s, ['quotaExceeded', 'rateLimitExceeded', 'forbidden', NULL, 'dailyLimitExceeded', 'backendError', ''][event_id % 7 + 1] AS r FROM events)")
+def http_errors(t: _Tables) -> DataFrame:
+    """kinds of HTTP errors from status and body."""
+    i = F.col("event_id")
+    status = F.get(F.array(F.lit(429), F.lit(503), F.lit(403), F.lit(404), F.lit(None)), i % 5)
+    reason = F.get(F.array(*(F.lit(x) for x in ("quotaExceeded", "rateLimitExceeded", "forbidden", None, "dailyLimitExceeded", "backendError", ""))), i % 7)
+    body = F.when(reason.isNotNull(), F.concat(F.lit('{"error": {"code": 1, "errors": [{"reason": "'), reason, F.lit('"}]}}'))).otherwise("no JSON")
+    return t.events.select("event_id", schedule.error_kind(status, schedule.error_reason(body)).alias("kind"))
+
+
+@query("SELECT term_id, CAST(next_run_at AS TIMESTAMP) AS next_run_at FROM (SELECT o_custkey AS term_id, max(o_orderdate) AS next_run_at FROM orders GROUP BY 1) WHERE next_run_at <= TIMESTAMP '1997-06-01' ORDER BY next_run_at, term_id")
+def due_runs(t: _Tables) -> DataFrame:
+    """Entries of a queue that are due, stale ones skipped."""
+    queue = t.orders.select(F.col("o_custkey").alias("term_id"), F.col("o_orderdate").cast("timestamp").alias("next_run_at"))
+    state = queue.groupBy("term_id").agg(F.max("next_run_at").alias("next_run_at"))
+    return schedule.due_runs(queue, state, "1997-06-01").select("term_id", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))
+
+
+@query("WITH l AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY doc_id), m AS (SELECT max(doc_id) AS top FROM documents), c AS (SELECT top // 2 AS cut FROM m) SELECT doc_id AS post_id, CASE WHEN doc_id > cut THEN 'new' ELSE 'again' END AS run FROM documents LEFT JOIN l USING (doc_id), c WHERE doc_id > cut OR doc_id < cut AND q IS NULL")
+def label_runs(t: _Tables) -> DataFrame:
+    """ST2: posts that a labelling run takes after its cursor, and those below it that a recheck takes again."""
+    p = t.labelled().select(F.col("doc_id").alias("post_id"), F.col("source").alias("platform"), "is_en")
+    cut = t.documents.agg(F.max("doc_id")).first()[0] // 2
+    new, _ = incremental.label_new(p, cut, lambda d: d.select("post_id", F.lit("new").alias("run")))
+    return new.unionByName(incremental.recheck(p, cut, lambda d: d.select("post_id", F.lit("again").alias("run"))))
 
 
-def _slotted(customers: DataFrame) -> DataFrame:
-    return customers.select("c_custkey", F.posexplode(schedule.slots(F.col("c_acctbal"), F.lit(10800))).alias("i", "at"))
+@query("SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'https://t.me/' || role || '/' || turn ELSE 'https://t.me/c/' || conv_id || '/' || turn END AS message, 'https://www.youtube.com/watch?v=' || conv_id || CASE WHEN turn > 0 THEN '&lc=' || turn ELSE '' END AS video FROM conversations")
+def links(t: _Tables) -> DataFrame:
+    """links of messages, videos and comments."""
+    turn = F.col("turn").cast("string")
+    message = keys.telegram_link(F.when(F.col("role") == "user", F.col("role")), F.col("conv_id"), F.col("turn"))
+    return t.conversations.select("conv_id", "turn", message.alias("message"), keys.video_link(F.col("conv_id").cast("string"), F.when(F.col("turn") > 0, turn)).alias("video"))
 
 
 @query("SELECT c_custkey AS term_id, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN greatest(o.m, TIMESTAMP '1999-01-01') ELSE o.m END AS last_seen FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
@@ -819,22 +880,12 @@ def pending_claims(t: _Tables) -> DataFrame:
     return claims.pending(p, done, retry=True).select("doc_id")
 
 
-@query("SELECT doc_id, CASE source WHEN 'reddit_submission' THEN 'Submission title: ' || lang || chr(10) || chr(10) || x WHEN 'youtube_video' THEN 'YouTube video title: Unknown' || chr(10) || chr(10) || x ELSE x END AS body FROM (SELECT doc_id, lang, substr(text, 1, 20) AS x, CASE doc_id % 3 WHEN 0 THEN 'reddit_submission' WHEN 1 THEN 'youtube_video' ELSE 'tweet' END AS source FROM documents)")
-def model_inputs(t: _Tables) -> DataFrame:
-    """model inputs with titles; its SQL takes prefixes of 20 characters."""
-    return _inputs(t, F.substring("text", 1, 20))
-
-
 @query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Submission title: ' || lang || chr(10) || chr(10) || text WHEN 1 THEN 'YouTube video title: Unknown' || chr(10) || chr(10) || text ELSE text END AS body FROM documents")
-def model_inputs_all(t: _Tables) -> DataFrame:
-    """model inputs of whole texts."""
-    return _inputs(t, F.col("text"))
-
-
-def _inputs(t: _Tables, x: Column) -> DataFrame:
+def model_inputs(t: _Tables) -> DataFrame:
+    """model inputs of whole texts with their titles."""
     i = F.col("doc_id")
-    rows = t.documents.select("doc_id", F.when(i % 3 == 0, "reddit_submission").when(i % 3 == 1, "youtube_video").otherwise("tweet").alias("platform"), x.alias("x"), F.col("lang").alias("reddit_submission_title"))
-    return rows.select("doc_id", claims.input_text(rows, "x").alias("body"))
+    rows = t.documents.select("doc_id", F.when(i % 3 == 0, "reddit_submission").when(i % 3 == 1, "youtube_video").otherwise("tweet").alias("platform"), "text", F.col("lang").alias("reddit_submission_title"))
+    return rows.select("doc_id", claims.input_text(rows, "text").alias("body"))
 
 
 @query("SELECT event_id, CASE WHEN value >= 70 THEN true ELSE false END AS toxic FROM events")
@@ -844,7 +895,7 @@ def score_thresholds(t: _Tables) -> DataFrame:
     return t.events.select("event_id", text.exceeds_any(scores, {"toxicity": 0.7, "threat": 0.5, "insult": 0.7}).alias("toxic"))
 
 
-@query()
+@query("SELECT doc_id FROM documents WHERE lang = 'en' ORDER BY md5('42:' || doc_id), doc_id LIMIT 50")
 def seeded_sample(t: _Tables) -> DataFrame:
     """The same random rows on every run."""
     return reports.sample(t.documents.filter("lang = 'en'"), "doc_id", 50).select("doc_id")

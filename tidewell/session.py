@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 _ROOT = Path(__file__).resolve().parent
 _shipped: set[str] = set()
@@ -31,10 +31,12 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names that folder on a cluster. Only where it is unset (tests, local mode)
-    a temporary folder of this process is used.
+    ``spark.checkpoint.dir`` names that folder. Where it is unset a local master gets a temporary folder of this
+    process; on a cluster, whose executors would not see that folder, RuntimeError is raised.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
@@ -56,5 +58,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
+    """``rows`` with a number from ``after + 1`` on in ``order`` (whose values are distinct) as the column ``name``.
+
+    Rows are dealt by ranges of ``order`` and numbered within each; only the table of ranges, one row a partition, is
+    summed up in one task.
+    """
+    part, place = f"_{name}_part", f"_{name}_place"
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialise(ranged.withColumns({part: F.spark_partition_id(), place: F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "numbered")
+    sizes = ranged.groupBy(part).agg(F.count("*").alias("_n"))
+    before = sizes.select(part, (F.sum("_n").over(Window.orderBy(part)) - F.col("_n")).alias("_before"))
+    return ranged.join(F.broadcast(before), part).select(*rows.columns, (F.col("_before") + F.col(place) + 1 + after).cast("long").alias(name))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from tidewell.functions import keys, times
+from tidewell.session import materialise
+from tidewell.sources.storage import Store
+
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"}
 
 TELEGRAM = "channel_id long, message_id long, link string, date string, text string, raw_type string, views long, forwards long, replies long, reactions_total long, is_pinned boolean, has_media boolean"
 VIDEO = "video_id string, url string, title string, description string, published_at string, channel_id string, channel_title string, duration string, view_count long, like_count long, comment_count long"
@@ -99,9 +105,87 @@ def api_threads(payloads: DataFrame, column: str = "payload", video: str = "vide
     )
 
 
-def write_json_document(rows: DataFrame, path: str) -> None:
+def api_replies(payloads: DataFrame, column: str = "payload", video: str = "video_id") -> DataFrame:
+    """Replies of reply payloads, in the columns of ``api_threads``."""
+    inner = "struct<publishedAt: string, parentId: string, textDisplay: string, textOriginal: string, likeCount: long>"
+    r = payloads.select(video, F.explode(F.from_json(column, f"items array<struct<id: string, snippet: {inner}>>")["items"]).alias("r"))
+    return r.select(
+        F.col(video).alias("video_id"), F.col("r.id").alias("comment_id"), F.col("r.snippet.parentId").alias("parent_comment_id"), F.coalesce("r.snippet.textOriginal", "r.snippet.textDisplay").alias("text"),
+        times.parse_iso(F.col("r.snippet.publishedAt")).alias("created_at_ts"), F.coalesce("r.snippet.likeCount", F.lit(0)).cast("long").alias("like_count"), F.lit(0).alias("reply_count"),
+    )
+
+
+def search_pages(payloads: DataFrame, column: str = "payload", by: list[str] = (), page: str = "page") -> DataFrame:
+    """``(by, page, position, video_id, last)`` of the ids of search pages up to the first that is empty or names no next page."""
+    parsed = F.from_json(column, "items array<struct<id: struct<videoId: string>>>, nextPageToken string")
+    ids = F.filter(F.coalesce(parsed["items"]["id"]["videoId"], F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")
+    rows = payloads.select(*by, page, ids.alias("ids"), F.coalesce(parsed["nextPageToken"], F.lit("")).alias("next"))
+    order = Window.partitionBy(*by).orderBy(page) if by else Window.partitionBy(F.lit(0)).orderBy(page)
+    ended = F.coalesce(F.max(F.when((F.size("ids") == 0) | (F.col("next") == ""), 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    live = rows.withColumn("_ended", ended).filter((F.col("_ended") == 0) & (F.size("ids") > 0))
+    return live.select(*by, page, F.posexplode("ids").alias("position", "video_id"), (F.col("next") == "").alias("last"))
+
+
+def request_chunks(ids: DataFrame, by: list[str], order: list[str], id_: str = "video_id", size: int = 50) -> DataFrame:
+    """``(by, chunk, ids)``: the distinct ids of each group in ``order``, comma-joined in requests of ``size``."""
+    first = ids.groupBy(*by, id_).agg(F.min(F.struct(*order)).alias("_at"))
+    number = F.row_number().over(Window.partitionBy(*by).orderBy("_at", id_)) - 1
+    rows = first.withColumn("_n", number).withColumn("chunk", F.floor(F.col("_n") / size).cast("int"))
+    return rows.groupBy(*by, "chunk").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_n", id_)))[id_], ",").alias("ids"))
+
+
+def since(messages: DataFrame, start: str, ts: str = "created_at_ts", text: str = "text") -> DataFrame:
+    """What a crawl from newest to oldest keeps: messages no earlier than ``start`` whose text is not blank."""
+    return messages.filter((F.col(ts) >= F.lit(start).cast("timestamp")) & keys.blank_to_null(F.col(text)).isNotNull())
+
+
+def write_json_lines(rows: DataFrame, path: str) -> None:
     """Rows as JSON lines through the commit protocol; times in ISO form, decimals as numbers."""
-    rows.write.mode("overwrite").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX").json(path)
+    rows.write.mode("overwrite").options(**_JSON).json(path)
+
+
+def append_new(rows: DataFrame, path: str, key: str = "task_id") -> int:
+    """Append the rows whose ``key`` the JSON lines below ``path`` lack, and return how many: a run that was stopped goes on
+    where it was."""
+    spark = rows.sparkSession
+    store = Store(spark, path)
+    fresh = rows
+    if any(n.endswith(".json") for n in store.names()):
+        done = spark.read.schema(rows.select(key).schema).json(path).select(key).distinct()
+        fresh = rows.join(done, key, "left_anti").select(*rows.columns)
+    fresh = materialise(fresh.dropDuplicates([key]), "append")
+    fresh.write.mode("append").options(**_JSON).json(path)
+    return fresh.count()
+
+
+def write_json_document(rows: DataFrame, folder: str, name: str, head: dict | None = None, array: str = "posts", order: list[str] = ()) -> int:
+    """One document ``{head..., array: [rows], "post_count": n}`` that appears under ``name`` whole or not at all.
+
+    Rows stream to the file partition by partition, so the driver holds one partition's rows; nulls are written as such.
+    """
+    lines = (rows.orderBy(*order) if order else rows).select(F.to_json(F.struct("*"), {**_JSON, "ignoreNullFields": "false"}).alias("j"))
+    written = 0
+
+    def parts():
+        nonlocal written
+        yield ("{" + "".join(f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False, default=str)},\n" for k, v in (head or {}).items()) + f"{json.dumps(array)}: [").encode()
+        for row in lines.toLocalIterator():
+            yield ((",\n" if written else "\n") + row["j"]).encode()
+            written += 1
+        yield f'\n],\n"post_count": {written}}}\n'.encode()
+
+    Store(rows.sparkSession, folder).put(name, _buffered(parts()))
+    return written
+
+
+def _buffered(parts, size: int = 1 << 20):
+    held = bytearray()
+    for part in parts:
+        held += part
+        if len(held) >= size:
+            yield bytes(held)
+            held.clear()
+    yield bytes(held)
 
 
 def write_report(rows: DataFrame, columns: list[str], path: str) -> None:

@@ -29,6 +29,18 @@ def label_stream(spark: SparkSession, source: str, schema: str, label: Callable[
     return label(spark.readStream.schema(schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def label_new(posts: DataFrame, cursor: int, label: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """``(labels, new cursor)`` of the posts after ``cursor``, by ascending id; the cursor moves to the largest id there is."""
+    top = posts.agg(F.max("post_id")).first()[0]
+    return label(posts.filter(F.col("post_id") > cursor)), max(cursor, top if top is not None else cursor)
+
+
+def recheck(posts: DataFrame, cursor: int, label: Callable[[DataFrame], DataFrame], platform: str | None = None) -> DataFrame:
+    """Labels of posts below ``cursor`` that still have none, of one platform or of all."""
+    old = posts.filter((F.col("post_id") < cursor) & F.col("is_en").isNull())
+    return label(old if platform is None else old.filter(F.col("platform") == platform))
+
+
 def first_seen(events: DataFrame, keys: list[str], ts: str, delay: str = "1 day") -> DataFrame:
     """Streaming insert-if-absent: the first event of each key within the watermark."""
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
