@@ -2,19 +2,28 @@
 
 Base counts come from array functions inside each row, so no words are shuffled. The method fits a minimum-covariance-
 determinant estimate per language and source to a vector of transformed statistics and rejects documents by their
-Mahalanobis distance. The estimate starts from medians and absolute deviations and takes ``STEPS`` concentration steps;
-each step keeps the ``SUPPORT`` share of smallest distances, found by a histogram of fixed bins per group, and sums
-moments with map-side aggregation, so a hot group costs no more than its rows' share.
+Mahalanobis distance. Each group has several starts (medians and absolute deviations, all rows, and seeded parts of
+them), which all take concentration steps: a step keeps the ``SUPPORT`` share of smallest distances and estimates again from
+these rows. A start stops when its determinant no longer falls, and the group keeps the smallest determinant of all starts.
+Supports are found by histograms of fixed bins, refined within the bin at the edge, and moments are summed
+within tasks first, so a hot group costs no more than its rows' share.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewell.session import materialise
 
 SUPPORT = 0.75
-STEPS = 3
+#: Starts: medians, all rows, and as many seeded parts of one row in ``PART``.
+PARTS, PART = 2, 8
+#: A start has settled when its determinant falls by less than this share; and the steps it may take at most.
+SETTLED, MOST_STEPS = 1e-6, 60
+#: Histogram bins an e-fold of distance, and finer bins within each.
+BINS, FINE = 16, 4096
 #: Makes the covariance of the closest 75 % of a five-dimensional normal sample consistent: 0.75 / F7(chi2_5^-1(0.75)).
 CONSISTENCY = 1.41
 #: Squared distance beyond which a document is rejected: the 99.9 % quantile of chi-squared with five degrees.
@@ -28,13 +37,15 @@ _BLANKS = " \t\n\x0b\x0c\r"
 #: Transformed statistics, and the standard deviation that each has at least.
 STATISTICS = {"x0": 0.5, "x1": 0.1, "x2": 0.08, "x3": 0.15, "x4": 0.12}
 _D = len(STATISTICS)
+_WINDOWS = "array<struct<h: bigint, a: string, b: string, c: string, i: int>>"
+_PAIRS = [(i, j) for i in range(_D) for j in range(i + 1)]
 
 
 def counts(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns and the base counts of every whole text; null texts have no words.
 
-    Words in repeated 3-word windows are found by sorting keys of a window's hash and place, so a long text costs
-    n log n; windows count as equal if their 64-bit hashes are.
+    Words in repeated 3-word windows are found by sorting windows by hash, words and place, so a long text costs
+    n log n, and windows are equal only if their words are.
     """
     carry = ["doc_id"] if carry is None else carry
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -42,27 +53,25 @@ def counts(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     rows = docs.select(*(F.col(f"`{c}`") for c in carry), text.alias("_text"), F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _SPACE + "+", -1)).alias("_words"))
     lines = F.filter(F.split("_text", "\n", -1), lambda x: F.btrim(x, F.lit(_BLANKS)) != "")
     n = F.size("_words")
-    windows = F.transform(F.slice("_words", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda w, i: F.coalesce(F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)), F.lit(0)))
+    second, third = F.slice("_words", F.lit(2), n), F.slice("_words", F.lit(3), n)
+    pairs = F.zip_with("_words", second, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    windows = F.zip_with(F.slice(pairs, F.lit(1), F.greatest(n - 2, F.lit(0))), third, lambda p, z: F.struct(F.xxhash64(p["a"], p["b"], z).alias("h"), p["a"].alias("a"), p["b"].alias("b"), z.alias("c")))
     rows = rows.select(
         *(F.col(f"`{c}`") for c in carry),
         n.cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
-        windows.alias("_windows"),
-        (F.call_function("shiftleft", F.lit(1).cast("long"), F.ceil(F.log2(F.greatest(n, F.lit(2)))).cast("int")) - 1).alias("_mask"),
+        F.when(n < 4, F.array().cast(_WINDOWS)).otherwise(F.sort_array(F.transform(windows, lambda w, i: F.struct(w["h"].alias("h"), w["a"].alias("a"), w["b"].alias("b"), w["c"].alias("c"), i.alias("i"))))).alias("_sorted"),
     )
-    mask = F.coalesce("_mask", F.lit(0).cast("long"))
-    keys = F.transform("_windows", lambda h, i: F.coalesce(h.bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")), F.lit(0).cast("long")))
-    rows = rows.withColumn("_keys", F.when(F.size("_windows") > 1, F.sort_array(keys)).otherwise(F.array().cast("array<bigint>")))
 
-    def same(k: Column, other: Column) -> Column:
-        near = k.bitwiseXOR(other).bitwiseAND(F.bitwise_not(F.col("_mask"))) == 0
-        return F.coalesce(near & (F.get("_windows", k.bitwiseAND(F.col("_mask")).cast("int")) == F.get("_windows", other.bitwiseAND(F.col("_mask")).cast("int"))), F.lit(False))
+    def same(x: Column, y: Column) -> Column:
+        return F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
 
-    twice = F.filter("_keys", lambda k, i: same(k, F.get("_keys", i - 1)) | same(k, F.get("_keys", i + 1)))
-    rows = rows.withColumn("_twice", F.when(F.size("_keys") > 1, twice).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("_places", F.sort_array(F.transform("_twice", lambda k: F.coalesce(k.bitwiseAND(F.col("_mask")), F.lit(0).cast("long")))))
+    equal = F.zip_with("_sorted", F.slice("_sorted", F.lit(2), F.greatest(F.size("_sorted"), F.lit(1))), same)  # as the next one
+    rows = rows.withColumn("_equal", equal)
+    twice = F.filter(F.zip_with("_sorted", F.zip_with("_equal", F.concat(F.array(F.lit(False)), "_equal"), lambda x, y: F.coalesce(x, F.lit(False)) | y), lambda w, t: F.when(t, w["i"].cast("long"))), lambda i: i.isNotNull())
+    rows = rows.withColumn("_places", F.sort_array(twice))
     gaps = F.zip_with(F.slice("_places", F.lit(2), F.greatest(F.size("_places") - 1, F.lit(0))), F.slice("_places", F.lit(1), F.greatest(F.size("_places") - 1, F.lit(0))), lambda b, a: F.least(F.lit(3).cast("long"), b - a))
     repeated = F.when(F.size("_places") > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g)).otherwise(F.lit(0).cast("long"))
     return rows.select(
@@ -90,9 +99,10 @@ def vector() -> dict[str, Column]:
 
 
 def _sent(groups: DataFrame) -> DataFrame:
-    """``groups`` (written, one row a group and at most five), to be sent along if its rows are few: a join that deals
-    rows by group would bring a hot group to one task."""
-    return F.broadcast(groups) if groups.limit(SENT_ROWS + 1).count() <= SENT_ROWS else groups
+    """``groups`` (written, a few rows a group), to be sent along if its rows are few, as a join that deals rows by group brings
+    a hot group to one task. Beyond that it is a sort-merge join with the rows on its left, whose hot groups adaptive
+    execution splits."""
+    return F.broadcast(groups) if groups.limit(SENT_ROWS + 1).count() <= SENT_ROWS else groups.hint("merge")
 
 
 def grouped(rows: DataFrame) -> DataFrame:
@@ -127,8 +137,8 @@ def _quantile_bins(rows: DataFrame, keys: list[str], bin_: str, share: float) ->
     return cum.filter(F.col("cum") >= F.ceil(F.col("all") * share)).groupBy(*keys).agg(F.min(bin_).alias("at"))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and scaled absolute deviation of each statistic per group, on bins of 1/128: the first estimate."""
+def _medians(rows: DataFrame) -> DataFrame:
+    """Median and scaled absolute deviation of each statistic per group, on bins of 1/128."""
     long = rows.select("grp", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.floor(F.col(c) * 128).alias("b")) for k, c in enumerate(STATISTICS)))).alias("v")).select("grp", "v.k", "v.b")
     median = materialise(_quantile_bins(long, ["grp", "k"], "b", 0.5).withColumnRenamed("at", "mid"), "medians")
     spread = _quantile_bins(long.join(_sent(median), ["grp", "k"]).withColumn("d", F.abs(F.col("b") - F.col("mid"))), ["grp", "k"], "d", 0.5)
@@ -136,16 +146,18 @@ def _start(rows: DataFrame) -> DataFrame:
     at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
     floors = list(STATISTICS.values())
     est = both.groupBy("grp").agg(*(at("mean", k).alias(f"u{k}") for k in range(_D)), *(at("sd", k).alias(f"s{k}") for k in range(_D)))
-    inverse = {f"w{i}{j}": (1 / F.greatest(F.col(f"s{i}"), F.lit(floors[i]))) if i == j else F.lit(0.0) for i in range(_D) for j in range(i + 1)}
-    return est.select("grp", *(f"u{k}" for k in range(_D)), *(v.alias(k) for k, v in inverse.items()))
+    width = lambda i: F.greatest(F.col(f"s{i}"), F.lit(floors[i]))
+    inverse = [(1 / width(i) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in _PAIRS]
+    log_det = sum((2 * F.log(width(i)) for i in range(_D)), F.lit(0.0))
+    return est.select("grp", *(f"u{k}" for k in range(_D)), *inverse, log_det.alias("log_det"))
 
 
-def _estimate(rows: DataFrame) -> DataFrame:
-    """Mean and inverse Cholesky factor of each group's covariance over ``rows``, variances at least the floors'."""
-    pairs = [(i, j) for i in range(_D) for j in range(i + 1)]
-    moments = rows.groupBy("grp").agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"u{i}") for i in range(_D)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i, j in pairs))
+def _estimate(rows: DataFrame, keys: list[str] = ("grp",)) -> DataFrame:
+    """Mean, inverse Cholesky factor and log determinant of each group's covariance over ``rows``; variances are at least
+    the floors'."""
+    moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"u{i}") for i in range(_D)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i, j in _PAIRS))
     floors = list(STATISTICS.values())
-    cov = {(i, j): (F.col(f"m{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")) * CONSISTENCY for i, j in pairs}
+    cov = {(i, j): (F.col(f"m{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")) * CONSISTENCY for i, j in _PAIRS}
     est = moments.withColumns({f"c{i}{j}": F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c for (i, j), c in cov.items()})
     for i in range(_D):  # Cholesky, row by row; each entry is a column of its own so that expressions stay short
         for j in range(i + 1):
@@ -155,24 +167,64 @@ def _estimate(rows: DataFrame) -> DataFrame:
         for j in range(i, -1, -1):
             inner = sum((F.col(f"l{i}{k}") * F.col(f"w{k}{j}") for k in range(j, i)), F.lit(0.0))
             est = est.withColumn(f"w{i}{j}", 1 / F.col(f"l{i}{i}") if i == j else -inner / F.col(f"l{i}{i}"))
-    return est.select("grp", *(f"u{i}" for i in range(_D)), *(f"w{i}{j}" for i, j in pairs))
+    log_det = sum((2 * F.log(f"l{i}{i}") for i in range(_D)), F.lit(0.0))
+    return est.select(*keys, *(f"u{i}" for i in range(_D)), *(f"w{i}{j}" for i, j in _PAIRS), log_det.alias("log_det"))
+
+
+def _distance() -> Column:
+    parts = [sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"u{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(_D)]
+    return sum((p * p for p in parts), F.lit(0.0))
 
 
 def with_distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """Adds the squared Mahalanobis distance ``d2`` (null where the row's group has no estimate)."""
-    out = rows.join(_sent(estimate), "grp", "left")
-    parts = [sum((F.col(f"w{i}{j}") * (F.col(f"x{j}") - F.col(f"u{j}")) for j in range(i + 1)), F.lit(0.0)) for i in range(_D)]
-    return out.select(*rows.columns, sum((p * p for p in parts), F.lit(0.0)).alias("d2"))
+    return rows.join(_sent(estimate), "grp", "left").select(*rows.columns, _distance().alias("d2"))
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """``(grp, start)`` and the first estimate of each: 0 from medians, 1 from all rows, then from seeded parts."""
+    number = lambda e, k: e.withColumn("start", F.lit(k))
+    part = lambda k: rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(PART)) == 0)
+    firsts = [number(_medians(rows), 0), number(_estimate(rows), 1), *(number(_estimate(part(k)), k) for k in range(2, 2 + PARTS))]
+    return materialise(reduce(DataFrame.unionByName, firsts), "starts")
+
+
+def _step(rows: DataFrame, starts: DataFrame, sent) -> DataFrame:
+    """The estimates after one concentration step, from the ``SUPPORT`` share of rows of smallest distance, with the log
+    determinants ``before`` it. ``sent`` wraps tables of one row a group and start."""
+    keys = ["grp", "start"]
+    level = F.log(F.col("d2") + 1e-6) * BINS
+    far = rows.join(sent(starts), "grp").select("grp", "start", F.col("log_det").alias("before"), *STATISTICS, _distance().alias("d2"))
+    far = far.withColumns({"bin": F.floor(level), "fine": F.floor((level - F.floor(level)) * FINE).cast("int")})
+    counts = far.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = counts.withColumns({"cum": F.sum("n").over(up), "want": F.ceil(F.sum("n").over(Window.partitionBy(*keys)) * SUPPORT)})
+    edge = materialise(cum.filter("cum >= want").groupBy(*keys).agg(F.min(F.struct("bin", (F.col("want") - F.col("cum") + F.col("n")).alias("rest"))).alias("e")).select(*keys, F.col("e.bin").alias("at"), "e.rest"), "edges")
+    inner = far.join(sent(edge), keys).filter("bin = at").groupBy(*keys, "at", "rest", "fine").agg(F.count("*").alias("n"))
+    within = Window.partitionBy(*keys).orderBy("fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    limit = inner.withColumn("cum", F.sum("n").over(within)).filter("cum >= rest").groupBy(*keys, "at").agg(F.min("fine").alias("most"))
+    near = far.join(sent(materialise(limit, "limits")), keys).filter("bin < at or bin = at and fine <= most")
+    return materialise(_estimate(near, [*keys, "before"]), "step")
 
 
 def estimate(rows: DataFrame) -> DataFrame:
-    """Minimum-covariance-determinant estimate per ``grp`` over ``rows`` with the statistics' columns."""
-    est = materialise(_start(rows), "estimate")
-    for _ in range(STEPS):
-        far = with_distance(rows, est).withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 16))
-        limit = materialise(_quantile_bins(far, ["grp"], "bin", SUPPORT), "support")
-        est = materialise(_estimate(far.join(_sent(limit), "grp").filter(F.col("bin") <= F.col("at"))), "estimate")
-    return est
+    """Minimum-covariance-determinant estimate per ``grp`` over ``rows`` with doc_id and the statistics' columns.
+
+    Every start steps until its determinant falls no further; of the estimates after a step the one with the smallest
+    determinant stays, on ties that of the earlier start.
+    """
+    starts = _starts(rows)
+    few = starts.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    sent = lambda groups: F.broadcast(groups) if few else groups.hint("merge")
+    live, stepped = starts.withColumn("log_det", F.lit(float("inf"))), []
+    while len(stepped) < MOST_STEPS and live.head(1):
+        step = _step(rows, live, sent)
+        stepped.append(step.drop("before"))
+        live = step.filter(F.col("log_det") < F.col("before") - SETTLED).drop("before")
+    if not stepped:
+        return starts.drop("start")
+    best = reduce(DataFrame.unionByName, stepped).withColumn("_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.round("log_det", 9), "start")))
+    return materialise(best.filter("_rank = 1").drop("_rank", "start"), "estimate")
 
 
 def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
@@ -180,7 +232,9 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
 
     Estimates use the documents that pass the base rules. Null lang or source is a group like any other; groups with
     few documents are held against the estimate of their whole language, or of all documents if that has few as well,
-    and with fewer than ``MIN_GROUP`` documents in all nothing is rejected beyond the base rules. Repeated rows count as often as they occur; an empty table gives an empty result.
+    and with fewer than ``MIN_GROUP`` documents in all nothing is rejected beyond the base rules. Repeated rows count as
+    often as they occur, null and empty texts fail the base rules, very long texts are counted whole, and an empty table
+    gives an empty result.
     """
     rows = counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text"), ["doc_id", "lang", "source"])
     rows = materialise(rows.withColumns({**vector(), "base_failed": base_failed()}), "counts")
