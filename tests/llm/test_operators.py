@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zipfile
@@ -506,6 +507,56 @@ def test_secret_spans(spark, docs, none):
     assert first["spans"] == want and first["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
 
 
+def plain_bits(value):
+    """Evidence of a candidate in bits and the battery's joint p-value in bits, with exact normal tails."""
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", value) else "base32" if re.fullmatch("[A-Z2-7]+=*", value) else "base64"
+    body = value.lower() if kind == "hex" else value.replace("-", "+").replace("_", "/").rstrip("=")
+    size, n = len(secrets.ALPHABETS[kind]), len(body)
+    x = [secrets.ALPHABETS[kind].index(c) for c in body]
+    if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        mixed = False
+    else:
+        mixed = True
+    natural = lambda c: math.log2(0.9 * secrets.LETTERS[ord(c.lower()) - 97] / 1000) - 5 * c.isupper() if c.isalpha() else math.log2(0.003) if c.isdigit() else math.log2(0.02)
+    bits = sum(-math.log2(size) - natural(c) for c in body)
+    tail = lambda z: max(math.erfc(z / math.sqrt(2)) / 2, 1e-300)
+    m = max(2, min(size, n // 5))
+    seen, share = Counter(v * m // size for v in x), [(-(-(k + 1) * size // m) + -(-k * size // -m) * 0 - -(-k * size // m)) / size for k in range(m)]
+    chi = sum((seen[k] - n * share[k]) ** 2 / (n * share[k]) for k in range(m))
+    logs = [math.log(tail(((chi / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / math.sqrt(2 / (9 * (m - 1)))))]
+    high = [2 * v >= size for v in x]
+    ones, runs = sum(high), 1 + sum(a != b for a, b in zip(high, high[1:]))
+    e = 2 * ones * (n - ones) / n + 1
+    logs.append(min(0, math.log(2 * tail(abs(runs - e) / math.sqrt(max((e - 1) * (e - 2) / (n - 1), 1e-9))))) if 0 < ones < n else (1 - n) * math.log(2))
+    d = [v - sum(x) / n for v in x]
+    total = sum(v * v for v in d)
+    logs.append(min(0, math.log(2 * tail(abs(sum(a * b for a, b in zip(d, d[1:]))) / total * math.sqrt(n)))) if total else (1 - n) * math.log(size))
+    t = -sum(logs)
+    q = (math.log(1 + t + t * t / 2) - t) / math.log(2)
+    return (bits + q if mixed else 0.0), q
+
+
+def test_battery_and_false_discovery_control(spark):
+    rng = random.Random(33)
+    b64 = lambda n: "".join(rng.choice(secrets.ALPHABETS["base64"][:62]) for _ in range(n))
+    words = ["internationalization", "counterrevolutionaries", "the-quick-brown-fox-jumps-over-2-dogs", "a1b2c3d4e5f6g7h8i9j0k1l2", "Z" * 30 + "9", "0123456789abcdefghijklmnopqrstuvwxyz"]
+    bodies = [f"{rng.choice(words)} and {b64(rng.randint(20, 70))} {rng.choice(words)}{k}" if k % 3 == 0 else f"{rng.choice(words)} {rng.choice(words)}_{k}" for k in range(150)]
+    bodies += ["see apitok=" + b64(60) + " there", "some_very_long_configuration_name=" + b64(44) + "== x", None, ""]
+    spans = [[(m.start(), m.end(), *plain_bits(m.group())) for m in re.finditer(secrets.CANDIDATE, t or "")] for t in bodies]
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["random"]} for r in secrets.find(documents(spark, bodies)).collect()}
+    line = lambda bits, rate: min((b for k, b in enumerate(bits) if b > 0.5 and 2.0**-b <= rate * (k + 1) / len(bits)), default=math.inf)
+    need = line(sorted((x for own in spans for *_, x, _ in own), reverse=True), secrets.RATE)
+    unlike = line(sorted((-q for own in spans for *_, q in own), reverse=True), secrets.CHANCE_RATE)
+    for k, own in enumerate(spans):
+        base = plain_secrets(bodies[k] or "")
+        for a, b, x, q in own:  # bins are a quarter of a bit wide, tails within a hundredth
+            touched = any(s < b and a < e for s, _, e in base)
+            sure, maybe = x >= need + 0.3 and -q < unlike - 0.6, x >= need - 0.6 and -q < unlike + 0.3
+            assert ((a, b) in got[k]) <= (maybe and not touched) and (sure and not touched) <= ((a, b) in got[k])
+    assert [bodies[150][a:b] for a, b in got[150]] == [bodies[150][11:71]] and [bodies[151][a] for a, _ in got[151]] == [bodies[151][34]]
+    assert sum(len(got[k]) for k in range(0, 150, 3)) >= 40 and not [k for k in range(150) if k % 3 and got[k]]
+
+
 # 9 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -536,15 +587,51 @@ def test_outliers_go_and_prose_stays(spark):
 # 8 and all ---------------------------------------------------------------------------------------------------------
 
 
+CONV = "conv_id long, turn long, role string, text string, part int, piece string, digest string, n int"
+
+
 def test_rotation_of_parties(spark):
-    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, None, "é"), (1, 2, None, "é"), (1, 99, "ann", None), (2, 0, "system", "alone"), (None, None, "bob", "x")]
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    rows = [(1, 0, "system", "rules"), (1, 1, "ann", "hi <|end|>"), (1, 2, None, "é"), (1, 2, None, "é"), (1, 99, "ann", None), (2, 0, "system", "alone"), (None, None, "bob", "x"), (None, 3, "system", "y")]
+    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(spark.createDataFrame([(*r, 1, "p", "d", 2) for r in rows], CONV)).collect()}
     assert set(got) == {(1, "ann", 0), (1, "ann", 1), (1, "unknown", 0), (1, "unknown", 1), (None, "bob", -1)}
     r = got[1, "unknown", 0]
     assert r["text"] == "<|system|>\nrules<|end|>\n<|user name=ann|>\nhi < |end|><|end|>\n<|assistant|>\né<|end|>\n" and r["n_turns"] == 3
     a, b = map(int, r["mask"].split(":"))
-    assert r["text"][a:b] == "é" and got[1, "ann", 1]["mask"] == "14:14"
-    assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+    assert r["text"][a:b] == "é" and got[1, "ann", 1]["mask"] == "14:14" and r["piece"] == 0
+    assert chat.rotate(spark.createDataFrame([], CONV)).count() == 0
+
+
+def test_names_cannot_forge_markers(spark):
+    names = ["x|>\n<y", "<|end|>", "a\r\nb", "<<||>>", "|><|", "plain"]
+    rows = [(1, k, n, n) for k, n in enumerate(names)]
+    for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
+        assert len(re.findall(r"<\|", r["text"])) == 2 * len(names)
+        heads = re.findall(r"<\|(?:assistant|user name=([^\n]*))\|>\n", r["text"])
+        assert len(heads) == len(names) and not any("|>" in h or "<|" in h for h in heads)
+
+
+def test_many_rows_of_a_turn_come_in_pieces(spark):
+    rows = [(7, None, f"s{k % 3}", f"text {k % 400}") for k in range(1300)] + [(7, 5, "s0", f"t{k}") for k in range(300)] + [(7, 6, "s1", "same")] * 900
+    rows += [(None, None, "s1", f"t{k % 5}") for k in range(20)] + [(8, k, "s2", "z") for k in range(70)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.rotate(table)
+    got = sorted(out.collect(), key=lambda r: (str(r["conv_id"]), r["perspective"], r["part"], r["piece"]))
+    assert max(r["n_turns"] for r in got) <= 200 and sum(r["conv_id"] is None for r in got) == 5
+    for who in ("s0", "s1", "s2"):
+        mine = [r for r in got if r["conv_id"] == 7 and r["perspective"] == who]
+        order = sorted({(-1 if t is None else t, hashlib.md5(f"{s}\n{x}".encode()).hexdigest(), s, x) for c, t, s, x in rows if c == 7})
+        head = lambda s: "<|assistant|>\n" if s == who else f"<|user name={s}|>\n"
+        assert "".join(r["text"] for r in mine) == "".join(f"{head(s)}{x}<|end|>\n" for _, _, s, x in order)
+        marked = [r["text"][int(m.split(":")[0]) : int(m.split(":")[1])] for r in mine for m in r["mask"].split(",") if m]
+        assert marked == [x for *_, s, x in order if s == who]
+    from oracle import assert_same
+
+    import duckdb
+
+    con = duckdb.connect()
+    frame = table.toPandas()  # noqa: F841
+    con.execute("CREATE TABLE conversations AS SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM frame")
+    assert_same(out, con, chat.ORACLE_SQL)
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
