@@ -344,6 +344,57 @@ def test_mix_meets_targets_and_bounds(spark, docs, texts, none):
     assert len(empty) == 3 and all(r["taken"] == 0 for r in empty)
 
 
+def test_blocks_are_drawn_by_seed(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, rng.randint(0, 90)) for _ in range(400)]
+    texts[7] = prose(rng, 3000)
+    rows = [(k, t, "a" if k % 3 else "b", "x") for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, row string")
+    count = lambda t: len(re.findall("[^\x20\x09-\x0d]+", t))
+    for block, stretch, shard, group in ((16, 2, 900, 2), (4, 8, 100_000, 1024)):
+        sizes = mixing.sized(table)
+        plan = mixing.source_plan(sizes, block, shard)
+        placed = mixing._placed(sizes, plan)
+        quotas = {(r["skey"], r["shard"]): r for r in mixing.shard_plan(placed, block, group).collect()}
+        where = {r["doc_id"]: (r["skey"], r["shard"]) for r in placed.collect()}
+        won = {r["skey"]: r["won"] for r in plan.collect()}
+        for s in won:
+            assert sum(q["quota"] for k, q in quotas.items() if k[0] == s) <= won[s] * block
+        want = {}
+        for key, q in quotas.items():
+            own = sorted((k for k in where if where[k] == key), key=lambda k: hashlib.md5(f"42:{k}".encode()).hexdigest())
+            line = [k for k in own for _ in range(count(texts[k]))]
+            assert len(line) == q["line"]
+            parts = [line[at : at + block * stretch] for at in range(0, len(line), block * stretch)]
+            order = sorted(range(len(parts)), key=lambda k: hashlib.md5(f"42:{key[0]}:{key[1]}:{k}".encode()).hexdigest())
+            taken = Counter({k: q["quota"] // max(1, len(line)) * n for k, n in Counter(line).items()})
+            rest = q["quota"] % len(line) if line else 0
+            for k in order:
+                taken.update(parts[k][:rest])
+                rest -= min(rest, len(parts[k]))
+            want |= {k: taken[k] for k in own}
+        if group == 1024:
+            got = {r["doc_id"]: r["taken"] for r in mixing.mix(table, block, shard, stretch).collect()}
+            assert got == want
+            out = Counter()
+            for r in mixing.mixture(table, block, shard, stretch).collect():
+                out[r["doc_id"]] += count(r["text"])
+                assert set(r["text"].split()) <= set(texts[r["doc_id"]].split())
+            assert dict(out) == {k: n for k, n in want.items() if n}
+
+
+def test_groups_of_shards_share_a_hot_source(spark):
+    rng = random.Random(15)
+    rows = [(k, rng.randint(1, 500), rng.randrange(300)) for k in range(3000)]
+    placed = spark.createDataFrame([("=a", s, n, 40_000) for _, n, s in rows], "skey string, shard long, size long, won long")
+    got = {r["shard"]: r["quota"] for r in mixing.shard_plan(placed, 16, 32).collect()}
+    line = Counter()
+    for _, n, s in rows:
+        line[s] += n
+    total = sum(line.values())
+    assert all(abs(got[s] - min(2 * n, 16 * 40_000 * n / total)) <= 40 for s, n in line.items())
+
+
 def test_mixture_holds_what_the_mix_takes(docs):
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
     out = mixing.mixture(docs)
