@@ -255,6 +255,41 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(p, want) and np.allclose(pairs, total)
 
 
+def test_whole_text_chains_equal_enumeration():
+    rng = np.random.default_rng(6)
+    for span in (2, 3, 32):
+        lengths, trans = np.array([5, 0, 1, 9, 4, 0]), rng.normal(size=(2, 2))
+        e = rng.normal(size=19) * 3
+        got, at = toxicity.text_marginals(e, lengths, trans, span), 0
+        for n in lengths:
+            own, mass, z = e[at : at + n], np.zeros(n), 0.0
+            for code in range(1 << n) if n else ():
+                y = [code >> k & 1 for k in range(n)]
+                w = np.exp(own @ y + sum(trans[a, b] for a, b in zip(y, y[1:])))
+                z, mass = z + w, mass + w * np.array(y)
+            assert n == 0 or np.allclose(got[at : at + n], mass / z)
+            at += n
+    long = rng.normal(size=5000)
+    assert np.allclose(toxicity.text_marginals(long, np.array([5000]), trans), toxicity.marginals(long[:, None], trans)[:, 0])
+
+
+def test_scores_equal_chains_word_by_word():
+    rows = [(t, y) for _, t, y in labelled(None, 400)]
+    model = toxicity.fit(rows, 0.2)
+    texts = [t.replace(" ", "  ", 1) for t, _ in rows[:40]] + [None, "", " \n ", "grolx", " ".join(t for t, _ in rows[:90])]
+    scores, spans = toxicity.Scorer(model, cache=60).documents(texts)
+    for k, t in enumerate(texts):
+        words = [c for c in re.split("[ \n\t\r]", t or "") if c]
+        own = [sum(model.weights[i] for i in toxicity.features(c)) for c in words]
+        side = lambda m, c: model.weights[toxicity._hash(m + (toxicity.core(c) if c else "")) >> (32 - toxicity.BITS)]
+        e = np.array([o + side("<", words[i - 1] if i else "") + side(">", words[i + 1] if i + 1 < len(words) else "") for i, o in enumerate(own)])
+        p = toxicity.marginals(e[:, None], model.trans)[:, 0] if words else np.zeros(1)
+        top = sorted([*p, 0.0], reverse=True)
+        z = model.document @ [1, np.log1p(p.sum()), top[0], top[1]]
+        assert abs(scores[k] - 1 / (1 + math.exp(-z))) < 2e-3
+        assert sum(len(re.split("[ \n\t\r]+", t[s["start"] : s["end"]])) for s in spans[k]) == int((p >= 0.5).sum()) if words else not spans[k]
+
+
 def test_toxicity_held_out_accuracy_and_spans(spark, none, docs):
     rows = labelled(spark)
     table = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")

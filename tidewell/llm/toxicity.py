@@ -2,11 +2,13 @@
 
 The labels mark documents, so token labels are induced first: words and word beginnings that occur in toxic
 training documents far more often than chance allows mark their tokens. A two-state chain field is then fitted to the
-labelled tokens; forward-backward marginals give each word's probability of being toxic, spans are runs of words at
-one half or more, and a logistic model over the marginals' sum and largest values gives the document's score.
+labelled tokens, with features of each word, of its neighbours and of the step between states; forward-backward marginals
+over whole texts give each word's probability of being toxic, spans are runs of words at one half or more, and a logistic
+model over the marginals' sum and largest values gives the document's score.
 
-The fit reads a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN`` documents of at most
-``MAX_FIT_CHARS`` characters); scoring covers every whole text.
+The fit reads a bounded sample of labelled rows (``MAX_TOXIC`` and ``MAX_CLEAN`` documents of at most ``MAX_FIT_CHARS``
+characters) and from it at most ``TOXIC_PIECES`` and ``CLEAN_PIECES`` pieces of ``SPAN`` words, drawn by seed; scoring
+covers every whole text as one chain.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from tidewell.session import ship
 
 #: Bounds of the labelled sample that the model is fitted on.
 MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 1800, 3600, 50_000
-#: Words of a sequence; longer documents are sequences one after the other.
+#: Pieces that the chain is fitted on at most, drawn by seed from all pieces with a marked word and all of clean documents.
+TOXIC_PIECES, CLEAN_PIECES = 4000, 8000
+#: Words of a piece. Scoring works through pieces too, but messages pass on from piece to piece.
 SPAN = 32
 BITS = 18
 CACHE = 300_000
@@ -149,6 +153,64 @@ def marginals(e: np.ndarray, trans: np.ndarray, pairs: bool = False):
     return out, np.array([[(cells[i][j] / total).sum() for j in (0, 1)] for i in (0, 1)])
 
 
+def text_marginals(e: np.ndarray, lengths: np.ndarray, trans: np.ndarray, span: int = SPAN) -> np.ndarray:
+    """``marginals`` of chains of any length: ``e`` holds their scores one chain after the other.
+
+    Chains are cut into pieces of ``span`` steps. Each piece's steps multiply to one matrix, for all pieces at once; messages
+    pass over these matrices from piece to piece, and then through the steps of all pieces at once.
+    """
+    own = lengths[lengths > 0]
+    if not len(own):
+        return np.zeros(0, e.dtype)
+    pieces = -(-own // span)
+    first = np.cumsum(pieces) - pieces
+    step = ragged(np.zeros(len(own), np.int64), own)
+    row, column = step % span, np.repeat(first, own) + step // span
+    n = int(pieces.sum())
+    odds, used = np.ones((span, n), e.dtype), np.zeros((span, n), bool)
+    odds[row, column], used[row, column] = np.exp(np.clip(e, -25, 25)), True
+    t = np.exp(trans).astype(e.dtype)
+    begins = np.zeros(n, bool)
+    begins[first] = True
+    a, b, c, d = np.ones(n, e.dtype), np.zeros(n, e.dtype), np.zeros(n, e.dtype), np.ones(n, e.dtype)
+    for k in range(span):
+        x = (a * t[0, 0] + b * t[1, 0], (a * t[0, 1] + b * t[1, 1]) * odds[k], c * t[0, 0] + d * t[1, 0], (c * t[0, 1] + d * t[1, 1]) * odds[k])
+        if k == 0:  # the first word of a text follows no other
+            x = (np.where(begins, 1, x[0]), np.where(begins, 0, x[1]), np.where(begins, 0, x[2]), np.where(begins, odds[0], x[3]))
+        scale = x[0] + x[1] + x[2] + x[3]
+        a, b, c, d = (np.where(used[k], y / scale, z) for y, z in zip(x, (a, b, c, d)))
+    into, after = np.full(n, 0.5, e.dtype), np.full(n, 0.5, e.dtype)
+    order = np.argsort(-pieces, kind="stable")
+    most, begin = pieces[order], first[order]
+    for j in range(1, int(most[0])):
+        at = begin[: np.searchsorted(-most, -j, "left")] + j  # texts with more than j pieces
+        p = into[at - 1]
+        zero, one = (1 - p) * a[at - 1] + p * c[at - 1], (1 - p) * b[at - 1] + p * d[at - 1]
+        into[at] = one / (zero + one)
+    for j in range(int(most[0]) - 1, 0, -1):
+        at = begin[: np.searchsorted(-most, -j, "left")] + j
+        p = after[at]
+        zero, one = a[at] * (1 - p) + b[at] * p, c[at] * (1 - p) + d[at] * p
+        after[at - 1] = one / (zero + one)
+    front = np.empty((span, n), e.dtype)
+    p = into
+    for k in range(span):
+        zero, one = (1 - p) * t[0, 0] + p * t[1, 0], ((1 - p) * t[0, 1] + p * t[1, 1]) * odds[k]
+        if k == 0:
+            zero, one = np.where(begins, 1, zero), np.where(begins, odds[0], one)
+        p = np.where(used[k], one / (zero + one), p)
+        front[k] = p
+    out = np.empty((span, n), e.dtype)
+    p = after
+    for k in range(span - 1, -1, -1):
+        both = front[k] * p
+        out[k] = both / (both + (1 - front[k]) * (1 - p))
+        w = p * odds[k]
+        zero, one = t[0, 0] * (1 - p) + t[0, 1] * w, t[1, 0] * (1 - p) + t[1, 1] * w
+        p = np.where(used[k], one / (zero + one), p)
+    return out[row, column]
+
+
 @dataclass
 class Model:
     """Weights of hashed features, transition scores, and the document model's bias and weights."""
@@ -158,24 +220,35 @@ class Model:
     document: np.ndarray
 
 
-def _sequences(words: list[list[str]], marked: list[list[bool]]) -> tuple[list[list[str]], np.ndarray]:
-    """Pieces of ``SPAN`` chunks, padded with empty chunks, and their labels ``[time, pieces]``."""
-    pieces, labels = [], []
-    for own, tags in zip(words, marked):
-        for at in range(0, len(own), SPAN):
-            piece, tag = own[at : at + SPAN], tags[at : at + SPAN]
-            pieces.append(piece + [""] * (SPAN - len(piece)))
-            labels.append(tag + [False] * (SPAN - len(tag)))
-    return pieces, np.array(labels, np.float64).reshape(-1, SPAN).T
-
-
-def _fit_chain(pieces: list[list[str]], y: np.ndarray, rounds: int = 45, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
-    """Conditional likelihood of the labelled pieces by Adam over all of them."""
-    known: dict[str, list[int]] = {}
-    lists = [known.setdefault(c, features(c)) if c not in known else known[c] for piece in zip(*pieces) for c in piece]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    index = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-    starts = np.cumsum(sizes) - sizes
+class Features:
+    """Numbers of the features of distinct chunks: their own, and what they tell as the chunk before or after."""
+
+    def __init__(self, chunks: list[str]) -> None:
+        lists = [features(c) if c else [] for c in chunks]
+        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.index = np.fromiter((i for x in lists for i in x), np.int64, int(self.sizes.sum()))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        words = [core(c) for c in chunks]
+        self.before, self.after = (np.fromiter((_hash(m + w) >> (32 - BITS) for w in words), np.int64, len(words)) for m in "<>")
+
+    def scores(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per chunk the score of its own features, and of it as the chunk before and after another."""
+        own = np.zeros(len(self.sizes), weights.dtype)
+        some = np.flatnonzero(self.sizes)
+        if len(some):
+            own[some] = np.add.reduceat(weights[self.index], self.starts[some])
+        return own, weights[self.before], weights[self.after]
+
+
+def _fit_chain(known: Features, codes: np.ndarray, before: np.ndarray, after: np.ndarray, y: np.ndarray, rounds: int = 45, l2: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """Conditional likelihood of the labelled pieces ``[time, pieces]`` by Adam over all of them; code 0 is no chunk."""
+    flat = codes.ravel()
+    sizes = known.sizes[flat] + 2
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    index = np.empty(int(sizes.sum()), np.int64)
+    index[ragged(starts, sizes - 2)] = known.index[ragged(known.starts[flat], sizes - 2)]
+    index[ends - 2], index[ends - 1] = known.before[before.ravel()], known.after[after.ravel()]
     w, trans = np.zeros(1 << BITS), np.zeros((2, 2))
     seen = np.array([[((1 - y[:-1]) * (1 - y[1:])).sum(), ((1 - y[:-1]) * y[1:]).sum()], [(y[:-1] * (1 - y[1:])).sum(), (y[:-1] * y[1:]).sum()]])
     state = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(trans), np.zeros_like(trans)]]
@@ -191,8 +264,16 @@ def _fit_chain(pieces: list[list[str]], y: np.ndarray, rounds: int = 45, l2: flo
     return w.astype(np.float32), trans
 
 
+def neighbours(codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes before and after each, within texts of ``lengths``; 0 where there is none."""
+    before, after = np.concatenate(([0], codes))[: len(codes)], np.concatenate((codes[1:], [0]))[: len(codes)]
+    ends = np.cumsum(lengths)[lengths > 0]
+    before[ends - lengths[lengths > 0]], after[ends - 1] = 0, 0
+    return before, after
+
+
 class Scorer:
-    """Applies a model to whole texts, one emission score per distinct chunk."""
+    """Applies a model to whole texts; what depends on a chunk alone is computed once per distinct chunk."""
 
     def __init__(self, model: Model, cache: int = CACHE) -> None:
         self.model, self.cache = model, cache
@@ -200,33 +281,33 @@ class Scorer:
 
     def clear(self) -> None:
         self.codes = Codes()
-        self.score = np.zeros(1 << 12, np.float32)
+        self.score = np.zeros((3, 1 << 12), np.float32)
         self._learn(0, [""])
 
     def _learn(self, known: int, chunks: list[str]) -> None:
-        while known + len(chunks) > len(self.score):
-            self.score = np.concatenate((self.score, np.zeros_like(self.score)))
-        lists = [features(c) for c in chunks]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        index = np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum()))
-        self.score[known : known + len(chunks)] = np.add.reduceat(self.model.weights[index], np.cumsum(sizes) - sizes)
+        while known + len(chunks) > self.score.shape[1]:
+            self.score = np.concatenate((self.score, np.zeros_like(self.score)), axis=1)
+        self.score[:, known : known + len(chunks)] = Features(chunks).scores(self.model.weights)
 
     def words(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(p, starts, sizes)``: marginals of all chunks of all texts; text k has ``p[starts[k] :][: sizes[k]]``."""
+        """``(p, starts, sizes)``: marginals of all chunks of all texts; text k has ``p[starts[k] :][: sizes[k]]``.
+
+        Empty chunks are no words: they have probability 0 and no place in the chain.
+        """
         if len(self.codes) > self.cache:
             self.clear()
         codes, sizes = self.codes.of(texts, _BREAKS)
         if self.codes.new:
             self._learn(len(self.codes) - len(self.codes.new), self.codes.new)
             self.codes.new.clear()
-        padded = -(-sizes // SPAN) * SPAN
-        starts = np.cumsum(padded) - padded
-        flat = np.full(int(padded.sum()), self.score[0], np.float32)
-        flat[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(codes))] = self.score[codes]
-        p = marginals(np.ascontiguousarray(flat.reshape(-1, SPAN).T), self.model.trans.astype(np.float32)).T.ravel()
-        used = np.zeros(len(flat), bool)
-        used[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(codes))] = codes != 0
-        return np.where(used, p, 0), starts, padded
+        starts = np.cumsum(sizes) - sizes
+        used = np.flatnonzero(codes)
+        lengths = np.add.reduceat((codes != 0).astype(np.int64), starts)
+        before, after = neighbours(codes[used], lengths)
+        own, as_before, as_after = self.score
+        p = np.zeros(len(codes), np.float32)
+        p[used] = text_marginals(own[codes[used]] + as_before[before] + as_after[after], lengths, self.model.trans)
+        return p, starts, sizes
 
     def evidence(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text ``[log1p(sum), largest, second largest]`` of its marginals, with the marginals and starts."""
@@ -271,6 +352,25 @@ class Scorer:
         return scores, spans
 
 
+def _pieces(sample: Sample, marked: np.ndarray, toxic: list[int], clean: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes, the codes before and after, and labels of the fit's pieces, each ``[time, pieces]`` and padded with code 0."""
+    draw = np.random.default_rng(17)
+
+    def cut(own: list[int], most: int, only_marked: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        texts = {k: (c := sample.of(k)[sample.of(k) != 0], *neighbours(c, np.array([len(c)]))) for k in own}
+        every = [(k, at) for k, (c, *_) in texts.items() for at in range(0, len(c), SPAN) if not only_marked or marked[c[at : at + SPAN]].any()]
+        return [tuple(x[every[i][1] :][:SPAN] for x in texts[every[i][0]]) for i in draw.permutation(len(every))[:most].tolist()]
+
+    bad, good = cut(toxic, TOXIC_PIECES, True), cut(clean, CLEAN_PIECES, False)
+    out = np.zeros((3, SPAN, len(bad) + len(good)), np.int64)
+    for k, piece in enumerate(bad + good):
+        for x, part in zip(out, piece):
+            x[: len(part), k] = part
+    tags = marked[out[0]] & (out[0] != 0)
+    tags[:, len(bad) :] = False
+    return out[0], out[1], out[2], tags.astype(np.float64)
+
+
 def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     """The model from labelled ``(text, 0 or 1)`` rows; ``prior`` is the share of label 1 among all training rows.
 
@@ -286,26 +386,8 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     marks = toxic_features(sample.frequencies(toxic), len(toxic), sample.frequencies(clean), len(clean))
     if not marks:
         return empty
-    marked, names = sample.marked(marks), sample.chunks
-    own, tags = [], []
-
-    def add(codes: np.ndarray, tag: np.ndarray) -> None:
-        own.append([names[c] for c in codes]), tags.append(tag.tolist())
-
-    for k in toxic:
-        codes = sample.of(k)
-        tag = marked[codes]
-        for at in range(0, len(tag), SPAN):
-            if len(own) < 4000 and tag[at : at + SPAN].any():
-                add(codes[at : at + SPAN], tag[at : at + SPAN])
-    for n, k in enumerate(clean):
-        codes = sample.of(k)
-        pieces = range(0, len(codes), SPAN)
-        for at in (pieces[n % len(pieces)], pieces[-1]):
-            if len(own) < 8000:
-                add(codes[at : at + SPAN], np.zeros(len(codes[at : at + SPAN]), bool))
-    del sample, marked, names
-    weights, trans = _fit_chain(*_sequences(own, tags))
+    weights, trans = _fit_chain(Features(sample.chunks), *_pieces(sample, sample.marked(marks), toxic, clean))
+    del sample
     model = Model(weights, trans, empty.document)
     scorer = Scorer(model)
     y = np.array([label for _, label in rows], np.float64)
@@ -326,7 +408,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on labelled rows of ``docs`` whose crc32 of doc_id leaves a remainder other than 0 by 5.
 
     The sample takes the rows of lowest id hash in each class up to the module's bounds. Documents labelled more
-    than once count as label 1 if any row says so; repeated documents count once.
+    than once count as label 1 if any row says so; repeated documents count once. Null texts are not sampled, nor rows
+    without an id or label; without rows of both labels the model gives every text the share of label 1.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.filter("doc_id is not null and y is not null and crc32(cast(doc_id as string)) % 5 <> 0").groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -341,7 +424,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 SPANS = "array<struct<start: int, end: int, score: double>>"
 
 
-def _apply(docs: DataFrame, model: Model, columns: list[str], schema: str, keep) -> DataFrame:
+def _apply(docs: DataFrame, model: Model, columns: list[str], schema, keep) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -358,7 +441,11 @@ def _apply(docs: DataFrame, model: Model, columns: list[str], schema: str, keep)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score, spans)`` of every row of ``docs``; null texts count as empty. No shuffle."""
+    """``(doc_id, score, spans)`` of every row of ``docs``. No shuffle.
+
+    Null texts count as empty, whose score is that of no evidence. Very long texts are one chain, repeated rows are rows of
+    their own with equal scores, other columns are ignored, and an empty table gives an empty result.
+    """
 
     def keep(part: pa.RecordBatch, scores: np.ndarray, spans: list) -> pa.RecordBatch:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
@@ -368,12 +455,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are."""
-    names = docs.columns
-    body = docs.select("*", F.col("text").cast("string").alias("__scored"))
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are, whatever their names."""
+    body = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.col("text").cast("string").alias("body"))
 
     def keep(part: pa.RecordBatch, scores: np.ndarray, spans: list) -> pa.RecordBatch:
-        return part.select(list(range(part.num_columns - 1))).filter(pa.array(scores < threshold))
+        return part.select([0]).filter(pa.array(scores < threshold))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return _apply(body, model, [*(f"`{n}`" for n in names), "__scored"], schema, keep)
+    return _apply(body, model, ["row", "body"], body.select("row").schema, keep).select("row.*")
