@@ -92,8 +92,9 @@ def test_links_of_clusters_and_hot_keys(spark):
     values = sorted({*map(int, base), *near, *hot})
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     nodes = spark.createDataFrame(list(zip(signed, range(len(values)))), "fp long, node long").repartition(3)
-    for chunk in (16,):
-        links = simhash.links(nodes, chunk=chunk)
+    assert [simhash.blocks_for(n) for n in (0, 1 << 18, 1 << 23, 1 << 27, 1 << 33)] == [6, 6, 6, 7, 8]
+    for chunk, blocks in ((16, None), (2048, 8)):
+        links = simhash.links(nodes, chunk=chunk, blocks=blocks)
         component = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
         assert [component.get(k, k) for k in range(len(values))] == plain_components(list(range(len(values))), values)
 

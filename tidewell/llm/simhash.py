@@ -2,7 +2,8 @@
 
 Fingerprints are majority votes over XXH64 hashes of word shingles. Distinct fingerprints are brought together
 by a pigeonhole argument: of ``BLOCKS`` bit blocks at least ``BLOCKS - radius`` agree between any two fingerprints
-within the radius, so every combination of that many blocks is a join key and no link is lost. Rows of a key are
+within the radius, so every combination of that many blocks is a join key and no link is lost; there are the more blocks,
+and so the longer keys, the more fingerprints there are, so that groups do not grow with the corpus. Rows of a key are
 compared block against block: bit planes are stored vertically (one word holds one bit of 64 fingerprints), many
 distances advance together in carry-save counters, and a block is abandoned once every lane exceeds the radius.
 A task emits a spanning forest of what it links, never all pairs; keys with many rows are cut into chunks whose
@@ -11,6 +12,7 @@ pairs are compared in different tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -153,26 +155,36 @@ def near_lanes(planes: np.ndarray, queries: np.ndarray, radius: int = RADIUS) ->
     return ~over()
 
 
-def forest(values: np.ndarray, nodes: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Edges of a spanning forest over all links found in ``values``.
+def hits_by_tile(values: np.ndarray, ends: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """``(row, later rows within the radius)`` of rows that have some, in order.
 
-    ``values`` are sorted by group; ``ends[i]`` is one past the last row of row i's group. Lanes of a tile reach from
-    its first row to the end of its last row's group; links found across groups are true links as well.
+    ``ends[i]`` is one past the last row of row i's group. The planes of all rows are stored once; the lanes of a tile are the
+    words of the planes from its first row to the end of its last row's group.
     """
-    label = np.arange(len(values))
+    planes = bit_planes(values)
     for top in range(0, len(values), TILE):
         bottom = min(top + TILE, len(values))
-        stop = int(ends[bottom - 1])
-        found = near_lanes(bit_planes(values[top:stop]), values[top:bottom], radius)
-        hits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, : stop - top]
+        stop, word = int(ends[bottom - 1]), top // 64
+        found = near_lanes(planes[:, word : -(-stop // 64)], values[top:bottom], radius)
+        hits = np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, top - 64 * word : stop - 64 * word]
         for i in range(bottom - top):
             hits[i, : i + 1] = 0
         for i in np.flatnonzero(hits.any(axis=1)):
-            linked = label[top + np.flatnonzero(hits[i])]
-            mine = label[top + i]
-            if (other := linked[linked != mine]).size:
-                merged = np.unique(np.append(other, mine))
-                label[np.isin(label, merged)] = merged[0]
+            yield top + int(i), top + np.flatnonzero(hits[i])
+
+
+def forest(values: np.ndarray, nodes: np.ndarray, ends: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over all links found in ``values``.
+
+    ``values`` are sorted by group; ``ends[i]`` is one past the last row of row i's group. Links found across groups are
+    true links as well.
+    """
+    label = np.arange(len(values))
+    for i, near in hits_by_tile(values, ends, radius):
+        linked, mine = label[near], label[i]
+        if (other := linked[linked != mine]).size:
+            merged = np.unique(np.append(other, mine))
+            label[np.isin(label, merged)] = merged[0]
     return [(int(nodes[i]), int(nodes[label[i]])) for i in np.flatnonzero(label != np.arange(len(values))) if nodes[i] != nodes[label[i]]]
 
 
@@ -220,12 +232,28 @@ def block_keys(fp: str = "fp", radius: int = RADIUS, blocks: int | None = None)
     return keys
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+def blocks_for(n: int, radius: int = RADIUS) -> int:
+    """Fewest blocks whose keys are so long that ``n`` fingerprints share one with about four others by chance."""
+    blocks = radius + 2
+    while blocks < 4 * radius and 64 * (blocks - radius) // blocks < math.log2(max(n, 4)) - 2:
+        blocks += 1
+    return blocks
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK, blocks: int | None = None) -> DataFrame:
     """Links ``(a, b)`` between rows ``(fp, node)`` with distinct fingerprints: a spanning forest of every compared
     group, so components are those of all pairs within the radius."""
-    spark = nodes.sparkSession
+    blocks = blocks_for(nodes.count(), radius) if blocks is None else blocks
+    return compared(nodes.select("fp", "node", F.explode(F.array(*block_keys("fp", radius, blocks))).alias("key")), radius, chunk)
+
+
+def compared(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Spanning forests ``(a, b)`` of the links among rows ``(fp, node, key)`` of equal keys.
+
+    Keys of many rows are dealt over pairs of chunks, so no task gets more than two chunks of a key.
+    """
+    spark = keyed.sparkSession
     ship(spark)
-    keyed = nodes.select("fp", "node", F.explode(F.array(*block_keys("fp", radius))).alias("key"))
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     parts = keyed.join(counts, "key").withColumn("parts", F.ceil(F.col("n") / chunk).cast("int")).withColumn("own", F.pmod(F.xxhash64("fp"), "parts").cast("int"))
     dealt = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
