@@ -285,15 +285,16 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SE
     fingerprint stays if no row with an id has that fingerprint. Texts are shuffled once, by doc_id.
     """
     found = materialise(near_duplicates(docs, shingle, seed, radius), "classes")
-    heads = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n"))
+    heads = found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("copies"))
     heads = materialise(heads, "heads")
-    at = F.col("doc_id").cast("long") == F.col("__keep")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").alias("body"))
+    at = F.col("id") == F.col("kept_id")
     # the list of heads has no bound, so it is never sent along: both sides are dealt by id, and texts are not sorted
-    rows = docs.join(heads.filter("__n = 1").hint("shuffle_hash"), at, "left_semi")
-    again = heads.filter("__n > 1")
+    rows = own.join(heads.filter("copies = 1").hint("shuffle_hash"), at, "left_semi").select("row.*")
+    again = heads.filter("copies > 1")
     if again.head(1):
-        first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-        rows = rows.unionByName(docs.join(again, at, "left_semi").withColumn("__rank", F.row_number().over(first)).filter("__rank = 1").drop("__rank"))
+        first = Window.partitionBy("id").orderBy(F.col("body").asc_nulls_last())
+        rows = rows.unionByName(own.join(again, at, "left_semi").withColumn("place", F.row_number().over(first)).filter("place = 1").select("row.*"))
     nameless = found.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
     if nameless.head(1):
         rows = rows.unionByName(_with_fingerprint(docs.filter(F.col("doc_id").isNull()), nameless, shingle, seed))
