@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import decontam, mixing, simhash, tokens, toxicity
+from tidewell.llm import decontam, mixing, similar, tokens, toxicity
 from tidewell.session import materialise, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays, that with the smallest id."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each class of similar ones (0.8 of their five-word shingles) stays, that with the smallest id."""
+    return similar.drop_similar(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
