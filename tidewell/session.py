@@ -15,8 +15,17 @@ _shipped: set[str] = set()
 _own_dirs: dict[str, str] = {}
 
 
+#: Rows of an Arrow batch where the session has Spark's default: rows here are documents, and a batch of ten thousand of
+#: them is tens of megabytes, several times over, in each task.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_DEFAULT_ROWS, _ROWS = "10000", "2048"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers once per application (needed where PYTHONPATH lacks it)."""
+    """Send this package to the Python workers once per application (needed where PYTHONPATH lacks it), and keep Arrow
+    batches small unless the session asks for another size."""
+    if spark.conf.get(ARROW_ROWS) == _DEFAULT_ROWS:
+        spark.conf.set(ARROW_ROWS, _ROWS)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
