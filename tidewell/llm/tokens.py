@@ -28,12 +28,12 @@ from tidewell.session import materialise, scratch, ship, shuffle_partitions
 #: Ids of a shard, but for a document that goes beyond them.
 SHARD_IDS = 1 << 20
 #: Bytes of text that a file of shards is made of, about.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 16 << 20
 #: Distinct pieces of words that a worker remembers at most.
 CACHE = 600_000
 END_ID = 1
-#: Texts that are encoded together.
-BATCH = 2048
+#: Texts that are encoded together, and chunks whose ids are gathered at once.
+BATCH, _GATHER = 1024, 1 << 16
 
 _HEAD = struct.Struct("<4sIQIIIBI")
 _MAGIC = b"TWR1"
@@ -170,8 +170,13 @@ class Encoder:
         first = np.cumsum(own) - own
         codes = coded.indices.to_numpy()
         lengths = own[codes]
-        ids = flat[ragged(first[codes], lengths)]
-        return ids, np.add.reduceat(lengths, np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())[:-1]))) if len(texts) else np.zeros(0, np.int64)
+        ids, at = np.empty(int(lengths.sum()), np.uint32), 0
+        for k in range(0, len(codes), _GATHER):  # indices are eight bytes an id, so they are made piece by piece
+            part = ragged(first[codes[k : k + _GATHER]], lengths[k : k + _GATHER])
+            ids[at : at + len(part)] = flat[part]
+            at += len(part)
+        stops = np.cumsum(pc.list_value_length(parts).to_numpy())
+        return ids, np.add.reduceat(lengths, np.concatenate(([0], stops[:-1]))) if len(texts) else np.zeros(0, np.int64)
 
 
 _encoders: dict[str, Encoder] = {}
@@ -285,6 +290,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             frame = pack_shard([x for n in names for x in n.to_pylist()], np.concatenate(lengths), np.concatenate(parts), enc.size)
             names.clear(), lengths.clear(), parts.clear()
             held = 0
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])
 
         for batch in batches:
