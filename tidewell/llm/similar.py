@@ -73,6 +73,7 @@ def sketches(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
                 fps = majority(np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets)))
                 keys = [bands(s).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "fp", "keys"])
+        pa.default_memory_pool().release_unused()
 
     return rows.select("doc_id", "digest", "node", "body").mapInArrow(run, "doc_id long, digest string, node long, fp long, keys array<long>")
 
@@ -88,7 +89,7 @@ def _filter(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def sets_of(rows: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``(node, set)`` of the texts whose node is in ``nodes`` (distinct), and of a few others that pass the filter."""
+    """``(node, fp, set)`` of the texts whose node is in ``nodes`` (distinct), and of a few others that pass the filter."""
     spark = rows.sparkSession
     words, bits = _filter(nodes, nodes.count())
     shared = spark.sparkContext.broadcast(words)
@@ -103,10 +104,12 @@ def sets_of(rows: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataF
                 own = {n: t for n, t in zip(part.column(0).slice(at, 256).to_pylist(), part.column(1).slice(at, 256).to_pylist()) if n not in seen}
                 if len(seen) < 100_000:  # copies in a task are passed over; others meet below
                     seen |= own.keys()
-                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array([shingle_set(t, shingle, seed).view(np.int64) for t in own.values()], pa.list_(pa.int64()))], ["node", "set"])
+                sets = [shingle_set(t, shingle, seed) for t in own.values()]
+                fps = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.fromiter(map(len, sets), np.int64, len(sets)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(fps.view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "fp", "set"])
 
-    found = rows.select("node", "body").mapInArrow(run, "node long, set array<long>")
-    return found.groupBy("node").agg(F.first("set").alias("set"))
+    found = rows.select("node", "body").mapInArrow(run, "node long, fp long, set array<long>")
+    return found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("set").alias("set"))
 
 
 def linked(fps: np.ndarray, sets: list[np.ndarray], similarity: float, apart: np.ndarray | None = None) -> np.ndarray:
@@ -159,17 +162,23 @@ def _verify(similarity: float, some: bool):
                     held.append(batch.slice(a, b - a))
         if held:
             yield work()
+            held.clear()
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def verified(members: DataFrame, similarity: float, chunk: int = CHUNK) -> DataFrame:
-    """Links ``(a, b)`` by shingle sets among rows (component, node, fp, set) of equal component, whose smallest node it is."""
-    spark = members.sparkSession
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+def sized(candidates: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """``(node, component, parts, x)``: how many parts a component has, and which a node is in."""
     parts = F.greatest(F.lit(1), F.ceil(F.col("n") / chunk)).cast("int")
-    dealt = members.join(sizes, "component").select("component", "node", "fp", "set", parts.alias("parts"))
-    dealt = materialise(dealt.withColumn("x", F.pmod(F.xxhash64("node"), "parts").cast("int")), "members")
+    rows = candidates.join(candidates.groupBy("component").agg(F.count("*").alias("n")), "component")
+    return rows.select("node", "component", parts.alias("parts")).withColumn("x", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+
+
+def verified(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` by shingle sets among written rows (component, node, fp, set, parts, x) of equal component, whose
+    smallest node it is."""
+    spark = dealt.sparkSession
 
     def compare(rows: DataFrame, some: bool) -> DataFrame:
         rows = rows.select("x", "y", "component", "node", "fp", "apart", "set").repartition(shuffle_partitions(spark), "x", "y", "component").sortWithinPartitions("x", "y", "component")
@@ -199,9 +208,10 @@ def classes(rows: DataFrame, shingle: int, similarity: float, seed: int) -> Data
     found = materialise(sketches(rows, shingle, seed), "sketches")
     texts = materialise(found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
     candidates = connected_components(compared(texts.select("fp", "node", F.explode("keys").alias("key")), RADIUS))
-    candidates = materialise(candidates, "candidates")
-    members = sets_of(rows, candidates.select("node"), shingle, seed).join(candidates, "node").join(texts.select("node", "fp"), "node")
-    groups = connected_components(verified(members, similarity))
+    candidates = materialise(sized(candidates), "candidates")
+    # sets are dealt by node already; a candidate's component comes to them at every size
+    members = sets_of(rows, candidates.select("node"), shingle, seed).join(candidates.hint("merge"), "node")
+    groups = connected_components(verified(materialise(members, "members"), similarity))
     return found.select("doc_id", "digest", "node").join(groups, "node", "left").select("doc_id", "digest", "node", F.coalesce(F.col("component").cast("string"), F.col("digest")).alias("class"))
 
 
