@@ -23,13 +23,12 @@ class Codes(dict):
         Spaces, line feeds and ``other_breaks`` each end a chunk, so a chunk's place in its text follows from the
         lengths of those before it.
         """
-        chunks: list[str] = []
-        sizes = np.empty(len(texts), np.int64)
-        for k, text in enumerate(texts):
+        sizes, codes = np.empty(len(texts), np.int64), []
+        for k, text in enumerate(texts):  # the strings of one text at a time
             text = (text or "").replace("\n", " ")
             for mark in other_breaks:
                 text = text.replace(mark, " ")
             own = text.split(" ")
             sizes[k] = len(own)
-            chunks += own
-        return np.fromiter(map(self.__getitem__, chunks), np.int64, len(chunks)), sizes
+            codes.append(np.fromiter(map(self.__getitem__, own), np.int32, len(own)))
+        return np.concatenate(codes) if codes else np.zeros(0, np.int32), sizes

@@ -356,16 +356,20 @@ def _pieces(sample: Sample, marked: np.ndarray, toxic: list[int], clean: list[in
     """Codes, the codes before and after, and labels of the fit's pieces, each ``[time, pieces]`` and padded with code 0."""
     draw = np.random.default_rng(17)
 
-    def cut(own: list[int], most: int, only_marked: bool) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        texts = {k: (c := sample.of(k)[sample.of(k) != 0], *neighbours(c, np.array([len(c)]))) for k in own}
-        every = [(k, at) for k, (c, *_) in texts.items() for at in range(0, len(c), SPAN) if not only_marked or marked[c[at : at + SPAN]].any()]
-        return [tuple(x[every[i][1] :][:SPAN] for x in texts[every[i][0]]) for i in draw.permutation(len(every))[:most].tolist()]
+    def words(k: int) -> np.ndarray:
+        own = sample.of(k)
+        return own[own != 0]
+
+    def cut(own: list[int], most: int, only_marked: bool) -> list[tuple[int, int]]:
+        every = [(k, at) for k in own for c in (words(k),) for at in range(0, len(c), SPAN) if not only_marked or marked[c[at : at + SPAN]].any()]
+        return [every[i] for i in draw.permutation(len(every))[:most].tolist()]
 
     bad, good = cut(toxic, TOXIC_PIECES, True), cut(clean, CLEAN_PIECES, False)
     out = np.zeros((3, SPAN, len(bad) + len(good)), np.int64)
-    for k, piece in enumerate(bad + good):
-        for x, part in zip(out, piece):
-            x[: len(part), k] = part
+    for n, (k, at) in enumerate(bad + good):
+        own = words(k)
+        for x, part in zip(out, (own, *neighbours(own, np.array([len(own)])))):
+            x[: len(part[at : at + SPAN]), n] = part[at : at + SPAN]
     tags = marked[out[0]] & (out[0] != 0)
     tags[:, len(bad) :] = False
     return out[0], out[1], out[2], tags.astype(np.float64)
@@ -386,8 +390,11 @@ def fit(rows: list[tuple[str, int]], prior: float) -> Model:
     marks = toxic_features(sample.frequencies(toxic), len(toxic), sample.frequencies(clean), len(clean))
     if not marks:
         return empty
-    weights, trans = _fit_chain(Features(sample.chunks), *_pieces(sample, sample.marked(marks), toxic, clean))
+    *codes, tags = _pieces(sample, sample.marked(marks), toxic, clean)
+    known, places = np.unique(np.array([np.zeros_like(codes[0]), *codes]), return_inverse=True)  # code 0 stays 0
+    chunks = [sample.chunks[c] for c in known]
     del sample
+    weights, trans = _fit_chain(Features(chunks), *places.reshape(4, *tags.shape)[1:], tags)
     model = Model(weights, trans, empty.document)
     scorer = Scorer(model)
     y = np.array([label for _, label in rows], np.float64)
@@ -416,16 +423,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     share = known.agg(F.avg("y")).first()[0]
     order = [F.xxhash64("doc_id", F.lit(17)), F.col("doc_id")]
     picked = known.filter("y = 1").orderBy(*order).limit(MAX_TOXIC).union(known.filter("y = 0").orderBy(*order).limit(MAX_CLEAN))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= MAX_FIT_CHARS)
-    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
-    return fit([(r["text"], r["y"]) for r in sorted(rows, key=lambda r: r["doc_id"])], share if share is not None else 0.0)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.length("text") <= MAX_FIT_CHARS)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return _fitted(rows, float(share) if share is not None else 0.0)
+
+
+def _fitted(rows: DataFrame, prior: float) -> Model:
+    """``fit`` over the bounded rows (doc_id, y, text) in one task, so that the driver gets the model alone."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(text, y) for batch in batches for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        model = fit(sample, prior)
+        parts = [pa.array([np.asarray(x, t).tobytes()], pa.binary()) for x, t in ((model.weights, "<f4"), (model.trans, "<f8"), (model.document, "<f8"))]
+        yield pa.RecordBatch.from_arrays(parts, ["weights", "trans", "document"])
+        pa.default_memory_pool().release_unused()
+
+    found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "text").mapInArrow(run, "weights binary, trans binary, document binary").first()
+    if found is None:  # no rows, no task
+        return fit([], prior)
+    return Model(np.frombuffer(found[0], "<f4"), np.frombuffer(found[1], "<f8").reshape(2, 2), np.frombuffer(found[2], "<f8"))
 
 
 SPANS = "array<struct<start: int, end: int, score: double>>"
 
 
-def _apply(docs: DataFrame, model: Model, columns: list[str], schema, keep) -> DataFrame:
-    spark = docs.sparkSession
+def _apply(rows: DataFrame, model: Model, schema, text, keep) -> DataFrame:
+    """``rows`` through ``keep(batch, scores, spans)``; ``text(batch)`` is the column to score."""
+    spark = rows.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -434,10 +459,10 @@ def _apply(docs: DataFrame, model: Model, columns: list[str], schema, keep) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                scores, spans = scorer.documents(part.column(part.num_columns - 1).to_pylist())
-                yield keep(part, scores, spans)
+                yield keep(part, *scorer.documents(text(part).to_pylist()))
+        pa.default_memory_pool().release_unused()
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -451,14 +476,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         return pa.RecordBatch.from_arrays([part.column(0), pa.array(scores.astype(np.float64)), pa.array(spans, kind)], ["doc_id", "score", "spans"])
 
-    return _apply(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model, ["doc_id", "text"], f"doc_id long, score double, spans {SPANS}", keep)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _apply(rows, model, f"doc_id long, score double, spans {SPANS}", lambda part: part.column(1), keep)
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are, whatever their names."""
-    body = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"), F.col("text").cast("string").alias("body"))
+    row = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
+    place = docs.columns.index("text")
 
     def keep(part: pa.RecordBatch, scores: np.ndarray, spans: list) -> pa.RecordBatch:
-        return part.select([0]).filter(pa.array(scores < threshold))
+        return part.filter(pa.array(scores < threshold))
 
-    return _apply(body, model, ["row", "body"], body.select("row").schema, keep).select("row.*")
+    return _apply(row, model, row.schema, lambda part: part.column(0).field(place).cast(pa.string()), keep).select("row.*")
