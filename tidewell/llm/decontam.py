@@ -5,9 +5,9 @@ rare they are in the corpus; as a window must occur whole, its rarest word is th
 must share. Documents are joined on those prefix words only, position and length bounds follow from the word's place
 in the window, and candidates are verified word by word.
 
-The index of windows goes to the executors in parts of at most ``PART_CHARS`` characters of item text each, so what
-is broadcast at once has a fixed bound however large the benchmark is; documents pass the parts one after the other
-without a shuffle.
+The index of windows goes to the executors in parts of at most ``PART_CHARS`` characters of item text each, so what is
+broadcast and held at once has a fixed bound however large the benchmark is. Documents pass the parts one after the other
+without a shuffle; between two parts they are written, so that a stage holds one part only.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewell.session import ship
+from tidewell.session import materialise, ship
 
 WINDOW = 10
 #: Characters of item text in a broadcast part.
@@ -152,8 +152,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, wi
     """Per row of ``docs``: doc_id, n_words, hits (ranges of word positions) and items (sorted ids found).
 
     With ``carry`` the row's own columns come as the struct ``row`` instead of doc_id. Null texts have no words, an
-    item without words has no window, repeated items count once by id, a null item_id shows as the empty string. An
-    empty benchmark leaves every document clean; empty documents give an empty table.
+    item without words has no window, repeated items count once by id, a null item_id shows as the empty string. Very long
+    texts are matched whole, repeated rows are rows of their own. An empty benchmark leaves every document clean; empty
+    documents give an empty table.
     """
     ship(docs.sparkSession)
     out = docs.select(
@@ -163,7 +164,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, wi
         F.array().cast(_HITS_DDL).alias("hits"),
         F.array().cast("array<string>").alias("items"),
     )
-    for part in _parts(benchmark, part_chars):
+    for number, part in enumerate(_parts(benchmark, part_chars)):
+        out = materialise(out, "matched") if number else out
         frequency = word_counts(docs, {w for _, text in part for w in words_of(text)})
         out = _match(out, build_index(part, frequency, window))
     return out.drop("body")
