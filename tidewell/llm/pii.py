@@ -15,7 +15,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -303,12 +305,21 @@ def train(docs: DataFrame) -> Field:
 
 
 def added_spans(text: str | None, base: list[tuple[int, int, int]], field: Field) -> list[tuple[int, int, int]]:
-    """Segments of the best paths that reach the posterior and touch no base span."""
+    """Segments of the best paths that reach the posterior and touch no base span (``base`` in order), nor each other."""
+    starts, ends = [], []  # the base spans' union: ranges in order and apart
+    for x, _, z in base:
+        if ends and x < ends[-1]:
+            ends[-1] = max(ends[-1], z)
+        else:
+            starts.append(x), ends.append(z)
     out: list[tuple[int, int, int]] = []
     for a, b in regions(text or ""):
         for s, kind, e, p in field.best(text[a:b]):
             s, e = s + a, e + a
-            if p >= POSTERIOR and not any(x < e and s < z for x, _, z in base) and not any(x < e and s < z for x, _, z in out):
+            at = bisect_right(ends, s)
+            if p < POSTERIOR or at < len(starts) and starts[at] < e:
+                continue
+            if not any(x < e and s < z for x, _, z in takewhile(lambda o: o[2] > a, reversed(out))):  # those of this region or at its edge
                 out.append((s, kind, e))
     return out
 
@@ -316,7 +327,8 @@ def added_spans(text: str | None, base: list[tuple[int, int, int]], field: Field
 def find(docs: DataFrame, field: Field) -> DataFrame:
     """``(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added)`` of every row; no shuffle.
 
-    Counts are of base spans. Null texts are empty; repeated rows are rows of their own; no rows, no result.
+    Counts are of base spans. Null texts are empty, very long ones are searched whole; repeated rows are rows of their own;
+    other columns are ignored; no rows, no result.
     """
     spark = docs.sparkSession
     ship(spark)
