@@ -1,4 +1,4 @@
-"""The queries of this folder: op1 to op10 over their whole tables, and the SQL that checks them where SQL can."""
+"""The queries of this folder: op1 to op13 over their whole tables, and the SQL that checks them where SQL can."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewell.llm import chat, decontam, mixing, pii, quality, secrets, simhash, tokens, toxicity, warczip
+from tidewell.llm import audio, chat, collocations, decontam, importance, mixing, pii, quality, secrets, simhash, tokens, toxicity, warczip
 from tidewell.session import table
 
 
@@ -56,9 +56,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.store_and_read_back(table(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_pii, op5_secrets, op6_decontam, op7_tokens, op8_chat, op9_quality, op10_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_pii, op5_secrets, op6_decontam, op7_tokens, op8_chat, op9_quality, op10_simhash, op11_audio, op12_importance, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warczip.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_decontam": decontam.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL}
+    return {"op2_warc": warczip.ORACLE_SQL, "op3_mixing": mixing.ORACLE_SQL, "op6_decontam": decontam.ORACLE_SQL, "op8_chat": chat.ORACLE_SQL, "op12_importance": importance.ORACLE_SQL, "op13_collocations": collocations.ORACLE_SQL}
