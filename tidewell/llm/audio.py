@@ -285,32 +285,53 @@ class Stream:
     resyncs: int
 
 
+def _agrees(raw: bytes, at: int, end: int, first: int | None) -> bool:
+    """Whether a frame of the stream begins at ``at`` and the next one, or the stream's end, follows it."""
+    word = int.from_bytes(raw[at : at + 4], "big")
+    h = header(word)
+    if h is None or at + h.length > end or first is not None and (word ^ first) & _SAME:
+        return False
+    after = at + h.length
+    follower = int.from_bytes(raw[after : after + 4], "big")
+    return after == end or header(follower) is not None and (word ^ follower) & _SAME == 0
+
+
+def _next(raw: bytes, at: int, stop: int, end: int, first: int | None) -> int:
+    """The next place before ``stop`` where frames agree, else ``stop``."""
+    at = raw.find(b"\xff", at, stop)
+    while at >= 0 and not _agrees(raw, at, end, first):
+        at = raw.find(b"\xff", at + 1, stop)
+    return stop if at < 0 else at
+
+
 def walk(raw: bytes) -> Stream:
-    """Follow the frames of ``raw`` from header to header."""
+    """Follow the frames of ``raw`` from header to header.
+
+    A frame that no frame follows counts, unless two that agree begin inside it: then its header was chance.
+    """
     start, tags = id3v2(raw)
     cut, more = tail_tags(raw)
     end = max(len(raw) - cut, start)
     words: list[int] = []
     offsets: list[int] = []
-    at, first, skipped, resyncs, synced = start, None, 0, 0, False
+    at, first, skipped, resyncs = start, None, 0, 0
     while at + 4 <= end:
         word = int.from_bytes(raw[at : at + 4], "big")
         h = header(word)
         good = h is not None and at + h.length <= end and (first is None or (word ^ first) & _SAME == 0)
-        if good and not synced:  # two that agree, or one that ends the stream
-            after = at + h.length
-            follower = int.from_bytes(raw[after : after + 4], "big")
-            good = after == end or header(follower) is not None and (word ^ follower) & _SAME == 0
+        found = end
+        if not good or not _agrees(raw, at, end, first):
+            found = _next(raw, at + 1, at + h.length if good else end, end, first)
+            good = good and first is not None and found == at + h.length
         if good:
             words.append(word)
             offsets.append(at)
-            first, synced = word, True
+            first = word
             at += h.length
             continue
-        resyncs += synced
-        synced = False
-        found = raw.find(b"\xff", at + 1, end)
-        found = end if found < 0 else found
+        if h is not None and found < end and found == at + h.length:  # nothing begins inside what was no frame
+            found = _next(raw, found, end, end, first)
+        resyncs += first is not None and found < end
         skipped += found - at
         at = found
     skipped += end - at
