@@ -11,6 +11,7 @@ shuffled once per block that has them, never once per occurrence; what is sent a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -25,6 +26,8 @@ BUCKETS, SEED, LEAST_WORDS, PERCENT = 10_000, 2024, 20, 10
 BLOCK_WORDS = 1 << 20
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: A place in a block's list of n-grams has so many bits; what stands above them is the block's number.
+_PLACE_BITS = 23
 _BLOCK = pa.schema(
     [
         ("block", pa.int64()),
@@ -32,15 +35,15 @@ _BLOCK = pa.schema(
         ("doc_ids", pa.list_(pa.int64())),
         ("n_words", pa.list_(pa.int64())),
         ("sizes", pa.list_(pa.int64())),
-        ("features", pa.list_(pa.int32())),
+        ("features", pa.binary()),
         ("words", pa.list_(pa.binary())),
         ("tuples", pa.list_(pa.list_(pa.int32()))),
-        ("counts", pa.list_(pa.int64())),
+        ("counts", pa.list_(pa.int32())),
     ]
 )
 _BLOCK_DDL = (
-    "block long, keys array<long>, doc_ids array<long>, n_words array<long>, sizes array<long>, features array<int>, "
-    "words array<binary>, tuples array<array<int>>, counts array<long>"
+    "block long, keys array<long>, doc_ids array<long>, n_words array<long>, sizes array<long>, features binary, "
+    "words array<binary>, tuples array<array<int>>, counts array<int>"
 )
 
 
@@ -73,17 +76,20 @@ class Block:
             places.append(np.split(index.reshape(-1).astype(np.int32) + np.int32(before), np.cumsum([len(r) for r in runs])[:-1]))
         parts = [np.concatenate(x) for x in zip(*places)]
         features = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        tuples = [t for x in found for t in x.tolist()]
+        n = sum(map(len, found))
+        if n >> _PLACE_BITS:
+            raise ValueError("a block has too many n-grams: block_words must be smaller")
+        tuples = [] if self.most == 1 else [t for x in found for t in x.tolist()]
         values = [
             number,
             [p[0] for p in self.pieces],
             [p[1] for p in self.pieces],
             [p[2] for p in self.pieces],
             [len(x) for x in parts],
-            features,
+            zlib.compress(features.astype("<i4").tobytes(), 1),
             list(self.codes),
             tuples,
-            np.bincount(features, minlength=len(tuples)),
+            np.bincount(features, minlength=n).astype(np.int32),
         ]
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _BLOCK)], schema=_BLOCK)
 
@@ -91,14 +97,16 @@ class Block:
 def blocks(rows: DataFrame, key: str, least: int = 1, most: int = 1, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Blocks of the texts of ``rows`` in the column ``text``, each with the ids of the column ``key``.
 
-    A block's number is unique, and so is the key of a row; the table must be written before it is used twice.
+    A block's number is unique, and so is the key of a row; the table must be written before it is used twice. Of single
+    words no tuples are listed: each is its own place in the block's dictionary.
     """
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number = row = TaskContext.get().partitionId() << 40
+        number = TaskContext.get().partitionId() << 16
+        row = number << 24
         block = Block(least, most)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -123,6 +131,20 @@ def _gain(s: Column, t: Column, in_documents: int, in_target: int, buckets: int)
     return F.floor(F.log(target * (in_documents + buckets) / (own * (in_target + buckets))) * 1000).cast("long")
 
 
+def _listed(both: DataFrame, dictionary: DataFrame, most: int) -> DataFrame:
+    """``(side, ref, t0, t1, ..., n)``: each block's distinct n-grams as ids of the dictionary's words; ref is block and place."""
+    words = both.select("side", "block", F.posexplode("words").alias("code", "word"))
+    ref = (F.shiftleft("block", _PLACE_BITS) + F.col("place")).alias("ref")
+    if most == 1:
+        own = both.select("side", "block", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("side", ref, F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+        return own.join(dictionary, "word").select("side", "ref", F.col("word_id").alias("t0"), "n")
+    ids = words.join(dictionary, "word").groupBy("side", "block").agg(F.array_sort(F.collect_list(F.struct("code", "word_id")))["word_id"].alias("ids"))
+    named = both.select("side", "block", "tuples", "counts").join(ids, ["side", "block"])
+    named = named.select("side", "block", F.transform("tuples", lambda t: F.transform(t, lambda c: F.get("ids", c))).alias("tuples"), "counts")
+    rows = named.select("side", "block", F.posexplode(F.arrays_zip("tuples", "counts")).alias("place", "x"))
+    return rows.select("side", ref, *(F.get("x.tuples", F.lit(k)).alias(f"t{k}") for k in range(most)), F.col("x.counts").alias("n"))
+
+
 def weights(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1, buckets: int = BUCKETS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``(key, doc_id, n_words, n_features, weight)`` of every row of ``docs``; key tells rows apart.
 
@@ -133,46 +155,43 @@ def weights(docs: DataFrame, target: DataFrame, least: int = 1, most: int = 1, b
     aim = target.select(F.lit(None).cast("long").alias("doc_id"), "text")
     aim = materialise(blocks(aim, "doc_id", least, most, block_words), "target")
     both = own.select(F.lit(0).alias("side"), "block", "words", "tuples", "counts").unionByName(aim.select(F.lit(1).alias("side"), "block", "words", "tuples", "counts"))
-
-    words = both.select("side", "block", F.posexplode("words").alias("code", "word"))
-    dictionary = materialise(words.select("word").distinct().withColumn("word_id", F.monotonically_increasing_id()), "dictionary")
-    coded = words.join(dictionary, "word").groupBy("side", "block").agg(F.array_sort(F.collect_list(F.struct("code", "word_id")))["word_id"].alias("ids"))
-    named = both.select("side", "block", "tuples", "counts").join(coded, ["side", "block"])
-    named = named.select("side", "block", F.transform("tuples", lambda t: F.transform(t, lambda c: F.get("ids", c))).alias("tuples"), "counts")
-    listed = named.select("side", "block", F.posexplode(F.arrays_zip("tuples", "counts")).alias("place", "x"))
-    listed = materialise(listed.select("side", "block", "place", F.col("x.tuples").alias("tuple"), F.col("x.counts").alias("n")), "tuples")
-
-    on = lambda side: F.sum(F.when(F.col("side") == side, F.col("n")).otherwise(0))
-    counts = listed.groupBy("tuple").agg(on(0).alias("s"), on(1).alias("t"))
+    words = both.select(F.explode("words").alias("word")).distinct()
+    dictionary = materialise(words.withColumn("word_id", F.monotonically_increasing_id()), "dictionary")
+    ids = [f"t{k}" for k in range(most)]
+    # rows of a tuple of one word still lie together where they are written, so that tasks count most of them alone
+    listed = materialise(_listed(both, dictionary, most), "tuples")
+    counts = listed.groupBy(*ids).agg(*(F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate("st")))
     for k in range(most):
-        ids = dictionary.select(F.col("word_id").alias("_id"), F.col("word").cast("string").alias(f"_w{k}"))
-        counts = counts.join(ids, F.get("tuple", F.lit(k)) == F.col("_id"), "left").drop("_id")
-    text = F.concat_ws(" ", *(f"_w{k}" for k in range(most)))
-    hashed = materialise(counts.select("tuple", (F.crc32(text) % buckets).cast("int").alias("bucket"), "s", "t"), "hashed")
+        named = dictionary.select(F.col("word_id").alias(f"t{k}"), F.col("word").cast("string").alias(f"w{k}"))
+        counts = counts.join(named, f"t{k}", "left")
+    text = F.concat_ws(" ", *(f"w{k}" for k in range(most)))
+    hashed = materialise(counts.select(*ids, (F.crc32(text) % buckets).cast("int").alias("bucket"), "s", "t"), "hashed")
 
     sums = materialise(hashed.groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t")), "buckets")
     total = sums.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("s"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    gains = sums.select("bucket", _gain(F.col("s"), F.col("t"), total["s"], total["t"], buckets).alias("gain"))
-    back = listed.filter("side = 0").select("block", "place", "tuple").join(hashed.select("tuple", "bucket"), "tuple").join(F.broadcast(gains), "bucket")
-    back = back.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("place", "gain")))["gain"].alias("gains"))
+    gains = sums.select("bucket", _gain(F.col("s"), F.col("t"), total["s"], total["t"], buckets).cast("int").alias("gain"))
+    priced = hashed.select(*ids, "bucket").join(F.broadcast(gains), "bucket").select(*ids, "gain")
+    same = reduce(lambda a, b: a & b, (F.col(f"l.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ids))
+    back = listed.filter("side = 0").alias("l").join(priced.alias("p"), same).select(F.shiftright("l.ref", _PLACE_BITS).alias("block"), F.col("l.ref").bitwiseAND((1 << _PLACE_BITS) - 1).cast("int").alias("place"), "p.gain")
 
-    pieces = own.select("block", "keys", "doc_ids", "n_words", "sizes", "features").join(back, "block", "left")
-    weighed = pieces.select("keys", "doc_ids", "n_words", "sizes", "features", "gains").mapInArrow(_weigh, "key long, doc_id long, n_words long, n_features long, weight long")
+    pieces = own.select("block", "keys", "doc_ids", "n_words", "sizes", "features")
+    weighed = pieces.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_weigh, "key long, doc_id long, n_words long, n_features long, weight long")
     return weighed.groupBy("key", "doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_features", "weight")))
 
 
-def _weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of gains of the pieces of each block."""
-    names = ["key", "doc_id", "n_words", "n_features", "weight"]
-    for batch in batches:
-        for k in range(batch.num_rows):
-            keys, doc_ids, n_words, sizes, features, gains = (batch.column(c)[k].values for c in range(6))
-            length = sizes.to_numpy(zero_copy_only=False)
-            own = np.zeros(len(features) + 1, np.int64)
-            if len(features):
-                np.cumsum(gains.to_numpy(zero_copy_only=False)[features.to_numpy(zero_copy_only=False)], out=own[1:])
-            ends = np.cumsum(length)
-            yield pa.RecordBatch.from_arrays([keys, doc_ids, n_words, sizes, pa.array(own[ends] - own[ends - length])], names)
+def _weigh(pieces: pa.Table, gains: pa.Table) -> pa.Table:
+    """Sums of gains of a block's pieces."""
+    if not pieces.num_rows:
+        return pa.table({c: pa.array([], pa.int64()) for c in ("key", "doc_id", "n_words", "n_features", "weight")})
+    keys, doc_ids, n_words, sizes = (pieces.column(c).combine_chunks().values for c in ("keys", "doc_ids", "n_words", "sizes"))
+    features = np.frombuffer(zlib.decompress(pieces.column("features")[0].as_py()), "<i4")
+    by_place = np.zeros(gains.num_rows, np.int64)
+    by_place[gains.column("place").to_numpy()] = gains.column("gain").to_numpy()
+    own = np.zeros(len(features) + 1, np.int64)
+    np.cumsum(by_place[features], out=own[1:])
+    ends = np.cumsum(sizes.to_numpy(zero_copy_only=False))
+    weight = own[ends] - own[ends - sizes.to_numpy(zero_copy_only=False)]
+    return pa.table({"key": keys, "doc_id": doc_ids, "n_words": n_words, "n_features": sizes, "weight": pa.array(weight)})
 
 
 def draw(doc_id: Column, seed: int = SEED) -> Column:
