@@ -1,21 +1,24 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties and repeated rows."""
 
+import contextlib
 import hashlib
 import io
 import math
 import random
 import re
+import threading
 import zipfile
 import zlib
 from collections import Counter
 
 import numpy as np
+import psutil
 import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, components, decontam, mixing, pii, quality, queries, repair, secrets, simhash, tokens, toxicity, warczip
+from tidewell.llm import chat, components, decontam, filters, mixing, pii, quality, queries, repair, secrets, simhash, tokens, toxicity, warczip
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, row string, fingerprint string, n int"
 FOLDER = "/root/testdata/sf0.001"
@@ -198,7 +201,7 @@ def test_grammar_leaves_no_frequent_pair():
     raw = (rng.zipf(1.3, 60_000) % 3000).astype(np.uint32)
     for base in (49408, 70000):
         rules, seq = repair.compress(raw, base)
-        assert np.array_equal(repair.expand(seq, rules, base), raw) and len(rules) > 50
+        assert np.array_equal(repair.expand(seq, rules, repair.sizes_of(rules, base), base), raw) and len(rules) > 50
         assert max(Counter(zip(seq[:-1].tolist(), seq[1:].tolist())).values()) < repair.MIN_COUNT
 
 
@@ -207,7 +210,7 @@ def test_grammar_round_trip(ids):
     raw = np.array(ids, np.uint32)
     for base in (49408, 70000):
         rules, seq = repair.compress(raw, base)
-        assert np.array_equal(repair.expand(seq, rules, base), raw)
+        assert np.array_equal(repair.expand(seq, rules, repair.sizes_of(rules, base), base), raw)
         shard = tokens.Shard(tokens.pack_shard([None, 4], np.array([len(raw), 0]), raw, base))
         for a, b in ((0, len(raw)), (3, 9), (len(raw) // 2, len(raw) // 2 + 77), (-5, 2), (9, 3)):
             assert np.array_equal(shard.range(a, b), raw[max(a, 0) : b] if b > a else raw[:0])
@@ -338,8 +341,8 @@ def test_contamination_equals_brute_force(spark, docs, texts, none):
                     hit |= set(range(at, at + len(win)))
                     ids.add(i)
         want.append((k, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    for size in (decontam.PART_CHARS, 30):
-        got = decontam.digest(decontam.contamination(table, bench, part_chars=size))
+    for bits in (filters.MOST_BITS, filters.LEAST_BITS, 8):  # a filter that is too small lets runs through that the join drops
+        got = decontam.digest(decontam.contamination(table, bench, most_bits=bits))
         assert sorted(map(tuple, got.collect())) == want
     kept = decontam.drop_contaminated(table, bench)
     assert kept.columns == table.columns and sorted(r["doc_id"] for r in kept.collect()) == [k for k, *_, bad in want if not bad]
@@ -347,6 +350,48 @@ def test_contamination_equals_brute_force(spark, docs, texts, none):
     assert decontam.contamination(docs, bench.limit(0)).filter("size(hits) > 0").count() == 0
 
 
+@contextlib.contextmanager
+def worker_memory():
+    """How much the resident memory of each Python worker grows meanwhile, at most."""
+    first, grown, done = {}, {}, threading.Event()
+
+    def watch():
+        while not done.wait(0.1):
+            for p in psutil.Process().children(recursive=True):
+                with contextlib.suppress(psutil.Error):
+                    if "pyspark.daemon" in " ".join(p.cmdline()):
+                        now = p.memory_info().rss
+                        grown[p.pid] = max(grown.get(p.pid, 0), now - first.setdefault(p.pid, now))
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        yield grown
+    finally:
+        done.set()
+        thread.join()
+
+
+def test_large_benchmark_stays_out_of_workers(spark):
+    # over a million windows: the filter has its largest size, and no worker of the documents' stages holds more than it
+    rng = np.random.default_rng(3)
+    item = lambda n: " ".join(map("w{:x}".format, rng.integers(0, 1 << 22, n)))
+    items = [item(1200) for _ in range(1000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string").repartition(8)
+    bodies = [item(200), "x " + " ".join(items[7].split()[5:40]) + " y", item(50) + " " + " ".join(items[999].split()[-10:]), items[0]]
+    with worker_memory() as grown:
+        got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in decontam.digest(decontam.contamination(documents(spark, bodies), bench)).collect()}
+    assert got == {0: (0, 0), 1: (35, 1), 2: (10, 1), 3: (1200, 1)}
+    assert 0 < max(grown.values()) < 300e6
+
+
+def test_filters_never_deny(spark):
+    keys = [f"k{k}".encode() for k in range(5000)]
+    known = filters.build(spark.createDataFrame([(k,) for k in keys], "key binary").repartition(4))
+    assert known.has(keys).all() and known.has([f"n{k}".encode() for k in range(5000)]).mean() < 0.01
+    assert not filters.build(spark.createDataFrame([], "key binary")).has([b"a", b""]).any()
+
+
 # 3 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -498,6 +543,14 @@ def test_members_of_other_writers(tmp_path):
         warczip.members(f)
 
 
+def test_rows_without_ids_are_spread_over_shards(spark):
+    rows = spark.createDataFrame([(None, f"word{k} and more words here", "s") for k in range(3000)], "doc_id long, text string, source string")
+    sizes = mixing.sized(rows)
+    placed = mixing._placed(sizes, mixing.source_plan(sizes, shard_words=600))
+    per = [r["n"] for r in placed.groupBy("shard").agg(F.sum("size").alias("n")).collect()]
+    assert len(per) == 25 and max(per) < 2 * 600
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 

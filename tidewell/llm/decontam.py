@@ -2,12 +2,12 @@
 
 A window is ``WINDOW`` consecutive words of an item (all of a shorter one). Each window's words are ordered by how
 rare they are in the corpus; as a window must occur whole, its rarest word is the prefix that any containing document
-must share. Documents are joined on those prefix words only, position and length bounds follow from the word's place
-in the window, and candidates are verified word by word.
+must share. Windows, words and prefixes are tables. What is sent along is a filter of fixed size (``filters``) with the
+prefixes, their places in windows and the windows themselves: a document offers a run of words to the join where a word
+of it is a prefix, the run that follows from its place lies within the document and the filter knows it. Runs are joined on
+their words, so what the filter lets through by chance is dropped there; what it lacks occurs in no item.
 
-The index of windows goes to the executors in parts of at most ``PART_CHARS`` characters of item text each, so what is
-broadcast and held at once has a fixed bound however large the benchmark is. Documents pass the parts one after the other
-without a shuffle; between two parts they are written, so that a stage holds one part only.
+Two passes read the documents, whatever the size of the benchmark: one counts the benchmark's words, one offers runs.
 """
 
 from __future__ import annotations
@@ -15,22 +15,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from tidewell.llm import filters
 from tidewell.session import materialise, ship
 
 WINDOW = 10
-#: Characters of item text in a broadcast part.
-PART_CHARS = 16_000_000
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _HITS_DDL = "array<struct<start: int, end: int>>"
+#: Documents of a batch that are looked at together, and words whose places in windows a worker remembers at most.
+_ROWS, _REMEMBERED = 256, 1 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -44,30 +42,8 @@ def windows_of(words: list[bytes], window: int = WINDOW) -> list[tuple[bytes, ..
     return [tuple(words[k : k + window]) for k in range(max(1, len(words) - window + 1))]
 
 
-@dataclass
-class Index:
-    """Joined window to item ids, and prefix word to the (place in the window, length) pairs that occur with it."""
-
-    items: dict[bytes, set[str]] = field(default_factory=dict)
-    prefixes: dict[bytes, set[tuple[int, int]]] = field(default_factory=dict)
-
-    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Merged hit ranges of word positions, and the ids of items with occurring windows."""
-        found: set[tuple[int, int]] = set()
-        ids: set[str] = set()
-        prefixes, items, n = self.prefixes, self.items, len(words)
-        for at, word in [x for x in enumerate(words) if x[1] in prefixes]:
-            for place, length in prefixes[word]:
-                start = at - place
-                if start >= 0 and start + length <= n:
-                    own = items.get(b" ".join(words[start : start + length]))
-                    if own:
-                        found.add((start, start + length))
-                        ids |= own
-        return merge(found), ids
-
-
 def merge(ranges: set[tuple[int, int]] | list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap as one."""
     out: list[list[int]] = []
     for start, end in sorted(ranges):
         if out and start <= out[-1][1]:
@@ -77,98 +53,160 @@ def merge(ranges: set[tuple[int, int]] | list[tuple[int, int]]) -> list[tuple[in
     return [(a, b) for a, b in out]
 
 
-def build_index(items: list[tuple[str, bytes | None]], frequency: dict[bytes, int], window: int = WINDOW) -> Index:
-    """Index over ``(item_id, text)``; ``frequency`` counts words over the whole corpus (absent: none)."""
-    index = Index()
-    for name, text in items:
-        for own in windows_of(words_of(text), window):
-            joined = b" ".join(own)
-            if joined not in index.items:
-                index.items[joined] = set()
-                place = min(range(len(own)), key=lambda k: (frequency.get(own[k], 0), own[k], k))
-                index.prefixes.setdefault(own[place], set()).add((place, len(own)))
-            index.items[joined].add(name)
-    return index
+def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``(window, n, item_id)`` of all windows of all items; an item is passed on window by window, a few thousand at a time."""
+    ship(benchmark.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0), batch.column(1)):
+                words = words_of(text.as_py())
+                n, last = min(window, len(words)), max(1, len(words) - window + 1) if words else 0
+                for at in range(0, last, 4096):
+                    own = [b" ".join(words[k : k + n]) for k in range(at, min(last, at + 4096))]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(np.full(len(own), n, np.int32)), pa.array([item.as_py()] * len(own), pa.string())], ["window", "n", "item_id"])
+
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "window binary, n int, item_id string").distinct()
 
 
-def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
-    """Occurrences of the given words over all of ``docs``; summed within tasks before the shuffle."""
+def word_counts(docs: DataFrame, known: filters.Filter) -> DataFrame:
+    """``(word, count)`` over all of ``docs`` of the words that ``known`` lets through; summed within tasks before the shuffle."""
     spark = docs.sparkSession
     ship(spark)
-    shared = spark.sparkContext.broadcast(frozenset(vocabulary))
+    shared = spark.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = shared.value, Counter()
+        known, seen = shared.value, {}
+        counts: Counter[bytes] = Counter()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                for text in batch.column(0).slice(at, 256).to_pylist():
-                    counts.update(w for w in words_of(text) if w in known)
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
-
-    rows = docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    return {bytes(r["word"]): r["n"] for r in rows}
-
-
-def _parts(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes | None]]]:
-    """Items in parts of at most ``limit`` characters (one longer item makes a part of its own)."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    items = items.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)))
-    own, held = [], 0
-    for row in items.toLocalIterator():
-        if own and held + row["size"] > limit:
-            yield own
-            own, held = [], 0
-        own.append((row["item_id"], row["text"]))
-        held += row["size"]
-    yield own
-
-
-def _match(docs: DataFrame, index: Index) -> DataFrame:
-    """Adds what one part of the index finds to the columns ``hits`` and ``items``."""
+            for at in range(0, batch.num_rows, _ROWS):
+                own = Counter(w for text in batch.column(0).slice(at, _ROWS) for w in words_of(text.as_py()))
+                new = [w for w in own if w not in seen]
+                seen.update(zip(new, known.has(new)))
+                counts.update({w: n for w, n in own.items() if seen[w]})
+                if len(seen) > _REMEMBERED:
+                    seen.clear()
+                if len(counts) > _REMEMBERED:
+                    yield _counted(counts)
+                    counts.clear()
+        yield _counted(counts)
+
+    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
+
+
+def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+
+def prefixes(distinct: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(window, word, place, n)``: of each window the word that is rarest by ``counts``, ties to the smaller word and place."""
+    words = distinct.select("window", "n", F.posexplode(F.split(F.decode("window", "ISO-8859-1"), " ")).alias("place", "word"))
+    words = words.withColumn("word", F.encode("word", "ISO-8859-1")).join(counts, "word", "left")
+    rarest = F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "word", "place")).alias("least")
+    return words.groupBy("window", "n").agg(rarest).select("window", "least.word", "least.place", "n")
+
+
+def _place_key(word: bytes, place: int, n: int) -> bytes:
+    """How the filter holds that ``word`` is the prefix of windows of ``n`` words at ``place``; no window has these bytes."""
+    return b"%s %d/%d" % (word, place, n)
+
+
+class _Places(dict):
+    """A word's ``(place, n)`` pairs that the filter may hold, found when the word is first seen."""
+
+    def __init__(self, known: filters.Filter, sizes: list[int]) -> None:
+        super().__init__()
+        self.known, self.pairs = known, [(place, n) for n in sizes for place in range(n)]
+
+    def learn(self, words: list[bytes]) -> None:
+        new = [w for w in set(words) if w not in self]
+        if len(self) > _REMEMBERED:
+            self.clear()
+            new = list(set(words))
+        prefix = [w for w, ok in zip(new, self.known.has([w + b" /" for w in new])) if ok]
+        self.update(dict.fromkeys(new, ()))
+        if prefix:
+            found = self.known.has([_place_key(w, *p) for w in prefix for p in self.pairs]).reshape(len(prefix), -1)
+            for w, own in zip(prefix, found):
+                self[w] = tuple(p for p, ok in zip(self.pairs, own) if ok)
+
+
+def _offers(docs: DataFrame, known: filters.Filter, sizes: list[int]) -> DataFrame:
+    """The rows of ``docs`` (own columns, body) with key, n_words and the runs that they offer, body aside."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
+    shared = spark.sparkContext.broadcast(known)
+    kept = docs.drop("body")
+    schema = T.StructType([*kept.schema.fields, T.StructField("key", T.LongType()), T.StructField("n_words", T.LongType())])
+    run_type = pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("window", pa.binary())]))
+    body = docs.columns.index("body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        from pyspark import TaskContext
+
+        known, places, key = shared.value, _Places(shared.value, sizes), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                hits, items = part.column("hits").to_pylist(), part.column("items").to_pylist()
-                sizes = np.empty(part.num_rows, np.int64)
-                for k, text in enumerate(part.column("body").to_pylist()):
-                    words = words_of(text)
-                    sizes[k] = len(words)
-                    found, ids = index.find(words)
-                    if found:
-                        hits[k] = [{"start": a, "end": b} for a, b in merge([(h["start"], h["end"]) for h in hits[k]] + found)]
-                        items[k] = sorted({*items[k], *ids})
-                own = {"hits": pa.array(hits, _HITS), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(sizes)}
-                yield pa.RecordBatch.from_arrays([own.get(n, part.column(n)) for n in part.schema.names], part.schema.names)
-
-    return docs.mapInArrow(run, docs.schema)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, window: int = WINDOW, part_chars: int = PART_CHARS) -> DataFrame:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                n_words, offers = [], []
+                for text in part.column(body):
+                    words = words_of(text.as_py())
+                    places.learn(words)
+                    runs = {(k - place, n) for k, w in enumerate(words) if places[w] for place, n in places[w] if 0 <= k - place <= len(words) - n}
+                    runs = sorted(runs)
+                    own = [b" ".join(words[start : start + n]) for start, n in runs]
+                    offers.append([{"start": start, "n": n, "window": w} for (start, n), w, ok in zip(runs, own, known.has(own)) if ok] if own else [])
+                    n_words.append(len(words))
+                keys = np.arange(key, key + part.num_rows)
+                key += part.num_rows
+                columns = [c for k, c in enumerate(part.columns) if k != body]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys), pa.array(n_words, pa.int64()), pa.array(offers, run_type)], [*schema.names, "offers"])
+
+    return docs.mapInArrow(run, T.StructType([*schema.fields, *T.StructType.fromDDL("offers array<struct<start: int, n: int, window: binary>>").fields]))
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits = [[{"start": a, "end": b} for a, b in merge([(h["start"], h["end"]) for h in own])] for own in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["key", "hits"])
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, window: int = WINDOW, most_bits: int = filters.MOST_BITS) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, hits (ranges of word positions) and items (sorted ids found).
 
     With ``carry`` the row's own columns come as the struct ``row`` instead of doc_id. Null texts have no words, an
     item without words has no window, repeated items count once by id, a null item_id shows as the empty string. Very long
     texts are matched whole, repeated rows are rows of their own. An empty benchmark leaves every document clean; empty
-    documents give an empty table.
+    documents give an empty table. ``most_bits`` bounds the filter that is sent along; a filter too small for its windows
+    lets more runs through to the join, which changes nothing else.
     """
     ship(docs.sparkSession)
-    out = docs.select(
+    listed = materialise(windows(benchmark, window), "windows")
+    distinct = listed.select("window", "n").distinct()
+    sizes = sorted(r["n"] for r in listed.select("n").distinct().collect())  # ``window`` of them at most
+    vocabulary = distinct.select(F.explode(F.split(F.decode("window", "ISO-8859-1"), " ")).alias("w")).distinct().select(F.encode("w", "ISO-8859-1").alias("key"))
+    counts = word_counts(docs, filters.build(vocabulary, most_bits))
+    first = materialise(prefixes(distinct, counts), "prefixes")
+    mark = F.concat(F.lit(b" "), F.concat_ws("/", "place", "n").cast("binary"))
+    entries = first.select(F.explode(F.array("window", F.concat("word", F.lit(b" /")), F.concat("word", mark))).alias("key"))
+    known = filters.build(entries, most_bits)
+
+    own = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row") if carry else F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("binary").alias("body"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(_HITS_DDL).alias("hits"),
-        F.array().cast("array<string>").alias("items"),
     )
-    for number, part in enumerate(_parts(benchmark, part_chars)):
-        out = materialise(out, "matched") if number else out
-        frequency = word_counts(docs, {w for _, text in part for w in words_of(text)})
-        out = _match(out, build_index(part, frequency, window))
-    return out.drop("body")
+    offered = materialise(_offers(own, known, sizes), "offered")
+    runs = offered.filter(F.size("offers") > 0).select("key", F.explode("offers").alias("o")).select("key", "o.start", "o.n", "o.window")
+    met = materialise(runs.join(distinct.select("window"), "window"), "met")
+    hits = met.groupBy("key").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end"))).alias("hits")).mapInArrow(_merged, f"key long, hits {_HITS_DDL}")
+    items = met.select("key", "window").distinct().join(listed.select("window", "item_id"), "window").select("key", "item_id").distinct()
+    items = items.groupBy("key").agg(F.array_sort(F.collect_list("item_id")).alias("items"))
+    found = hits.join(items, "key")
+    name = offered.columns[0]
+    empty = lambda c, ddl: F.coalesce(c, F.array().cast(ddl)).alias(c)
+    clean = offered.filter(F.size("offers") == 0).select(name, "n_words", F.array().cast(_HITS_DDL).alias("hits"), F.array().cast("array<string>").alias("items"))
+    rest = offered.filter(F.size("offers") > 0).select(name, "key", "n_words").join(found, "key", "left")
+    return clean.unionByName(rest.select(name, "n_words", empty("hits", _HITS_DDL), empty("items", "array<string>")))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -180,7 +218,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold a window of any item."""
+    """``docs`` without the rows that hold a window of any item.
+
+    Rows with a null text stay, as they have no words; long and repeated rows are judged as in ``contamination``.
+    """
     return contamination(docs, benchmark, carry=True).filter(F.size("hits") == 0).select("row.*")
 
 
