@@ -131,13 +131,12 @@ def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT) -> tuple[np
     return grammar, seq.astype(np.uint16 if symbols <= 1 << 16 else np.uint32)
 
 
-def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """``(pool, lengths)``: every rule's full expansion, one after the other."""
-    full: list[list[int]] = []
+def sizes_of(rules: np.ndarray, base: int) -> np.ndarray:
+    """The length of every rule's full expansion."""
+    out: list[int] = []
     for a, b in rules.tolist():
-        full.append((full[a - base] if a >= base else [a]) + (full[b - base] if b >= base else [b]))
-    lengths = np.array([len(x) for x in full], np.int64)
-    return np.array([i for x in full for i in x], np.uint32), lengths
+        out.append((out[a - base] if a >= base else 1) + (out[b - base] if b >= base else 1))
+    return np.array(out, np.int64)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -146,16 +145,40 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def expand(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that ``seq`` stands for."""
-    pool, lengths = expansions(rules, base)
-    seq = seq.astype(np.int64)
-    ends = np.flatnonzero(seq < base)
-    source = np.concatenate((pool, seq[ends].astype(np.uint32)))
-    starts, sizes = np.empty(len(seq), np.int64), np.ones(len(seq), np.int64)
-    starts[ends] = len(pool) + np.arange(len(ends))
-    inner = np.flatnonzero(seq >= base)
-    which = seq[inner] - base
-    starts[inner] = (np.cumsum(lengths) - lengths)[which]
-    sizes[inner] = lengths[which]
-    return source[ragged(starts, sizes)]
+def expand(seq: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int, skip: int = 0, take: int | None = None, touched: set[int] | None = None) -> np.ndarray:
+    """The ids that ``seq`` stands for, or of these ``take`` after the first ``skip``.
+
+    All symbols are replaced by their pairs level by level. Symbols whose ids, by the lengths in ``sizes``, lie outside of
+    what is wanted are dropped before each level, so only rules that hold wanted ids are read; ``touched`` collects them.
+    """
+    symbols = seq.astype(np.int64)
+    each = _lengths(symbols, sizes, base)
+    total = int(each.sum())
+    take = max(0, total - skip if take is None else min(take, total - skip))
+    while True:
+        if skip or take < total:
+            ends = np.cumsum(each)
+            keep = slice(int(np.searchsorted(ends, skip, "right")), int(np.searchsorted(ends, skip + take, "left")) + 1)
+            skip -= int(ends[keep.start - 1]) if keep.start else 0
+            symbols, each = symbols[keep], each[keep]
+            total = int(each.sum())
+        inner = symbols >= base
+        if not take or not inner.any():
+            return symbols[skip : skip + take].astype(np.uint32)
+        which = symbols[inner] - base
+        if touched is not None:
+            touched.update(which.tolist())
+        width = 1 + inner
+        at = np.cumsum(width) - width
+        out = np.empty(int(width.sum()), np.int64)
+        out[at[~inner]] = symbols[~inner]
+        pairs = rules[which].astype(np.int64)
+        out[at[inner]], out[at[inner] + 1] = pairs[:, 0], pairs[:, 1]
+        symbols, each = out, _lengths(out, sizes, base)
+
+
+def _lengths(symbols: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    each = np.ones(len(symbols), np.int64)
+    inner = symbols >= base
+    each[inner] = sizes[symbols[inner] - base]
+    return each

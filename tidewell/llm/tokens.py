@@ -192,7 +192,7 @@ def encoder(path: str) -> Encoder:
 def pack_shard(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, base: int) -> bytes:
     """One shard's bytes."""
     rules, seq = repair.compress(ids, base)
-    _, sizes = repair.expansions(rules, base)
+    sizes = repair.sizes_of(rules, base)
     each = np.ones(len(seq), np.int64)
     inner = seq >= base
     each[inner] = sizes[seq[inner].astype(np.int64) - base]
@@ -234,18 +234,25 @@ class Shard:
             raise ValueError("token shard fails its checksum")
 
     def ids(self) -> np.ndarray:
-        return repair.expand(self.seq, self.rules, self.base)
+        return repair.expand(self.seq, self.rules, self.sizes, self.base)
 
-    def range(self, start: int, stop: int) -> np.ndarray:
-        """Ids ``start .. stop``: decodes from the last sampled symbol at or before ``start`` only as far as needed."""
+    def range(self, start: int, stop: int, touched: set[int] | None = None) -> np.ndarray:
+        """Ids ``start .. stop``, from the last sampled symbol at or before ``start`` on, by the rules' stored lengths.
+
+        Only rules that hold ids of the range are read; ``touched`` collects them.
+        """
         start, stop = max(start, 0), min(stop, self.n_ids)
         if start >= stop:
             return np.zeros(0, np.uint32)
         first = int(np.searchsorted(self.samples, start, "right")) - 1
         last = int(np.searchsorted(self.samples, stop, "left"))
         part = self.seq[first * repair.SAMPLE : last * repair.SAMPLE]
-        before = int(self.samples[first])
-        return repair.expand(part, self.rules, self.base)[start - before : stop - before]
+        return repair.expand(part, self.rules, self.sizes, self.base, start - int(self.samples[first]), stop - start, touched)
+
+    def document(self, k: int) -> np.ndarray:
+        """The ids of the shard's k-th document."""
+        stop = int(self.lengths[: k + 1].sum(dtype=np.int64))
+        return self.range(stop - int(self.lengths[k]), stop)
 
 
 def frame_bytes(head: bytes, at: int = 0) -> int:
@@ -362,6 +369,23 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return places.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """``(doc_id, ids)`` of the documents named, each decoded as a range of its shard; shards without any are not expanded."""
+    ship(spark)
+    wanted = np.unique(np.array(doc_ids, np.int64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                with binfiles.RangeFile(row["path"]) as file:
+                    shard = Shard(file.read(row["offset"], row["bytes"]))
+                found = np.flatnonzero(np.isin(shard.doc_ids, wanted) & (shard.null == 0)).tolist()
+                ids = pa.array([shard.document(k).tolist() for k in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids[found], pa.int64()), ids], ["doc_id", "ids"])
+
+    return shard_places(spark, path).repartition(shuffle_partitions(spark), "part", "offset").mapInArrow(run, "doc_id long, ids array<long>")
+
+
 def encode_and_read_back(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the shards of ``docs`` to the shared folder and return what ``read_shards`` finds there.
 
