@@ -35,7 +35,10 @@ def word_count(text: str = "text") -> Column:
 
 
 def sized(docs: DataFrame, seed: int = SEED, carry: bool = False) -> DataFrame:
-    """Size, join key of the source and place in the seeded order of every row; with ``carry`` its columns as ``row``."""
+    """Size, join key of the source and place in the seeded order of every row; with ``carry`` its columns as ``row``.
+
+    The place is a digest of id and text, so rows of one id (or none) are spread like any others.
+    """
     own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return docs.select(
@@ -43,7 +46,7 @@ def sized(docs: DataFrame, seed: int = SEED, carry: bool = False) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         word_count().alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("skey"),
-        F.md5(F.concat(F.lit(f"{seed}:"), ident).cast("binary")).alias("place"),
+        F.md5(F.concat(F.lit(f"{seed}:"), ident, F.lit(":"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).cast("binary")).alias("place"),
         F.xxhash64("text").alias("tie"),
         *own,
     )
@@ -143,9 +146,10 @@ def _plan(docs: DataFrame, block: int, shard_words: int, stretch: int, seed: int
 def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, stretch: int = STRETCH, seed: int = SEED) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for every row of ``docs``.
 
-    Null texts have size 0 and a null source is a source, last in order; equal ids stand side by side in their
-    shard, repeated rows are rows of their own, and a very long text may be several stretches. Other columns are ignored. An
-    empty table, or one without words, takes nothing.
+    Null texts have size 0 and a null source is a source, last in order; repeated rows are rows of their own, and those that
+    are equal in id and text stand side by side in their shard; a very long text may be several stretches. Other columns are
+    ignored. An empty table, or one without words, takes nothing, and so does one of so few words that its total rounds
+    to no block (fewer than 6 of ``BLOCK`` 16).
     """
     rows, plan, quotas = _plan(docs, block, shard_words, stretch, seed)
     taken = _taken(_placed(rows, plan), quotas, block * stretch)
@@ -156,7 +160,8 @@ def mixture(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS,
     """The mix itself: a row for each pass that takes words of a document, in the columns of ``docs``.
 
     A document of which a pass takes a part keeps the words in that part, with n_chars (if there is such a column) set anew.
-    Documents of which nothing is taken do not occur.
+    Documents of which nothing is taken do not occur: those with null texts, and all of a table too small for a block. Very
+    long texts are cut like others; repeated rows are rows of their own.
     """
     _, plan, quotas = _plan(docs, block, shard_words, stretch, seed)
     out = _taken(_placed(sized(docs, seed, carry=True), plan), quotas, block * stretch).filter("size > 0")
@@ -172,7 +177,7 @@ def mixture(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS,
 
 ORACLE_SQL = rf"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS place FROM documents
 ), s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source
 ), s1 AS (SELECT *, [5, 2, 1][(rank - 1) % 3 + 1] AS weight, CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 AS total, source_size * 2 AS cap FROM s0
 ), s2 AS (SELECT *, (total - CAST(sum(cap) OVER f - cap AS DOUBLE)) / CAST(sum(weight) OVER () - (sum(weight) OVER f - weight) AS DOUBLE) AS level
