@@ -6,9 +6,6 @@ from pyspark.sql import Column, functions as F
 
 from tidewell.functions import arrays
 
-#: A link that says so, and a host with a path, each up to the next white space.
-_LINK = r"(?i)(?:https?://|www[.])\S+"
-_HOST_AND_PATH = r"(?i)\b(?:[a-z0-9-]+[.])+[a-z0-9-]+/\S*"
 _HANDLE = r"(?u)@[\p{L}\p{N}_]+"
 #: Typed placeholders of redaction: fixed values.
 PLACEHOLDERS = {
@@ -27,11 +24,37 @@ REDACTED = {
 }
 
 
+def _host(piece: Column) -> Column:
+    """The host that ``piece`` ends with: two labels or more of letters, digits and hyphens; empty if it ends with none."""
+    tail = F.substring_index(F.regexp_extract(piece, "[A-Za-z0-9.-]*$", 0), "..", -1)
+    tail = F.when(tail.startswith("."), F.substring(tail, 2, 1 << 20)).otherwise(tail)
+    return F.when(tail.endswith(".") | ~tail.contains("."), F.lit("")).otherwise(tail)
+
+
+def _before_link(part: Column) -> Column:
+    """What stands in ``part`` (which has no white space) before a link begins, or all of it.
+
+    A link begins at a scheme, at ``www.``, or at a host that a slash follows.
+    """
+
+    def of(pieces: Column) -> Column:
+        hosts = F.transform(F.slice(pieces, F.lit(1), F.size(pieces) - 1), _host)
+        first = F.array_position(F.transform(hosts, lambda h: h != ""), F.lit(True))
+        before = F.array_join(F.slice(pieces, F.lit(1), first.cast("int")), "/")
+        return F.when(first > 0, F.length(before) - F.length(F.get(hosts, (first - 1).cast("int"))))
+
+    low = F.lower(part)
+    starts = [F.when(F.instr(low, mark) > 0, F.instr(low, mark) - 1) for mark in ("http://", "https://", "www.")]
+    at = F.least(*starts, arrays.let(F.split(part, "/", -1), of))
+    return F.when(at.isNull(), part).otherwise(F.substring(part, F.lit(1), at.cast("int")))
+
+
 def strip_noise(text: Column) -> Column:
-    """Without URLs, @handles and hash marks; white space collapsed. Null gives the empty string."""
-    t = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), _LINK, " "), _HOST_AND_PATH, " ")
-    t = F.translate(F.regexp_replace(t, _HANDLE, " "), "#", " ")
-    return F.trim(F.regexp_replace(t, r"(?U)\s+", " "))
+    """Without links, @handles and hash marks; white space collapsed. Null gives the empty string."""
+    parts = F.split(F.coalesce(text, F.lit("")), r"(?U)\s+")
+    linked = F.transform(parts, lambda p: F.when(p.contains("/") | F.lower(p).contains("www."), _before_link(p)).otherwise(p))
+    words = F.translate(F.regexp_replace(F.array_join(linked, " "), _HANDLE, " "), "#", " ")
+    return F.trim(F.regexp_replace(words, " +", " "))
 
 
 def alpha_count(text: Column) -> Column:
