@@ -8,8 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell import session
-from tidewell.functions import arrays, keys, rates, text
-from tidewell.operators import claims, contexts, ingest, matching, posts, reports, schedule
+from tidewell.functions import arrays, keys, rates, stem, text
+from tidewell.operators import automaton, claims, contexts, ingest, matching, posts, reports, schedule
 from tidewell.sources import files, tables
 from tidewell.sources.storage import Store
 from tidewell.streaming import incremental
@@ -35,21 +35,20 @@ def test_running_sums_and_spans(spark):
         assert got[k] == (None if t is None else [] if not w else [m.span() for m in re.finditer(re.escape(w), t, re.I)]) or not got[k] and not w
 
 
-def test_many_terms_meet_on_runs_of_characters(spark, monkeypatch):
+def test_terms_in_parts(spark, monkeypatch):
     rng = random.Random(2)
     bodies = [prose(rng, 60) for _ in range(40)] + [None, "", "é"]
-    names = ["flu", "shot te", "été", "a", "x. ok", "zebra a zebra", "nothing here", "", "no? x"]
+    names = ["flu", "shot te", "été", "a", "x. ok", "zebra a zebra", "nothing here", "", "no? x", "FLU", None]
     p = spark.createDataFrame(list(enumerate(bodies)), "post_id int, text string")
     t = spark.createDataFrame(list(enumerate(names)), "term_id int, name string")
     want = sorted((k, j, m.start(), m.end()) for k, b in enumerate(bodies) for j, n in enumerate(names) if n for m in re.finditer(re.escape(n), b or "", re.I))
-    for most in (64, 2):
-        monkeypatch.setattr(matching, "MOST_SCANNED_TERMS", most)
+    for limit in (500_000, 12):
+        monkeypatch.setattr(automaton, "PART_CHARS", limit)
         assert sorted(map(tuple, matching.span_hits(p, t).collect())) == want
-    for few in (2000, 0):
-        monkeypatch.setattr(matching, "MOST_BROADCAST_TERMS", few)
-        got = {(r[0], r[1]) for r in matching.candidates(p, t, stemmed=False).collect()}
-        token = lambda s: {x for x in re.findall(r"[^\W_]+", (s or "").lower()) if x not in ("a", "no", "here")}
-        assert got == {(k, j) for k, b in enumerate(bodies) for j, n in enumerate(names) if token(n) and token(n) <= token(b)}
+        for stemmed in (False, True):
+            got = {(r[0], r[1]) for r in matching.candidates(p, t, stemmed).collect()}
+            have = lambda s: {stem.stem(x) if stemmed else x for x in re.findall(r"[^\W_]+", (s or "").lower()) if x not in ("a", "no", "here")}
+            assert got == {(k, j) for k, b in enumerate(bodies) for j, n in enumerate(names) if have(n) and have(n) <= have(b)}
 
 
 def test_super_terms_meet_on_their_rarest_word(spark):
@@ -185,6 +184,20 @@ def test_trees_name_what_waits(spark):
     assert sorted(r["id"] for r in rest.collect()) == [4, 5]
 
 
+def test_deep_trees_circles_and_orphans(spark):
+    n = 10_000
+    rows = [(k, k - 1 if k else None) for k in range(n)]
+    rows += [(n + k, n + (k + 1) % 7) for k in range(7)] + [(n + 20, n + 3), (n + 21, n + 20), (n + 30, n + 30)]  # circles, and what hangs on one
+    rows += [(n + 40, -1), (n + 41, n + 40), (None, 1), (n + 50, 5), (n + 50, 6)]
+    loaded, waiting = ingest.load_tree(spark.createDataFrame(rows, "id int, parent int").repartition(5), "id", "parent")
+    got = {(r["id"], r["pass"]) for r in loaded.collect()}
+    assert got == {(k, k + 1) for k in range(n)} | {(n + 50, 7)} and loaded.count() == n + 2
+    reasons = {r["id"]: (r["reason"], r["circle"]) for r in waiting.collect()}
+    assert reasons == {**{n + k: ("circle", n) for k in (*range(7), 20, 21)}, n + 30: ("circle", n + 30), n + 40: ("orphan", None), n + 41: ("orphan", None), None: ("no id", None)}
+    empty, none = ingest.load_tree(spark.createDataFrame([], "id int, parent int"), "id", "parent")
+    assert empty.count() == none.count() == 0
+
+
 def test_rejected_rows_are_found_by_halves(spark):
     def insert(batch):
         if any(v is not None and v % 17 == 0 for v in batch.column(0).to_pylist()):

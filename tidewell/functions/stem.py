@@ -1,16 +1,21 @@
 """English lexemes: tokens, a stop list and the published Porter2 (Snowball English) rules.
 
-The stemmer runs once per distinct token; the stop list and token classes approximate a full-text parser's.
+The stemmer runs once per distinct token of a batch; the stop list and token classes approximate a full-text parser's.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.session import ship
+
 TOKEN = r"(?U)[\p{L}\p{N}']+"
 #: Stop words of English: fixed values.
 STOP_WORDS = frozenset(
@@ -116,29 +121,46 @@ def tokens(text: Column) -> Column:
     return F.array_except(F.array_distinct(all_), F.array(F.lit(""), *(F.lit(w) for w in sorted(STOP_WORDS))))
 
 
-def _stems():
-    @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return words.map(stem)
+def lexemes_of(text: str | None, stemmed: bool = True) -> list[str]:
+    """The distinct lexemes of one short text, as ``tokens`` and ``stem`` give them, sorted."""
+    import regex
 
-    return run
+    found = {t.strip("'") for t in regex.findall(r"[\p{L}\p{N}']+", (text or "").lower())} - STOP_WORDS - {""}
+    return sorted({stem(t) for t in found} if stemmed else found)
 
 
-def exploded(rows: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
-    """``(key, lexeme)``: a row for each distinct lexeme of each row's text.
+def coded(tokens: pa.Array, stemmed: bool = True) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """``(row, code, names)`` of an array of token lists: each row's distinct lexemes as codes into ``names``.
 
-    Stems are computed once per distinct token of the whole table and joined back.
+    Each distinct token of the array is stemmed once.
     """
-    words = rows.select(key, F.explode(tokens(F.col(text))).alias("lexeme"))
-    if not stemmed:
-        return words
-    stems = words.select("lexeme").distinct().withColumn("_stem", _stems()("lexeme"))
-    return words.join(stems.hint("merge"), "lexeme").select(key, F.col("_stem").alias("lexeme")).distinct()
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(tokens), 0))
+    words = pc.list_flatten(tokens).dictionary_encode()
+    names = words.dictionary.to_pylist()
+    row, code = np.repeat(np.arange(len(tokens), dtype=np.int64), sizes), words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if stemmed:
+        stems: dict[str, int] = {}
+        place = np.fromiter((stems.setdefault(stem(w), len(stems)) for w in names), np.int64, len(names))
+        names = list(stems)
+        pairs = np.unique(row * max(1, len(names)) + place[code]) if len(names) else row[:0]
+        row, code = pairs // max(1, len(names)), pairs % max(1, len(names))
+    return row, code, names
 
 
 def lexemes(rows: DataFrame, key: str, text: str, stemmed: bool = True) -> DataFrame:
     """``(key, lexemes)``: the distinct lexemes of each row's text, sorted."""
+    own = rows.select(F.col(key), F.array_sort(tokens(F.col(text))).alias("lexemes"))
     if not stemmed:
-        return rows.select(key, F.array_sort(tokens(F.col(text))).alias("lexemes"))
-    found = exploded(rows, key, text).groupBy(key).agg(F.array_sort(F.collect_set("lexeme")).alias("lexemes"))
-    return rows.select(key).join(found, key, "left").select(key, F.coalesce("lexemes", F.array().cast("array<string>")).alias("lexemes"))
+        return own
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, names = coded(batch.column(1))
+            ranks = np.argsort(np.argsort(np.array(names, object))) if names else np.zeros(0, np.int64)
+            order = np.lexsort((ranks[code], row))
+            values = pa.array(names, pa.string()).take(pa.array(code[order]))
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), values)], [key, "lexemes"])
+
+    return own.mapInArrow(run, own.schema)

@@ -14,7 +14,7 @@ CHARS_BEFORE, CHARS_AFTER, CHAR_SIZE, CHAR_STEP = 1000, 1000, 11200, 10000
 CAP_SIZE, CAP_STEP = 12000, 11600
 
 #: A sentence runs to a full stop, question or exclamation mark with closing quotes, or to a line's end.
-_SENTENCE = r"(?U)[^\s][^\n]*?(?:[.!?…]+[\"'”’)\]]*(?=\s|$)|(?=\n|$))"
+SENTENCE = r"(?U)[^\s][^\n]*?(?:[.!?…]+[\"'”’)\]]*(?=\s|$)|(?=\n|$))"
 
 
 def sentence_spans(text: Column) -> Column:
@@ -22,8 +22,8 @@ def sentence_spans(text: Column) -> Column:
 
     A stand-in for a trained splitter: any array of spans of this form serves the functions below.
     """
-    sizes = F.transform(F.regexp_extract_all(text, F.lit(_SENTENCE), F.lit(0)), lambda s: F.length(s))
-    gaps = F.transform(F.split(text, _SENTENCE, -1), lambda g: F.length(g))
+    sizes = F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.length(s))
+    gaps = F.transform(F.split(text, SENTENCE, -1), lambda g: F.length(g))
     return F.when(text.isNull(), F.array().cast("array<struct<start: int, end: int>>")).otherwise(arrays.placed(gaps, sizes))
 
 

@@ -158,24 +158,49 @@ def align(rows: DataFrame, target: DataFrame, required: list[str] = ()) -> DataF
     return rows.select(*(c for c in target.columns if c in rows.columns))
 
 
-def load_tree(nodes: DataFrame, id_: str, parent: str, present: DataFrame | None = None, passes: int = 12) -> tuple[DataFrame, DataFrame]:
-    """``(loaded, waiting)``: nodes whose ancestors are all loaded, with the pass that loads them (roots first, then
-    children of loaded ones), and the nodes that are not: without their parent, in a circle, or deeper than ``passes``.
+def load_tree(nodes: DataFrame, id_: str, parent: str, present: DataFrame | None = None, passes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(loaded, waiting)``: nodes whose ancestors are all there, and those that have to wait.
 
-    Stops when a pass loads nothing. A later call with ``present`` set to what is loaded goes on with the deeper ones.
+    ``loaded`` adds ``pass``, the place of a node below its root (1; children of what is ``present`` already: 2). ``waiting``
+    adds ``reason`` (``orphan``: some ancestor is missing; ``circle``; ``deep``: beyond ``passes``; ``no id``) and ``circle``, the
+    smallest id on the circle that a node is on or below. A later call with ``present`` set to what is loaded goes on with
+    what waits. Of rows with the same id that with the smallest parent counts (none before any) and all share its place.
+
+    Every node points to an ancestor, and in each round to the one that this one points to, so that a tree of depth d
+    takes about log d joins; who points at nothing any more is done. A pointer that has gone as many steps as there are
+    nodes without an end is on a circle.
     """
-    loaded = materialise(nodes.filter(F.col(parent).isNull()).withColumn("pass", F.lit(1)), "tree")
-    have = loaded.select(F.col(id_).alias("_have"))
+    extra = ["pass", "reason", "circle"]
+    nodes = materialise(nodes.drop(*extra), "nodes")
+    first = F.min(F.struct(F.col(parent).isNotNull().alias("child"), F.col(parent).alias("up")))["up"]
+    own = nodes.filter(F.col(id_).isNotNull()).groupBy(F.col(id_).alias("id")).agg(first.alias("up"))
+    known = own.select(F.col("id").alias("up"), F.lit(False).alias("_before"))
     if present is not None:
-        have = have.union(present.select(id_))
-    rest, out, frontier = nodes.filter(F.col(parent).isNotNull()), loaded, have
-    for k in range(2, passes + 1):
-        layer = materialise(rest.join(frontier, F.col(parent) == F.col("_have"), "left_semi").withColumn("pass", F.lit(k)), "tree")
-        if not layer.head(1):
-            break
-        out = out.unionByName(layer)
-        frontier = layer.select(F.col(id_).alias("_have"))
-    return out, rest.join(out.select(F.col(id_).alias("_have")), F.col(id_) == F.col("_have"), "left_anti")
+        known = known.unionByName(present.select(F.col(present.columns[0] if id_ not in present.columns else id_).alias("up"), F.lit(True).alias("_before")))
+    known = known.filter("up IS NOT NULL").groupBy("up").agg(F.max("_before").alias("_before"))
+    status = F.when(F.col("up").isNull() | F.coalesce("_before", F.lit(False)), "loaded").when(F.col("_before").isNull(), "orphan")
+    hops = F.when(F.col("_before"), 2).otherwise(1).cast("long")
+    start = own.join(known, "up", "left").select("id", status.alias("status"), hops.alias("hops"), F.col("id").alias("low"), "up")
+    at = materialise(start.withColumn("up", F.when(F.col("status").isNull(), F.col("up"))), "pointers")
+
+    reach, n = 1, at.count()
+    while reach <= n and at.filter("up IS NOT NULL").head(1):
+        to = at.select(F.col("id").alias("_id"), F.col("status").alias("_status"), F.col("hops").alias("_hops"), F.col("low").alias("_low"), F.col("up").alias("_up"))
+        moved = at.filter("up IS NOT NULL").join(to, F.col("up") == F.col("_id"))
+        moved = moved.select("id", F.col("_status").alias("status"), (F.col("hops") + F.col("_hops")).alias("hops"), F.least("low", "_low").alias("low"), F.col("_up").alias("up"))
+        at = materialise(at.filter("up IS NULL").unionByName(moved), "pointers")
+        reach *= 2
+
+    # who still points somewhere points at the node of a circle, whose low is the least of the whole circle
+    circles = at.filter("up IS NOT NULL").select(F.col("up").alias("_on")).distinct()
+    circles = circles.join(at, F.col("_on") == F.col("id")).select("_on", F.col("low").alias("circle"))
+    placed = at.join(circles, F.col("up") == F.col("_on"), "left").select(F.col("id").alias("_id"), "status", "hops", "circle")
+    out = nodes.join(placed, F.col(id_) == F.col("_id"), "left")
+    deep = F.lit(False) if passes is None else F.col("hops") > passes
+    ready = F.coalesce((F.col("status") == "loaded") & ~deep, F.lit(False))
+    reason = F.when(F.col("_id").isNull(), "no id").when(F.col("circle").isNotNull(), "circle").when(F.col("status") == "orphan", "orphan").otherwise("deep")
+    loaded = out.filter(ready).select(*nodes.columns, F.col("hops").cast("int").alias("pass"))
+    return loaded, out.filter(~ready).select(*nodes.columns, reason.alias("reason"), "circle")
 
 
 def merge_term_state(state: DataFrame, terms: DataFrame, as_of: str, back_seconds: int = 60) -> DataFrame:

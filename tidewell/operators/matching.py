@@ -1,17 +1,18 @@
-"""Matching taxonomy terms to posts: a lexeme prefilter, then exact spans."""
+"""Matching taxonomy terms to posts: a lexeme prefilter, and exact spans."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+from functools import reduce
 
-from tidewell.functions import arrays, stem, text
-from tidewell.session import materialise
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Terms up to this many are sent to every executor; more are joined by key.
-MOST_BROADCAST_TERMS = 2000
-#: Terms up to this many are each looked for in every post; more meet posts on runs of characters first.
-MOST_SCANNED_TERMS = 64
-_GRAM = 3
+from tidewell.functions import stem, text
+from tidewell.operators import automaton, index
+from tidewell.session import materialise, ship, spread
 
 
 def super_terms(terms: DataFrame, name: str = "name") -> DataFrame:
@@ -32,65 +33,61 @@ def effective_terms(terms: DataFrame, name: str = "name") -> DataFrame:
     return terms.join(super_terms(terms, name), name, "left_anti")
 
 
-def candidates(posts: DataFrame, terms: DataFrame, stemmed: bool = True, key: str = "post_id", body: str = "text") -> DataFrame:
-    """``(post_id, term_id)`` where the post has all lexemes of the term; a term of stop words only matches nothing.
-
-    Posts and terms meet on lexemes, one row each; a pair that meets on as many lexemes as the term has is a match. Counts
-    are summed within tasks first. Only the terms' side is ever sent along, and only while it is short.
-    """
-    t = stem.lexemes(terms, "term_id", "name", stemmed).filter(F.size("lexemes") > 0)
-    wanted = t.select("term_id", F.size("lexemes").alias("need"), F.explode("lexemes").alias("lexeme"))
-    met = stem.exploded(posts, key, body, stemmed).join(_sent(wanted), "lexeme")
-    return met.groupBy(key, "term_id", "need").agg(F.count("*").alias("n")).filter("n = need").select(key, "term_id")
-
-
-def _few(terms: DataFrame, most: int = MOST_BROADCAST_TERMS) -> bool:
-    return len(terms.select("term_id").take(most + 1)) <= most
-
+def _wanted(terms: DataFrame, stemmed: bool) -> Iterator[tuple[list, dict[str, list[int]], list[int]]]:
+    """Terms in parts: their ids, which of them want each lexeme, and how many lexemes each wants (never none)."""
+    for part in automaton.parts(terms):
+        ids, want, need = [], {}, []
+        for term_id, name in part:
+            own = stem.lexemes_of(name, stemmed)
+            if own:
+                for x in own:
+                    want.setdefault(x, []).append(len(ids))
+                ids.append(term_id)
+                need.append(len(own))
+        yield ids, want, need
 
-def _sent(terms: DataFrame) -> DataFrame:
-    """The terms' side of a join with posts: sent along while it is short, else joined by key, never the posts' side."""
-    return F.broadcast(terms) if _few(terms, 4 * MOST_BROADCAST_TERMS) else terms.hint("merge")
 
+def candidates(posts: DataFrame, terms: DataFrame, stemmed: bool = True, key: str = "post_id", body: str = "text") -> DataFrame:
+    """``(post_id, term_id)`` where the post has all lexemes of the term; a term of stop words only matches nothing.
 
-def grams(body: str) -> Column:
-    """Distinct runs of ``_GRAM`` characters of the lower-cased text; the whole of a shorter one."""
-    letters = F.split(F.lower(body), "")
-
-    def of(x: Column) -> Column:
-        x = F.filter(x, lambda c: c != "")
-        run = lambda x: F.zip_with(F.zip_with(x, F.slice(x, F.lit(2), F.size(x)), lambda a, b: F.concat(a, b)), F.slice(x, F.lit(3), F.size(x)), lambda a, b: F.concat(a, b))
-        return arrays.let(x, lambda x: F.when(F.size(x) < _GRAM, F.array(F.array_join(x, ""))).otherwise(F.array_distinct(F.filter(run(x), lambda g: g.isNotNull()))))
-
-    return arrays.let(letters, of)
-
-
-def _met(posts: DataFrame, terms: DataFrame, key: str, body: str) -> DataFrame:
-    """``(key, body, term_id, name)`` of posts that contain a term.
-
-    A few terms, and those shorter than a run of characters, go along to the posts, which are scanned once. Of many terms each is
-    joined on the one of its runs that the fewest posts have; what meets is verified.
+    The lexemes that terms want go along to the posts, which are not shuffled: of a batch of posts each distinct token is
+    stemmed once, tokens that no term wants are left, and a term is met where as many of its lexemes are found as it has.
     """
-    t = terms.select("term_id", "name", F.lower("name").alias("_name")).filter("name <> ''")
-    p = posts.select(key, body, F.lower(body).alias("_low"))
-    scan = lambda some: p.join(F.broadcast(some), F.col("_low").contains(F.col("_name"))).select(key, body, "term_id", "name")
-    if _few(t, MOST_SCANNED_TERMS):
-        return scan(t)
-    t = materialise(t, "terms")
-    long = t.filter(F.length("_name") >= _GRAM)
-    own = long.select("term_id", F.explode(grams("name")).alias("gram"))
-    seen = posts.select(key, F.explode(grams(body)).alias("gram"))
-    frequency = seen.join(_sent(own.select("gram", F.lit(0).alias("term_id")).distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rare = own.join(frequency, "gram", "left").groupBy("term_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))["gram"].alias("gram"))
-    pairs = seen.join(_sent(materialise(rare, "grams")), "gram").select(key, "term_id").join(_sent(long), "term_id")
-    met = p.join(pairs, key).filter(F.col("_low").contains(F.col("_name"))).select(key, body, "term_id", "name")
-    return met.unionByName(scan(t.filter(F.length("_name") < _GRAM)))
+    spark = posts.sparkSession
+    ship(spark)
+    rows = posts.select(F.col(key), stem.tokens(F.col(body)).alias("_tokens"))
+    schema = posts.select(key).schema.add(terms.schema["term_id"])
+    found = [_candidates_of(spread(rows), part, schema, stemmed) for part in _wanted(terms, stemmed)]
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
+
+
+def _candidates_of(rows: DataFrame, part: tuple[list, dict[str, list[int]], list[int]], schema, stemmed: bool) -> DataFrame:
+    shared, id_type = rows.sparkSession.sparkContext.broadcast(part), to_arrow_type(schema[1].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term_ids, want, need = shared.value
+        ids, need = pa.array(term_ids, id_type), np.array(need, np.int64)
+        for batch in batches:
+            row, code, names = stem.coded(batch.column(1), stemmed)
+            # each wanted lexeme of the batch with the terms that want it, end to end
+            lists = [want.get(x, ()) for x in names]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter((t for x in lists for t in x), np.int64, int(sizes.sum()))
+            have = sizes[code] > 0
+            row, code = row[have], code[have]
+            starts = np.cumsum(sizes) - sizes
+            times = sizes[code]
+            within = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+            pairs, n = np.unique(np.repeat(row, times) * max(1, len(need)) + flat[np.repeat(starts[code], times) + within], return_counts=True)
+            met = pairs[n == need[pairs % max(1, len(need))]] if len(need) else pairs[:0]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(met // max(1, len(need)))), ids.take(pa.array(met % max(1, len(need))))], schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def span_hits(posts: DataFrame, terms: DataFrame, key: str = "post_id", body: str = "text") -> DataFrame:
     """``(post_id, term_id, match_start, match_end)`` of every literal occurrence, whatever the lexemes."""
-    hit = _met(posts, terms, key, body).select(key, "term_id", F.explode(text.spans(F.col(body), F.col("name"))).alias("h"))
-    return hit.select(key, "term_id", F.col("h.start").alias("match_start"), F.col("h.end").alias("match_end"))
+    return automaton.span_hits(posts, terms, key, body)
 
 
 def live_filter(rows: DataFrame, typed: str, column: str = "name") -> DataFrame:
@@ -104,20 +101,26 @@ def hits_by_platform(hits: DataFrame, registry: DataFrame) -> DataFrame:
     return hits.join(registry.select(F.col("id").alias("post_id"), "platform"), "post_id").groupBy("platform").agg(F.count("*").alias("hits"), F.countDistinct("post_id").alias("posts"))
 
 
-def match(posts: DataFrame, terms: DataFrame, state: DataFrame, version: str, as_of: str, stemmed: bool = True) -> tuple[DataFrame, DataFrame]:
+def match(posts: DataFrame, terms: DataFrame, state: DataFrame, version: str, as_of: str, stemmed: bool = True, kept: index.Index | None = None) -> tuple[DataFrame, DataFrame]:
     """``(hits, new state)`` of an incremental run.
 
     Each term looks at posts with ids after its cursor for ``version`` up to the largest id there is; the new
-    cursor is that id. Hits need both the lexeme prefilter and a literal span.
+    cursor is that id. Hits need both the lexeme prefilter and a literal span. With a ``kept`` index of lexemes the
+    prefilter reads that (brought up to date first, from new posts only), otherwise it reads the posts after the lowest cursor.
     """
     mine = state.filter(F.col("matcher_version") == version).select("term_id", "last_post_id")
-    due = terms.join(mine, "term_id", "left").withColumn("last_post_id", F.coalesce("last_post_id", F.lit(0).cast("long")))
+    due = materialise(terms.join(mine, "term_id", "left").withColumn("last_post_id", F.coalesce("last_post_id", F.lit(0).cast("long"))), "due")
     low = due.agg(F.min("last_post_id")).first()[0]
     top = posts.agg(F.coalesce(F.max("post_id"), F.lit(0))).first()[0]
     fresh = posts.filter(F.col("post_id") > F.lit(low if low is not None else 0))
-    met = candidates(fresh, due, stemmed).join(due.select("term_id", "name", "last_post_id"), "term_id").filter("post_id > last_post_id")
-    rows = met.join(fresh.select("post_id", "text"), "post_id").select("post_id", "term_id", F.explode(text.spans(F.col("text"), F.col("name"))).alias("h"))
-    hits = rows.select("post_id", "term_id", F.col("h.start").alias("match_start"), F.col("h.end").alias("match_end"), F.lit(as_of).cast("timestamp").alias("matched_at"), F.lit(version).alias("matcher_version"))
+    if kept is None:
+        met = candidates(fresh, due, stemmed)
+    else:
+        kept.update(posts)
+        met = kept.candidates(due, after=low or 0)
+    met = met.join(due.select("term_id", "last_post_id"), "term_id").filter("post_id > last_post_id").select("post_id", "term_id").distinct()
+    rows = span_hits(fresh, due).join(met, ["post_id", "term_id"], "left_semi")
+    hits = rows.select("post_id", "term_id", "match_start", "match_end", F.lit(as_of).cast("timestamp").alias("matched_at"), F.lit(version).alias("matcher_version"))
     moved = due.select("term_id", F.lit(version).alias("matcher_version"), F.greatest("last_post_id", F.lit(top).cast("long")).alias("last_post_id"))
     return hits.dropDuplicates(["post_id", "term_id", "match_start", "match_end"]), state.join(moved, ["term_id", "matcher_version"], "left_anti").select("term_id", "matcher_version", "last_post_id").unionByName(moved)
 

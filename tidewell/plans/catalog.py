@@ -11,9 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewell.functions import keys, rates, stem, text, times
-from tidewell.operators import claims, contexts, ingest, matching, posts, reports, schedule
-from tidewell.session import materialise, table
+from tidewell.functions import keys, language, rates, redaction, stem, text, times
+from tidewell.operators import claims, contexts, index, ingest, matching, posts, reports, schedule, sentences, sync
+from tidewell.session import materialise, scratch, table
 from tidewell.sources import files, tables
 from tidewell.streaming import incremental
 
@@ -91,6 +91,28 @@ def term_candidates(t: _Tables) -> DataFrame:
     return matching.candidates(t.posts(), t.terms(), stemmed=False).groupBy("term_id").agg(F.count("*").alias("posts"))
 
 
+@query(
+    "WITH d AS (SELECT doc_id, " + _LEXEMES.replace("{0}", "text") + " AS have FROM documents), q AS (SELECT term_id, " + _LEXEMES.replace("{0}", "name") + " AS need FROM (VALUES {TERMS}) t(term_id, name)) "
+    "SELECT term_id, count(*) AS posts FROM d, q WHERE len(need) > 0 AND list_has_all(have, need) GROUP BY term_id"
+)
+def indexed_candidates(t: _Tables) -> DataFrame:
+    """The same from a kept index of lexemes that two runs append to (unstemmed variant)."""
+    return _indexed(t, stemmed=False)
+
+
+@query()
+def stemmed_candidates(t: _Tables) -> DataFrame:
+    """Posts that have all stems of a term, from a kept index of stems that two runs append to."""
+    return _indexed(t, stemmed=True)
+
+
+def _indexed(t: _Tables, stemmed: bool) -> DataFrame:
+    kept, rows = index.Index(t.spark, scratch(t.spark, "index"), stemmed), t.posts()
+    kept.update(rows.filter(F.col("post_id") <= (rows.agg(F.max("post_id")).first()[0] or 0) // 2))
+    kept.update(rows)
+    return kept.candidates(t.terms()).groupBy("term_id").agg(F.count("*").alias("posts"))
+
+
 @query(
     "WITH d AS (SELECT doc_id, " + _LEXEMES.replace("{0}", "text") + " AS have FROM documents), q AS (SELECT term_id, " + _LEXEMES.replace("{0}", "name") + " AS need FROM (VALUES {TERMS}) t(term_id, name)), "
     "c AS (SELECT doc_id, term_id FROM d, q WHERE len(need) > 0 AND list_has_all(have, need)) "
@@ -444,6 +466,23 @@ def registry(t: _Tables) -> DataFrame:
     return _registry(t)
 
 
+@query("""
+WITH a AS (SELECT 'tweet' AS platform, CAST(doc_id AS VARCHAR) AS key1, '' AS key2 FROM documents UNION SELECT 'telegram_post', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR) FROM conversations),
+b AS (SELECT 'telegram_post' AS platform, CAST(conv_id AS VARCHAR) AS key1, CAST(turn AS VARCHAR) AS key2 FROM conversations UNION SELECT 'news_article', CAST(page_id AS VARCHAR), '' FROM pages),
+first AS (SELECT *, row_number() OVER (ORDER BY platform, key1, key2) AS id FROM a),
+fresh AS (SELECT *, (SELECT count(*) FROM a) + row_number() OVER (ORDER BY platform, key1, key2) AS id FROM (SELECT * FROM b EXCEPT SELECT * FROM a))
+SELECT id, platform, key1, key2 FROM first SEMI JOIN b USING (platform, key1, key2) UNION ALL SELECT id, platform, key1, key2 FROM fresh
+""")
+def registry_sync(t: _Tables) -> DataFrame:
+    """A kept registry after a second run, in which one source has gone and another has come."""
+    kept = sync.Kept(t.spark, scratch(t.spark, "registry"))
+    own = {p.name: p for p in posts.PLATFORMS}
+    found = {name: posts.source_keys(rows, own[name]) for name, rows in _sources(t).items()}
+    kept.sync(found["tweet"].unionByName(found["telegram_post"]))
+    kept.sync(found["telegram_post"].unionByName(found["news_article"]))
+    return kept.rows().drop("post_key")
+
+
 @query(_REGISTRY + " SELECT platform, count(*) AS posts, count(DISTINCT id) AS ids, CAST(sum(n) AS BIGINT) AS chars, count(en) AS labelled FROM (SELECT r.id, r.platform, length(text) AS n, lang AS en FROM r JOIN documents d ON platform = 'tweet' AND key1 = CAST(doc_id AS VARCHAR) UNION ALL SELECT r.id, r.platform, length(text), NULL FROM r JOIN conversations ON platform = 'telegram_post' AND key1 = CAST(conv_id AS VARCHAR) AND key2 = CAST(turn AS VARCHAR) UNION ALL SELECT r.id, r.platform, length(html), NULL FROM r JOIN pages ON platform = 'news_article' AND key1 = CAST(page_id AS VARCHAR)) GROUP BY platform")
 def unified_posts(t: _Tables) -> DataFrame:
     """The unified view, summed up by platform."""
@@ -609,11 +648,33 @@ def align_columns(t: _Tables) -> DataFrame:
 # functions --------------------------------------------------------------------------------------------------------
 
 
-@query(r"SELECT page_id, trim(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(u, '(?i)(?:https?://|www[.])\S+', ' ', 'g'), '(?i)\b(?:[a-z0-9-]+[.])+[a-z0-9-]+/\S*', ' ', 'g'), '@[\p{L}\p{N}_]+', ' ', 'g'), '#', ' '), '\s+', ' ', 'g')) AS clean FROM (SELECT page_id, 'see ' || url || ' by @user' || page_id || ' #tag  end' AS u FROM pages)")
+_NOISE = r"""
+WITH parts AS (SELECT page_id, i, p[i] AS p FROM (SELECT page_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT page_id, regexp_split_to_array(coalesce(html, ''), '\s+') AS p FROM pages))),
+ends AS (SELECT page_id, i, p, string_split(p, '/') AS x FROM parts),
+labels AS (SELECT page_id, i, p, x, list_transform(x[: len(x) - 1], lambda y: string_split(regexp_extract(y, '[A-Za-z0-9.-]*$'), '.')) AS ls FROM ends),
+hosts AS (SELECT page_id, i, p, x, list_transform(ls, lambda l: l[len(l) - coalesce(list_position(list_reverse(l), ''), len(l) + 1) + 2 :]) AS hs FROM labels),
+found AS (
+  SELECT page_id, i, p, list_position(list_transform(hs, lambda h: len(h) > 1), true) AS k, x, hs, nullif(instr(lower(p), 'www.'), 0) - 1 AS w,
+    least(nullif(instr(lower(p), 'http://'), 0), nullif(instr(lower(p), 'https://'), 0)) - 1 AS s FROM hosts),
+cut AS (SELECT page_id, i, p, least(w, s, CASE WHEN k > 0 THEN length(array_to_string(x[:k], '/')) - length(array_to_string(hs[k], '.')) END) AS n FROM found),
+kept AS (SELECT page_id, string_agg(CASE WHEN n IS NULL THEN p ELSE left(p, CAST(n AS BIGINT)) END, ' ' ORDER BY i) AS t FROM cut GROUP BY page_id)
+SELECT page_id, trim(regexp_replace(replace(regexp_replace(t, '@[\p{L}\p{N}_]+', ' ', 'g'), '#', ' '), ' +', ' ', 'g')) AS clean FROM kept
+"""
+
+
+@query(_NOISE)
 def strip_noise(t: _Tables) -> DataFrame:
-    """text without links, handles and marks."""
-    u = F.concat(F.lit("see "), "url", F.lit(" by @user"), F.col("page_id").cast("string"), F.lit(" #tag  end"))
-    return t.pages.select("page_id", text.strip_noise(u).alias("clean"))
+    """pages without links, handles and marks."""
+    return t.pages.select("page_id", text.strip_noise(F.col("html")).alias("clean"))
+
+
+@query()
+def language_labels(t: _Tables) -> DataFrame:
+    """The detector's language, confidence and three-valued flag of every post; a fifth of them is kept out of its training."""
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = language.train(t.documents.filter(~held_out))
+    found = language.detect(t.documents.select("doc_id", "text"), model)
+    return found.select("doc_id", "detected", F.round("confidence", 6).alias("confidence"), (F.col("detected") == "en").alias("is_en"))
 
 
 @query(r"SELECT doc_id, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\p{L}]', '', 'g')) >= 8 AND length(text) >= 24 AS enough FROM documents")
@@ -640,6 +701,20 @@ def redact(t: _Tables) -> DataFrame:
     return t.documents.select("doc_id", text.redact(F.col("text")).alias("text"))
 
 
+@query()
+def redact_scored(t: _Tables) -> DataFrame:
+    """Personal data found by scored recognisers, replaced, with what was found."""
+    found = redaction.redact(t.documents.select("doc_id", "text"))
+    return found.select("doc_id", F.col("redacted").alias("text"), F.size("entities").alias("n"))
+
+
+@query()
+def learned_sentences(t: _Tables) -> DataFrame:
+    """Sentences of every post by abbreviations and starters learned from all posts."""
+    spans = sentences.split(F.col("text"), sentences.learn(t.documents))
+    return t.documents.select("doc_id", spans.alias("s")).select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("covered"))
+
+
 @query("SELECT page_id, regexp_replace(replace(replace(regexp_replace(trim(u), 'https?://', '', 'g'), 't.me/s/', ''), 't.me/', ''), '^@', '') AS channel FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://t.me/s/ch' ELSE '@ch' END || page_id AS u FROM pages)")
 def channel_names(t: _Tables) -> DataFrame:
     """channel names from links and handles."""

@@ -67,6 +67,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt over all cores where their scan has fewer tasks than there are cores; otherwise as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
     """``rows`` with a number from ``after + 1`` on in ``order`` (whose values are distinct) as the column ``name``.
 
