@@ -28,6 +28,8 @@ from tidewell.session import ship
 KINDS = ("email", "ip", "card", "phone")
 #: Documents of the fit, and the characters that each has at most.
 FIT_DOCS, FIT_CHARS = 600, 20_000
+#: Examples that the fit takes of them, drawn by seed.
+FIT_EXAMPLES = 3000
 MAX_TOKENS = 24
 POSTERIOR = 0.8
 
@@ -85,16 +87,38 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def regions(text: str, margin: int = 40, join: int = 24, limit: int = 400) -> Iterator[tuple[int, int]]:
-    """Ranges of text around anchors; near anchors share a range, ranges longer than ``limit`` are cut there."""
-    start = stop = None
+_TOKENS = re.compile(rf"(?:{_TOKEN.pattern}){{0,{MAX_TOKENS}}}")
+
+
+def _before(text: str, at: int) -> int:
+    """Where the ``MAX_TOKENS`` tokens before ``at`` begin."""
+    width = 256
+    while True:
+        part = text[max(0, at - width) : at][::-1]
+        length = _TOKENS.match(part).end()
+        if length < len(part) or len(part) < width:
+            return at - length
+        width *= 2
+
+
+def regions(text: str, near: int = 24) -> Iterator[tuple[int, int]]:
+    """Ranges of text around anchors that reach as many tokens to either side as a segment may have, so that every
+    segment with an anchor lies within one range; ranges that meet are one."""
+    runs: list[list[int]] = []
     for left, right in sorted(m.span() for p in _ANCHORS for m in p.finditer(text)):
-        if start is not None and (left - stop > join or right - start > limit):
-            yield max(0, start - margin), min(len(text), stop + margin)
+        if runs and left - runs[-1][1] <= near:
+            runs[-1][1] = max(runs[-1][1], right)
+        else:
+            runs.append([left, right])
+    start = stop = None
+    for left, right in runs:
+        left, right = _before(text, left), _TOKENS.match(text, right).end()
+        if start is not None and left > stop:
+            yield start, stop
             start = None
         start, stop = (left, right) if start is None else (start, max(stop, right))
     if start is not None:
-        yield max(0, start - margin), min(len(text), stop + margin)
+        yield start, stop
 
 
 _AT = re.compile(r"\s*(?:@|[(\[]at[)\]]|(?<=\s)at(?=\s))\s*")
@@ -103,10 +127,14 @@ _ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]+(?:{_DOT.pattern}[A-Za-z0-9_%+-]+)*{_AT
 _NUMBER = re.compile(r"[+(]*[0-9][0-9\s().+-]*[0-9]")
 
 
-def segments(text: str) -> tuple[list[int], list[tuple[int, int, str]]]:
-    """Token bounds of ``text`` and the candidate segments ``(first token, past the last, content)``."""
-    bounds = [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
-    n, out = len(bounds) - 1, []
+def _bounds(text: str) -> list[int]:
+    """Where the tokens of ``text`` begin, and its end."""
+    return [m.start() for m in _TOKEN.finditer(text)] + [len(text)]
+
+
+def candidates(text: str, bounds: list[int]) -> Iterator[tuple[int, int, str]]:
+    """The candidate segments ``(first token, past the last, content)``, by their first token."""
+    n = len(bounds) - 1
     kinds = ["s" if text[bounds[k]].isspace() else "d" if text[bounds[k]].isdigit() else "a" if text[bounds[k]].isalnum() else "p" for k in range(n)]
     marks = [k for k in range(n) if text[bounds[k]] == "@" or text[bounds[k] : bounds[k + 1]] == "at"]
     for i in range(n):
@@ -114,14 +142,20 @@ def segments(text: str) -> tuple[list[int], list[tuple[int, int, str]]]:
         if not opens or i and kinds[i] in "da" and kinds[i - 1] in "da":
             continue
         digits = 0
+        mark = bisect_right(marks, i)
         for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
             digits += bounds[j] - bounds[j - 1] if kinds[j - 1] == "d" else 0
             if kinds[j - 1] not in "da" or j < n and kinds[j] in "da":
                 continue
             content = text[bounds[i] : bounds[j]]
-            if digits >= 4 and _NUMBER.fullmatch(content) or any(i < m < j - 1 for m in marks) and _ADDRESS.fullmatch(content):
-                out.append((i, j, content))
-    return bounds, out
+            if digits >= 4 and _NUMBER.fullmatch(content) or mark < len(marks) and marks[mark] < j - 1 and _ADDRESS.fullmatch(content):
+                yield i, j, content
+
+
+def segments(text: str) -> tuple[list[int], list[tuple[int, int, str]]]:
+    """Token bounds of ``text`` and all its candidate segments."""
+    bounds = _bounds(text)
+    return bounds, list(candidates(text, bounds))
 
 
 _FEATURES = [f"{k}:{f}" for k in KINDS for f in ("bias", "at", "atword", "dot", "dotword", "tld", "plus", "paren", "octets", "dots3", "luhn", "n4", "n7", "n10", "n11", "n14", "n20", "one", "spaces", "prefix4", "groups", "badend", "left", "right", "space")]
@@ -171,15 +205,36 @@ class Field:
         return found
 
     def lattice(self, text: str) -> tuple[int, list[tuple[int, int, str, str, str]], list[int]]:
+        """Tokens, candidates with their neighbours, and token bounds of the whole text."""
         bounds, found = segments(text)
         rows = [(i, j, c, text[bounds[i] - 1 : bounds[i]], text[bounds[j] : bounds[j] + 1]) for i, j, c in found]
         return len(bounds) - 1, rows, bounds
 
+    def parts(self, text: str) -> Iterator[tuple[list[int], list[tuple[int, int, str, str, str]]]]:
+        """``(token bounds, candidates)`` of the stretches of ``text`` that no candidate reaches over: what lies between
+        scores nothing, so stretches do not depend on each other, and a long text is never one lattice."""
+        bounds = _bounds(text)
+        own: list[tuple[int, int, str, str, str]] = []
+        first = reach = 0
+        for i, j, c in candidates(text, bounds):
+            if own and i >= reach:
+                yield bounds[first : reach + 1], own
+                own = []
+            if not own:
+                first = i
+            reach = max(reach, j) if own else j
+            own.append((i - first, j - first, c, text[bounds[i] - 1 : bounds[i]], text[bounds[j] : bounds[j] + 1]))
+        if own:
+            yield bounds[first : reach + 1], own
+
     def posteriors(self, text: str) -> tuple[list[tuple[int, int, str, str, str]], list[list[float]], list[int], float]:
         """Candidates, each kind's posterior for each, token bounds, and the log partition sum. Outside tokens score 0."""
         n, rows, bounds = self.lattice(text)
-        if not rows:
-            return [], [], bounds, 0.0
+        post, z = self._marginals(rows, n) if rows else ([], 0.0)
+        return rows, post, bounds, z
+
+    def _marginals(self, rows: list[tuple[int, int, str, str, str]], n: int) -> tuple[list[list[float]], float]:
+        """Posteriors of candidates over ``n`` tokens, and the log partition sum."""
         scores = [self.scores(c, b, a) for _, _, c, b, a in rows]
         ending: dict[int, list[int]] = {}
         starting: dict[int, list[int]] = {}
@@ -194,14 +249,15 @@ class Field:
             terms = [back[i + 1]] + [back[rows[k][1]] + s for k in starting.get(i, ()) for s in scores[k]]
             back[i] = _logsum(terms)
         z = front[n]
-        return rows, [[math.exp(front[r[0]] + s + back[r[1]] - z) for s in own] for r, own in zip(rows, scores)], bounds, z
+        return [[math.exp(front[r[0]] + s + back[r[1]] - z) for s in own] for r, own in zip(rows, scores)], z
 
     def best(self, text: str) -> list[tuple[int, int, int, float]]:
         """``(start, kind, end, posterior)`` of the segments on the best path."""
-        rows, post, bounds, _ = self.posteriors(text)
-        if not rows:
-            return []
+        return [x for bounds, rows in self.parts(text) for x in self._path(bounds, rows)]
+
+    def _path(self, bounds: list[int], rows: list[tuple[int, int, str, str, str]]) -> list[tuple[int, int, int, float]]:
         n = len(bounds) - 1
+        post, _ = self._marginals(rows, n)
         ending: dict[int, list[int]] = {}
         for k, r in enumerate(rows):
             ending.setdefault(r[1], []).append(k)
@@ -275,7 +331,7 @@ def fit(texts: list[str], rounds: int = 12, rate: float = 0.5) -> Field:
                 data.append((region, dict(known)))
     seen = np.full(len(_FEATURES), 1e-3)
     rng = np.random.default_rng(7)
-    data = [data[k] for k in rng.permutation(len(data))[:3000]]
+    data = [data[k] for k in rng.permutation(len(data))[:FIT_EXAMPLES]]
     for _ in range(rounds):
         for at in range(0, len(data), 50):
             field.cache.clear()
