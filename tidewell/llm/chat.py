@@ -30,7 +30,8 @@ def _clean(text: Column) -> Column:
 
 def _name(speaker: Column) -> Column:
     """A speaker's name on one line, which can neither open a marker nor close its own."""
-    return F.replace(F.translate(_clean(speaker), "\r\n", "  "), F.lit("|>"), F.lit("| >"))
+    own = F.replace(F.translate(_clean(speaker), "\r\n", "  "), F.lit("|>"), F.lit("| >"))
+    return F.when(own.endswith("<"), F.concat(own, F.lit(" "))).otherwise(own)
 
 
 def _head(speaker: Column, perspective: Column) -> Column:
@@ -110,7 +111,7 @@ j AS (
 ), p AS (
   SELECT *, role = perspective AS mine, replace(text, '<|', '< |') AS body,
     CASE WHEN role = '{SYSTEM}' THEN '<|system|>' || chr(10) WHEN role = perspective THEN '<|assistant|>' || chr(10)
-      ELSE '<|user name=' || replace(translate(replace(role, '<|', '< |'), chr(13) || chr(10), '  '), '|>', '| >') || '|>' || chr(10) END AS head
+      ELSE '<|user name=' || replace(translate(replace(role, '<|', '< |'), chr(13) || chr(10), '  '), '|>', '| >') || CASE WHEN role LIKE '%<' THEN ' ' ELSE '' END || '|>' || chr(10) END AS head
   FROM j
 ), o AS (
   SELECT *, CAST(sum(length(head) + length(body) + 8) OVER (PARTITION BY conv_id, alone, perspective, part, piece ORDER BY turn NULLS FIRST, digest ROWS UNBOUNDED PRECEDING) AS BIGINT) - 8 AS stop FROM p
