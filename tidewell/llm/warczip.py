@@ -222,14 +222,15 @@ def ranges(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Da
                         raw = file.read(index.offset, index.length)
                         if zlib.crc32(raw) != index.crc:
                             raise ValueError(f"index fails its checksum: {uri}")
-                        held, start = [], None
+                        held, start, total = [], None, 0
                         for line in raw.decode().splitlines():
                             _, offset, length, _ = line.split(" ")
                             start = data.offset + int(offset) if start is None else start
                             held.append(int(length))
-                            if sum(held) >= range_bytes:
+                            total += int(length)
+                            if total >= range_bytes:
                                 out.append((uri, start, held))
-                                held, start = [], None
+                                held, start, total = [], None, 0
                         if held:
                             out.append((uri, start, held))
                     yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int64()))], ["path", "offset", "lengths"])
@@ -275,7 +276,8 @@ def archive_and_read_back(pages: DataFrame) -> DataFrame:
     """Write the packages of ``pages`` to the shared folder and return what their records say, payloads aside.
 
     Null html is an empty payload, a null url is about:blank, a null page_id stays null (and refers to the first page
-    of an equal payload that has an id). Repeated rows are records of their own; no rows, no records.
+    of an equal payload that has an id). Repeated rows are records of their own; no rows, no records. A very long payload is
+    one record, and a range of its own; columns other than page_id, url and html are ignored.
     """
     spark = pages.sparkSession
     path = scratch(spark, "archives")
