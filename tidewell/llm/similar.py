@@ -89,9 +89,15 @@ def _filter(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
 
 
 def sets_of(rows: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataFrame:
-    """``(node, fp, set)`` of the texts whose node is in ``nodes`` (distinct), and of a few others that pass the filter."""
-    spark = rows.sparkSession
-    words, bits = _filter(nodes, nodes.count())
+    """``(node, fp, set)`` of the texts whose node is in ``nodes`` (distinct), and of a few others that pass the filter.
+
+    Where nodes are too many for a filter of its largest size, texts are joined to them first, so that no set of a text
+    that is no candidate is ever sent.
+    """
+    spark, n = rows.sparkSession, nodes.count()
+    if n * BITS_A_TEXT > 4 * FILTER_BITS:
+        rows = rows.select("node", "body").join(nodes.select("node"), "node", "left_semi")
+    words, bits = _filter(nodes, n)
     shared = spark.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
