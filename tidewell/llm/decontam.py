@@ -81,7 +81,9 @@ def word_counts(docs: DataFrame, known: filters.Filter) -> DataFrame:
         counts: Counter[bytes] = Counter()
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
-                own = Counter(w for text in batch.column(0).slice(at, _ROWS) for w in words_of(text.as_py()))
+                own: Counter[bytes] = Counter()
+                for text in batch.column(0).slice(at, _ROWS):
+                    own.update(words_of(text.as_py()))
                 new = [w for w in own if w not in seen]
                 seen.update(zip(new, known.has(new)))
                 counts.update({w: n for w, n in own.items() if seen[w]})
@@ -119,11 +121,17 @@ class _Places(dict):
         super().__init__()
         self.known, self.pairs = known, [(place, n) for n in sizes for place in range(n)]
 
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) > _REMEMBERED:
-            self.clear()
-            new = list(set(words))
+    def of(self, words: list[bytes]) -> list[tuple[tuple[int, int], ...]]:
+        """The pairs of each of ``words``."""
+        found = list(map(self.get, words))
+        if None in found:
+            if len(self) > _REMEMBERED:
+                self.clear()
+            self.learn(list({w for w in words if w not in self}))
+            found = list(map(self.get, words))
+        return found
+
+    def learn(self, new: list[bytes]) -> None:
         prefix = [w for w, ok in zip(new, self.known.has([w + b" /" for w in new])) if ok]
         self.update(dict.fromkeys(new, ()))
         if prefix:
@@ -151,9 +159,7 @@ def _offers(docs: DataFrame, known: filters.Filter, sizes: list[int]) -> DataFra
                 n_words, offers = [], []
                 for text in part.column(body):
                     words = words_of(text.as_py())
-                    places.learn(words)
-                    runs = {(k - place, n) for k, w in enumerate(words) if places[w] for place, n in places[w] if 0 <= k - place <= len(words) - n}
-                    runs = sorted(runs)
+                    runs = sorted({(k - place, n) for k, pairs in enumerate(places.of(words)) if pairs for place, n in pairs if 0 <= k - place <= len(words) - n})
                     own = [b" ".join(words[start : start + n]) for start, n in runs]
                     offers.append([{"start": start, "n": n, "window": w} for (start, n), w, ok in zip(runs, own, known.has(own)) if ok] if own else [])
                     n_words.append(len(words))
@@ -185,7 +191,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, carry: bool = False, wi
     distinct = listed.select("window", "n").distinct()
     sizes = sorted(r["n"] for r in listed.select("n").distinct().collect())  # ``window`` of them at most
     vocabulary = distinct.select(F.explode(F.split(F.decode("window", "ISO-8859-1"), " ")).alias("w")).distinct().select(F.encode("w", "ISO-8859-1").alias("key"))
-    counts = word_counts(docs, filters.build(vocabulary, most_bits))
+    counts = materialise(word_counts(docs, filters.build(vocabulary, most_bits)), "counts")
     first = materialise(prefixes(distinct, counts), "prefixes")
     mark = F.concat(F.lit(b" "), F.concat_ws("/", "place", "n").cast("binary"))
     entries = first.select(F.explode(F.array("window", F.concat("word", F.lit(b" /")), F.concat("word", mark))).alias("key"))
