@@ -11,6 +11,7 @@ within tasks first, so a hot group costs no more than its rows' share.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -152,10 +153,23 @@ def _medians(rows: DataFrame) -> DataFrame:
     return est.select("grp", *(f"u{k}" for k in range(_D)), *inverse, log_det.alias("log_det"))
 
 
+def _moments() -> list[Column]:
+    """Sums over a group: its rows, each statistic, each product of two."""
+    return [F.count("*").alias("n"), *(F.sum(f"x{i}").alias(f"a{i}") for i in range(_D)), *(F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"a{i}{j}") for i, j in _PAIRS)]
+
+
+_SUMS = ["n", *(f"a{i}" for i in range(_D)), *(f"a{i}{j}" for i, j in _PAIRS)]
+
+
 def _estimate(rows: DataFrame, keys: list[str] = ("grp",)) -> DataFrame:
-    """Mean, inverse Cholesky factor and log determinant of each group's covariance over ``rows``; variances are at least
+    """``_from_sums`` over ``rows``."""
+    return _from_sums(rows.groupBy(*keys).agg(*_moments()), keys)
+
+
+def _from_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, inverse Cholesky factor and log determinant of each group's covariance from its ``sums``; variances are at least
     the floors'."""
-    moments = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.avg(f"x{i}").alias(f"u{i}") for i in range(_D)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"m{i}{j}") for i, j in _PAIRS))
+    moments = sums.select(*keys, *((F.col(f"a{i}") / F.col("n")).alias(f"u{i}") for i in range(_D)), *((F.col(f"a{i}{j}") / F.col("n")).alias(f"m{i}{j}") for i, j in _PAIRS))
     floors = list(STATISTICS.values())
     cov = {(i, j): (F.col(f"m{i}{j}") - F.col(f"u{i}") * F.col(f"u{j}")) * CONSISTENCY for i, j in _PAIRS}
     est = moments.withColumns({f"c{i}{j}": F.greatest(c, F.lit(floors[i] ** 2)) if i == j else c for (i, j), c in cov.items()})
@@ -196,15 +210,18 @@ def _step(rows: DataFrame, starts: DataFrame, sent) -> DataFrame:
     level = F.log(F.col("d2") + 1e-6) * BINS
     far = rows.join(sent(starts), "grp").select("grp", "start", F.col("log_det").alias("before"), *STATISTICS, _distance().alias("d2"))
     far = far.withColumns({"bin": F.floor(level), "fine": F.floor((level - F.floor(level)) * FINE).cast("int")})
-    counts = far.groupBy(*keys, "bin").agg(F.count("*").alias("n"))
+    keys.append("before")
+    # bins hold the sums of their rows, so that only the rows of the bin at the edge are looked at again
+    bins = materialise(far.groupBy(*keys, "bin").agg(*_moments()), "bins")
     up = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumns({"cum": F.sum("n").over(up), "want": F.ceil(F.sum("n").over(Window.partitionBy(*keys)) * SUPPORT)})
-    edge = materialise(cum.filter("cum >= want").groupBy(*keys).agg(F.min(F.struct("bin", (F.col("want") - F.col("cum") + F.col("n")).alias("rest"))).alias("e")).select(*keys, F.col("e.bin").alias("at"), "e.rest"), "edges")
-    inner = far.join(sent(edge), keys).filter("bin = at").groupBy(*keys, "at", "rest", "fine").agg(F.count("*").alias("n"))
+    cum = bins.withColumns({"cum": F.sum("n").over(up), "want": F.ceil(F.sum("n").over(Window.partitionBy(*keys)) * SUPPORT)})
+    below = cum.filter("cum < want").select(*keys, *_SUMS)
+    edge = cum.filter("cum >= want and cum - n < want").select(*keys[:2], F.col("bin").alias("at"), (F.col("want") - F.col("cum") + F.col("n")).alias("rest"))
+    inner = far.join(sent(edge), keys[:2]).filter("bin = at").groupBy(*keys, "rest", "fine").agg(*_moments())
     within = Window.partitionBy(*keys).orderBy("fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    limit = inner.withColumn("cum", F.sum("n").over(within)).filter("cum >= rest").groupBy(*keys, "at").agg(F.min("fine").alias("most"))
-    near = far.join(sent(materialise(limit, "limits")), keys).filter("bin < at or bin = at and fine <= most")
-    return materialise(_estimate(near, [*keys, "before"]), "step")
+    near = inner.withColumn("cum", F.sum("n").over(within)).filter("cum - n < rest").select(*keys, *_SUMS)
+    sums = below.unionByName(near).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in _SUMS))
+    return materialise(_from_sums(sums, keys), "step")
 
 
 def estimate(rows: DataFrame) -> DataFrame:
@@ -221,6 +238,8 @@ def estimate(rows: DataFrame) -> DataFrame:
         step = _step(rows, live, sent)
         stepped.append(step.drop("before"))
         live = step.filter(F.col("log_det") < F.col("before") - SETTLED).drop("before")
+    if unsettled := [r["grp"] for r in live.select("grp").distinct().limit(20).collect()]:
+        warnings.warn(f"groups still moving after {MOST_STEPS} steps: {', '.join(unsettled)}", stacklevel=2)
     if not stepped:
         return starts.drop("start")
     best = reduce(DataFrame.unionByName, stepped).withColumn("_rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.round("log_det", 9), "start")))
@@ -234,7 +253,7 @@ def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     few documents are held against the estimate of their whole language, or of all documents if that has few as well,
     and with fewer than ``MIN_GROUP`` documents in all nothing is rejected beyond the base rules. Repeated rows count as
     often as they occur, null and empty texts fail the base rules, very long texts are counted whole, and an empty table
-    gives an empty result.
+    gives an empty result. Columns other than doc_id, text, lang and source are ignored, whatever their names.
     """
     rows = counts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), "text"), ["doc_id", "lang", "source"])
     rows = materialise(rows.withColumns({**vector(), "base_failed": base_failed()}), "counts")
