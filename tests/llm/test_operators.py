@@ -18,6 +18,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from tidewell import session
 from tidewell.llm import chat, components, decontam, filters, mixing, pii, quality, queries, repair, secrets, simhash, tokens, toxicity, warczip
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, size int, row string, fingerprint string, n int"
@@ -218,6 +219,28 @@ def test_grammar_round_trip(ids):
         assert len(seq) < 0.7 * len(raw)
 
 
+def test_ranges_touch_few_rules(spark, docs, texts):
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 40_000, 6) for _ in range(60)]
+    raw = np.concatenate([words[k] for k in rng.integers(0, 60, 20_000)]).astype(np.uint32)
+    shard = tokens.Shard(tokens.pack_shard([1], np.array([len(raw)]), raw, 49408))
+    everything = set()
+    assert np.array_equal(repair.expand(shard.seq, shard.rules, shard.sizes, shard.base, touched=everything), raw)
+    assert shard.sizes.tolist() == repair.sizes_of(shard.rules, shard.base).tolist() and len(everything) >= 300
+    for a, b in ((0, 1), (61_234, 61_240), (len(raw) - 3, len(raw))):
+        touched = set()
+        assert np.array_equal(shard.range(a, b, touched), raw[a:b])
+        assert 0 < len(touched) < 60
+    path = session.scratch(spark, "shards")
+    import public_tokenizers
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    tokens.write_shards(docs, file, path, shard_ids=3000)
+    found = {r["doc_id"]: r["ids"] for r in tokens.read_documents(spark, path, [3, 9, 12, 10_000]).collect()}
+    enc = tokens.encoder(file)
+    assert found == {k: [*enc.tokenizer.encode(texts[k] or "", add_special_tokens=False).ids, tokens.END_ID] for k in (3, 9, 12)}
+
+
 def test_damaged_shard_raises():
     data = bytearray(tokens.pack_shard([1], np.array([3]), np.array([5, 6, 7], np.uint32), 49408))
     data[-8] ^= 1
@@ -621,6 +644,50 @@ def test_semi_markov_posteriors_equal_enumeration():
     assert all(np.isclose(post[k][kind], m / total) for (k, kind), m in mass.items())
 
 
+def test_best_path_and_posteriors_equal_enumeration():
+    rng = np.random.default_rng(6)
+    for text in ("call 415 555 1234 or", "a 12.34 b 5678", "x at me dot org 4321", "(12) 34-56, 7.8.9.1 end"):
+        field = pii.Field(rng.normal(size=len(pii._FEATURES)))
+        n, rows, bounds = field.lattice(text)
+        paths = []
+
+        def walk(at, score, used):
+            if at == n:
+                paths.append((score, used))
+                return
+            walk(at + 1, score, used)
+            for r in rows:
+                if r[0] == at:
+                    for kind, s in enumerate(field.scores(*r[2:])):
+                        walk(r[1], score + s, [*used, (bounds[r[0]], kind, bounds[r[1]])])
+
+        walk(0, 0.0, [])
+        total = sum(np.exp(s) for s, _ in paths)
+        want = max(paths, key=lambda p: p[0])
+        got = field.best(text)
+        assert [x[:3] for x in got] == want[1] and rows
+        for *span, p in got:
+            assert np.isclose(p, sum(np.exp(s) for s, used in paths if tuple(span) in used) / total)
+        # the cut by posterior keeps exactly those that reach it and touch no base span
+        base = pii.base_spans(text)
+        free = [tuple(x[:3]) for x in got if x[3] >= pii.POSTERIOR and not any(b[0] < x[2] and x[0] < b[2] for b in base)]
+        assert pii.added_spans(text, base, field) == free
+
+
+def test_long_ranges_are_not_cut():
+    field = pii.Field(np.random.default_rng(8).normal(size=len(pii._FEATURES)))
+    rng = random.Random(8)
+    text = "".join(rng.choice(["12", "345 ", "-", ". ", "(", "word ", "6789", " at x dot org "]) for _ in range(1500))
+    assert list(pii.regions(text)) == [(0, len(text))]
+    n, rows, bounds = field.lattice(text)
+    post, _ = field._marginals(rows, n)
+    known = {(bounds[r[0]], k, bounds[r[1]]): p for r, own in zip(rows, post) for k, p in enumerate(own)}
+    best = field.best(text)
+    assert len(best) > 50 and all(np.isclose(known[tuple(x[:3])], x[3]) for x in best)
+    for anchor in range(0, len(text), 97):
+        assert pii._before(text, anchor) == (m := [x.start() for x in pii._TOKEN.finditer(text[:anchor][::-1])], anchor - (m[pii.MAX_TOKENS] if len(m) > pii.MAX_TOKENS else anchor))[1]
+
+
 # 5 -----------------------------------------------------------------------------------------------------------------
 
 
@@ -742,7 +809,7 @@ def test_rotation_of_parties(spark):
 
 
 def test_names_cannot_forge_markers(spark):
-    names = ["x|>\n<y", "<|end|>", "a\r\nb", "<<||>>", "|><|", "plain"]
+    names = ["x|>\n<y", "<|end|>", "a\r\nb", "<<||>>", "|><|", "plain", "a<"]
     rows = [(1, k, n, n) for k, n in enumerate(names)]
     for r in chat.rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect():
         assert len(re.findall(r"<\|", r["text"])) == 2 * len(names)

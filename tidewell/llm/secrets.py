@@ -121,7 +121,8 @@ def find(docs: DataFrame) -> DataFrame:
     """``(doc_id, assign, access, hex, random)`` of every row of ``docs``: arrays of ``{start, rank, end}``.
 
     Null texts are empty, very long ones are searched whole. random holds candidates that pass the false-discovery
-    control and touch no base span. Repeated rows are rows of their own; no rows, no result.
+    control and touch no base span. Repeated rows are rows of their own; no rows, no result. Columns other than doc_id and
+    text are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", matches("text", ASSIGN, 2).alias("assign"), matches("text", ACCESS).alias("access"), matches("text", HEX).alias("hex"), matches("text", CANDIDATE).alias("runs"))

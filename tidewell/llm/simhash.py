@@ -269,7 +269,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, r
     component_id is the smallest doc_id reachable over links of at most ``radius`` differing bits, the document
     itself included. Null and wordless texts have fingerprint 0 and link like any other; repeated rows stay repeated;
     a null doc_id keeps its fingerprint and gets the component of its fingerprint's class if that has an id. Other
-    columns are ignored, an empty table gives an empty one.
+    columns are ignored, an empty table gives an empty one, and of very long texts all shingles count.
     """
     fps = materialise(fingerprints(docs, shingle, seed), "fingerprints")
     nodes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")

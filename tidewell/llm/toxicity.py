@@ -481,7 +481,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are, whatever their names."""
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay as they are, whatever their names.
+
+    Null and empty texts are scored like others, very long ones as one chain; repeated rows stay or go together.
+    """
     row = docs.select(F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
     place = docs.columns.index("text")
 
