@@ -214,6 +214,15 @@ def test_budget_slots_and_waits(spark):
     got = sorted((r["day"], r["seq"], r["accepted"], r["used"]) for r in schedule.charge(rows, 200).collect())
     assert got == [("d", 0, True, 100), ("d", 1, False, 100), ("d", 2, True, 180), ("d", 3, False, 180), ("d", 4, True, 195), ("d", 5, False, 195), ("d", 6, True, 200), ("e", 0, False, 0), ("e", 1, True, 200)]
     assert schedule.charge(rows.limit(0), 5).count() == 0
+    rng = random.Random(3)
+    many = [(rng.choice("xyz") if k % 50 else None, k, rng.choice([None, -1, 0, 1, 2, 3, 7, 40])) for k in range(3000)]
+    used, want = {}, []
+    for d, k, u in many:
+        ok = u is not None and u >= 0 and used.get(d, 0) + u <= 300
+        used[d] = used.get(d, 0) + (u if ok else 0)
+        want.append((k, ok, used[d]))
+    parts = spark.createDataFrame(many, "day string, seq int, units int").repartition(4)
+    assert sorted((r["seq"], r["accepted"], r["used"]) for r in schedule.charge(parts, 300).collect()) == want
     r = spark.range(1).select(schedule.slots(F.lit(100.0), F.lit(100.0), 4, 0.9).alias("s")).first()
     assert r["s"] == [111.25, 133.75, 156.25, 178.75]
     w = lambda a, s, d: spark.range(1).select(schedule.backoff_seconds(F.lit(a), F.lit(s).cast("int"), F.lit(d))).first()[0]

@@ -169,7 +169,7 @@ def test_learned_sentences_are_exact_places(corpus, marks):
 
 def test_scores_follow_the_published_ratio(spark):
     rows = spark.createDataFrame([("dr. x dr. y dr. z end. more words here and there end",)], "text string")
-    got = {r["type"]: r["score"] for r in sentences.abbreviation_scores(rows).collect()}
+    got = {r["type"]: r["score"] for r in sentences.abbreviation_scores(sentences._pairs(rows, "text")).collect()}
     tokens = "dr. x dr. y dr. z end. more words here and there end".split()
     n, stops = len(tokens), 4
     p = stops / n

@@ -54,7 +54,8 @@ def parts(terms: DataFrame, limit: int | None = None) -> Iterator[list[tuple]]:
     n = -(-size // limit) if size else 0
     for k in range(n):
         own = named if n == 1 else named.filter(F.pmod(F.xxhash64("term_id", "name"), F.lit(n)) == k)
-        yield [tuple(r) for r in own.collect()]
+        if part := [tuple(r) for r in own.collect()]:
+            yield part
 
 
 _built: OrderedDict[str, object] = OrderedDict()

@@ -14,6 +14,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidewell.functions import stem
@@ -26,36 +27,70 @@ _SEGMENT = "lexeme string, block long, n long, postings binary"
 _MANIFEST = "version long, cursor long, segments array<string>"
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Ascending integers (from zero on) as differences in groups of seven bits, the lowest first."""
-    gaps = np.diff(values, prepend=0).astype(np.uint64)
+def pack(values: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(bytes, offsets)`` of lists that stand end to end and begin at ``firsts``: of each its ascending integers (from
+    zero on) as differences in groups of seven bits, the lowest first, from ``offsets[k]`` to ``offsets[k + 1]``."""
+    gaps = np.diff(values, prepend=0)
+    gaps[firsts] = values[firsts]
+    gaps = gaps.astype(np.uint64)
     size = np.ones(len(gaps), np.int64)
     for k in range(1, 10):
         size += gaps >= np.uint64(1 << 7 * k)
     ends = np.cumsum(size)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     starts = ends - size
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(int(size.max(initial=0))):
         has = size > k
         more = (size[has] > k + 1).astype(np.uint64) << np.uint64(7)
         out[starts[has] + k] = (gaps[has] >> np.uint64(7 * k) & np.uint64(127) | more).astype(np.uint8)
-    return out.tobytes()
+    return out, np.append(starts[firsts], len(out))
+
+
+def unpack(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(values, counts)``: the integers of all lists that ``pack`` made ``raw`` and ``offsets`` of, and how many each has."""
+    last = raw < 128
+    group = np.cumsum(last) - last
+    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(raw) else group
+    gaps = np.zeros(int(last.sum()), np.int64)
+    np.add.at(gaps, group, (raw & 127).astype(np.int64) << 7 * (np.arange(len(raw)) - starts[group]))
+    done = np.concatenate([[0], np.cumsum(last)])
+    firsts, counts = done[offsets[:-1]], np.diff(done[offsets])
+    sums = np.cumsum(gaps)
+    before = np.concatenate([[0], sums])[firsts]
+    return sums - np.repeat(before, counts), counts
+
+
+def packed(values: np.ndarray) -> bytes:
+    """One list of ``pack``."""
+    return pack(values, np.zeros(min(1, len(values)), np.int64))[0].tobytes()
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    """The integers that ``packed`` made ``raw`` of."""
-    own = np.frombuffer(raw, np.uint8)
-    last = own < 128
-    group = np.concatenate([[0], np.cumsum(last)[:-1]]) if len(own) else np.zeros(0, np.int64)
-    starts = np.concatenate([[0], np.flatnonzero(last)[:-1] + 1]) if len(own) else group
-    place = np.arange(len(own)) - starts[group] if len(own) else group
-    gaps = np.zeros(int(last.sum()), np.uint64)
-    np.add.at(gaps, group, (own & 127).astype(np.uint64) << (7 * place).astype(np.uint64))
-    return np.cumsum(gaps).astype(np.int64)
+    """The integers of one list."""
+    return unpack(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+
+
+def _binary(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Lists as a column."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A column of lists without nulls as ``unpack`` takes it."""
+    own = column.cast(pa.large_binary())
+    offsets = np.frombuffer(own.buffers()[1], np.int64)[own.offset : own.offset + len(own) + 1]
+    raw = np.frombuffer(own.buffers()[2] or b"", np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _union(lists: list[bytes]) -> np.ndarray:
-    return unpacked(lists[0]) if len(lists) == 1 else np.unique(np.concatenate([unpacked(x) for x in lists]))
+def _grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(keys, values, firsts)``: values in order within ascending keys, each once, and where each key's begin."""
+    order = np.lexsort((values, keys))
+    keys, values = keys[order], values[order]
+    keep = np.ones(len(keys), bool)
+    keep[1:] = (keys[1:] != keys[:-1]) | (values[1:] != values[:-1])
+    keys, values = keys[keep], values[keep]
+    return keys, values, np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
 class Index:
@@ -89,11 +124,11 @@ class Index:
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                lists = [_union([x for x in own if x is not None]) for own in batch.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array([len(x) for x in lists], pa.int64()), pa.array([packed(x) for x in lists], pa.binary())],
-                    ["lexeme", "block", "n", "postings"],
-                )
+                ids, counts = unpack(*_bytes(pc.list_flatten(batch.column(2))))
+                row = np.repeat(np.asarray(pc.list_parent_indices(batch.column(2))), counts)
+                row, ids, firsts = _grouped(row, ids)  # every row has a list, and every list an id
+                n = np.diff(np.append(firsts, len(row)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), _binary(*pack(ids, firsts))], ["lexeme", "block", "n", "postings"])
 
         grouped = postings.groupBy("lexeme", "block").agg(F.collect_list("postings").alias("lists"))
         grouped.mapInArrow(join, _SEGMENT).repartitionByRange("lexeme", "block").sortWithinPartitions("lexeme", "block").write.parquet(f"{self.path}/{name}")
@@ -115,15 +150,10 @@ class Index:
             for batch in batches:
                 row, code, names = stem.coded(batch.column(1), stemmed)
                 ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-                order = np.lexsort((ids, code))
-                ids, code = ids[order], code[order]
-                part = ids // block
-                cuts = np.flatnonzero((np.diff(code) != 0) | (np.diff(part) != 0)) + 1
-                firsts = np.concatenate([[0], cuts]) if len(ids) else cuts
-                lists = [packed(np.unique(x - x[0] // block * block)) for x in np.split(ids, cuts)] if len(ids) else []
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[c] for c in code[firsts].tolist()], pa.string()), pa.array(part[firsts]), pa.array(lists, pa.binary())], ["lexeme", "block", "postings"]
-                )
+                parts = int(ids.max(initial=0)) // block + 1
+                both, ids, firsts = _grouped(code * parts + ids // block, ids)
+                lexemes = pa.array(names, pa.string()).take(pa.array(both[firsts] // parts))
+                yield pa.RecordBatch.from_arrays([lexemes, pa.array(both[firsts] % parts), _binary(*pack(ids % block, firsts))], ["lexeme", "block", "postings"])
 
         rows = fresh.filter(F.col(key).isNotNull()).select(F.col(key).cast("long"), stem.tokens(F.col(body)).alias("tokens"))
         segments = [*segments, self._write(rows.mapInArrow(invert, "lexeme string, block long, postings binary"))]
@@ -177,10 +207,9 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                blocks, lists = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                for k in range(batch.num_rows):
-                    sets = sorted((_union(x) for x in lists[k]), key=len)
-                    ids = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sets) + blocks[k] * block
+                for k, (first, lists) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                    sets = sorted((np.unique(np.concatenate([unpacked(x) for x in own])) for own in lists), key=len)
+                    ids = reduce(lambda a, b: np.intersect1d(a, b, assume_unique=True), sets) + first * block
                     ids = ids[ids > after] if after else ids
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), batch.column(0).take(pa.array(np.full(len(ids), k)))], ["post_id", "term_id"])
 

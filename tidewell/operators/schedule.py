@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
+from itertools import chain, groupby
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewell.session import materialise, ship
+
 LEASE_HOURS, MOST_SECONDS = 6, 10800
 
 
@@ -24,27 +30,70 @@ def next_items(rows: DataFrame, as_of: str, n: int = 1, most_seconds: int | None
 def charge(events: DataFrame, budget: int, day: str = "day", order: str = "seq", units: str = "units") -> DataFrame:
     """Each day's requests in order; one that would pass the budget is rejected and does not count.
 
-    A running sum would count what was rejected, so each day's requests stream through a fold in sorted order; a task
-    holds a batch and the units used so far, never a day. Result: day, seq, units, accepted, used (after the request).
+    A running sum would count what was rejected. Requests are dealt by ranges of day and order, so that a day may be many
+    parts. Of each part and day a table is made first that says, for every number of units that may be used at its
+    beginning, how many are at its end; a day's tables in their order then give each part its beginning, and its requests
+    are charged from there. Requests without units, or of fewer than none, are rejected. Result: day, seq, units, accepted,
+    used (after the request).
     """
-
-    def run(batches):
-        import pyarrow as pa
-
+    spark = events.sparkSession
+    ship(spark)
+    rows = events.select(F.col(day).alias("day"), F.col(order).cast("long").alias("seq"), F.col(units).cast("long").alias("units"))
+    kind = rows.schema["day"].dataType.simpleString()
+    dealt = materialise(rows.repartitionByRange("day", "seq", "units").withColumn("part", F.spark_partition_id()), "requests")
+
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, day), asked in _runs(batches):
+            used = np.arange(budget + 1)
+            for batch in asked:
+                for u in batch:
+                    if u is not None and 0 <= u <= budget:
+                        used[used + u <= budget] += u
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), day, pa.array([used.tolist()], pa.list_(pa.int64()))], ["part", "day", "ends"])
+
+    def begin(table: pa.Table) -> pa.Table:
+        table, used, out = table.sort_by("part"), 0, []
+        for ends in table.column("ends"):
+            out.append(used)
+            used = ends[used].as_py()
+        return table.select(["part", "day"]).append_column("begin", pa.array(out, pa.int64()))
+
+    def charged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used = None, 0
         for batch in batches:
             accepted, after = [], []
-            for d, u in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if d != now:
-                    now, used = d, 0
-                ok = u is not None and used + u <= budget
+            for part, d, u, first in zip(*(batch.column(k).to_pylist() for k in (4, 0, 2, 3))):
+                if (part, d) != now:
+                    now, used = (part, d), first
+                ok = u is not None and u >= 0 and used + u <= budget
                 used += u if ok else 0
-                accepted.append(ok), after.append(used)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], ["day", "seq", "units", "accepted", "used"])
+                accepted.append(ok)
+                after.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], ["day", "seq", "units", "accepted", "used"])
 
-    rows = events.select(F.col(day).alias("day"), F.col(order).cast("long").alias("seq"), F.col(units).cast("long").alias("units"))
-    kind = rows.schema["day"].dataType.simpleString()
-    return rows.repartition("day").sortWithinPartitions("day", "seq", "units").mapInArrow(run, f"day {kind}, seq long, units long, accepted boolean, used long")
+    in_order = lambda some: some.repartition("part").sortWithinPartitions("part", "day", "seq", "units")
+    ends = in_order(dealt).select("part", "day", "units").mapInArrow(tables, f"part int, day {kind}, ends array<long>")
+    begins = materialise(ends.groupBy("day").applyInArrow(begin, f"part int, day {kind}, begin long"), "begins")
+    placed = dealt.alias("r").join(begins.alias("b"), (F.col("r.part") == F.col("b.part")) & F.col("r.day").eqNullSafe(F.col("b.day")))
+    own = in_order(placed.select("r.day", "r.seq", "r.units", "b.begin", "r.part"))
+    return own.mapInArrow(charged, f"day {kind}, seq long, units long, accepted boolean, used long")
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, pa.Array], Iterator[list]]]:
+    """``((part, day), lists of units)`` of each run of rows with the same part and day; a run is passed on batch by batch."""
+
+    def pieces() -> Iterator[tuple[tuple, pa.Array, list]]:
+        for batch in batches:
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            at = 0
+            for k in range(1, len(keys) + 1):
+                if k == len(keys) or keys[k] != keys[at]:
+                    yield keys[at], batch.column(1).slice(at, 1), batch.column(2).slice(at, k - at).to_pylist()
+                    at = k
+
+    for key, run in groupby(pieces(), lambda x: x[0]):
+        first = next(run)
+        yield (key[0], first[1]), (x[2] for x in chain([first], run))
 
 
 def backoff_seconds(attempt: Column, retry_after: Column, draw: Column, first: float = 2.0, most: float = 300.0) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import arrays
 from tidewell.operators.contexts import SENTENCE, sentence_spans
+from tidewell.session import materialise, spread
 
 #: Limits of the published method: the least score of an abbreviation and the least likelihood ratio of a starter.
 ABBREVIATION, STARTER = 0.3, 30.0
@@ -33,9 +34,24 @@ class Marks:
     starters: frozenset[str] = frozenset()
 
 
-def _tokens(text: Column) -> Column:
-    """White-space parts without brackets and quotes around them."""
-    return F.transform(F.split(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), " "), lambda t: F.regexp_replace(t, _EDGES, ""))
+#: Characters that a sentence, or a quotation or bracket behind it, may end with.
+_TAILS = tuple(".!?…\"'”’»)]")
+
+
+def _bare(token: Column) -> Column:
+    """A token without brackets and quotes around it."""
+    return F.regexp_replace(token, _EDGES, "")
+
+
+def _pairs(rows: DataFrame, text: str) -> DataFrame:
+    """``(before, t, n)``: white-space parts counted with the part before each; ``before`` is empty unless it may end a sentence.
+
+    Parts are counted as they stand, so that everything else is done once for each distinct one.
+    """
+    parts = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " ")), " ")
+    tail = lambda b: F.when(F.substring(b, -1, 1).isin(*_TAILS), b).otherwise(F.lit(""))
+    both = F.zip_with(F.concat(F.array(F.lit("")), F.slice(parts, F.lit(1), F.size(parts) - 1)), parts, lambda b, t: F.struct(tail(b).alias("before"), t.alias("t")))
+    return spread(rows).select(F.explode(both).alias("x")).groupBy("x.before", "x.t").agg(F.count("*").alias("n")).filter("t <> ''")
 
 
 def _ratio(both: Column, own: Column, other: Column, all_: Column, expected: float | None = None) -> Column:
@@ -53,13 +69,13 @@ def _ratio(both: Column, own: Column, other: Column, all_: Column, expected: flo
     return F.lit(-2.0) * (said(both, own, chance) + said(left, rest, chance) - said(both, own, both / own) - said(left, rest, left / F.greatest(rest, F.lit(1.0))))
 
 
-def abbreviation_scores(rows: DataFrame, text: str = "text") -> DataFrame:
-    """``(type, score)`` of every word type that stands before a full stop."""
-    tokens = rows.select(F.explode(_tokens(F.col(text))).alias("t"))
+def abbreviation_scores(pairs: DataFrame) -> DataFrame:
+    """``(type, score)`` of every word type that stands before a full stop, from ``_pairs``."""
+    tokens = pairs.groupBy("t").agg(F.sum("n").alias("n")).select(_bare(F.col("t")).alias("t"), "n")
     stop = F.col("t").endswith(".")
     word = F.lower(F.when(stop, F.regexp_replace("t", r"\.$", "")).otherwise(F.col("t")))
-    types = tokens.select(word.alias("type"), stop.cast("int").alias("stop")).filter(F.col("type").rlike(_TYPE))
-    counts = types.groupBy("type").agg(F.sum("stop").alias("with"), F.count("*").alias("n"))
+    types = tokens.select(word.alias("type"), F.when(stop, F.col("n")).otherwise(0).alias("stop"), "n").filter(F.col("type").rlike(_TYPE))
+    counts = types.groupBy("type").agg(F.sum("stop").alias("with"), F.sum("n").alias("n"))
     total = counts.agg(F.sum("with").alias("stops"), F.sum("n").alias("all")).first()
     stops, all_ = F.lit(float(total["stops"] or 0)), F.lit(float(total["all"] or 1))
     letters = F.length(F.replace("type", F.lit("."), F.lit(""))).cast("double")
@@ -69,15 +85,15 @@ def abbreviation_scores(rows: DataFrame, text: str = "text") -> DataFrame:
     return counts.filter("with > 0").select("type", score.alias("score"))
 
 
-def starter_ratios(rows: DataFrame, abbreviations: frozenset[str], text: str = "text") -> DataFrame:
-    """``(word, ratio)`` of the words that follow sure ends of sentences more often than chance, in upper case."""
-    tokens = F.filter(_tokens(F.col(text)), lambda t: t != "")
-    pairs = rows.select(F.explode(F.zip_with(F.concat(F.array(F.lit("")), tokens), tokens, lambda a, b: F.struct(a.alias("before"), b.alias("t")))).alias("x")).select("x.before", "x.t").filter("t IS NOT NULL")
+def starter_ratios(pairs: DataFrame, abbreviations: frozenset[str]) -> DataFrame:
+    """``(word, ratio)`` of the words that follow sure ends of sentences more often than chance, in upper case, from ``_pairs``."""
+    own = pairs.select(_bare(F.col("before")).alias("before"), _bare(F.col("t")).alias("t"), "n")
     short = F.lower(F.regexp_replace("before", r"\.$", ""))
     sure = F.col("before").rlike(_ENDS) & ~(F.col("before").endswith(".") & (short.isin(*abbreviations) if abbreviations else F.lit(False)) | (F.length(short) < 2))
     upper = F.col("t").rlike(r"(?U)^\p{Lu}")
     word = F.lower(F.regexp_replace("t", r"(?U)[^\p{L}].*$", ""))
-    counts = pairs.select(word.alias("word"), sure.cast("int").alias("sure"), (sure & upper).cast("int").alias("first")).groupBy("word").agg(F.count("*").alias("n"), F.sum("sure").alias("sure"), F.sum("first").alias("first"))
+    of = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0))
+    counts = own.groupBy(word.alias("word")).agg(F.sum("n").alias("n"), of(sure).alias("sure"), of(sure & upper).alias("first"))
     total = counts.agg(F.sum("n").alias("all"), F.sum("sure").alias("ends")).first()
     all_, ends = F.lit(float(total["all"] or 1)), F.lit(float(total["ends"] or 0))
     first, n = F.col("first").cast("double"), F.col("n").cast("double")
@@ -87,8 +103,9 @@ def starter_ratios(rows: DataFrame, abbreviations: frozenset[str], text: str = "
 def learn(rows: DataFrame, text: str = "text", most: int = MOST) -> Marks:
     """Abbreviations and starters of all texts of ``rows``; at most ``most`` of each come to the driver."""
     top = lambda df, name, by, least: frozenset(r[0] for r in df.filter(F.col(by) >= least).orderBy(F.desc(by), name).limit(most).select(name).collect())
-    abbreviations = top(abbreviation_scores(rows, text), "type", "score", ABBREVIATION)
-    return Marks(abbreviations, top(starter_ratios(rows, abbreviations, text), "word", "ratio", STARTER))
+    pairs = materialise(_pairs(rows, text), "pairs")
+    abbreviations = top(abbreviation_scores(pairs), "type", "score", ABBREVIATION)
+    return Marks(abbreviations, top(starter_ratios(pairs, abbreviations), "word", "ratio", STARTER))
 
 
 def split(text: Column, marks: Marks) -> Column:

@@ -7,14 +7,15 @@ region, supplier and part for the taxonomy, pages for URLs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewell.functions import keys, language, rates, redaction, stem, text, times
 from tidewell.operators import claims, contexts, index, ingest, matching, posts, reports, schedule, sentences, sync
-from tidewell.session import materialise, scratch, table
-from tidewell.sources import files, tables
+from tidewell.session import materialise, scratch, spread, table
+from tidewell.sources import cursors, files, tables
 from tidewell.streaming import incremental
 
 AS_OF = "2024-01-31 00:00:00"
@@ -475,7 +476,7 @@ SELECT id, platform, key1, key2 FROM first SEMI JOIN b USING (platform, key1, ke
 """)
 def registry_sync(t: _Tables) -> DataFrame:
     """A kept registry after a second run, in which one source has gone and another has come."""
-    kept = sync.Kept(t.spark, scratch(t.spark, "registry"))
+    kept = sync.Kept(t.spark, scratch(t.spark, "registry"), bits=12, part_bits=4)
     own = {p.name: p for p in posts.PLATFORMS}
     found = {name: posts.source_keys(rows, own[name]) for name, rows in _sources(t).items()}
     kept.sync(found["tweet"].unionByName(found["telegram_post"]))
@@ -645,6 +646,34 @@ def align_columns(t: _Tables) -> DataFrame:
     return ingest.align(t.nation.withColumn("extra", F.lit(1)).select("extra", "n_name", "n_nationkey"), t.nation.drop("n_regionkey"), ["n_name"])
 
 
+# cursors ----------------------------------------------------------------------------------------------------------
+
+
+def _keyset(t: _Tables) -> dict[str, str]:
+    """Events as a folder that executors can open, and the options of a cursor over it."""
+    path = scratch(t.spark, "events")
+    t.events.select("event_id", "user_id", "ts").write.parquet(path)
+    cursors.register(t.spark)
+    return {"path": path, "order": "ts,event_id"}
+
+
+@query("SELECT event_id, user_id FROM events WHERE (ts, event_id) > (TIMESTAMP '2024-01-15 00:00:00', 5000)")
+def cursor_rows(t: _Tables) -> DataFrame:
+    """Rows behind a key through the cursor, page by page."""
+    after = json.dumps([1705276800000000, 5000])
+    return t.spark.read.format("keyset").options(**_keyset(t), after=after).load().select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events")
+def cursor_stream(t: _Tables) -> DataFrame:
+    """All rows through the stream with (ts, id) offsets, stopped and started again."""
+    options, out, checkpoint = _keyset(t), scratch(t.spark, "out"), scratch(t.spark, "checkpoint")
+    for _ in range(2):
+        rows = t.spark.readStream.format("keyset").options(**options).load().select("event_id", "user_id")
+        rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
 # functions --------------------------------------------------------------------------------------------------------
 
 
@@ -712,7 +741,7 @@ def redact_scored(t: _Tables) -> DataFrame:
 def learned_sentences(t: _Tables) -> DataFrame:
     """Sentences of every post by abbreviations and starters learned from all posts."""
     spans = sentences.split(F.col("text"), sentences.learn(t.documents))
-    return t.documents.select("doc_id", spans.alias("s")).select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("covered"))
+    return spread(t.documents).select("doc_id", spans.alias("s")).select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("covered"))
 
 
 @query("SELECT page_id, regexp_replace(replace(replace(regexp_replace(trim(u), 'https?://', '', 'g'), 't.me/s/', ''), 't.me/', ''), '^@', '') AS channel FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://t.me/s/ch' ELSE '@ch' END || page_id AS u FROM pages)")
