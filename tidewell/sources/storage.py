@@ -11,7 +11,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self._jvm = spark.sparkContext._jvm
         self._root = self._jvm.org.apache.hadoop.fs.Path(root)
-        self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._gateway, self._conf = spark.sparkContext._gateway, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._root.getFileSystem(self._conf)
 
     def _path(self, name: str):
         if not name or name.startswith("/") or ".." in name.split("/"):
@@ -21,7 +22,8 @@ class Store:
     def put(self, name: str, parts) -> None:
         """Write ``parts`` (bytes, or an iterable of bytes) under ``name``: whole or not at all.
 
-        Bytes go to a temporary name in the same folder, which is then renamed over what was there.
+        Bytes go to a temporary name in the same folder, which is then renamed over what was there in one step, so that
+        what was there stays until then.
         """
         target = self._path(name)
         hidden = self._jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}.tmp")
@@ -34,10 +36,11 @@ class Store:
             self._fs.delete(hidden, False)
             raise
         out.close()
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(hidden, target):
-            raise OSError(f"cannot rename to {name}")
+        fs = self._jvm.org.apache.hadoop.fs
+        options = self._gateway.new_array(getattr(fs, "Options$Rename"), 1)
+        options[0] = getattr(fs, "Options$Rename").OVERWRITE
+        where = self._fs.makeQualified(target)
+        fs.FileContext.getFileContext(where.toUri(), self._conf).rename(self._fs.makeQualified(hidden), where, options)
 
     def get(self, name: str) -> bytes:
         if not self.exists(name):
