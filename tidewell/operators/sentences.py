@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import arrays
-from tidewell.operators.contexts import SENTENCE, sentence_spans
+from tidewell.operators.contexts import SENTENCE
 from tidewell.session import materialise, spread
 
 #: Limits of the published method: the least score of an abbreviation and the least likelihood ratio of a starter.
@@ -111,27 +111,34 @@ def learn(rows: DataFrame, text: str = "text", most: int = MOST) -> Marks:
 def split(text: Column, marks: Marks) -> Column:
     """``array<{start, end}>`` of sentences in code points: the ends of ``contexts.sentence_spans`` but for those that the
     full stop of an abbreviation, or of a single letter, makes where no sentence starter follows on the same line."""
-    pieces = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    last = lambda p: F.lower(F.regexp_replace(F.regexp_extract(p, r"(?U)(\S+)\.$", 1), _EDGES, ""))
-    first = lambda p: F.lower(F.regexp_extract(p, r"(?U)^[^\p{L}\s]*(\p{L}+)", 1))
     within = lambda x, names: x.isin(*sorted(names)) if names else F.lit(False)
-    short = lambda p: p.endswith(".") & (within(last(p), marks.abbreviations) | (last(p).rlike(r"(?U)^\p{L}$")))
+    first = lambda p: F.lower(F.regexp_extract(p, r"(?U)^[^\p{L}\s]*(\p{L}+)", 1))
 
-    def joined(both: Column) -> Column:
-        spans, words = both["spans"], both["pieces"]
-        n = F.size(spans)
-        near = lambda i: F.get(spans, i + 1)["start"] - F.get(spans, i)["end"] <= both["gap"][i]
-        open_ = lambda i: (i < n - 1) & short(F.get(words, i)) & near(i) & ~within(first(F.get(words, i + 1)), marks.starters)
-        flags = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(open_(i), F.lit(False)))
+    def short(piece: Column) -> Column:
+        """Whether ``piece`` ends with an abbreviation or a single letter and its full stop."""
+        last = F.lower(F.regexp_replace(F.regexp_extract(piece, r"(?U)(\S+)\.$", 1), _EDGES, ""))
+        known = arrays.let(last, lambda w: within(w, marks.abbreviations) | w.rlike(r"(?U)^\p{L}$"))
+        return F.when(piece.endswith("."), known).otherwise(F.lit(False))
+
+    def joined(x: Column) -> Column:
+        n = F.size(x["spans"])
+        # a line feed between two pieces always parts them
+        same_line = lambda i: ~F.get(x["seps"], i + 1).contains("\n")
+        open_ = lambda p, i: (i < n - 1) & short(p) & same_line(i) & ~within(first(F.get(x["pieces"], i + 1)), marks.starters)
+        flags = F.transform(x["pieces"], lambda p, i: F.coalesce(open_(p, i), F.lit(False)))
 
         def of(flags: Column) -> Column:
-            starts = F.filter(spans, lambda s, i: (i == 0) | ~F.coalesce(F.get(flags, i - 1), F.lit(False)))
-            ends = F.filter(spans, lambda s, i: ~F.get(flags, i))
+            starts = F.filter(x["spans"], lambda s, i: (i == 0) | ~F.get(flags, i - 1))
+            ends = F.filter(x["spans"], lambda s, i: ~F.get(flags, i))
             return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
-        return F.when(n > 0, arrays.let(flags, of)).otherwise(spans)
+        return arrays.let(flags, of)
+
+    def placed(x: Column) -> Column:
+        spans = arrays.placed(F.transform(x["seps"], lambda g: F.length(g)), F.transform(x["pieces"], lambda p: F.length(p)))
+        return arrays.let(F.struct(spans.alias("spans"), x["pieces"].alias("pieces"), x["seps"].alias("seps")), joined)
 
-    # a line feed between two pieces always parts them
-    gaps = F.transform(F.slice(F.split(text, SENTENCE, -1), F.lit(2), F.size(pieces)), lambda g: F.when(g.contains("\n"), -1).otherwise(F.length(g)))
-    both = F.struct(sentence_spans(text).alias("spans"), pieces.alias("pieces"), gaps.alias("gap"))
-    return F.when(text.isNull() | (F.size(pieces) == 0), sentence_spans(text)).otherwise(arrays.let(both, joined))
+    # pieces and what stands between them are looked for once
+    both = F.struct(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)).alias("pieces"), F.split(text, SENTENCE, -1).alias("seps"))
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    return F.when(text.isNull(), none).otherwise(arrays.let(both, lambda x: F.when(F.size(x["pieces"]) == 0, none).otherwise(placed(x))))

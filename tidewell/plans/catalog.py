@@ -513,11 +513,21 @@ def posts_daily(t: _Tables) -> DataFrame:
     return reports.daily(rows.filter(times.trailing(F.col("date_entered"), AS_OF, 60)), "date_entered", ["platform"])
 
 
-@query(_REGISTRY + " SELECT platform, CAST(sum(n) AS BIGINT) AS hits, count(*) AS posts FROM (SELECT id, platform, len(string_split_regex(text, '(?i)the')) - 1 AS n FROM (SELECT id, r.platform, text FROM r JOIN documents ON r.platform = 'tweet' AND key1 = CAST(doc_id AS VARCHAR) UNION ALL SELECT id, r.platform, text FROM r JOIN conversations ON r.platform = 'telegram_post' AND key1 = CAST(conv_id AS VARCHAR) AND key2 = CAST(turn AS VARCHAR) UNION ALL SELECT id, r.platform, html FROM r JOIN pages ON r.platform = 'news_article' AND key1 = CAST(page_id AS VARCHAR))) WHERE n > 0 GROUP BY platform")
+_TEXTS = """
+SELECT id, r.platform, text FROM r JOIN documents ON r.platform = 'tweet' AND key1 = CAST(doc_id AS VARCHAR)
+UNION ALL SELECT id, r.platform, text FROM r JOIN conversations ON r.platform = 'telegram_post' AND key1 = CAST(conv_id AS VARCHAR) AND key2 = CAST(turn AS VARCHAR)
+UNION ALL SELECT id, r.platform, html FROM r JOIN pages ON r.platform = 'news_article' AND key1 = CAST(page_id AS VARCHAR)
+"""
+
+
+@query(
+    _REGISTRY + f" SELECT platform, CAST(sum(n) AS BIGINT) AS hits, count(DISTINCT id) AS posts FROM (SELECT id, platform, len(string_split_regex(text, '(?i)' || name)) - 1 AS n "
+    f"FROM ({_TEXTS}), (VALUES {{TERMS}}) t(term_id, name)) WHERE n > 0 GROUP BY platform"
+)
 def hits_by_registry(t: _Tables) -> DataFrame:
-    """Hits joined to the registry by platform."""
+    """Hits of all terms joined to the registry by platform."""
     reg = materialise(_registry(t), "registry")
-    hits = matching.span_hits(posts.posts_all(reg, _sources(t)), t.terms().filter("name = 'the'"))
+    hits = matching.span_hits(posts.posts_all(reg, _sources(t)), t.terms())
     return matching.hits_by_platform(hits, reg)
 
 
