@@ -65,13 +65,17 @@ def video_link(video_id: Column, comment_id: Column | None = None) -> Column:
     return base if comment_id is None else F.when(comment_id.isNull(), base).otherwise(F.concat(base, F.lit("&lc="), comment_id))
 
 
+#: Endings of audio files: fixed values.
+AUDIO_ENDINGS = ("mp3", "m4a", "wav", "aac")
+
+
 def audio_candidates(url: Column) -> Column:
     """Audio file URLs hidden in a tracking URL, deepest first, without query strings, distinct.
 
     What stands before the last audio ending of the decoded URL is taken apart at slashes; every part that reads like a
     host name begins a candidate that runs to that ending.
     """
-    path = F.regexp_extract(F.regexp_replace(F.try_url_decode(url), r"[\s\"'].*$", ""), r"(?i)^.*[^/][.](?:mp3|m4a|wav|aac)", 0)
+    path = F.regexp_extract(F.regexp_replace(F.try_url_decode(url), r"[\s\"'].*$", ""), rf"(?i)^.*[^/][.](?:{'|'.join(AUDIO_ENDINGS)})", 0)
     host = lambda part: part.rlike(r"(?i)^[a-z0-9.-]+[.][a-z]{2,}$")
 
     def of(parts: Column) -> Column:

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import text as texts
-from tidewell.session import materialise, ship, spread
+from tidewell.session import materialise, ship
 
 LONGEST, SMOOTHING = 3, 0.5
 #: N-grams that a model keeps of each language, the most frequent ones.
@@ -61,7 +61,7 @@ class Model:
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, most: int = MOST_GRAMS, smoothing: float = SMOOTHING) -> Model:
     """Count over all of ``rows`` that have a language; the model keeps ``most`` n-grams of each, which bounds its size."""
     ship(rows.sparkSession)
-    known = spread(rows.filter(F.col(lang).isNotNull()))
+    known = rows.filter(F.col(lang).isNotNull())
     words = known.select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def detect(rows: DataFrame, model: Model, text: str = "text", min_len: int = MIN
     ship(spark)
     kept = rows.drop("detected", "confidence")
     enough = F.coalesce(texts.language_gate(F.col(text), min_len, min_alpha), F.lit(False))
-    own = spread(kept).withColumn("_words", F.when(enough, words_of(F.col(text))))
+    own = kept.withColumn("_words", F.when(enough, words_of(F.col(text))))
     shared = spark.sparkContext.broadcast(model)
     schema = kept.schema.add("detected", "string").add("confidence", "double")
 

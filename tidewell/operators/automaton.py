@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.session import ship, spread
+from tidewell.session import ship
 
 #: Characters of the names of one part of the terms.
 PART_CHARS = 500_000
@@ -101,7 +101,7 @@ def span_hits(posts: DataFrame, terms: DataFrame, key: str = "post_id", body: st
     ship(spark)
     rows = posts.select(F.col(key), F.col(body).cast("string").alias("_body")).filter("_body <> ''")
     schema = posts.select(key).schema.add(terms.schema["term_id"]).add("match_start", T.IntegerType()).add("match_end", T.IntegerType())
-    found = [_hits_of(spread(rows), part, schema) for part in parts(terms)]
+    found = [_hits_of(rows, part, schema) for part in parts(terms)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.functions import stem, text
 from tidewell.operators import automaton, index
-from tidewell.session import materialise, ship, spread
+from tidewell.session import materialise, ship
 
 
 def super_terms(terms: DataFrame, name: str = "name") -> DataFrame:
@@ -57,7 +57,7 @@ def candidates(posts: DataFrame, terms: DataFrame, stemmed: bool = True, key: st
     ship(spark)
     rows = posts.select(F.col(key), stem.tokens(F.col(body)).alias("_tokens"))
     schema = posts.select(key).schema.add(terms.schema["term_id"])
-    found = [_candidates_of(spread(rows), part, schema, stemmed) for part in _wanted(terms, stemmed)]
+    found = [_candidates_of(rows, part, schema, stemmed) for part in _wanted(terms, stemmed)]
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidewell.functions import arrays
 from tidewell.operators.contexts import SENTENCE
-from tidewell.session import materialise, spread
+from tidewell.session import materialise
 
 #: Limits of the published method: the least score of an abbreviation and the least likelihood ratio of a starter.
 ABBREVIATION, STARTER = 0.3, 30.0
@@ -51,7 +51,7 @@ def _pairs(rows: DataFrame, text: str) -> DataFrame:
     parts = F.split(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", " ")), " ")
     tail = lambda b: F.when(F.substring(b, -1, 1).isin(*_TAILS), b).otherwise(F.lit(""))
     both = F.zip_with(F.concat(F.array(F.lit("")), F.slice(parts, F.lit(1), F.size(parts) - 1)), parts, lambda b, t: F.struct(tail(b).alias("before"), t.alias("t")))
-    return spread(rows).select(F.explode(both).alias("x")).groupBy("x.before", "x.t").agg(F.count("*").alias("n")).filter("t <> ''")
+    return rows.select(F.explode(both).alias("x")).groupBy("x.before", "x.t").agg(F.count("*").alias("n")).filter("t <> ''")
 
 
 def _ratio(both: Column, own: Column, other: Column, all_: Column, expected: float | None = None) -> Column:

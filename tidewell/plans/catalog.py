@@ -50,7 +50,12 @@ class _Tables:
         return self.spark.createDataFrame(list(enumerate(TERMS)), "term_id int, name string")
 
     def posts(self) -> DataFrame:
-        return self.documents.select(F.col("doc_id").alias("post_id"), F.col("source").alias("platform"), "text", "lang")
+        return self.dealt.select(F.col("doc_id").alias("post_id"), F.col("source").alias("platform"), "text", "lang")
+
+    @property
+    def dealt(self) -> DataFrame:
+        """Documents, dealt over all cores where their scan is fewer tasks."""
+        return spread(self.documents)
 
     def labelled(self) -> DataFrame:
         """Documents with a three-valued flag: what has no label is unknown."""
@@ -711,8 +716,8 @@ def strip_noise(t: _Tables) -> DataFrame:
 def language_labels(t: _Tables) -> DataFrame:
     """The detector's language, confidence and three-valued flag of every post; a fifth of them is kept out of its training."""
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
-    model = language.train(t.documents.filter(~held_out))
-    found = language.detect(t.documents.select("doc_id", "text"), model)
+    model = language.train(t.dealt.filter(~held_out))
+    found = language.detect(t.dealt.select("doc_id", "text"), model)
     return found.select("doc_id", "detected", F.round("confidence", 6).alias("confidence"), (F.col("detected") == "en").alias("is_en"))
 
 
@@ -743,15 +748,15 @@ def redact(t: _Tables) -> DataFrame:
 @query()
 def redact_scored(t: _Tables) -> DataFrame:
     """Personal data found by scored recognisers, replaced, with what was found."""
-    found = redaction.redact(t.documents.select("doc_id", "text"))
+    found = redaction.redact(t.dealt.select("doc_id", "text"))
     return found.select("doc_id", F.col("redacted").alias("text"), F.size("entities").alias("n"))
 
 
 @query()
 def learned_sentences(t: _Tables) -> DataFrame:
     """Sentences of every post by abbreviations and starters learned from all posts."""
-    spans = sentences.split(F.col("text"), sentences.learn(t.documents))
-    return spread(t.documents).select("doc_id", spans.alias("s")).select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("covered"))
+    spans = sentences.split(F.col("text"), sentences.learn(t.dealt))
+    return t.dealt.select("doc_id", spans.alias("s")).select("doc_id", F.size("s").alias("n"), F.aggregate("s", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]).alias("covered"))
 
 
 @query("SELECT page_id, regexp_replace(replace(replace(regexp_replace(trim(u), 'https?://', '', 'g'), 't.me/s/', ''), 't.me/', ''), '^@', '') AS channel FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://t.me/s/ch' ELSE '@ch' END || page_id AS u FROM pages)")

@@ -68,7 +68,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` dealt over all cores where their scan has fewer tasks than there are cores; otherwise as they are."""
+    """``rows`` of a table just read, dealt over all cores where the scan has fewer tasks than there are cores.
+
+    Only for scans: the number of tasks of what follows a shuffle is not known before it has run.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
