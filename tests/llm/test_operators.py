@@ -211,7 +211,8 @@ def test_grammar_round_trip(ids):
     raw = np.array(ids, np.uint32)
     for base in (49408, 70000):
         rules, seq = repair.compress(raw, base)
-        assert np.array_equal(repair.expand(seq, rules, repair.sizes_of(rules, base), base), raw)
+        for way in (repair.expand, repair.expand_all):
+            assert np.array_equal(way(seq, rules, repair.sizes_of(rules, base), base), raw)
         shard = tokens.Shard(tokens.pack_shard([None, 4], np.array([len(raw), 0]), raw, base))
         for a, b in ((0, len(raw)), (3, 9), (len(raw) // 2, len(raw) // 2 + 77), (-5, 2), (9, 3)):
             assert np.array_equal(shard.range(a, b), raw[max(a, 0) : b] if b > a else raw[:0])

@@ -145,6 +145,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
+def expand_all(seq: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """The ids that the whole of ``seq`` stands for: each rule is expanded once, and its ids are copied to where it stands."""
+    full: list[list[int]] = []
+    for a, b in rules.tolist():
+        full.append((full[a - base] if a >= base else [a]) + (full[b - base] if b >= base else [b]))
+    seq = seq.astype(np.int64)
+    inner = seq >= base
+    source = np.concatenate((np.array([i for x in full for i in x], np.uint32), seq[~inner].astype(np.uint32)))
+    each, starts = _lengths(seq, sizes, base), np.empty(len(seq), np.int64)
+    starts[~inner] = len(source) - int((~inner).sum()) + np.arange(int((~inner).sum()))
+    starts[inner] = (np.cumsum(sizes, dtype=np.int64) - sizes)[seq[inner] - base]
+    return source[ragged(starts, each)]
+
+
 def expand(seq: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int, skip: int = 0, take: int | None = None, touched: set[int] | None = None) -> np.ndarray:
     """The ids that ``seq`` stands for, or of these ``take`` after the first ``skip``.
 

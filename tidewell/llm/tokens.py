@@ -234,7 +234,7 @@ class Shard:
             raise ValueError("token shard fails its checksum")
 
     def ids(self) -> np.ndarray:
-        return repair.expand(self.seq, self.rules, self.sizes, self.base)
+        return repair.expand_all(self.seq, self.rules, self.sizes, self.base)
 
     def range(self, start: int, stop: int, touched: set[int] | None = None) -> np.ndarray:
         """Ids ``start .. stop``, from the last sampled symbol at or before ``start`` on, by the rules' stored lengths.
