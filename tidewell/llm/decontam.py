@@ -27,8 +27,8 @@ WINDOW = 10
 
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _HITS_DDL = "array<struct<start: int, end: int>>"
-#: Documents of a batch that are looked at together, and words whose places in windows a worker remembers at most.
-_ROWS, _REMEMBERED = 256, 1 << 20
+#: Documents and bytes of text that are looked at together, and words that a worker remembers at most, about.
+_ROWS, _BYTES, _REMEMBERED = 256, 1 << 21, 1 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -114,30 +114,46 @@ def _place_key(word: bytes, place: int, n: int) -> bytes:
     return b"%s %d/%d" % (word, place, n)
 
 
-class _Places(dict):
-    """A word's ``(place, n)`` pairs that the filter may hold, found when the word is first seen."""
+class _Places:
+    """The ``(place, n)`` pairs of words that the filter may hold; other words that were seen are only remembered."""
 
     def __init__(self, known: filters.Filter, sizes: list[int]) -> None:
-        super().__init__()
         self.known, self.pairs = known, [(place, n) for n in sizes for place in range(n)]
-
-    def of(self, words: list[bytes]) -> list[tuple[tuple[int, int], ...]]:
-        """The pairs of each of ``words``."""
-        found = list(map(self.get, words))
-        if None in found:
-            if len(self) > _REMEMBERED:
-                self.clear()
-            self.learn(list({w for w in words if w not in self}))
-            found = list(map(self.get, words))
-        return found
-
-    def learn(self, new: list[bytes]) -> None:
-        prefix = [w for w, ok in zip(new, self.known.has([w + b" /" for w in new])) if ok]
-        self.update(dict.fromkeys(new, ()))
+        self.prefixes: dict[bytes, list[tuple[int, int]]] = {}
+        self.seen: set[bytes] = set()
+
+    def learn(self, texts: list[list[bytes]]) -> None:
+        """Look up the words of ``texts`` that are new, all together."""
+        words = set().union(*texts)
+        if len(self.seen) > _REMEMBERED:
+            self.seen, self.prefixes = set(), {}
+        new = list(words - self.seen)
+        self.seen |= words
+        prefix = [w for w, ok in zip(new, self.known.has([w + b" /" for w in new]).tolist()) if ok]
         if prefix:
             found = self.known.has([_place_key(w, *p) for w in prefix for p in self.pairs]).reshape(len(prefix), -1)
-            for w, own in zip(prefix, found):
-                self[w] = tuple(p for p, ok in zip(self.pairs, own) if ok)
+            for w, own in zip(prefix, found.tolist()):
+                if any(own):
+                    self.prefixes[w] = [p for p, ok in zip(self.pairs, own) if ok]
+
+    def runs(self, words: list[bytes]) -> list[tuple[int, int]]:
+        """``(start, n)`` of the runs of ``words`` that some prefix calls for, within bounds."""
+        prefixes, last = self.prefixes, len(words)
+        at = [k for k, w in enumerate(words) if w in prefixes]
+        return sorted({(k - place, n) for k in at for place, n in prefixes[words[k]] if 0 <= k - place <= last - n})
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of at most ``_ROWS`` rows and about ``_BYTES`` of a column."""
+    at, held = 0, 0
+    for k, value in enumerate(batch.column(column)):
+        size = value.as_buffer().size if value.is_valid else 0
+        if k > at and (held + size > _BYTES or k - at == _ROWS):
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += size
+    if batch.num_rows:
+        yield batch.slice(at)
 
 
 def _offers(docs: DataFrame, known: filters.Filter, sizes: list[int]) -> DataFrame:
@@ -154,15 +170,14 @@ def _offers(docs: DataFrame, known: filters.Filter, sizes: list[int]) -> DataFra
 
         known, places, key = shared.value, _Places(shared.value, sizes), TaskContext.get().partitionId() << 33
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                n_words, offers = [], []
-                for text in part.column(body):
-                    words = words_of(text.as_py())
-                    runs = sorted({(k - place, n) for k, pairs in enumerate(places.of(words)) if pairs for place, n in pairs if 0 <= k - place <= len(words) - n})
-                    own = [b" ".join(words[start : start + n]) for start, n in runs]
-                    offers.append([{"start": start, "n": n, "window": w} for (start, n), w, ok in zip(runs, own, known.has(own)) if ok] if own else [])
-                    n_words.append(len(words))
+            for part in _parts(batch, body):
+                texts = [words_of(text.as_py()) for text in part.column(body)]
+                places.learn(texts)
+                runs = [places.runs(words) for words in texts]
+                found = [b" ".join(words[start : start + n]) for words, own in zip(texts, runs) for start, n in own]
+                held = iter(zip(found, known.has(found).tolist()))
+                offers = [[{"start": start, "n": n, "window": w} for (start, n), (w, ok) in zip(own, held) if ok] for own in runs]
+                n_words = list(map(len, texts))
                 keys = np.arange(key, key + part.num_rows)
                 key += part.num_rows
                 columns = [c for k, c in enumerate(part.columns) if k != body]
