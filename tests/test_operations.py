@@ -198,6 +198,16 @@ def test_deep_trees_circles_and_orphans(spark):
     assert empty.count() == none.count() == 0
 
 
+def test_trees_send_no_nodes_along(spark, monkeypatch):
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ingest, "materialise", lambda df, name: plans.append(plan(df)) or session.materialise(df, name))
+    nodes = spark.range(200).select("id", F.when(F.col("id") > 0, F.floor(F.col("id") / 2)).alias("parent"))
+    loaded, waiting = ingest.load_tree(nodes, "id", "parent")
+    plans += [plan(loaded), plan(waiting)]
+    assert len(plans) > 5 and "SortMergeJoin" in plans[-1] and not any("BroadcastExchange" in p for p in plans)
+    assert loaded.count() == 200 and waiting.count() == 0
+
+
 def test_rejected_rows_are_found_by_halves(spark):
     def insert(batch):
         if any(v is not None and v % 17 == 0 for v in batch.column(0).to_pylist()):
