@@ -4,6 +4,7 @@ import json
 import random
 import re
 
+import psutil
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,6 +176,21 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         session.scratch(Fake, "x")
 
 
+def test_workers_give_freed_memory_back():
+    used = lambda: psutil.Process().memory_info().rss
+
+    def run(batches):
+        held = [b"x" * 100_000 for _ in range(2000)]
+        pins.append(held[-1])  # keeps the C library from giving back what lies before
+        yield from batches
+
+    pins = []
+    plain, end = used(), object()
+    task = session.released(run)(iter([1, 2]))
+    assert [next(task), next(task)] == [1, 2] and used() > plain + 150_000_000
+    assert next(task, end) is end and used() < plain + 50_000_000
+
+
 def test_trees_name_what_waits(spark):
     chain = spark.createDataFrame([(k, k - 1 if k else None) for k in range(6)] + [(50, 51), (51, 50), (60, 99)], "id int, parent int")
     loaded, waiting = ingest.load_tree(chain, "id", "parent", passes=4)

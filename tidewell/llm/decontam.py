@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidewell.llm import filters
-from tidewell.session import materialise, ship
+from tidewell.session import materialise, released, ship
 
 WINDOW = 10
 
@@ -67,7 +67,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(np.full(len(own), n, np.int32)), pa.array([item.as_py()] * len(own), pa.string())], ["window", "n", "item_id"])
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "window binary, n int, item_id string").distinct()
+    return rows.mapInArrow(released(run), "window binary, n int, item_id string").distinct()
 
 
 def word_counts(docs: DataFrame, known: filters.Filter) -> DataFrame:
@@ -94,7 +94,7 @@ def word_counts(docs: DataFrame, known: filters.Filter) -> DataFrame:
                     counts.clear()
         yield _counted(counts)
 
-    return docs.select(F.col("text").cast("binary")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
+    return docs.select(F.col("text").cast("binary")).mapInArrow(released(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("count"))
 
 
 def _counted(counts: Counter[bytes]) -> pa.RecordBatch:
@@ -183,7 +183,7 @@ def _offers(docs: DataFrame, known: filters.Filter, sizes: list[int]) -> DataFra
                 columns = [c for k, c in enumerate(part.columns) if k != body]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(keys), pa.array(n_words, pa.int64()), pa.array(offers, run_type)], [*schema.names, "offers"])
 
-    return docs.mapInArrow(run, T.StructType([*schema.fields, *T.StructType.fromDDL("offers array<struct<start: int, n: int, window: binary>>").fields]))
+    return docs.mapInArrow(released(run), T.StructType([*schema.fields, *T.StructType.fromDDL("offers array<struct<start: int, n: int, window: binary>>").fields]))
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.components import connected_components
 from tidewell.llm.simhash import CHUNK, SEED, compared, hits_by_tile, majority, shingle_digests
-from tidewell.session import materialise, ship, shuffle_partitions
+from tidewell.session import materialise, released, ship, shuffle_partitions
 
 SHINGLE, SIMILARITY = 5, 0.8
 BINS, BIN_ROWS = 64, 4
@@ -73,9 +73,8 @@ def sketches(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
                 fps = majority(np.concatenate(sets), np.fromiter(map(len, sets), np.int64, len(sets)))
                 keys = [bands(s).view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(fps.view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "node", "fp", "keys"])
-        pa.default_memory_pool().release_unused()
 
-    return rows.select("doc_id", "digest", "node", "body").mapInArrow(run, "doc_id long, digest string, node long, fp long, keys array<long>")
+    return rows.select("doc_id", "digest", "node", "body").mapInArrow(released(run), "doc_id long, digest string, node long, fp long, keys array<long>")
 
 
 def _filter(nodes: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -114,7 +113,7 @@ def sets_of(rows: DataFrame, nodes: DataFrame, shingle: int, seed: int) -> DataF
                 fps = majority(np.concatenate([*sets, np.zeros(0, np.uint64)]), np.fromiter(map(len, sets), np.int64, len(sets)))
                 yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int64()), pa.array(fps.view(np.int64)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "fp", "set"])
 
-    found = rows.select("node", "body").mapInArrow(run, "node long, fp long, set array<long>")
+    found = rows.select("node", "body").mapInArrow(released(run), "node long, fp long, set array<long>")
     return found.groupBy("node").agg(F.first("fp").alias("fp"), F.first("set").alias("set"))
 
 
@@ -169,7 +168,6 @@ def _verify(similarity: float, some: bool):
         if held:
             yield work()
             held.clear()
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -188,7 +186,7 @@ def verified(dealt: DataFrame, similarity: float) -> DataFrame:
 
     def compare(rows: DataFrame, some: bool) -> DataFrame:
         rows = rows.select("x", "y", "component", "node", "fp", "apart", "set").repartition(shuffle_partitions(spark), "x", "y", "component").sortWithinPartitions("x", "y", "component")
-        return rows.mapInArrow(_verify(similarity, some), "a long, b long")
+        return rows.mapInArrow(released(_verify(similarity, some)), "a long, b long")
 
     mark = lambda rows, apart: rows.withColumn("apart", F.lit(apart))
     first = mark(dealt.filter("node = component").withColumn("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), True)

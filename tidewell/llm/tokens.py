@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidewell.llm import binfiles, repair
 from tidewell.llm.repair import ragged
-from tidewell.session import materialise, scratch, ship, shuffle_partitions
+from tidewell.session import give_back, materialise, released, scratch, ship, shuffle_partitions
 
 #: Ids of a shard, but for a document that goes beyond them.
 SHARD_IDS = 1 << 20
@@ -297,7 +297,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             frame = pack_shard([x for n in names for x in n.to_pylist()], np.concatenate(lengths), np.concatenate(parts), enc.size)
             names.clear(), lengths.clear(), parts.clear()
             held = 0
-            pa.default_memory_pool().release_unused()
+            give_back()
             return pa.RecordBatch.from_arrays([pa.array([frame], pa.binary())], ["frame"])
 
         for batch in batches:
@@ -318,7 +318,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(_files(rows, file_bytes), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    binfiles.write_frames(ordered.select("doc_id", "text").mapInArrow(run, "frame binary"), path)
+    binfiles.write_frames(ordered.select("doc_id", "text").mapInArrow(released(run), "frame binary"), path)
 
 
 def shard_places(spark: SparkSession, path: str) -> DataFrame:
@@ -366,7 +366,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     places = shard_places(spark, path).repartition(shuffle_partitions(spark), "part", "offset")
-    return places.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return places.mapInArrow(released(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:

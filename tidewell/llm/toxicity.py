@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidewell.llm.chunks import Codes
 from tidewell.llm.repair import ragged
-from tidewell.session import ship
+from tidewell.session import released, ship
 
 #: Bounds of the labelled sample that the model is fitted on.
 MAX_TOXIC, MAX_CLEAN, MAX_FIT_CHARS = 1800, 3600, 50_000
@@ -437,9 +437,8 @@ def _fitted(rows: DataFrame, prior: float) -> Model:
         model = fit(sample, prior)
         parts = [pa.array([np.asarray(x, t).tobytes()], pa.binary()) for x, t in ((model.weights, "<f4"), (model.trans, "<f8"), (model.document, "<f8"))]
         yield pa.RecordBatch.from_arrays(parts, ["weights", "trans", "document"])
-        pa.default_memory_pool().release_unused()
 
-    found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "text").mapInArrow(run, "weights binary, trans binary, document binary").first()
+    found = rows.repartition(1).sortWithinPartitions("doc_id").select("y", "text").mapInArrow(released(run), "weights binary, trans binary, document binary").first()
     if found is None:  # no rows, no task
         return fit([], prior)
     return Model(np.frombuffer(found[0], "<f4"), np.frombuffer(found[1], "<f8").reshape(2, 2), np.frombuffer(found[2], "<f8"))
@@ -460,9 +459,8 @@ def _apply(rows: DataFrame, model: Model, schema, text, keep) -> DataFrame:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield keep(part, *scorer.documents(text(part).to_pylist()))
-        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
